@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cnvspark.llm.common import shared_path, table
+from cnvspark.llm.fingerprints import fingerprint_documents
 from cnvspark.llm.packing import pack_documents
 from cnvspark.llm.sharding import shard_documents
 from cnvspark.llm.token_files import read_token_files, with_starts, write_token_files
@@ -26,6 +27,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consistent weighted samples of every document and of its edited text."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"), samples=32)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
     manifest = write_token_files(table(spark, sf_dir, "documents"), shared_path(spark, "tokens"), tokenizer_path(), end_id=2)
@@ -36,6 +42,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
+    "op5_fingerprints": op5_fingerprints,
     "op8_token_files": op8_token_files,
 }
 
