@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cnvspark.llm.common import shared_path, table
 from cnvspark.llm.fingerprints import fingerprint_documents
 from cnvspark.llm.packing import pack_documents
+from cnvspark.llm.pii import count_kind, sanitize, span_text
 from cnvspark.llm.sharding import shard_documents
 from cnvspark.llm.token_files import read_token_files, with_starts, write_token_files
 from cnvspark.llm.tokens import tokenizer_path
@@ -39,11 +40,24 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data, and terms that give it away, in every document."""
+    rows = sanitize(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] < 4)
+    return rows.select(
+        "doc_id",
+        *(count_kind(F.col("spans"), i).alias(f"n_{k}") for i, k in enumerate(("email", "ip", "card", "phone"))),
+        F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
     "op5_fingerprints": op5_fingerprints,
     "op8_token_files": op8_token_files,
+    "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL where it can express the operator's own rows.
