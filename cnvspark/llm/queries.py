@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cnvspark.llm.common import shared_path, table
+from cnvspark.llm.decontamination import decontaminate
 from cnvspark.llm.fingerprints import fingerprint_documents
+from cnvspark.llm.near_dedup import near_duplicates
 from cnvspark.llm.packing import pack_documents
 from cnvspark.llm.pii import count_kind, sanitize, span_text
 from cnvspark.llm.sharding import shard_documents
@@ -22,6 +24,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards whose row counts are at most one apart."""
     rows = shard_documents(table(spark, sf_dir, "documents"), shards=8)
@@ -33,6 +40,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"), samples=32)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its overlaps with benchmark items."""
+    rows = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "contaminated", F.size("items").alias("n_items"), F.transform("items", lambda x: x["item_id"]).alias("items"), "items.start", "items.end")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
     manifest = write_token_files(table(spark, sf_dir, "documents"), shared_path(spark, "tokens"), tokenizer_path(), end_id=2)
@@ -54,8 +67,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
     "op5_fingerprints": op5_fingerprints,
+    "op6_decontamination": op6_decontamination,
     "op8_token_files": op8_token_files,
     "op10_pii": op10_pii,
 }
