@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 from cnvspark.llm.common import single_threaded
@@ -24,63 +25,65 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Memo(dict):
+    """Text -> its ids, made when first asked for; forgotten as a whole when there are too many."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        ids = self[text] = self.make(text)
+        return ids
+
+
 class TokenCoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     A byte-level pre-tokenizer cuts a text before each lone space, so the ids of a text are those of its chunks, each
     with the space before it, one after another. Chunks repeat, so their ids are remembered (at most ``memo_size``
-    of them). A text where a space touches other white space, or that holds a special token's opening, goes to the
-    library as a whole. The library's model makes all ids in every case.
+    of them), and so are those of the pre-tokens in plain chunks. A text where a space touches other white space, or
+    that holds a special token's opening, goes to the library as a whole. The library's model makes all ids in every case.
     """
 
-    def __init__(self, path: str, memo_size: int = 500_000):
+    def __init__(self, path: str, memo_size: int = 900_000):
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
-        self.memo_size = memo_size
-        self.memo: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.letters = _byte_letters()
+        letters, tokenize = _byte_letters(), self.tokenizer.model.tokenize
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        def of_run(run: str) -> bytes:
+            shown = run.translate(letters) if run.isascii() else run.encode().decode("latin-1").translate(letters)
+            return array("I", [t.id for t in tokenize(shown)]).tobytes()
 
-    def _run(self, run: str) -> bytes:
-        ids = self.runs.get(run)
-        if ids is None:
-            shown = run.encode().decode("latin-1").translate(self.letters)
-            ids = self.runs[run] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return ids
-
-    def _learn(self, missing: list[str]) -> None:
-        memo, run, other = self.memo, self._run, []
-        for chunk in missing:
+        def of_chunk(chunk: str) -> bytes:
+            word = chunk if chunk.isalpha() else chunk[:-1]
+            if word.isalpha() and (chunk is word or chunk[-1] in ".,") and (word.isascii() or max(word) < "\u0100"):
+                return runs[f" {word}"] if chunk is word else runs[f" {word}"] + runs[chunk[-1]]
             if "\n\n" not in chunk and _PLAIN.fullmatch(chunk) and chunk[0] != "\n":
-                memo[chunk] = b"".join(map(run, _RUNS.findall(f" {chunk}")))
-            else:
-                other.append(chunk)
-        memo.update(zip(other, self._ids([f" {x}" for x in other]), strict=True))
+                return b"".join(map(runs.__getitem__, _RUNS.findall(f" {chunk}")))
+            return self._ids([f" {chunk}"])[0]
+
+        runs = _Memo(of_run, memo_size)
+        self.memo = _Memo(of_chunk, memo_size)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        for known in (self.memo, self.runs):
-            if len(known) > self.memo_size:
-                known.clear()
-        memo, out, chunks, whole = self.memo, [b""] * len(texts), {}, []
+        ids_of, out, firsts, whole = self.memo.__getitem__, [b""] * len(texts), {}, []
         for i, text in enumerate(texts):
             if "<|" in text or any(x in text for x in _JOINING) or _RARE_SPACE.search(text):
                 whole.append(i)
             elif text:
-                first, *rest = text.split(" ")
-                chunks[i] = (first, rest)
-        if missing := set().union(*(rest for _, rest in chunks.values())) - memo.keys():
-            self._learn(list(missing))
-        firsts = self._ids([first for first, _ in chunks.values()])
-        for (i, (_, rest)), first in zip(chunks.items(), firsts, strict=True):
-            out[i] = first + b"".join(map(memo.__getitem__, rest))
+                firsts[i], *rest = text.split(" ")
+                out[i] = b"".join(map(ids_of, rest))
+        for i, ids in zip(firsts, self._ids([*firsts.values()]), strict=True):
+            out[i] = ids + out[i]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
