@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from cnvspark.llm.common import shared_path, table
 from cnvspark.llm.decontamination import decontaminate
 from cnvspark.llm.fingerprints import fingerprint_documents
+from cnvspark.llm.labelled import held_out
 from cnvspark.llm.near_dedup import near_duplicates
 from cnvspark.llm.packing import pack_documents
 from cnvspark.llm.pii import count_kind, sanitize, span_text
+from cnvspark.llm.quality import fit_quality, score_quality
 from cnvspark.llm.sharding import shard_documents
 from cnvspark.llm.token_files import read_token_files, with_starts, write_token_files
+from cnvspark.llm.toxicity import fit_toxicity, score_toxicity
 from cnvspark.llm.tokens import tokenizer_path
 
 
@@ -35,6 +38,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    rows = score_quality(docs.select("doc_id", "text"), fit_quality(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consistent weighted samples of every document and of its edited text."""
     return fingerprint_documents(table(spark, sf_dir, "documents"), samples=32)
@@ -53,6 +63,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    rows = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data, and terms that give it away, in every document."""
     rows = sanitize(table(spark, sf_dir, "documents"))
@@ -69,9 +86,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
+    "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_decontamination": op6_decontamination,
     "op8_token_files": op8_token_files,
+    "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
 
