@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cnvspark.llm.common import shared_path, table
 from cnvspark.llm.decontamination import decontaminate
 from cnvspark.llm.fingerprints import fingerprint_documents
+from cnvspark.llm.html_extraction import extract_pages
 from cnvspark.llm.labelled import held_out
 from cnvspark.llm.near_dedup import near_duplicates
 from cnvspark.llm.packing import pack_documents
@@ -56,6 +57,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "contaminated", F.size("items").alias("n_items"), F.transform("items", lambda x: x["item_id"]).alias("items"), "items.start", "items.end")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    rows = extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
     manifest = write_token_files(table(spark, sf_dir, "documents"), shared_path(spark, "tokens"), tokenizer_path(), end_id=2)
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_decontamination": op6_decontamination,
+    "op7_html_extraction": op7_html_extraction,
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
