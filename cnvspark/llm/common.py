@@ -66,6 +66,16 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{','.join(':'.join(x.split()) for x in schema.split(','))}>>")))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in df.columns}:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def text_key(text: Column) -> Column:
     """A 128-bit key of a whole text (null: empty); equal texts have equal keys."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

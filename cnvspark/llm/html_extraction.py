@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from cnvspark.llm.common import cut
+from cnvspark.llm.common import cut, free
 
 # HTML's elements by how they hold text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -291,6 +291,11 @@ def main_text(text: str, slot: str, template: frozenset[str]) -> str:
     return "\n".join(lines)
 
 
+@lru_cache(maxsize=2_000)
+def _chosen(votes: tuple) -> tuple[str, frozenset[str]]:
+    return choose(list(votes))
+
+
 def extract_pages(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", text_col: str = "main_text", broadcast_hosts: int = 50_000) -> DataFrame:
     """All rows of ``pages`` with the main text of each page in ``text_col``.
 
@@ -301,24 +306,21 @@ def extract_pages(pages: DataFrame, *, url_col: str = "url", html_col: str = "ht
     wrappers are then sent to all tasks; beyond that, pages are joined with the wrappers by host, and Spark splits large hosts.
     """
     columns = [c for c in pages.columns if c != text_col]
-    rows = pages.select(*columns).withColumn("_host", host(pages[url_col]))
-    votes = template_votes(rows.select("_host", F.col(html_col)))
-    wrappers = votes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "hidden", "same", "differ", "chars"))).alias("_votes"))
-    wrappers = cut(wrappers.withColumnRenamed("host", "_host"))
+    name, votes_col = free(pages, "_host", "_votes")
+    rows = pages.select(*columns).withColumn(name, host(pages[url_col]))
+    votes = template_votes(rows.select(name, F.col(html_col)))
+    wrappers = votes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "hidden", "same", "differ", "chars"))).alias(votes_col))
+    wrappers = cut(wrappers.withColumnRenamed("host", name))
     small = wrappers.count() <= broadcast_hosts
-    joined = rows.join(F.broadcast(wrappers) if small else wrappers, "_host", "left").select(*columns, "_votes")
+    joined = rows.join(F.broadcast(wrappers) if small else wrappers, name, "left").select(*columns, votes_col)
     at = columns.index(html_col)
 
-    @lru_cache(maxsize=2_000)
-    def chosen(key: tuple) -> tuple[str, frozenset[str]]:
-        return choose(list(key))
-
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes = batch.column(len(columns))
             texts = []
             for k, page in enumerate(batch.column(at).to_pylist()):
-                wrapper = chosen(tuple(tuple(v.values()) for v in votes[k].as_py() or ()))
+                wrapper = _chosen(tuple(tuple(v.values()) for v in votes[k].as_py() or ()))
                 texts.append(main_text(page or "", *wrapper))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*columns, text_col])
 
