@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cnvspark.llm.common import importable, kept, table
+from cnvspark.llm.common import free, importable, kept, table
 from cnvspark.llm.decontamination import decontaminate
 from cnvspark.llm.near_dedup import drop_near_duplicates
 from cnvspark.llm.packing import pack_documents
@@ -24,7 +24,8 @@ TOXIC = 0.5
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below :data:`TOXIC`; a null text is kept."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, score_col="_toxicity").where(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    (score,) = free(docs, "_toxicity")
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
