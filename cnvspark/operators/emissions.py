@@ -114,16 +114,16 @@ def log_emissions(probes: DataFrame, states: DataFrame, lrr: DataFrame, zyg: Dat
 
     ``probes`` need cn_in, allelism_in, inf_in, lrr_bin, zyg_bin; ``states`` (state, cn, allelism, mosaic, inf_out, zyg_key); ``lrr``
     (cn, bin, p); ``zyg`` (zyg_key, bin, p). Tables of states and emissions are small and broadcast; no row of probes is
-    exploded, as the tables come in as arrays by bin.
+    exploded, as the tables come in as maps by bin.
     """
+
     def lookup(table: DataFrame, key: str) -> DataFrame:
-        # Bins are shifted by 1,000 so that array places are positive; arrays are dense between the first and last bin.
         return table.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "p"))).alias("_p"))
 
     l_rows, z_rows = lookup(lrr, "cn"), lookup(zyg, "zyg_key")
     wide = states.join(l_rows.withColumnRenamed("_p", "lp"), "cn", "left").join(z_rows.withColumnRenamed("_p", "zp"), "zyg_key", "left")
     flat = z_rows.where("zyg_key = '1'").select(F.col("_p").alias("z1")).limit(1)
-    packed = wide.agg(F.array_sort(F.collect_list(F.struct("state", "cn", "allelism", "mosaic", "inf_out", "lp", "zp"))).alias("_states")).join(flat, how="left")
+    packed = wide.agg(F.array_sort(F.collect_list(F.struct("state", "cn", "allelism", "mosaic", "inf_out", "lp", "zp")), lambda a, b: a["state"] - b["state"]).alias("_states")).join(flat, how="left")
     steps = F.array(*(F.lit(float(x)) for x in penalties))
 
     def one(s):

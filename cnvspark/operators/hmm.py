@@ -57,7 +57,7 @@ def viterbi(df: DataFrame, by: list[str], order: list[str], log_ep: str, log_t:
     before each block, and blocks are then traced back on their own. So no task holds more than a block. Scores are the
     same as in one piece; only floating-point ties can differ.
     """
-    n = len(log_t)
+    n, columns = len(log_t), df.columns
     start = np.full(n, -np.log(n)) if log_start is None else log_start
     schema = StructType([*df.schema.fields, StructField(state, IntegerType())])
     if block is None:
@@ -110,7 +110,7 @@ def viterbi(df: DataFrame, by: list[str], order: list[str], log_ep: str, log_t:
         last[end] = 0.0
         ep[-1] = ep[-1] + last
         pdf[state] = decode(ep, log_t, first)
-        return pdf[[*df.columns, state]]
+        return pdf[[*columns, state]]
 
     return rows.join(outer, [*by, "_block"]).groupBy(*by, "_block").applyInPandas(trace, schema)
 

@@ -1,0 +1,3 @@
+"""No operator of this engine keeps state over a stream; probe reports that arrive as files can be read with
+``spark.readStream.text`` and the same column expressions (see ``functions.scalar``).
+"""
