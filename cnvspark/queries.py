@@ -996,6 +996,39 @@ def plt6(spark, d):
     return plotdata.uniqueness_scatter(scores.withColumn("qrll", _r("qrll", 4)).withColumn("max_trll", _r("max_trll", 4))).select("sv", _r("x", 3).alias("x"), _r("y", 3).alias("y"))
 
 
+@_query("pipe3_train_depth")
+def pipe3(spark, d):
+    aln = view(spark, d, "v_fragment").withColumn("flag", F.lit(32))
+    segments, _ = pipelines.train_depth(aln, "click:1-150000/2", bin_size=2000, max_cn=3)
+    return segments.select("chrom", "run", "start", "end", "cn", "n_bins", *(_r(c, 4).alias(c) for c in ("mean", "sd", "cn1", "cn2", "cn3")))
+
+
+@_query("pipe8_fan_out", "SELECT 'exp1' AS \"Experiment\", c_mktsegment AS \"Cell_Line\", CAST(c_nationkey AS STRING) AS \"Cell_Clone\", coalesce(array_to_string(list_sort(list(DISTINCT c_name) FILTER (WHERE c_custkey % 2 = 0)), ','), '') AS controls, array_to_string(list_sort(list(DISTINCT c_name)), ',') AS samples FROM customer GROUP BY ALL")
+def pipe8(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    table = c.select(F.lit("exp1").alias("Experiment"), F.col("c_mktsegment").alias("Cell_Line"), F.col("c_nationkey").cast("string").alias("Cell_Clone"), F.when(F.col("c_custkey") % 2 == 0, "yes").otherwise("No").alias("Control"), F.col("c_name").alias("Sample_ID"))
+    out = pipelines.fan_out(table, "exp1")
+    return out.withColumn("controls", F.array_join("controls", ",")).withColumn("samples", F.array_join("samples", ","))
+
+
+@_query("plt1_gc_scatter")
+def plt1(spark, d):
+    return plotdata.gc_scatter(view(spark, d, "v_model").withColumn("zyg", S.zygosity(F.col("baf"))), n=300)[0]
+
+
+@_query("plt2_zyg_lrr_boxes", f", {_HIST}, f AS (SELECT cn, sum(bin / 10.0 * p) AS m, sqrt(greatest(sum(bin / 10.0 * (bin / 10.0) * p) - pow(sum(bin / 10.0 * p), 2), 0)) AS s FROM p GROUP BY cn) SELECT cn, round(m - 2 * s, 5) AS lrr_low, round(m + 2 * s, 5) AS lrr_high FROM f", "v_state")
+def plt2(spark, d):
+    fits = emissions.hist_moments(_hist(spark, d), ["cn"], 10).select("cn", F.col("mean").alias("lrr_mean"), F.col("sd").alias("lrr_sd"), F.lit(0.5).alias("zyg_mean"), F.lit(0.05).alias("zyg_sd"))
+    rows = view(spark, d, "v_state").select(F.col("cn_in"), "probe", "lrr", "zyg")
+    return plotdata.zyg_lrr_scatter(rows, fits)[1].select("cn", _r("lrr_low", 5).alias("lrr_low"), _r("lrr_high", 5).alias("lrr_high"))
+
+
+@_query("plt5_size_vs_score", _runs_sql(", e AS (SELECT count(*) FILTER (WHERE cn_out <> cn_in OR (inf_in AND NOT inf_out)) AS n_probes, CAST(count(*) FILTER (WHERE inf_in) AS DOUBLE) AS rel_ll FROM r GROUP BY sample, chrom, run) SELECT n_probes, rel_ll, round(ln(10) * n_probes, 5) AS iso1, round(ln(100) * n_probes, 5) AS iso2, round(ln(1000) * n_probes, 5) AS iso3 FROM e"))
+def plt5(spark, d):
+    svs = runs.run_evidence(_run_rows(spark, d), SC).withColumn("rel_ll", F.col("n_inf").cast("double"))
+    return plotdata.size_vs_score(svs).select("n_probes", "rel_ll", *(_r(c, 5).alias(c) for c in ("iso1", "iso2", "iso3")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which runs of probes deviate in which sample: medians, anomalies, runs, evidence and means, from built-ins alone."""
     rows = _run_rows(spark, sf_dir)
