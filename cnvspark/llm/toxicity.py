@@ -74,12 +74,14 @@ class WordInputs:
                     into[w[:4]] += c
         self.begins = _log_odds(pos, neg, sizes[1], sizes[0], least)
 
-    def of(self, word: str) -> list[float]:
+    def of(self, word: str) -> tuple[float, ...]:
         w = plain(word)
-        edged, (three, four) = f"^{w}$", (x.get for x in self.runs)
-        a = [three(edged[i : i + 3], 0.0) for i in range(len(edged) - 2)] or [0.0]
-        b = [four(edged[i : i + 4], 0.0) for i in range(len(edged) - 3)] or [0.0]
-        return [self.words.get(w, 0.0), self.begins.get(w[:4], 0.0), max(a), max(b), sum(a) / len(a), sum(b) / len(b), float(word.isupper()), float(not w.isalpha())]
+        edged, (three, four) = f"^{w}$", self.runs
+        n, m = max(len(edged) - 2, 1), max(len(edged) - 3, 1)
+        a = [three[g] for i in range(n) if (g := edged[i : i + 3]) in three]
+        b = [four[g] for i in range(m) if (g := edged[i : i + 4]) in four]
+        top = lambda x, size: max(x) if len(x) == size else max([0.0, *x])  # noqa: E731  runs that tell nothing count 0
+        return (self.words.get(w, 0.0), self.begins.get(w[:4], 0.0), top(a, n), top(b, m), sum(a) / n, sum(b) / m, float(word.isupper()), float(not w.isalpha()))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -227,10 +229,14 @@ class ToxicityModel:
         return (a * value).sum(axis=1) / a.sum(axis=1) + p["ob"][0]
 
 
+#: Odd multipliers that name a window by its rows.
+_ODD = np.random.default_rng(17).integers(-(1 << 62), 1 << 62, 256) | 1
+
+
 class Scorer:
     """Scores texts with a model; the gate inputs of words are remembered, at most ``memo`` of them."""
 
-    def __init__(self, model: ToxicityModel, memo: int = 400_000, inputs: dict[str, list[float]] | None = None):
+    def __init__(self, model: ToxicityModel, memo: int = 700_000, inputs: dict[str, tuple[float, ...]] | None = None):
         single_threaded()
         self.model, self.memo = model, memo
         self.inputs = inputs.__getitem__ if inputs else model.inputs and model.inputs.of
@@ -238,20 +244,27 @@ class Scorer:
 
     def _forget(self) -> None:
         self.ids: dict[str, int] = {}
+        self.rows: dict[tuple[float, ...], int] = {}  # most words tell nothing and share their inputs
         self.gates = np.zeros((4096, 6 * self.model.hidden), np.float32)
 
     def _known(self, words: list[list[str]]) -> None:
         missing = [*set().union(*words).difference(self.ids)]
         if not missing:
             return
-        p, first = self.model.p, len(self.ids) + 1
-        x = np.array([self.inputs(w) for w in missing], np.float32)
-        if first + len(missing) > len(self.gates):
-            grown = np.zeros((max(2 * len(self.gates), first + len(missing)), self.gates.shape[1]), np.float32)
-            grown[: len(self.gates)] = self.gates
-            self.gates = grown
-        self.gates[first : first + len(missing)] = np.concatenate([x @ p["fW"] + p["fb"], x @ p["bW"] + p["bb"]], axis=1)
-        self.ids.update(zip(missing, range(first, first + len(missing)), strict=True))
+        p, rows = self.model.p, self.rows
+        found = [*map(self.inputs, missing)]
+        first = len(rows) + 1
+        for x in found:
+            if x not in rows:
+                rows[x] = len(rows) + 1
+        if len(rows) >= first:
+            x = np.array([*rows][first - 1 :], np.float32)
+            if first + len(x) > len(self.gates):
+                grown = np.zeros((max(2 * len(self.gates), first + len(x)), self.gates.shape[1]), np.float32)
+                grown[: len(self.gates)] = self.gates
+                self.gates = grown
+            self.gates[first : first + len(x)] = np.concatenate([x @ p["fW"] + p["fb"], x @ p["bW"] + p["bb"]], axis=1)
+        self.ids.update(zip(missing, map(rows.__getitem__, found), strict=True))
 
     def logits(self, texts: list[str]) -> list[np.ndarray]:
         """The logits of all windows of each text; none for a text without words."""
@@ -274,7 +287,11 @@ class Scorer:
         if not rows:
             return [np.empty(0, np.float32)] * len(texts)
         rows, lengths = np.concatenate(rows), np.concatenate(lengths)
-        scored = np.concatenate([model.score_windows(self.gates, rows[i : i + 4096], lengths[i : i + 4096]) for i in range(0, len(rows), 4096)])
+        # Windows with the same inputs have the same logit and are read once.
+        names = (rows * _ODD[:size]).sum(axis=1) ^ lengths
+        _, once, back = np.unique(names, return_index=True, return_inverse=True)
+        rows, lengths = rows[once], lengths[once]
+        scored = np.concatenate([model.score_windows(self.gates, rows[i : i + 4096], lengths[i : i + 4096]) for i in range(0, len(rows), 4096)])[back]
         return np.split(scored, np.cumsum(counts)[:-1])
 
     def scores(self, texts: list[str]) -> list[float]:
@@ -296,7 +313,7 @@ def train(rows: list[tuple[str, int]], *, window: int = 32, hidden: int = 8, att
         return ToxicityModel(None, None, window, 1.0, 0.0)
     rng = np.random.default_rng(seed)
     inputs = WordInputs(texts, labels)
-    memo: dict[str, list[float]] = {}
+    memo: dict[str, tuple[float, ...]] = {}
     series = []
     for t in texts:
         w = [x for x, _ in groupby(t.split())]
