@@ -1,7 +1,7 @@
 """Information-theoretic sanitising of personal data, in DataFrame functions alone.
 
-Entities are what four patterns find. The corpus then tells which other terms give an entity away: with n_c different
-texts that hold entity c, n_t documents that hold term t, n_ct different contexts in which t stands near c, and N documents, the term
+Entities are what four patterns find. The corpus then tells which other terms give an entity away: with n_c documents
+that hold entity c, n_t that hold term t, n_ct in which t stands near c, and N in all, the term
 discloses ln(N n_ct / (n_c n_t)) of the ln(N / n_c) that knowing the entity is worth. A term near an entity in enough
 contexts, whose share of disclosure reaches a threshold, is a span of its own in every text with that entity.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cnvspark.llm.common import cut, text_key
+from cnvspark.llm.common import cut, free, text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -115,30 +115,30 @@ def _context(text: Column, x: Column, words: int, reach: int) -> Column:
     return F.array_sort(F.array_distinct(_words(F.array_join(near, " "))))
 
 
-def disclosing_terms(found: DataFrame, *, words: int = 8, reach: int = 160, min_contexts: int = 3, threshold: float = 0.9, broadcast_terms: int = 100_000) -> DataFrame:
+def disclosing_terms(found: DataFrame, *, words: int = 8, reach: int = 160, min_contexts: int = 3, threshold: float = 0.9) -> DataFrame:
     """(entity, term, contexts, share): the terms that disclose an entity, from (key, text, spans) of all rows.
 
-    Equal contexts count once, so that copies are no evidence. Counts run over the whole corpus.
+    Only terms with ``min_contexts`` different contexts near an entity count, so that copies are no evidence. Counts run over
+    the whole corpus; those of documents include copies.
     """
     texts = found.where(F.size("spans") > 0).select("key", "text", F.explode("spans").alias("x"))
     near = texts.select("key", _entity(F.col("x")).alias("entity"), _context(F.col("text"), F.col("x"), words, reach).alias("near"))
-    near = cut(near.distinct())
-    holders = near.groupBy("entity").agg(F.countDistinct("key").alias("n_c"))
-    pairs = near.select("entity", F.xxhash64("near").alias("context"), F.explode("near").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= min_contexts)
-    pairs = cut(pairs)
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
-        return pairs.select("entity", "term", F.col("n_ct").alias("contexts"), F.lit(1.0).alias("share"))
+    near = cut(near.groupBy("key", "entity", "near").agg(F.count(F.lit(1)).alias("docs")))
+    holders = near.groupBy("entity", "key").agg(F.max("docs").alias("docs")).groupBy("entity").agg(F.sum("docs").alias("n_c"))
+    each = near.select("entity", "key", "docs", F.xxhash64("near").alias("context"), F.explode("near").alias("term"))
+    contexts = each.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= min_contexts)
+    both = each.groupBy("entity", "term", "key").agg(F.max("docs").alias("docs")).groupBy("entity", "term").agg(F.sum("docs").alias("n_ct"))
+    pairs = cut(contexts.join(both, ["entity", "term"]))
+    if pairs.isEmpty():
+        return pairs.select("entity", "term", "contexts", F.lit(1.0).alias("share"))
     total = found.count()
-    all_words = found.select("key", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    if n_terms <= broadcast_terms:  # else every word is counted, which combines before its shuffle
-        all_words = all_words.join(F.broadcast(terms), "term", "left_semi")
+    # Every word is counted: counts of a task combine before the shuffle, so it moves a row for each word and task.
+    all_words = found.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     seen = all_words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = F.lit(float(max(total, 2)))
     share = F.ln(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / F.ln(F.greatest(n / F.col("n_c"), F.lit(2.0)))
     scored = pairs.join(holders, "entity").join(seen, "term")
-    return cut(scored.select("entity", "term", F.col("n_ct").alias("contexts"), share.alias("share")).where(F.col("share") >= threshold))
+    return cut(scored.select("entity", "term", "contexts", share.alias("share")).where(F.col("share") >= threshold))
 
 
 def sanitize(docs: DataFrame, *, text_col: str = "text", words: int = 8, min_contexts: int = 3, threshold: float = 0.9) -> DataFrame:
@@ -161,10 +161,11 @@ def sanitize(docs: DataFrame, *, text_col: str = "text", words: int = 8, min_con
     marked_any = not marked.isEmpty()
     rows = rows.withColumn("spans", base_spans(text))
     if marked_any:
-        rows = rows.withColumn("_key", text_key(F.col(text_col))).join(marked.withColumnRenamed("key", "_key"), "_key", "left")
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+        key, terms = free(rows, "_key", "_terms")
+        rows = rows.withColumn(key, text_key(F.col(text_col))).join(marked.select(F.col("key").alias(key), F.col("_terms").alias(terms)), key, "left")
+        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
         apart = F.filter(find_spans(text, pattern, 4), lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-        rows = rows.withColumn("spans", F.when(F.col("_terms").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", apart)))).drop("_key", "_terms")
+        rows = rows.withColumn("spans", F.when(F.col(terms).isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", apart)))).drop(key, terms)
     return rows.withColumn("clean", F.when(F.size("spans") == 0, F.col(text_col)).otherwise(_cleaned(text)))
 
 
