@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cnvspark.functions import scalar as S
-from cnvspark.operators import compare, coverage, emissions, gcbias, hmm, intervals, runs, samples, stats
+from cnvspark.operators import compare, coverage, emissions, gcbias, hmm, intervals, peaks, runs, samples, stats
+from cnvspark.plans import pipelines, plotdata
 from cnvspark.sources import readers, writers
-from cnvspark.views import view, with_views
+from cnvspark.views import DERIVED, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -713,7 +714,7 @@ def _line_model(spark, d) -> DataFrame:
     return view(spark, d, "v_model").withColumn("lrr", F.col("lrr") + F.col("cn_in") * 0.25)
 
 
-@_query("mod3_rescale_lrr", f"{with_views('v_probe')}, v_model0 AS ({__import__('cnvspark.views', fromlist=['DERIVED']).DERIVED['v_model']}), v_model AS (SELECT * REPLACE (lrr + cn_in * 0.25 AS lrr) FROM v_model0), {_LINE} SELECT probe, round((lrr - shift) * slope + (sy - slope * sx) / sw, 5) AS lrr_rescaled FROM v_model, s, ln_")
+@_query("mod3_rescale_lrr", f"{with_views('v_probe')}, v_model0 AS ({DERIVED['v_model']}), v_model AS (SELECT * REPLACE (lrr + cn_in * 0.25 AS lrr) FROM v_model0), {_LINE} SELECT probe, round((lrr - shift) * slope + (sy - slope * sx) / sw, 5) AS lrr_rescaled FROM v_model, s, ln_")
 def mod3(spark, d):
     return emissions.rescale_lrr(_line_model(spark, d)).select("probe", _r("lrr_rescaled", 5).alias("lrr_rescaled"))
 
@@ -961,10 +962,6 @@ def snk2(spark, d):
     return writers.round_svs(runs.run_means(_run_rows(spark, d), SC).select(*SC, "run", _r("lrr_mean").alias("lrr_mean")), 2)
 
 
-from cnvspark.operators import peaks  # noqa: E402
-from cnvspark.plans import pipelines, plotdata  # noqa: E402
-
-
 @_query("pipe5_refine")
 def pipe5(spark, d):
     return pipelines.refine(view(spark, d, "v_probe").select("sample", "chrom", "pos", "probe", "lrr", "baf"), view(spark, d, "v_segment"), view(spark, d, "v_model").select("probe", "frac_gc"), min_probes=10, block=None)
