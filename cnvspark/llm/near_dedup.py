@@ -219,7 +219,7 @@ def _apart(bucketed: DataFrame, roots: DataFrame) -> DataFrame:
     rows = bucketed.join(roots.select(F.col("node").alias("rid"), F.col("root").alias("label")), "rid", "left").select("band", "rid", F.coalesce("label", "rid").alias("label"))
     each = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = each.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    return rows.join(mixed.select("band", F.col("top.label").alias("main"), F.col("n"), (F.col("n") - F.col("top.n")).alias("others")), "band")
+    return rows.join(mixed.select("band", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("others")), "band")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -253,8 +253,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Within a band, every row is compared with the one that shares most, which settles groups of copies in linear time. Where at most
     ``small`` rows of a band are then outside its largest class, these are compared with all rows of other classes, so each
     row has at most ``small`` more partners. In other bands they are compared with ``leaders`` hubs, the rows that share most
-    with others; where no class holds half of the band, its rows are besides split by every second band and compared there in the
-    same way. So no row is left out of any band, however large, and no group is expanded into all its pairs.
+    with others, and then with all rows of other classes that can be alike: those that share one of the runs that any text
+    alike must share. So every two rows of a band that are alike are in one class, however large the band.
     """
     sketches = kept(_sketched(docs, id_col, text_col, Sketcher(k, least, rows, bands)).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     texts = cut(sketches.groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")))
@@ -274,9 +274,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         large = mixed.where(F.col("others") > small)
         if not large.isEmpty():
             found.append(cut(_verified(_with_hubs(large, weight, leaders), words, k, similarity)))
-            scattered = large.where(F.col("others") * 2 > F.col("n"))
-            if not scattered.isEmpty():
-                found += _split(scattered, reps, reduce(DataFrame.unionByName, found), words, k, similarity, small, weight, leaders)
+            found += _rest(large, reduce(DataFrame.unionByName, found), words, k, similarity, small, weight)
         links = cut(reduce(DataFrame.unionByName, found))
     roots = components(links)
     named = texts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "copies", F.coalesce("root", "rep").alias("class"))
@@ -304,12 +302,66 @@ def _with_hubs(rows: DataFrame, weight: DataFrame, leaders: int) -> DataFrame:
     return pairs.select(F.least("hub", "rid").alias("a"), F.greatest("hub", "rid").alias("b")).distinct()
 
 
-def _split(scattered: DataFrame, reps: DataFrame, links: DataFrame, words: DataFrame, k: int, similarity: float, small: int, weight: DataFrame, leaders: int) -> list[DataFrame]:
-    """Links within large bands without a class that holds half of them, as those of a shared passage: rows that also share a
-    second band are compared, all of them where few are outside the main class, with the hubs elsewhere.
+def _prefixes(words: DataFrame, k: int, threshold: float, common: int) -> DataFrame:
+    """(run, rid, n, at): of each text the first of its ``n`` runs in one order of all runs, so many that two texts alike at
+    ``threshold`` share one of them. Runs of more than ``common`` texts are last, by their number, so what many texts share,
+    as a passage, is first in none that has enough of its own. Any order gives the same pairs alike; at most
+    ``_BROADCAST_IDS`` runs are known as common.
     """
-    second = scattered.select("band", "rid").join(reps.select("rid", F.explode("bands").alias("other")), "rid").where("band <> other")
-    rows = second.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "rid").distinct()
-    left = cut(_apart(rows, components(links)))
-    few = cut(_verified(_across(left.where(F.col("others") <= small)), words, k, similarity))
-    return [few, cut(_verified(_with_hubs(left.where(F.col("others") > small), weight, leaders), words, k, similarity))]
+
+    def runs_of(packed: bytes) -> np.ndarray:
+        return _labelled(shingles(np.frombuffer(packed, "<u2").astype(np.uint64), k))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                found = [runs_of(x) for x in batch.column(1).slice(at, 512).to_pylist()]
+                run, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.record_batch([pa.array(run.view(np.int64)), pa.array(n)], ["run", "n"])
+
+    often = words.select("rid", "words").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > common)
+    top = often.orderBy(F.desc("n"), "run").limit(_BROADCAST_IDS).orderBy("run").toArrow()
+    shared = words.sparkSession.sparkContext.broadcast((top.column(0).to_numpy(), top.column(1).to_numpy()))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, number = shared.value
+        for batch in batches:
+            for rid, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                run = runs_of(packed).view(np.int64)
+                n = len(run)
+                place = np.minimum(np.searchsorted(known, run), max(0, len(known) - 1))
+                often = np.where(known[place] == run, number[place], 0) if len(known) else np.zeros(n, np.int64)
+                taken = run[np.lexsort((run, often))][: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+                yield pa.record_batch([pa.array(taken), pa.array(np.full(len(taken), rid)), pa.array(np.full(len(taken), n)), pa.array(np.arange(len(taken)))], ["run", "rid", "n", "at"])
+
+    return words.select("rid", "words").mapInArrow(first, "run long, rid long, n long, at long")
+
+
+def _rest(large: DataFrame, links: DataFrame, words: DataFrame, k: int, similarity: float, small: int, weight: DataFrame) -> list[DataFrame]:
+    """Links between all rows of large bands that ``links`` leave in different classes.
+
+    Rows alike share a run of their prefixes. For each run the rows are compared with the one of most weight, and then, with
+    classes that know of it, with all rows of other classes, but for pairs whose runs after the last shared one are too few.
+    """
+    rows = cut(large.select("rid").distinct())
+    runs = _prefixes(words.join(rows, "rid", "left_semi"), k, similarity, small)
+    runs = cut(runs.join(weight, "rid"))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        named = runs.join(components(links).select(F.col("node").alias("rid"), F.col("root").alias("label")), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        several = named.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("weight", "rid", "label", "n")).alias("first")).where("x <> y")
+        return named.join(several.select("run", "first"), "run")
+
+    near = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    stars = labelled(links).where("label <> first.label").withColumn("m", F.col("first.n")).where(near)
+    stars = stars.select(F.least("rid", "first.rid").alias("a"), F.greatest("rid", "first.rid").alias("b")).distinct()
+    found = [cut(_verified(stars, words, k, similarity))]
+    left = cut(labelled(links.unionByName(found[0])).select("run", "rid", "n", "at", "label"))
+    if not left.isEmpty():
+        other = left.select("run", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("label").alias("other"))
+        pairs = left.withColumnRenamed("rid", "a").join(other, "run").where("a < b and label <> other").where(near)
+        both = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("at").alias("at"), F.max("to").alias("to"), F.first("n").alias("n"), F.first("m").alias("m"))
+        most = F.col("common") + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) - 1
+        pairs = both.where(most >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b")
+        found.append(cut(_verified(pairs, words, k, similarity)))
+    return found

@@ -80,6 +80,23 @@ def test_classes_against_brute_force(spark):
         assert sorted(kept) == sorted({r["class_id"] for r in got.values()})
 
 
+def test_pairs_that_share_only_a_large_band(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    passage = [word() for _ in range(100)]
+    texts = []
+    for _ in range(60):  # pairs alike, unlike all others, in bands of the passage that all of them share
+        x = passage + [word() for _ in range(60)]
+        texts += [x, [*x[:-1], word()]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sketcher = Sketcher(5, 1, 1, 2)
+    bands = [set(sketcher.bands_of(w).tolist()) for w in word_hashes([t for _, t in rows])]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), least=1, rows=1, bands=2).collect()}
+    pairs = [i for i in range(0, len(rows), 2) if bands[i] & bands[i + 1]]
+    assert len(pairs) > 50 and max(collections.Counter(b for x in bands for b in x).values()) > 40
+    assert all(got[i] == got[i + 1] == i for i in pairs) and len(set(got.values())) >= 60
+
+
 def test_odd_rows(spark, odd):
     rows = near_duplicates(odd).collect()
     assert len(rows) == odd.count()
