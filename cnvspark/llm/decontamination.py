@@ -16,10 +16,15 @@ from pyspark.sql import DataFrame
 
 from cnvspark.llm.words import word_hashes
 
-#: Kept (1) and ignored (0) positions: eight kept of up to fourteen, so that any run of eight equal words is a hit too.
-MASKS = ("11111111", "110100110101011", "1110010100110101", "1101100011010101")
+#: Kept (1) and ignored (0) positions. The first two hit every stretch of 8 words or more of which four fifths are equal: with
+#: at most a fifth of its words changed it has a run of four equal words, or (10, 11 and 15 words) three, a change and two.
+MASKS = ("1111", "111011", "110100110101011", "1110010100110101", "1101100011010101")
+#: Items of fewer words are found by their words in full.
+_WHOLE = 8
 
 SCHEMA = "doc_id long, items array<struct<item_id:long,start:long,end:long,matched:long>>, contaminated boolean"
+#: Hits that are looked at together.
+_HITS = 100_000
 _ITEM = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("matched", pa.int64())])
 
 
@@ -40,10 +45,14 @@ class Index:
     """The seeds of a block of benchmark items, sorted, with a bitmap before them."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], masks: tuple[str, ...], bits: int):
+        spread, masks = masks, _with_short(items, masks)
         self.items, self.masks, self.bits = items, masks, bits
+        self.tokens = np.concatenate([t for _, t in items])
+        self.sizes = np.array([len(t) for _, t in items])
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.tables = []
         for mask in masks:
-            found = [(seeds(t, mask), k) for k, (_, t) in enumerate(items)]
+            found = [(seeds(t, mask), k) for k, (_, t) in enumerate(items) if len(t) >= _WHOLE and mask in spread or mask == "1" * len(t)]
             keys = np.concatenate([s for s, _ in found] or [np.empty(0, np.uint64)])
             which = np.concatenate([np.full(len(s), k) for s, k in found] or [np.empty(0, np.int64)]).astype(np.int64)
             at = np.concatenate([np.arange(len(s)) for s, _ in found] or [np.empty(0, np.int64)])
@@ -52,30 +61,55 @@ class Index:
             bitmap[keys >> np.uint64(64 - bits)] = True
             self.tables.append((keys[order], which[order], at[order], bitmap))
 
-    def hits(self, tokens: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(position, item, position in the item) of all hits in a run of tokens."""
+    def hits(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions, items and positions in the items of all hits in a run of tokens, in parts."""
         for mask, (keys, which, at, bitmap) in zip(self.masks, self.tables, strict=True):
             found = seeds(tokens, mask)
             places = np.flatnonzero(bitmap[found >> np.uint64(64 - self.bits)])
             low, high = np.searchsorted(keys, found[places]), np.searchsorted(keys, found[places], "right")
-            for k in np.flatnonzero(high > low).tolist():
-                for i in range(int(low[k]), int(high[k])):
-                    yield int(places[k]), int(which[i]), int(at[i])
+            ends = np.cumsum(high - low)
+            for k in range(0, int(ends[-1]) if len(ends) else 0, _HITS):
+                n = np.arange(k, min(k + _HITS, int(ends[-1])))
+                of = np.searchsorted(ends, n, "right")
+                entry = high[of] - ends[of] + n
+                yield places[of], which[entry], at[entry]
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, similarity: float) -> tuple[int, int, int]:
-    """(start in the document, end, matches) of the best overlap on a diagonal: the stretch that maximises matches
-    minus a charge for each substitution that makes stretches below ``similarity`` lose.
+def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, similarity: float, least: float = 0) -> tuple[int, int, int]:
+    """(start in the document, end, matches) of the longest stretch on a diagonal that is equal in at least ``similarity`` of its
+    positions; of equally long ones that with most matches. Changed words at its ends are left out down to ``least`` words.
     """
     start = max(0, diagonal)
     end = min(len(doc), diagonal + len(item))
     same = doc[start:end] == item[start - diagonal : end - diagonal]
-    score = np.where(same, 1.0, -similarity / (1 - similarity))
-    total = np.concatenate([[0.0], np.cumsum(score)])
-    low = np.minimum.accumulate(total)
-    high = int((total - low).argmax())
-    begin = int(total[: high + 1].argmin())
-    return start + begin, start + high, int(same[begin:high].sum())
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - similarity, -similarity))])
+    # The first place where the running minimum is not above the total at an end begins the longest stretch to there.
+    begins = np.searchsorted(-np.minimum.accumulate(total), -(total + 1e-9))
+    length = np.arange(len(total)) - begins
+    matches = np.concatenate([[0], np.cumsum(same)])
+    longest = np.flatnonzero(length == length.max())
+    high = int(longest[(matches[longest] - matches[begins[longest]]).argmax()])
+    begin = int(begins[high])
+    matched = int(matches[high] - matches[begin])
+    while high - begin > least and not same[high - 1]:
+        high -= 1
+    while high - begin > least and not same[begin]:
+        begin += 1
+    return start + begin, start + high, matched
+
+
+def _alike(tokens: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, index: Index, k: np.ndarray, at: np.ndarray, min_tokens: int, similarity: float) -> np.ndarray:
+    """Which hits can lie in an overlap, by the equal words near them: an overlap has a part of ``min_tokens`` to twice as many
+    words that is alike itself. ``first`` and ``last`` bound the text of each hit in ``tokens``.
+    """
+    size = index.sizes[k]
+    here = index.starts[k] + at
+    equal = np.zeros(len(place), np.int64)
+    for o in range(2 - 2 * min_tokens, 2 * min_tokens - 1):
+        x, y = place + o, at + o
+        inside = (x >= first) & (x < last) & (y >= 0) & (y < size)
+        equal += inside & (tokens[np.where(inside, x, 0)] == index.tokens[np.where(inside, here + o, 0)])
+    return equal >= similarity * np.minimum(min_tokens, size) - 1e-9
 
 
 def find_overlaps(texts: list[np.ndarray], index: Index, min_tokens: int, min_share: float, similarity: float) -> list[list[dict]]:
@@ -85,18 +119,24 @@ def find_overlaps(texts: list[np.ndarray], index: Index, min_tokens: int, min_sh
     The texts are hashed as one run. A hit over an end of a text is of no account, as overlaps are checked text by text.
     """
     ends = np.cumsum([len(t) for t in texts])
+    tokens = np.concatenate(texts) if texts else np.empty(0, np.uint64)
     best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
     tried: set[tuple[int, int, int]] = set()
-    for place, k, at in index.hits(np.concatenate(texts) if texts else np.empty(0, np.uint64)):
-        doc = int(np.searchsorted(ends, place, "right"))
-        diagonal = place - int(ends[doc]) + len(texts[doc]) - at
-        if (doc, k, diagonal) in tried:
-            continue
-        tried.add((doc, k, diagonal))
-        item = index.items[k][1]
-        start, end, matched = overlap(texts[doc], item, diagonal, similarity)
-        if end - start >= max(min(min_tokens, len(item)), min_share * len(item)) and matched >= similarity * (end - start) and matched > best[doc].get(k, (0, 0, 0))[2]:
-            best[doc][k] = (start, end, matched)
+    for place, which, at in index.hits(tokens):
+        of = np.searchsorted(ends, place, "right")
+        first = ends[of] - np.array([len(t) for t in texts])[of]
+        good = _alike(tokens, first, ends[of], place, index, which, at, min_tokens, similarity)
+        for doc, k, diagonal in zip(of[good].tolist(), which[good].tolist(), (place - first - at)[good].tolist(), strict=True):
+            if (doc, k, diagonal) in tried:
+                continue
+            tried.add((doc, k, diagonal))
+            item = index.items[k][1]
+            least = max(min(min_tokens, len(item)), min_share * len(item)) if len(item) >= _WHOLE else len(item)
+            start, end, matched = overlap(texts[doc], item, diagonal, similarity, least)
+            if len(item) < _WHOLE and matched < len(item):
+                continue
+            if end - start >= least and matched >= similarity * (end - start) - 1e-9 and matched > best[doc].get(k, (0, 0, 0))[2]:
+                best[doc][k] = (start, end, matched)
     return [[{"item_id": index.items[k][0], "start": s, "end": e, "matched": m} for k, (s, e, m) in sorted(x.items(), key=lambda y: index.items[y[0]][0])] for x in best]
 
 
@@ -104,8 +144,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """One row for each document: its verified overlaps with benchmark items and whether it is contaminated.
 
     Words are compared in lower case and without marks at their edges. An overlap counts if it has ``min_tokens`` words or
-    more (or is the whole of a shorter item) and at least ``similarity`` of its words are equal; ``start`` and ``end`` count words.
-    Items below eight words have no seed and are found by their words in full. Null and empty texts have no overlaps; null ids stay null; repeated rows get equal results;
+    more (or is the whole of a shorter item) and at least ``similarity`` of its words are equal, wherever the others stand, at
+    its ends too; ``start`` and ``end`` count words. Items below eight words are found by their words in full. Null and empty texts have no overlaps; null ids stay null; repeated rows get equal results;
     an empty benchmark contaminates nothing; other columns are ignored. With ``keep`` the rows of ``docs`` that are not
     contaminated come back instead, with all their columns.
 
@@ -117,7 +157,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     id_name = id_col if id_col in columns else None
     current = None
     for block in _blocks(benchmark.select(benchmark[item_col].cast("long"), benchmark[item_text_col]), block_tokens):
-        shared = spark.sparkContext.broadcast(Index(block, _with_short(block, masks), 20))
+        shared = spark.sparkContext.broadcast(Index(block, masks, 20))
         if keep:
             docs = _keep_clean(docs, text_col, shared, min_tokens, min_share, similarity)
         else:
@@ -133,9 +173,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 
 def _with_short(block: list[tuple[int, np.ndarray]], masks: tuple[str, ...]) -> tuple[str, ...]:
-    """The masks, and for items shorter than the shortest one a solid mask of their length."""
-    shortest = min(map(len, masks))
-    return (*masks, *("1" * n for n in sorted({len(t) for _, t in block if 0 < len(t) < shortest})))
+    """The masks, and for items below eight words a solid mask of their length."""
+    return (*masks, *(m for n in sorted({len(t) for _, t in block if len(t) < _WHOLE}) if (m := "1" * n) not in masks))
 
 
 def _blocks(items: DataFrame, block_tokens: int) -> Iterator[list[tuple[int, np.ndarray]]]:

@@ -128,6 +128,23 @@ def test_decontamination_against_planted(spark):
     assert kept.columns == df.columns and kept.count() == df.count() - len(want)
 
 
+def test_decontamination_of_any_stretch_alike(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 9)))
+    changes = [(16, {3}), (16, {4}), (16, {11}), (16, {12}), (21, {12, 13}), (30, set(range(4, 30, 5))), (15, {3, 7, 11}), (12, {0}), (12, {10}), (11, {3, 7}), (10, {3, 6}), (10, {2, 6}), (9, {4}), (8, {7})]
+    items, docs = [], []
+    for k, (n, changed) in enumerate(changes):
+        words = [word() for _ in range(n)]
+        items.append((k, " ".join(words)))
+        docs.append((k, " ".join([word() for _ in range(20)] + [word() if i in changed else w for i, w in enumerate(words)] + [word() for _ in range(20)])))
+        docs.append((100 + k, " ".join([word() for _ in range(20)] + words[: min(9, n // 2 - 1)] + [word() for _ in range(20)])))  # too little of it
+    docs.append((200, items[5][1]))
+    got = {r["doc_id"]: r["items"] for r in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {d: [x["item_id"] for x in r] for d, r in got.items() if r and d < 200} == {k: [k] for k in range(len(changes))}
+    assert got[0][0]["start"] == 20 and got[0][0]["end"] == 36 and got[0][0]["matched"] == 15
+    assert [tuple(x) for x in got[200]] == [(5, 0, 30, 30)]
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(odd, bench).where("contaminated").count() == 0
