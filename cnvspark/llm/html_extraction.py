@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. Each task reads the pages it was given, makes a small tree of each and aligns it with
-the tree of its host so far by simple tree matching. An aligned node whose text is the same in both is a vote for template,
+Pages of one host share a template. Spark brings them together, in groups where a host has many; a task makes a small tree of
+each and aligns it with the one before it in its group by simple tree matching. An aligned node whose text is the same in both is a vote for template,
 a different text a vote for a slot. Spark sums up the votes by host and path over all tasks. The container that holds most of
 the varying text of a host is its content slot; inside it, nodes with constant text are template.
 """
@@ -173,45 +173,51 @@ def match_trees(a: Tree, b: Tree) -> tuple[int, list[tuple[Tree, Tree]]]:
 _VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("hidden", pa.bool_()), ("same", pa.int64()), ("differ", pa.int64()), ("chars", pa.int64())])
 
 
-def template_votes(pages: DataFrame) -> DataFrame:
+def template_votes(pages: DataFrame, group: int = 128) -> DataFrame:
     """(host, path, hidden, same, differ, chars) over all rows of (host, html).
 
-    A task aligns each page with the page of its host before it, so it holds one tree a host, and gives one row for each host
-    and path; pages that say nothing but what the one before said are no evidence.
+    Pages go to groups of one host, about ``group`` in each, and are aligned with the one before them in the order of their
+    hashes, so votes do not depend on where rows lie. A task holds one tree, and the votes of few groups at a time; pages
+    that say nothing but what the one before said are no evidence.
     """
+    name, text = (pages[c] for c in pages.columns)
+    rows = pages.select(name.alias("host"), F.coalesce(text, F.lit("")).alias("html"))
+    large = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
+    rows = rows.join(F.broadcast(large), "host", "left").withColumn("hash", F.xxhash64("html"))
+    rows = rows.withColumn("part", F.pmod(F.col("hash"), F.coalesce(F.ceil(F.col("n") / group), F.lit(1)).cast("long")))
+    rows = rows.select("host", "html", "part", "hash").repartition("host", "part").sortWithinPartitions("host", "part", "hash")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: dict[str, Tree] = {}
+        last, old = None, None
         votes: dict[tuple[str, str], list] = {}
 
-        def rows() -> pa.RecordBatch:
+        def table() -> pa.RecordBatch:
             keys, values = list(votes), list(votes.values())
             return pa.record_batch([[k[0] for k in keys], [k[1] for k in keys], *([v[i] for v in values] for i in range(4))], schema=_VOTES)
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, text, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 tree = Tree(parse(text or ""), "", False)
-                todo, texts = [tree], []
+                todo = [tree]
                 while todo:
                     t = todo.pop()
                     todo += t.kids
-                    texts.append(t.text)
                     if t.chars:
                         votes.setdefault((name, t.path), [t.hidden, 0, 0, 0])[3] += t.chars
-                if (old := before.get(name)) is not None:
+                if last == (name, part):
                     _, pairs = match_trees(old, tree)
                     voters = [(x, y) for x, y in pairs if x.chars or y.chars]
                     if any(x.text != y.text for x, y in voters):
                         for x, y in voters:
                             votes.setdefault((name, y.path), [y.hidden, 0, 0, 0])[1 if x.text == y.text else 2] += 1
-                before[name] = tree
-            if len(votes) > 100_000 or len(before) > 5_000:
-                yield rows()
-                votes, before = {}, {}
+                last, old = (name, part), tree
+                if len(votes) > 100_000:
+                    yield table()
+                    votes.clear()
         if votes:
-            yield rows()
+            yield table()
 
-    found = pages.mapInArrow(vote, "host string, path string, hidden boolean, same long, differ long, chars long")
+    found = rows.select("host", "html", "part").mapInArrow(vote, "host string, path string, hidden boolean, same long, differ long, chars long")
     return found.groupBy("host", "path").agg(F.max("hidden").alias("hidden"), F.sum("same").alias("same"), F.sum("differ").alias("differ"), F.sum("chars").alias("chars"))
 
 
@@ -302,8 +308,8 @@ def extract_pages(pages: DataFrame, *, url_col: str = "url", html_col: str = "ht
     A null page is empty and its text is empty; a null or odd address belongs to the host without a name; equal pages of a
     host have equal texts; an empty table gives no rows; a column named ``text_col`` is replaced, all others stay.
 
-    Pages are read twice where they lie and are not shuffled while there are at most ``broadcast_hosts`` hosts, whose
-    wrappers are then sent to all tasks; beyond that, pages are joined with the wrappers by host, and Spark splits large hosts.
+    Pages are shuffled once by host, and large hosts in groups, for the votes. They are read again where they lie while there are
+    at most ``broadcast_hosts`` hosts, whose wrappers are then sent to all tasks; beyond that, pages are joined with the wrappers by host, and Spark splits large hosts.
     """
     columns = [c for c in pages.columns if c != text_col]
     name, votes_col = free(pages, "_host", "_votes")

@@ -173,6 +173,14 @@ def test_wrapper_finds_the_slot_without_its_name(spark):
         assert got[50] == got[51] == [""] and got[52] == ["no wrapper <here"] and got[53] == ["plain text"] and got[54] == ["one\ntwo"] * 2
 
 
+def test_votes_do_not_depend_on_partitions(spark):
+    rows = [(k, "http://a.example/x", f"<body><article><h1>Title {k}</h1><p>text {k * 7} of some more words that a page says</p><div>Under a licence</div></article></body>") for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 20):
+        got = {r["page_id"]: r["main_text"] for r in extract_pages(df.repartition(n, "page_id")).collect()}
+        assert got == {k: f"Title {k}\ntext {k * 7} of some more words that a page says" for k in range(20)}
+
+
 def test_pages_empty_table(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
