@@ -224,8 +224,8 @@ def template_votes(pages: DataFrame, group: int = 128) -> DataFrame:
 def choose(votes: list[tuple[str, bool, int, int, int]], share: float = 0.6, least_votes: int = 5, constant: float = 0.9) -> tuple[str, frozenset[str]]:
     """The content slot of a host and the template paths inside it, from its (path, hidden, same, differ, chars).
 
-    A path whose text is constant in most aligned pairs is template. The slot is the deepest container that holds at
-    least ``share`` of the text that varies. A host without votes, as of one page, is judged by its text alone.
+    A path whose text is constant in most aligned pairs is template. The slot is the deepest container that holds all
+    text that varies. A host without votes, as of one page, is judged by its text alone.
     """
     template = frozenset(p for p, _, same, differ, _ in votes if same + differ >= least_votes and same >= constant * (same + differ))
     under: dict[str, int] = {}
@@ -234,19 +234,26 @@ def choose(votes: list[tuple[str, bool, int, int, int]], share: float = 0.6, lea
         if hidden or path in template:
             continue
         total += chars
-        parts = path.split("/")
-        for k in range(1, len(parts) + 1):
-            p = "/".join(parts[:k])
+        for p in _above(path):
             under[p] = under.get(p, 0) + chars
-    slots = [p for p, c in under.items() if c >= share * total and p.rsplit("/", 1)[-1].split(".")[0] in CONTAINER]
-    slot = max(slots, key=lambda p: (p.count("/"), under[p], p), default="")
-    inside = sum(chars for p, hidden, _, _, chars in votes if p.startswith(slot) and not hidden)
+    depth = lambda p: (p.count("/"), under[p], p)
+    slots = [p for p in under if p.rsplit("/", 1)[-1].split(".")[0].rstrip("!") in CONTAINER]
+    slot = max((p for p in slots if under[p] == total), key=depth, default="")
+    core = max((p for p in slots if under[p] >= share * total), key=depth, default=slot)
     dropped = frozenset(p for p in template if p.startswith(f"{slot}/"))
-    if sum(chars for p, _, _, _, chars in votes if p in dropped) > 0.5 * inside:
-        dropped = frozenset()  # a host of near-copies: what is constant there is its content
+    inside = {p: chars for p, hidden, _, _, chars in votes if f"{p}/".startswith(f"{core}/") and not hidden}
+    same_inside = dropped & inside.keys()
+    if sum(inside[p] for p in same_inside) > 0.5 * sum(inside.values()):
+        dropped -= same_inside  # a host of near-copies: what is constant in most of its text is content
     return slot, dropped
 
 
+def _above(path: str) -> list[str]:
+    """A path and all paths above it."""
+    parts = path.split("/")
+    return ["/".join(parts[:k]) for k in range(1, len(parts) + 1)]
+
+
 def main_text(text: str, slot: str, template: frozenset[str]) -> str:
     """The blocks of a page's content slot, one a line. A page without the slot is read from its ``article``, ``main`` or body."""
     root = parse(text)

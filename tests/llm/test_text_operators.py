@@ -181,6 +181,12 @@ def test_votes_do_not_depend_on_partitions(spark):
         assert got == {k: f"Title {k}\ntext {k * 7} of some more words that a page says" for k in range(20)}
 
 
+def test_slot_holds_all_that_varies(spark):
+    rows = [(k, "http://a.example/x", f"<body><div>one site of many</div><article><h1>Title {k}</h1><div class=lead>lead {k}</div><div class=body>{k} body text {'of words ' * 9}</div></article></body>") for k in range(12)]
+    got = {r["page_id"]: r["main_text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nlead {k}\n{k} body text {'of words ' * 9}".strip() for k in range(12)}
+
+
 def test_pages_empty_table(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
