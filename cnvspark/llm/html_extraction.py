@@ -23,7 +23,7 @@ from cnvspark.llm.common import cut, free
 # HTML's elements by how they hold text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video".split())
-HIDDEN = RAW | frozenset("head title nav header footer aside form menu button select option textarea input label dialog".split())
+HIDDEN = RAW | frozenset("head title nav header footer aside menu button select option textarea input label dialog".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CONTAINER = frozenset("article main section div td body html center blockquote".split())
 ENDS_P = BLOCK - {"body", "html", "caption", "tr", "tbody", "thead", "tfoot", "legend"}
@@ -37,17 +37,20 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An element: its label, whether it is no article text by its tag or names, its children and strings in order."""
+    """An element: its label, whether it is no article text by its tag, or (``named``, ``!`` in its label) by its names alone, its
+    children and strings in order. Of a container only whole names count, of others their parts too.
+    """
 
-    __slots__ = ("tag", "label", "hidden", "items")
+    __slots__ = ("tag", "label", "hidden", "named", "items")
 
     def __init__(self, tag: str, attributes: str):
         self.tag, self.items = tag, []
         names = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(attributes)] if "=" in attributes else []
-        words = {w for _, value in names for w in _WORD.findall(value.lower())}
-        self.hidden = tag in HIDDEN or bool(words & BOILERPLATE) or bool(attributes) and bool(_HIDES.search(attributes))
+        words = {w for _, value in names for w in (value.lower().split() if tag in CONTAINER else _WORD.findall(value.lower()))}
+        self.hidden = tag in HIDDEN or bool(attributes) and bool(_HIDES.search(attributes))
+        self.named = not self.hidden and (tag == "form" or bool(words & BOILERPLATE))
         first = next((value.split()[0].lower() for k, value in names if k in ("class", "id") and value.split()), "")
-        self.label = tag + ("." + re.sub(r"\d+", "#", first) if first else "")
+        self.label = tag + ("." + re.sub(r"[\d!/]+", "#", first) if first else "") + ("!" if self.named else "")
 
 
 def _closes(new: str, open_tag: str) -> bool:
@@ -122,7 +125,7 @@ class Tree:
             if isinstance(x, str):
                 if not x.isspace():
                     strings.append(x.strip())
-            elif x.tag in BLOCK or x.tag in RAW or x.hidden or x.tag == "td":
+            elif x.tag in BLOCK or x.tag in RAW or x.hidden or x.named or x.tag == "td":
                 kid = Tree(x, self.path, self.hidden)
                 if self.kids and self.kids[-1].label == kid.label:
                     self.kids[-1]._join(kid)
@@ -227,7 +230,9 @@ def choose(votes: list[tuple[str, bool, int, int, int]], share: float = 0.6, lea
     A path whose text is constant in most aligned pairs is template. The slot is the deepest container that holds all
     text that varies. A host without votes, as of one page, is judged by its text alone.
     """
-    template = frozenset(p for p, _, same, differ, _ in votes if same + differ >= least_votes and same >= constant * (same + differ))
+    template = constant_paths(votes, least_votes, constant)
+    shown = unhidden(votes, template)
+    votes = [(p, hidden or _named(p, shown), same, differ, chars) for p, hidden, same, differ, chars in votes]
     under: dict[str, int] = {}
     total = 0
     for path, hidden, _, _, chars in votes:
@@ -248,14 +253,38 @@ def choose(votes: list[tuple[str, bool, int, int, int]], share: float = 0.6, lea
     return slot, dropped
 
 
+def constant_paths(votes: list[tuple[str, bool, int, int, int]], least_votes: int = 5, constant: float = 0.9) -> frozenset[str]:
+    """The paths whose text is the same in most aligned pairs."""
+    return frozenset(p for p, _, same, differ, _ in votes if same + differ >= least_votes and same >= constant * (same + differ))
+
+
+def unhidden(votes: list[tuple[str, bool, int, int, int]], template: frozenset[str], most: float = 0.5) -> frozenset[str]:
+    """The paths named as no article text that hold at least ``most`` of the text that varies, so their names do not count."""
+    under: dict[str, int] = {}
+    total = 0
+    for path, hidden, _, _, chars in votes:
+        if not hidden and path not in template:
+            total += chars
+            for p in _above(path):
+                if p.endswith("!"):
+                    under[p] = under.get(p, 0) + chars
+    return frozenset(p for p, chars in under.items() if chars >= most * total)
+
+
+def _named(path: str, shown: frozenset[str]) -> bool:
+    """Whether a path is below one that its name hides."""
+    return "!" in path and any(p.endswith("!") and p not in shown for p in _above(path))
+
+
 def _above(path: str) -> list[str]:
     """A path and all paths above it."""
     parts = path.split("/")
     return ["/".join(parts[:k]) for k in range(1, len(parts) + 1)]
 
 
-def main_text(text: str, slot: str, template: frozenset[str]) -> str:
-    """The blocks of a page's content slot, one a line. A page without the slot is read from its ``article``, ``main`` or body."""
+def main_text(text: str, slot: str, template: frozenset[str], shown: frozenset[str] = frozenset()) -> str:
+    """The blocks of a page's content slot, one a line. A page without the slot is read from its ``article``, ``main`` or body. Names hide nothing at the paths ``shown``.
+    """
     root = parse(text)
     found: list[tuple[Node, str]] = []
     named: dict[str, list[tuple[Node, str]]] = {"article": [], "main": [], "body": [], "#": [(root, "#")]}
@@ -269,7 +298,8 @@ def main_text(text: str, slot: str, template: frozenset[str]) -> str:
             named[node.tag].append((node, path))
         for x in reversed(node.items):
             if not isinstance(x, str):
-                todo.append((x, f"{path}/{x.label}", hidden or x.hidden))
+                below = f"{path}/{x.label}"
+                todo.append((x, below, hidden or x.hidden or x.named and below not in shown))
     if not found:
         found = next(x for x in (named["article"], named["main"], named["body"], named["#"]) if x)
         template = frozenset()
@@ -292,7 +322,7 @@ def main_text(text: str, slot: str, template: frozenset[str]) -> str:
         elif node.tag in ("br", "td", "th", "wbr"):
             part.append("" if node.tag == "wbr" else " ")
             work += [(x, path if isinstance(x, str) else f"{path}/{x.label}") for x in reversed(node.items)]
-        elif path in template or node.hidden and path != slot:
+        elif path in template or (node.hidden or node.named and path not in shown) and path != slot:
             end()
         else:
             block = node.tag in BLOCK
@@ -305,8 +335,8 @@ def main_text(text: str, slot: str, template: frozenset[str]) -> str:
 
 
 @lru_cache(maxsize=2_000)
-def _chosen(votes: tuple) -> tuple[str, frozenset[str]]:
-    return choose(list(votes))
+def _chosen(votes: tuple) -> tuple[str, frozenset[str], frozenset[str]]:
+    return *choose(list(votes)), unhidden(list(votes), constant_paths(list(votes)))
 
 
 def extract_pages(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", text_col: str = "main_text", broadcast_hosts: int = 50_000) -> DataFrame:

@@ -187,6 +187,13 @@ def test_slot_holds_all_that_varies(spark):
     assert got == {k: f"Title {k}\nlead {k}\n{k} body text {'of words ' * 9}".strip() for k in range(12)}
 
 
+@pytest.mark.parametrize("start", ["<body class='has-sidebar'><div>", "<body><div class='content with-sidebar'>", "<body><article class='post header-large'>", "<body><form>", "<body><div class='widget'>"])
+def test_names_do_not_hide_the_article(spark, start):
+    rows = [(k, "http://a.example/x", f"{start}<h1>Title {k}</h1><p>text {k} {'of words ' * 9}</p><p class=share>share {k}</p></body>") for k in range(12)]
+    got = {r["page_id"]: r["main_text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\ntext {k} {'of words ' * 9}".strip() for k in range(12)}
+
+
 def test_pages_empty_table(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
