@@ -13,7 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from cnvspark.llm.common import kept
 from cnvspark.llm.words import word_hashes
 
 #: Kept (1) and ignored (0) positions. The first two hit every stretch of 8 words or more of which four fifths are equal: with
@@ -150,26 +152,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     contaminated come back instead, with all their columns.
 
     The benchmark goes to the tasks in blocks of at most ``block_tokens`` words, one pass over the documents for each
-    block, so what a task holds is bounded; documents are never shuffled. The stream of benchmark rows passes the driver
+    block, so what a task holds is bounded; documents are never shuffled, but written once with a key where there are several blocks. The stream of benchmark rows passes the driver
     a block at a time.
     """
     spark, columns = docs.sparkSession, docs.columns
     id_name = id_col if id_col in columns else None
-    current = None
+    current = row = first = None
     for block in _blocks(benchmark.select(benchmark[item_col].cast("long"), benchmark[item_text_col]), block_tokens):
         shared = spark.sparkContext.broadcast(Index(block, masks, 20))
         if keep:
             docs = _keep_clean(docs, text_col, shared, min_tokens, min_share, similarity)
         else:
-            found = _overlaps(docs, id_name, text_col, shared, min_tokens, min_share, similarity)
-            current = found if current is None else _merge(current, found)
+            if first is not None and row is None:  # a second block: rows get a key that is written once, to merge by
+                row = kept(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
+                current = _overlaps(row, "row", "text", first, min_tokens, min_share, similarity)
+            if row is None:
+                first, current = shared, _overlaps(docs, id_name, text_col, shared, min_tokens, min_share, similarity)
+            else:
+                current = current.unionByName(_overlaps(row, "row", "text", shared, min_tokens, min_share, similarity))
     if keep:
         return docs
     if current is None:
-        from pyspark.sql import functions as F
-
         return docs.select(docs[id_col].cast("long").alias("doc_id"), F.array().cast("array<struct<item_id:long,start:long,end:long,matched:long>>").alias("items"), F.lit(False).alias("contaminated"))
-    return current
+    return current if row is None else _merge(current, row)
 
 
 def _with_short(block: list[tuple[int, np.ndarray]], masks: tuple[str, ...]) -> tuple[str, ...]:
@@ -205,12 +210,12 @@ def _overlaps(docs: DataFrame, id_col: str, text_col: str, shared, min_tokens: i
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(search, SCHEMA)
 
 
-def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The overlaps of two blocks of the benchmark, by document."""
-    from pyspark.sql import functions as F
-
-    both = a.unionByName(b).groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return both.withColumn("contaminated", F.size("items") > 0)
+def _merge(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """The overlaps of all blocks of the benchmark, by the key of each row (``found`` has it as its id)."""
+    items = found.where("contaminated").groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    both = rows.select("doc_id", "row").join(items.withColumnRenamed("doc_id", "row"), "row", "left")
+    none = F.array().cast("array<struct<item_id:long,start:long,end:long,matched:long>>")
+    return both.select("doc_id", F.coalesce("items", none).alias("items"), F.col("items").isNotNull().alias("contaminated"))
 
 
 def _keep_clean(docs: DataFrame, text_col: str, shared, min_tokens: int, min_share: float, similarity: float) -> DataFrame:

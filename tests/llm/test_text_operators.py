@@ -145,6 +145,16 @@ def test_decontamination_of_any_stretch_alike(spark):
     assert [tuple(x) for x in got[200]] == [(5, 0, 30, 30)]
 
 
+def test_decontamination_keeps_every_row_over_blocks(spark):
+    items = [" ".join(f"w{k}x{i}" for i in range(20)) for k in range(3)]
+    docs = [(1, items[0]), (1, "clean"), (1, "clean"), (None, items[1]), (None, None), (None, items[2]), (2, f"{items[0]} {items[2]}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    of = lambda rows: sorted((str(r["doc_id"]), [x["item_id"] for x in r["items"]], r["contaminated"]) for r in rows)
+    want = of(decontaminate(df, bench).collect())
+    assert len(want) == len(docs) and of(decontaminate(df, bench, block_tokens=20).collect()) == want
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(odd, bench).where("contaminated").count() == 0
