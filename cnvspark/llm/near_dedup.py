@@ -9,7 +9,6 @@ alignment of their run sequences decides: with L aligned equal runs of n and m,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,8 @@ from cnvspark.llm.words import word_hashes
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: At most so many ids (8 bytes each) are broadcast.
 _BROADCAST_IDS = 2_000_000
+#: Pairs that are verified together.
+_SLICE = 64
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -173,25 +174,36 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, sketcher: Sketcher) -
 
 
 def _verified(pairs: DataFrame, words: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) that are alike, by their word sequences."""
+    """Those of the pairs (a, b) that are alike, by their word sequences.
+
+    Pairs are looked at in small slices, and the runs of a text are kept while its pairs follow one another.
+    """
+
+    def runs_of(packed: pa.BinaryScalar) -> np.ndarray:
+        return shingles(np.frombuffer(packed.as_buffer(), "<u2").astype(np.uint64), k)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, runs = None, None
         for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            runs = [(shingles(np.frombuffer(x, "<u2").astype(np.uint64), k), shingles(np.frombuffer(y, "<u2").astype(np.uint64), k)) for x, y in zip(a, b, strict=True)]
-            good = [ordered_similarity(x, y, threshold) >= threshold - 1e-9 for x, y in runs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            ids = batch.column(0).to_pylist()
+            for at in range(0, batch.num_rows, _SLICE):
+                part, good = batch.slice(at, _SLICE), []
+                for a, x, y in zip(ids[at : at + _SLICE], part.column(2), part.column(3), strict=True):
+                    if a != last:
+                        last, runs = a, runs_of(x)
+                    good.append(ordered_similarity(runs, runs_of(y), threshold) >= threshold - 1e-9)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     pairs = cut(pairs)
     ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     if ids.count() <= _BROADCAST_IDS:  # then only words of rows in question are shuffled
         words = words.join(F.broadcast(ids), "rid", "left_semi")
-    both = pairs.join(words.select(F.col("rid").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("rid").alias("b"), F.col("words").alias("wb")), "b")
+    both = pairs.join(words.select(F.col("rid").alias("b"), F.col("words").alias("wb")), "b").join(words.select(F.col("rid").alias("a"), F.col("words").alias("wa")), "a")
     return both.select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of an undirected graph of (a, b), its root being the least node it is connected to.
+    """(node, root) of every node of an undirected graph of (a, b) but the roots, its root being the least node it is connected to.
 
     Alternates large and small stars until nothing changes; each turn is two aggregations and two joins, and ends its lineage.
     """
@@ -212,14 +224,11 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _apart(bucketed: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (band, rid) of bands that hold several labels, which are equal for rows known to be connected, with the band's most
-    frequent label ``main`` and the number ``others`` of rows with another one.
-    """
+def _mixed(bucketed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(rid) of the rows of bands that hold several labels, which are equal for rows known to be connected."""
     rows = bucketed.join(roots.select(F.col("node").alias("rid"), F.col("root").alias("label")), "rid", "left").select("band", "rid", F.coalesce("label", "rid").alias("label"))
-    each = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = each.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    return rows.join(mixed.select("band", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("others")), "band")
+    several = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+    return rows.join(several, "band", "left_semi").select("rid").distinct()
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -242,22 +251,20 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     return rows.drop(row_id, row_key)
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, least: int = 3, rows: int = 2, bands: int = 32, small: int = 32, leaders: int = 8) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, least: int = 3, rows: int = 2, bands: int = 32) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``key`` (of its text), ``class_id`` (the least id of its class),
     ``copies`` (rows with the same text) and ``kept`` (one row of each class: that of least id).
 
     Equal texts are one class from the start, whatever their number, and only one row of each text goes on. A null text
-    is empty, and empty texts are one class, as are texts of the same words; null ids are last in a class and ``class_id`` is
-    null if all are; repeated rows are copies; an empty table gives no rows; other columns are ignored.
-
-    Within a band, every row is compared with the one that shares most, which settles groups of copies in linear time. Where at most
-    ``small`` rows of a band are then outside its largest class, these are compared with all rows of other classes, so each
-    row has at most ``small`` more partners. In other bands they are compared with ``leaders`` hubs, the rows that share most
-    with others, and then with all rows of other classes that can be alike: those that share one of the runs that any text
-    alike must share. So every two rows of a band that are alike are in one class, however large the band.
+    is empty. Texts of the same words are one class, and a text without words is alike only to equal ones; null ids are last
+    in a class and ``class_id`` is null if all are; repeated rows are copies; an empty table gives no rows; other columns are ignored.
+
+    Within a band, every row is compared with the one that shares most, which settles groups of copies in linear time. Rows
+    of bands that still hold several classes are then compared with all rows of other classes that can be alike: see
+    :func:`_across`. So every two rows of a band that are alike are in one class, however large the band.
     """
     sketches = kept(_sketched(docs, id_col, text_col, Sketcher(k, least, rows, bands)).withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    texts = cut(sketches.groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    texts = cut(sketches.groupBy("key").agg(F.min("rid").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("copies")))
     reps = sketches.join(texts.select(F.col("rep").alias("rid")), "rid", "left_semi")
     banded = reps.select("rid", F.explode("bands").alias("band"))
     words = sketches.select("rid", "words")
@@ -266,57 +273,37 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # The first of a band is the row that shares most with others. It is first in most bands of a group, so few pairs differ.
     weight = cut(bucketed.groupBy("rid").agg(F.sum("n").alias("weight")))
     first = bucketed.join(weight, "rid").groupBy("band").agg(F.max(F.struct("weight", "rid"))["rid"].alias("first"))
-    stars = bucketed.join(first, "band").where("rid <> first").select(F.least("first", "rid").alias("a"), F.greatest("first", "rid").alias("b")).distinct()
+    stars = bucketed.join(first, "band").where("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b")).distinct()
     links = cut(_verified(stars, words, k, similarity))
-    mixed = cut(_apart(bucketed.select("band", "rid"), components(links)))
-    if not mixed.isEmpty():
-        found = [links, cut(_verified(_across(mixed.where(F.col("others") <= small)), words, k, similarity))]
-        large = mixed.where(F.col("others") > small)
-        if not large.isEmpty():
-            found.append(cut(_verified(_with_hubs(large, weight, leaders), words, k, similarity)))
-            found += _rest(large, reduce(DataFrame.unionByName, found), words, k, similarity, small, weight)
-        links = cut(reduce(DataFrame.unionByName, found))
     roots = components(links)
-    named = texts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "copies", F.coalesce("root", "rep").alias("class"))
+    mixed = cut(_mixed(bucketed.select("band", "rid"), roots))
+    if not mixed.isEmpty():
+        found = _across(mixed, weight, roots, words, k, similarity)
+        if not found.isEmpty():
+            roots = components(links.unionByName(found))
+    # The first row of a class, by its texts: rows meet their text alone, so no task holds the rows of a class.
+    members = roots.select(F.col("node").alias("rep"), "root").unionByName(roots.select(F.col("root").alias("rep"), "root").distinct())
+    named = texts.select("key", "copies", "first", "rep").join(members, "rep", "left")
+    least_of = cut(named.where("root is not null").groupBy("root").agg(F.min("first").alias("least")))
+    named = named.join(least_of, "root", "left").select("key", "copies", F.coalesce("least", "first").alias("least"))
     of_rows = sketches.select("rid", "doc_id", "key").join(named, "key")
-    first = of_rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
-    return of_rows.join(first, "class").select("doc_id", "key", F.col("first.doc_id").alias("class_id"), "copies", (F.col("rid") == F.col("first.rid")).alias("kept"))
+    return of_rows.select("doc_id", "key", F.col("least.doc_id").alias("class_id"), "copies", (F.col("rid") == F.col("least.rid")).alias("kept"))
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of rows with different labels in one band. One of them is outside the main label, so a band with few such rows
-    gives few pairs a row.
-    """
-    outside = rows.where("label <> main").select("band", F.col("rid").alias("x"), F.col("label").alias("other"))
-    pairs = outside.join(rows, "band").where("label <> other")
-    return pairs.select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct()
-
-
-def _with_hubs(rows: DataFrame, weight: DataFrame, leaders: int) -> DataFrame:
-    """Pairs of the rows outside the main label of a band with its hubs: in each of ``leaders`` classes of a hash the row that
-    shares most with others, as the least edited of a group of copies does.
-    """
-    weighed = rows.select("band", "rid").join(weight, "rid")
-    hubs = weighed.groupBy("band", F.pmod(F.xxhash64("rid"), F.lit(leaders)).alias("part")).agg(F.max(F.struct("weight", "rid"))["rid"].alias("hub")).select("band", "hub")
-    pairs = rows.where("label <> main").select("band", "rid").join(hubs, "band").where("rid <> hub")
-    return pairs.select(F.least("hub", "rid").alias("a"), F.greatest("hub", "rid").alias("b")).distinct()
-
-
-def _prefixes(words: DataFrame, k: int, threshold: float, common: int) -> DataFrame:
+def _prefixes(words: DataFrame, k: int, threshold: float, common: int = 32) -> DataFrame:
     """(run, rid, n, at): of each text the first of its ``n`` runs in one order of all runs, so many that two texts alike at
     ``threshold`` share one of them. Runs of more than ``common`` texts are last, by their number, so what many texts share,
     as a passage, is first in none that has enough of its own. Any order gives the same pairs alike; at most
     ``_BROADCAST_IDS`` runs are known as common.
     """
 
-    def runs_of(packed: bytes) -> np.ndarray:
-        return _labelled(shingles(np.frombuffer(packed, "<u2").astype(np.uint64), k))
+    def runs_of(packed: pa.BinaryScalar) -> np.ndarray:
+        return _labelled(shingles(np.frombuffer(packed.as_buffer(), "<u2").astype(np.uint64), k))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                found = [runs_of(x) for x in batch.column(1).slice(at, 512).to_pylist()]
-                run, n = np.unique(np.concatenate(found), return_counts=True)
+            for at in range(0, batch.num_rows, 256):
+                run, n = np.unique(np.concatenate([runs_of(x) for x in batch.column(1).slice(at, 256)]), return_counts=True)
                 yield pa.record_batch([pa.array(run.view(np.int64)), pa.array(n)], ["run", "n"])
 
     often = words.select("rid", "words").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > common)
@@ -326,7 +313,7 @@ def _prefixes(words: DataFrame, k: int, threshold: float, common: int) -> DataFr
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = shared.value
         for batch in batches:
-            for rid, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for rid, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 run = runs_of(packed).view(np.int64)
                 n = len(run)
                 place = np.minimum(np.searchsorted(known, run), max(0, len(known) - 1))
@@ -337,31 +324,31 @@ def _prefixes(words: DataFrame, k: int, threshold: float, common: int) -> DataFr
     return words.select("rid", "words").mapInArrow(first, "run long, rid long, n long, at long")
 
 
-def _rest(large: DataFrame, links: DataFrame, words: DataFrame, k: int, similarity: float, small: int, weight: DataFrame) -> list[DataFrame]:
-    """Links between all rows of large bands that ``links`` leave in different classes.
+def _across(mixed: DataFrame, weight: DataFrame, roots: DataFrame, words: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links between all rows of ``mixed`` that ``roots`` leaves in different classes.
 
     Rows alike share a run of their prefixes. For each run the rows are compared with the one of most weight, and then, with
     classes that know of it, with all rows of other classes, but for pairs whose runs after the last shared one are too few.
     """
-    rows = cut(large.select("rid").distinct())
-    runs = _prefixes(words.join(rows, "rid", "left_semi"), k, similarity, small)
+    runs = _prefixes(words.join(mixed, "rid", "left_semi"), k, similarity)
     runs = cut(runs.join(weight, "rid"))
 
-    def labelled(links: DataFrame) -> DataFrame:
-        named = runs.join(components(links).select(F.col("node").alias("rid"), F.col("root").alias("label")), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    def labelled(roots: DataFrame) -> DataFrame:
+        named = runs.join(roots.select(F.col("node").alias("rid"), F.col("root").alias("label")), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         several = named.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("weight", "rid", "label", "n")).alias("first")).where("x <> y")
         return named.join(several.select("run", "first"), "run")
 
     near = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
-    stars = labelled(links).where("label <> first.label").withColumn("m", F.col("first.n")).where(near)
-    stars = stars.select(F.least("rid", "first.rid").alias("a"), F.greatest("rid", "first.rid").alias("b")).distinct()
-    found = [cut(_verified(stars, words, k, similarity))]
-    left = cut(labelled(links.unionByName(found[0])).select("run", "rid", "n", "at", "label"))
-    if not left.isEmpty():
-        other = left.select("run", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("label").alias("other"))
-        pairs = left.withColumnRenamed("rid", "a").join(other, "run").where("a < b and label <> other").where(near)
-        both = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("at").alias("at"), F.max("to").alias("to"), F.first("n").alias("n"), F.first("m").alias("m"))
-        most = F.col("common") + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) - 1
-        pairs = both.where(most >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b")
-        found.append(cut(_verified(pairs, words, k, similarity)))
-    return found
+    stars = labelled(roots).where("label <> first.label").withColumn("m", F.col("first.n")).where(near)
+    stars = stars.select(F.col("first.rid").alias("a"), F.col("rid").alias("b")).distinct()
+    found = cut(_verified(stars, words, k, similarity))
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+    left = cut(labelled(components(links)).select("run", "rid", "n", "at", "label"))
+    if left.isEmpty():
+        return found
+    # The shorter text of a pair shares a run that comes even earlier in it.
+    other = left.select("run", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("label").alias("other")).where(F.col("to") <= F.col("m") - F.ceil(2 * similarity / (1 + similarity) * F.col("m") - 1e-9))
+    longer = (F.col("n") > F.col("m")) | (F.col("n") == F.col("m")) & (F.col("rid") > F.col("b"))
+    most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to"))
+    pairs = left.join(other, "run").where(longer & F.expr("label <> other") & near & (most >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9))
+    return found.unionByName(cut(_verified(pairs.select(F.col("rid").alias("a"), "b").distinct(), words, k, similarity)))
