@@ -1,9 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word enters as what is known of it as a word and of its characters: how much more often it, its beginning and its
-runs of three and four letters occur in toxic texts. The network reads windows of words in both directions, attention weighs the
-positions, and a text's score is that of its most toxic window; windows overlap by half and cover the whole text. A word
-that is repeated at once is read once.
+A word enters as a vector of the word and one of its runs of characters, both learnt with the network. The network reads
+windows of words in both directions, attention weighs the positions, and a text's score is that of its most toxic window;
+windows overlap by half and cover the whole text. A word that is repeated at once is read once.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from cnvspark.llm.common import single_threaded
 from cnvspark.llm.labelled import training_rows
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
-FEATURES = 8
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def plain(word: str) -> str:
@@ -31,12 +30,6 @@ def plain(word: str) -> str:
     return word.lower().strip(_MARKS)
 
 
-def grams(word: str, n: int) -> list[str]:
-    """The runs of ``n`` characters of a word with its edges marked."""
-    w = f"^{word}$"
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
-
-
 def _log_odds(pos: Counter, neg: Counter, n_pos: int, n_neg: int, least: int) -> dict[str, float]:
     """How much likelier each item is in one class, less two standard errors, so that rare items tell nothing."""
     out = {}
@@ -50,38 +43,96 @@ def _log_odds(pos: Counter, neg: Counter, n_pos: int, n_neg: int, least: int) ->
 
 
 class WordInputs:
-    """The inputs of a word, from counts in the training texts."""
+    """Vectors of words: a learnt one of the word itself (of those in ``least`` training texts or more; others share one), the
+    scaled sum of learnt ones of its runs of three and four characters and its beginning, by a hash, and two marks of its form.
+
+    Vectors start along one direction, by how much more often the word or run occurs in toxic texts, with a little noise.
+    """
 
-    def __init__(self, texts: list[str], labels: list[int], least: int = 3):
-        words = (Counter(), Counter())
-        sizes = [0, 0]
+    def __init__(self, texts: list[str], labels: list[int], least: int = 3, size: int = 8, buckets: int = 16_384, seed: int = 5):
+        counted = (Counter(), Counter())
         for text, y in zip(texts, labels, strict=True):
-            words[y].update({plain(w) for w in text.split()})
-            sizes[y] += 1
-        self.words = _log_odds(words[1], words[0], sizes[1], sizes[0], least)
-        self.runs: list[dict[str, float]] = []
-        for n in (3, 4):
-            pos, neg = Counter(), Counter()
-            for counted, into in ((words[1], pos), (words[0], neg)):
-                for w, c in counted.items():
-                    for g in set(grams(w, n)):
-                        into[g] += c
-            self.runs.append(_log_odds(pos, neg, sizes[1], sizes[0], least))
-        pos, neg = Counter(), Counter()
-        for counted, into in ((words[1], pos), (words[0], neg)):
-            for w, c in counted.items():
-                if len(w) > 3:
-                    into[w[:4]] += c
-        self.begins = _log_odds(pos, neg, sizes[1], sizes[0], least)
-
-    def of(self, word: str) -> tuple[float, ...]:
-        w = plain(word)
-        edged, (three, four) = f"^{w}$", self.runs
-        n, m = max(len(edged) - 2, 1), max(len(edged) - 3, 1)
-        a = [three[g] for i in range(n) if (g := edged[i : i + 3]) in three]
-        b = [four[g] for i in range(m) if (g := edged[i : i + 4]) in four]
-        top = lambda x, size: max(x) if len(x) == size else max([0.0, *x])  # noqa: E731  runs that tell nothing count 0
-        return (self.words.get(w, 0.0), self.begins.get(w[:4], 0.0), top(a, n), top(b, m), sum(a) / n, sum(b) / m, float(word.isupper()), float(not w.isalpha()))
+            counted[y].update({plain(w) for w in text.split()})
+        n_pos, n_neg = sum(labels), len(labels) - sum(labels)
+        known = [w for w in sorted(counted[0].keys() | counted[1].keys()) if counted[0][w] + counted[1][w] >= least]
+        self.rows = {w: k for k, w in enumerate(known, 1)}
+        self.size, self.buckets, self.features = size, buckets, 2 * size + 2
+        odds = _log_odds(counted[1], counted[0], n_pos, n_neg, least)
+        run_odds = _log_odds(*(self._run_counts(counted[y]) for y in (1, 0)), n_pos, n_neg, least)
+        rng = np.random.default_rng(seed)
+        direction = rng.normal(0, 1, (2, size))
+        direction /= np.linalg.norm(direction, axis=1, keepdims=True)
+        first = np.array([0.0, *(odds.get(w, 0.0) for w in known)])
+        second = np.zeros(buckets)
+        second[[*run_odds]] = [*run_odds.values()]
+        self.p = {"E": first[:, None] * direction[0] + rng.normal(0, 0.02, (len(first), size)), "C": second[:, None] * direction[1] + rng.normal(0, 0.02, (buckets, size))}
+        self.evidence = (odds, second)
+
+    def evidence_of(self, words: list[str]) -> np.ndarray:
+        """How much words as written speak for a toxic text, by counts alone."""
+        odds, run_odds = self.evidence
+        _, runs, begins, _ = self.keys(words)
+        return np.maximum(0.0, np.array([odds.get(plain(w), 0.0) for w in words]) + np.maximum.reduceat(run_odds[runs], begins))
+
+    def _run_counts(self, counted: Counter) -> Counter:
+        """The texts of each run's words, by the run's place."""
+        if not counted:
+            return Counter()
+        runs, begins = self._runs([*counted])
+        word = np.repeat(np.arange(len(counted)), np.diff(np.append(begins, len(runs))))
+        once = np.unique(word * self.buckets + runs)
+        sums = np.bincount(once % self.buckets, np.array([*counted.values()])[once // self.buckets], self.buckets)
+        return Counter({int(g): int(sums[g]) for g in np.flatnonzero(sums)})
+
+    def _runs(self, bare: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the runs of three and four characters of plain words with their edges marked, and of their first five;
+        and where those of each word begin.
+        """
+        text = "".join([f"^{w}$" for w in bare])
+        c = np.concatenate([np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), np.zeros(5, np.uint32)]).astype(np.uint64)
+        sizes = np.fromiter(map(len, bare), np.int64, len(bare)) + 2
+        ends = np.cumsum(sizes)
+        word = np.repeat(np.arange(len(bare)), sizes)
+        left = ends[word] - np.arange(len(word))  # characters from here to the end of the word
+        value, places, of = np.zeros(len(word), np.uint64), [], []
+        for n in range(1, 6):
+            value = (value ^ np.where(left >= n, c[n - 1 : n - 1 + len(word)], 0)) * _MIX
+            value ^= value >> np.uint64(29)
+            if n in (3, 4):
+                places.append(value[left >= n])
+                of.append(word[left >= n])
+        places.append(value[ends - sizes] ^ np.uint64(1))
+        of.append(np.arange(len(bare)))
+        of = np.concatenate(of)
+        order = np.argsort(of, kind="stable")
+        return (np.concatenate(places)[order] % np.uint64(self.buckets)).astype(np.int64), np.searchsorted(of[order], np.arange(len(bare)))
+
+    def keys(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For words as written: their rows, all their runs' places, where those of each begin, and the marks of their form."""
+        bare = [*map(plain, words)]
+        runs, begins = self._runs(bare)
+        marks = np.array([(w.isupper(), not b.isalpha()) for w, b in zip(words, bare, strict=True)], float).reshape(-1, 2)
+        return np.array([self.rows.get(b, 0) for b in bare], np.int64), runs, begins, marks
+
+    def vectors(self, keys: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The inputs of words, one a row."""
+        rows, runs, begins, marks = keys
+        scale = np.sqrt(np.diff(np.append(begins, len(runs))))[:, None]
+        return np.concatenate([self.p["E"][rows], np.add.reduceat(self.p["C"][runs], begins) / scale, marks], axis=1)
+
+    def gradients(self, keys: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dx: np.ndarray) -> dict[str, np.ndarray]:
+        """What the gradients of words' inputs mean for the vectors."""
+        rows, runs, begins, _ = keys
+        counts = np.diff(np.append(begins, len(runs)))
+        of_runs = np.repeat(dx[:, self.size : 2 * self.size] / np.sqrt(counts)[:, None], counts, axis=0)
+        sums = lambda at, x, n: np.stack([np.bincount(at, x[:, k], n) for k in range(self.size)], axis=1)
+        return {"E": sums(rows, dx[:, : self.size], len(self.p["E"])), "C": sums(runs, of_runs, self.buckets)}
+
+    def compiled(self) -> WordInputs:
+        """A copy for scoring, in single precision and without what only training needs."""
+        out = object.__new__(WordInputs)
+        out.__dict__ = {k: v for k, v in self.__dict__.items() if k != "evidence"} | {"p": {k: v.astype(np.float32) for k, v in self.p.items()}}
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -132,7 +183,7 @@ class BiGRU:
         return dgx, dU
 
     def loss(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, gradients: bool = True) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
-        """Mean cross-entropy, logits, and gradients of all parameters."""
+        """Mean cross-entropy, logits, and gradients of all parameters and of the inputs (``x``)."""
         p, tapes = self.p, {"f": [], "b": []}
         hf = self._read(x @ p["fW"] + p["fb"], mask, p["fU"], tapes["f"])
         hb = self._read((x @ p["bW"] + p["bb"])[:, ::-1], mask[:, ::-1], p["bU"], tapes["b"])[:, ::-1]
@@ -162,6 +213,8 @@ class BiGRU:
         for d, dh, xs in (("f", ds[:, :, :k], x), ("b", ds[:, ::-1, k:], x[:, ::-1])):
             dgx, g[f"{d}U"] = self._unread(dh, tapes[d], p[f"{d}U"])
             g[f"{d}W"], g[f"{d}b"] = np.einsum("ntf,ntk->fk", xs, dgx), dgx.sum(axis=(0, 1))
+            dx = dgx @ p[f"{d}W"].T
+            g["x"] = dx if d == "f" else g["x"] + dx[:, ::-1]
         return value, logit, g
 
     def compiled(self) -> dict[str, np.ndarray]:
@@ -178,7 +231,8 @@ class Adam:
 
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        for k, x in g.items():
+        for k in self.p:
+            x = g[k]
             self.m[k] = 0.9 * self.m[k] + 0.1 * x
             self.v[k] = 0.999 * self.v[k] + 0.001 * x * x
             self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
@@ -190,11 +244,17 @@ def window_starts(n: int, size: int) -> range:
     return range(0, max(1, -(-(n - size) // step) * step + 1 if n > size else 1), step)
 
 
+def read_once(words: list[str]) -> list[str]:
+    """Words in order without those that only repeat the one before."""
+    return [w for w, _ in groupby(words)]
+
+
 class ToxicityModel:
     """Word inputs, network, window size, and the scale and shift that turn the greatest logit into a probability."""
 
     def __init__(self, inputs: WordInputs | None, net: BiGRU | None, window: int, scale: float, shift: float):
-        self.inputs, self.window, self.scale, self.shift = inputs, window, scale, shift
+        self.window, self.scale, self.shift = window, scale, shift
+        self.inputs = inputs.compiled() if inputs else None
         self.p = net.compiled() if net else None
         self.hidden = net.hidden if net else 0
 
@@ -229,70 +289,64 @@ class ToxicityModel:
         return (a * value).sum(axis=1) / a.sum(axis=1) + p["ob"][0]
 
 
-#: Odd multipliers that name a window by its rows.
-_ODD = np.random.default_rng(17).integers(-(1 << 62), 1 << 62, 256) | 1
-
-
 class Scorer:
     """Scores texts with a model; the gate inputs of words are remembered, at most ``memo`` of them."""
 
-    def __init__(self, model: ToxicityModel, memo: int = 700_000, inputs: dict[str, tuple[float, ...]] | None = None):
+    def __init__(self, model: ToxicityModel, memo: int = 200_000):
         single_threaded()
         self.model, self.memo = model, memo
-        self.inputs = inputs.__getitem__ if inputs else model.inputs and model.inputs.of
         self._forget()
 
     def _forget(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.rows: dict[tuple[float, ...], int] = {}  # most words tell nothing and share their inputs
+        self.ids: dict[str, int] = {}  # words by their rows; row 0 is what stands after the end of a text
         self.gates = np.zeros((4096, 6 * self.model.hidden), np.float32)
 
     def _known(self, words: list[list[str]]) -> None:
         missing = [*set().union(*words).difference(self.ids)]
-        if not missing:
-            return
-        p, rows = self.model.p, self.rows
-        found = [*map(self.inputs, missing)]
-        first = len(rows) + 1
-        for x in found:
-            if x not in rows:
-                rows[x] = len(rows) + 1
-        if len(rows) >= first:
-            x = np.array([*rows][first - 1 :], np.float32)
-            if first + len(x) > len(self.gates):
-                grown = np.zeros((max(2 * len(self.gates), first + len(x)), self.gates.shape[1]), np.float32)
-                grown[: len(self.gates)] = self.gates
-                self.gates = grown
-            self.gates[first : first + len(x)] = np.concatenate([x @ p["fW"] + p["fb"], x @ p["bW"] + p["bb"]], axis=1)
-        self.ids.update(zip(missing, map(rows.__getitem__, found), strict=True))
+        p, first = self.model.p, len(self.ids) + 1
+        if first + len(missing) > len(self.gates):
+            grown = np.zeros((first + len(missing) + 16_384, self.gates.shape[1]), np.float32)
+            grown[: len(self.gates)] = self.gates
+            self.gates = grown
+        for k in range(0, len(missing), 8192):
+            some = missing[k : k + 8192]
+            x = self.model.inputs.vectors(self.model.inputs.keys(some)).astype(np.float32)
+            self.gates[first + k : first + k + len(some)] = np.concatenate([x @ p["fW"] + p["fb"], x @ p["bW"] + p["bb"]], axis=1)
+        self.ids.update(zip(missing, range(first, first + len(missing)), strict=True))
 
     def logits(self, texts: list[str]) -> list[np.ndarray]:
         """The logits of all windows of each text; none for a text without words."""
-        model, size = self.model, self.model.window
-        words = [t.split() for t in texts]
+        out, words, size = [], [], 0
+        for t in texts:
+            words.append(t.split())
+            size += len(words[-1])
+            if size > 100_000:
+                out += self._logits(words)
+                words, size = [], 0
+        return out + self._logits(words)
+
+    def _logits(self, words: list[list[str]]) -> list[np.ndarray]:
+        size = self.model.window
         if len(self.ids) > self.memo:
             self._forget()
         self._known(words)
-        get, counts, rows, lengths = self.ids.__getitem__, [], [], []
+        get, counts, starts, lengths, runs, at = self.ids.__getitem__, [], [], [], [], 0
         for w in words:
-            if not w:
-                counts.append(0)
-                continue
-            x = np.fromiter(map(get, w), np.int64, len(w))
-            x = x[np.append(True, x[1:] != x[:-1])]
-            starts = np.arange(len(window_starts(len(x), size))) * (size // 2)
-            counts.append(len(starts))
-            rows.append(np.lib.stride_tricks.sliding_window_view(np.append(x, np.zeros(size, np.int64)), size)[starts])
-            lengths.append(np.minimum(len(x) - starts, size))
-        if not rows:
-            return [np.empty(0, np.float32)] * len(texts)
-        rows, lengths = np.concatenate(rows), np.concatenate(lengths)
-        # Windows with the same inputs have the same logit and are read once.
-        names = (rows * _ODD[:size]).sum(axis=1) ^ lengths
-        _, once, back = np.unique(names, return_index=True, return_inverse=True)
-        rows, lengths = rows[once], lengths[once]
-        scored = np.concatenate([model.score_windows(self.gates, rows[i : i + 4096], lengths[i : i + 4096]) for i in range(0, len(rows), 4096)])[back]
-        return np.split(scored, np.cumsum(counts)[:-1])
+            x = np.fromiter(map(get, w), np.int32, len(w))
+            if len(x):
+                x = x[np.append(True, x[1:] != x[:-1])]  # as read_once() does: rows are equal where words are
+                s = np.array(window_starts(len(x), size))
+                starts.append(at + s)
+                lengths.append(np.minimum(len(x) - s, size))
+                runs += [x, np.zeros(size, np.int32)]
+                at += len(x) + size
+            counts.append(len(starts[-1]) if len(x) else 0)
+        if not runs:
+            return [np.empty(0, np.float32)] * len(words)
+        run, starts, lengths = np.concatenate(runs), np.concatenate(starts), np.concatenate(lengths)
+        places = np.arange(size)
+        scored = [self.model.score_windows(self.gates, run[starts[i : i + 4096, None] + places], lengths[i : i + 4096]) for i in range(0, len(starts), 4096)]
+        return np.split(np.concatenate(scored), np.cumsum(counts)[:-1])
 
     def scores(self, texts: list[str]) -> list[float]:
         """The probability of each whole text; 0 for one without words or without a trained network."""
@@ -301,54 +355,59 @@ class Scorer:
         return [float(_sigmoid(np.array(self.model.scale * x.max() + self.model.shift))) if len(x) else 0.0 for x in self.logits(texts)]
 
 
-def train(rows: list[tuple[str, int]], *, window: int = 32, hidden: int = 8, attention: int = 8, rounds: int = 3, epochs: int = 4, batch: int = 64, rate: float = 0.01, clean_weight: float = 4.0, seed: int = 11) -> ToxicityModel:
-    """Trains on (text, label). Labels are of texts, so a toxic text is first stood for by the window with the greatest
-    sum of word inputs, then, round by round, by the one that the network scores highest; a clean text by its worst
-    window and one other. Scale and shift are fitted to the greatest logits of the training texts, where clean ones weigh
+def train(rows: list[tuple[str, int]], *, window: int = 32, hidden: int = 8, attention: int = 8, rounds: int = 2, epochs: int = 3, batch: int = 64, rate: float = 0.01, unknown: float = 0.3, clean_weight: float = 4.0, seed: int = 11) -> ToxicityModel:
+    """Trains on (text, label). Labels are of texts, so a toxic text is first stood for by the window with the most evidence
+    of its words, then, round by round, by the one that the network scores highest; a clean text by its worst window and one
+    other. A share ``unknown`` of the words is read by characters alone, so that these are learnt too. Scale and shift are
+    fitted to the greatest logits of a fifth of the texts that the network has not seen, where clean ones weigh
     ``clean_weight`` times as much, as they are that much more frequent.
     """
     rows = [*dict.fromkeys((t, y) for t, y in rows if t.split())]  # copies are no evidence
+    rng = np.random.default_rng(seed)
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    n = len(rows) - len(rows) // 5
     texts, labels = [t for t, _ in rows], [y for _, y in rows]
-    if len(set(labels)) < 2:
+    if len(set(labels[:n])) < 2:
         return ToxicityModel(None, None, window, 1.0, 0.0)
-    rng = np.random.default_rng(seed)
-    inputs = WordInputs(texts, labels)
-    memo: dict[str, tuple[float, ...]] = {}
-    series = []
-    for t in texts:
-        w = [x for x, _ in groupby(t.split())]
-        for x in w:
-            if x not in memo:
-                memo[x] = inputs.of(x)
-        series.append(np.array([memo[x] for x in w], np.float32))
-    net = BiGRU(FEATURES, hidden, attention, seed)
-    adam, y = Adam(net.p, rate), np.array(labels)
-
-    def cut(doc: int, start: int) -> np.ndarray:
-        out = np.zeros((window, FEATURES))
-        part = series[doc][start : start + window]
-        out[: len(part)] = part
-        return out
+    inputs = WordInputs(texts[:n], labels[:n])
+    series = [read_once(t.split()) for t in texts[:n]]
+    names = sorted({w for s in series for w in s})
+    place = {w: k for k, w in enumerate(names)}
+    series = [np.array([place[w] for w in s]) for s in series]
+    evidence = inputs.evidence_of(names)
+    rows_of, runs_of, begins, marks = inputs.keys(names)
+    ends = np.append(begins, len(runs_of))[1:]
+    net = BiGRU(inputs.features, hidden, attention, seed)
+    adam, slow, y = Adam(net.p, rate), Adam(inputs.p, rate), np.array(labels)
+
+    def step(some: list[tuple[int, int]]) -> None:
+        lengths = np.array([min(window, len(series[d]) - s) for d, s in some])
+        mask = np.arange(window) < lengths[:, None]
+        words, back = np.unique(np.concatenate([series[d][s : s + n] for (d, s), n in zip(some, lengths, strict=True)]), return_inverse=True)
+        sizes = ends[words] - begins[words]
+        first = np.cumsum(sizes) - sizes
+        runs = runs_of[np.repeat(begins[words] - first, sizes) + np.arange(int(sizes.sum()))]
+        keys = (np.where(rng.random(len(words)) < unknown, 0, rows_of[words]), runs, first, marks[words])
+        x = np.zeros((*mask.shape, inputs.features))
+        x[mask] = inputs.vectors(keys)[back]
+        g = net.loss(x, mask.astype(float), y[[d for d, _ in some]].astype(float))[2]
+        dx = np.stack([np.bincount(back, g["x"][mask][:, k], len(words)) for k in range(inputs.features)], axis=1)
+        adam.step(g)
+        slow.step(inputs.gradients(keys, dx))
 
     starts = [list(window_starts(len(s), window)) for s in series]
-    worst = [max(st, key=lambda k, s=s: float(s[k : k + window, :4].clip(0).sum())) for s, st in zip(series, starts, strict=True)]
+    worst = [max(st, key=lambda k, s=s: float(evidence[s[k : k + window]].sum())) for s, st in zip(series, starts, strict=True)]
     for r in range(rounds):
-        chosen = [(d, worst[d]) for d in range(len(y))] + [(d, starts[d][int(rng.integers(len(starts[d])))]) for d in range(len(y)) if not y[d]]
+        chosen = [(d, worst[d]) for d in range(n)] + [(d, starts[d][int(rng.integers(len(starts[d])))]) for d in range(n) if not y[d]]
         for _ in range(epochs):
             order = rng.permutation(len(chosen))
             for i in range(0, len(order), batch):
-                some = [chosen[j] for j in order[i : i + batch]]
-                x = np.stack([cut(d, s) for d, s in some])
-                mask = np.stack([(np.arange(window) < len(series[d]) - s).astype(float) for d, s in some])
-                adam.step(net.loss(x, mask, y[[d for d, _ in some]].astype(float))[2])
-        model = ToxicityModel(inputs, net, window, 1.0, 0.0)
-        scorer = Scorer(model, inputs=memo)
-        best = []
-        for i in range(0, len(texts), 256):
-            best += scorer.logits(texts[i : i + 256])
-        worst = [starts[d][int(x.argmax())] for d, x in enumerate(best)]
-        if r == rounds - 1:
-            top = np.array([x.max() for x in best], float)
+                step([chosen[j] for j in order[i : i + batch]])
+        scorer = Scorer(ToxicityModel(inputs, net, window, 1.0, 0.0))
+        if r < rounds - 1:
+            worst = [starts[d][int(x.argmax())] for d, x in enumerate(scorer.logits(texts[:n]))]
+    unseen = slice(n, None) if len(set(labels[n:])) == 2 else slice(None)
+    top, y = np.array([x.max() for x in scorer.logits(texts[unseen])], float), y[unseen]
     scale, shift = 1.0, 0.0
     w = np.where(y == 1, 1.0 / max(1, int(y.sum())), clean_weight / max(1, int((1 - y).sum()))) / (1 + clean_weight)
     for _ in range(400):  # logistic fit of one scale and one shift, with a little shrinkage

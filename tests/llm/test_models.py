@@ -13,8 +13,8 @@ def test_gradients():
     x, mask, y = rng.normal(size=(3, 6, 3)), np.ones((3, 6)), np.array([1.0, 0, 1])
     mask[1, 4:] = mask[2, 2:] = 0
     for k, g in net.loss(x, mask, y)[2].items():
-        flat = net.p[k].reshape(-1)
-        for i in range(min(5, len(flat))):
+        flat = (x if k == "x" else net.p[k]).reshape(-1)
+        for i in range(min(50 if k == "x" else 5, len(flat))):
             old = flat[i]
             flat[i] = old + 1e-5
             up = net.loss(x, mask, y, False)[0]
@@ -24,6 +24,72 @@ def test_gradients():
             assert abs((up - down) / 2e-5 - g.reshape(-1)[i]) < 1e-6
 
 
+def test_gradients_of_word_vectors():
+    inputs = toxicity.WordInputs(["ab abc abcd xyz", "ab abc zzz"], [1, 0], least=1, size=3, buckets=16)
+    keys = inputs.keys(["ab", "abcd", "unknown", "!"])
+    weights = np.random.default_rng(0).normal(size=(4, inputs.features))
+    value = lambda: float((inputs.vectors(keys) * weights).sum())
+    for k, g in inputs.gradients(keys, weights).items():
+        for at in np.ndindex(*g.shape):
+            old = inputs.p[k][at]
+            inputs.p[k][at] = old + 1e-5
+            up = value()
+            inputs.p[k][at] = old
+            assert abs((up - value()) / 1e-5 - g[at]) < 1e-5
+
+
+def test_runs_of_characters_against_a_plain_loop():
+    inputs = toxicity.WordInputs(["a"], [1], least=1, size=1, buckets=1 << 20)
+    words = ["", "a", "ab", "abc", "äßab", "abcab"]
+    runs, begins = inputs._runs(words)
+    ends = [*begins[1:], len(runs)]
+    names = {}
+    for w, b, e in zip(words, begins, ends):
+        edged = f"^{w}$"
+        want = [edged[i : i + n] for i in range(len(edged)) for n in (3, 4) if i + n <= len(edged)]
+        got = runs[b:e].tolist()
+        assert len(got) == len(want) + 1
+        for g in got:
+            names.setdefault(g, set()).add(w)
+    assert names[inputs._runs(["ab"])[0][0]] == {"ab", "abc", "abcab"}  # ^ab
+
+
+def plain_scores(model, text):
+    """Every window by itself, position by position."""
+    words, p, k = toxicity.read_once(text.split()), model.p, model.hidden
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    out = []
+    for start in toxicity.window_starts(len(words), model.window):
+        x = model.inputs.vectors(model.inputs.keys(words[start : start + model.window]))
+        states = []
+        for d, xs in (("f", x), ("b", x[::-1])):
+            h, seq = np.zeros(k), []
+            for row in xs:
+                g, u = row @ p[f"{d}W"] + p[f"{d}b"], h @ p[f"{d}U"]
+                z, r = sig(g[:k] + u[:k]), sig(g[k : 2 * k] + u[k : 2 * k])
+                h = z * h + (1 - z) * np.tanh(g[2 * k :] + r * u[2 * k :])
+                seq.append(h)
+            states.append(seq if d == "f" else seq[::-1])
+        s = np.concatenate([np.array(states[0]), np.array(states[1])], axis=1)
+        e = np.exp(np.tanh(s @ p["A"] + p["Ab"]) @ p["v"])
+        out.append(float(e @ s @ p["o"] / e.sum() + p["ob"][0]))
+    return out
+
+
+def test_scorer_against_a_plain_window_loop():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    rows = [(" ".join([word() for _ in range(60)] + ["zork"] * (i % 2)), i % 2) for i in range(60)]
+    model = toxicity.train(rows, rounds=1, epochs=1)
+    texts = ["", "one", "a a a a", " ".join(f"w{i}" for i in range(5000)), " ".join(word() for _ in range(125)), "same " * 500, "zork " + " ".join(word() for _ in range(40))]
+    scorer = toxicity.Scorer(model, memo=100)
+    got = scorer.logits(texts)
+    assert [len(x) for x in got] == [0, 1, 1, 312, 7, 1, 2]
+    for text, x in zip(texts, got):
+        if len(x):
+            assert np.abs(np.array(plain_scores(model, text)) - x).max() < 1e-3
+
+
 def labelled_docs(spark, n=240):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
