@@ -2,8 +2,9 @@
 
 Pages of one host share a template. Spark brings them together, in groups where a host has many; a task makes a small tree of
 each and aligns it with the one before it in its group by simple tree matching. An aligned node whose text is the same in both is a vote for template,
-a different text a vote for a slot. Spark sums up the votes by host and path over all tasks. The container that holds most of
-the varying text of a host is its content slot; inside it, nodes with constant text are template.
+a different text a vote for a slot. Spark sums up the votes by host and path over all tasks. The container to which the
+varying text of a host leads is its content slot; inside it, nodes with constant text are template. Names of tags and
+classes do not choose the slot; they only tell what else inside it is no article text.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ RAW = frozenset("script style noscript template iframe object svg math canvas au
 HIDDEN = RAW | frozenset("head title nav header footer aside menu button select option textarea input label dialog".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CONTAINER = frozenset("article main section div td body html center blockquote".split())
+_NO_TEXT = RAW | {"head", "title", "textarea", "select", "option", "input"}
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Containers that get a name by what they hold.
+_UNNAMED = frozenset(("div", "section", "td", "center"))
 ENDS_P = BLOCK - {"body", "html", "caption", "tr", "tbody", "thead", "tfoot", "legend"}
 #: Class, id and role words of what is no article text.
 BOILERPLATE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navigation navbar menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments reply replies disqus respond pagination pager toolbar search skip copyright".split())
@@ -33,6 +38,7 @@ BOILERPLATE = frozenset("ad ads adv advert advertisement advertising banner spon
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDES = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_LABEL = re.compile(r"[^.:!]*")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -52,6 +58,18 @@ class Node:
         first = next((value.split()[0].lower() for k, value in names if k in ("class", "id") and value.split()), "")
         self.label = tag + ("." + re.sub(r"[\d!/]+", "#", first) if first else "") + ("!" if self.named else "")
 
+    def describe(self, kids: list[tuple[bool, int, int]]) -> tuple[bool, int, int]:
+        """Whether the element holds a heading, its characters and those of links, from the same of its child elements. A
+        container without a name of its own is named by these: ``:h`` with a heading, ``:a`` if it is links alone, else ``:t``.
+        """
+        own = sum(len(x) for x in self.items if isinstance(x, str) and not x.isspace())
+        heading = self.tag in _HEADINGS or any(k[0] for k in kids)
+        chars = own + sum(k[1] for k in kids)
+        links = chars if self.tag == "a" else sum(k[2] for k in kids)
+        if self.label in _UNNAMED:
+            self.label += ":h" if heading else ":a" if chars and links == chars else ":t"
+        return heading, chars, links
+
 
 def _closes(new: str, open_tag: str) -> bool:
     """Whether a start tag ends an open element whose end tag may be left out."""
@@ -63,7 +81,7 @@ def _closes(new: str, open_tag: str) -> bool:
 def parse(text: str) -> Node:
     """The tree of a page; it never fails, whatever the markup."""
     root = Node("#", "")
-    stack, at, n = [root], 0, len(text)
+    stack, made, at, n = [root], [root], 0, len(text)
     while at < n:
         m = _TOKEN.match(text, at)
         at = m.end()
@@ -90,6 +108,7 @@ def parse(text: str) -> Node:
             del stack[k:]
         node = Node(tag, attributes)
         stack[-1].items.append(node)
+        made.append(node)
         if tag in VOID or attributes.endswith("/") and tag in RAW:
             continue
         if tag in RAW or tag in ("title", "textarea"):
@@ -98,6 +117,9 @@ def parse(text: str) -> Node:
             continue
         if len(stack) < 400:
             stack.append(node)
+    said: dict[int, tuple[bool, int, int]] = {}
+    for node in reversed(made):  # what is inside an element was made after it
+        said[id(node)] = node.describe([said.pop(id(x)) for x in node.items if not isinstance(x, str)])
     return root
 
 
@@ -224,33 +246,52 @@ def template_votes(pages: DataFrame, group: int = 128) -> DataFrame:
     return found.groupBy("host", "path").agg(F.max("hidden").alias("hidden"), F.sum("same").alias("same"), F.sum("differ").alias("differ"), F.sum("chars").alias("chars"))
 
 
-def choose(votes: list[tuple[str, bool, int, int, int]], share: float = 0.6, least_votes: int = 5, constant: float = 0.9) -> tuple[str, frozenset[str]]:
-    """The content slot of a host and the template paths inside it, from its (path, hidden, same, differ, chars).
+def choose(votes: list[tuple[str, bool, int, int, int]], share: float = 0.6, least_votes: int = 5, constant: float = 0.9) -> tuple[str, frozenset[str], frozenset[str]]:
+    """The content slot of a host, the template paths inside it, and the paths whose names hide nothing, from its
+    (path, hidden, same, differ, chars).
 
-    A path whose text is constant in most aligned pairs is template. The slot is the deepest container that holds all
-    text that varies. A host without votes, as of one page, is judged by its text alone.
+    A path whose text is constant in most aligned pairs is template; all other text varies. The slot is found from the
+    root downwards: the step is to the container that holds at least ``share`` of the varying text and all varying
+    headings, as long as there is one. What names say does not count here, so an article in an element named like a menu
+    is found, and menus, adverts and footers whose texts vary are left beside it. A host without votes, as of one page,
+    is judged by its text alone.
     """
     template = constant_paths(votes, least_votes, constant)
-    shown = unhidden(votes, template)
-    votes = [(p, hidden or _named(p, shown), same, differ, chars) for p, hidden, same, differ, chars in votes]
     under: dict[str, int] = {}
-    total = 0
-    for path, hidden, _, _, chars in votes:
-        if hidden or path in template:
+    headings: dict[str, int] = {}
+    for path, _, _, _, chars in votes:
+        if path in template or not chars or _never_text(path):
             continue
-        total += chars
+        heading = _tag(path) in _HEADINGS
         for p in _above(path):
             under[p] = under.get(p, 0) + chars
-    depth = lambda p: (p.count("/"), under[p], p)
-    slots = [p for p in under if p.rsplit("/", 1)[-1].split(".")[0].rstrip("!") in CONTAINER]
-    slot = max((p for p in slots if under[p] == total), key=depth, default="")
-    core = max((p for p in slots if under[p] >= share * total), key=depth, default=slot)
+            headings[p] = headings.get(p, 0) + heading
+    kids: dict[str, list[str]] = {}
+    for p in under:
+        kids.setdefault(p.rpartition("/")[0], []).append(p)
+    slot = at = max(kids.get("", [""]), key=lambda p: under.get(p, 0))
+    while at in kids:
+        at = max(kids[at], key=lambda p: (under[p], p))
+        if under[at] < share * under[slot] or headings[at] < headings[slot]:
+            break
+        if _tag(at) in CONTAINER:
+            slot = at
     dropped = frozenset(p for p in template if p.startswith(f"{slot}/"))
-    inside = {p: chars for p, hidden, _, _, chars in votes if f"{p}/".startswith(f"{core}/") and not hidden}
+    inside = {p: chars for p, hidden, _, _, chars in votes if f"{p}/".startswith(f"{slot}/") and not hidden}
     same_inside = dropped & inside.keys()
     if sum(inside[p] for p in same_inside) > 0.5 * sum(inside.values()):
         dropped -= same_inside  # a host of near-copies: what is constant in most of its text is content
-    return slot, dropped
+    return slot, dropped, unhidden(votes, template) | frozenset(_above(slot))
+
+
+def _tag(path: str) -> str:
+    """The tag of a path's last element."""
+    return _LABEL.match(path.rsplit("/", 1)[-1]).group()
+
+
+def _never_text(path: str) -> bool:
+    """Whether a path lies in the head or in an element whose content is no text."""
+    return any(_tag(x) in _NO_TEXT for x in path.split("/"))
 
 
 def constant_paths(votes: list[tuple[str, bool, int, int, int]], least_votes: int = 5, constant: float = 0.9) -> frozenset[str]:
@@ -271,11 +312,6 @@ def unhidden(votes: list[tuple[str, bool, int, int, int]], template: frozenset[s
     return frozenset(p for p, chars in under.items() if chars >= most * total)
 
 
-def _named(path: str, shown: frozenset[str]) -> bool:
-    """Whether a path is below one that its name hides."""
-    return "!" in path and any(p.endswith("!") and p not in shown for p in _above(path))
-
-
 def _above(path: str) -> list[str]:
     """A path and all paths above it."""
     parts = path.split("/")
@@ -283,7 +319,8 @@ def _above(path: str) -> list[str]:
 
 
 def main_text(text: str, slot: str, template: frozenset[str], shown: frozenset[str] = frozenset()) -> str:
-    """The blocks of a page's content slot, one a line. A page without the slot is read from its ``article``, ``main`` or body. Names hide nothing at the paths ``shown``.
+    """The blocks of a page's content slot, one a line. A page without the slot is read from its ``article``, ``main`` or body.
+    Names and tags hide nothing at the paths ``shown``.
     """
     root = parse(text)
     found: list[tuple[Node, str]] = []
@@ -299,7 +336,7 @@ def main_text(text: str, slot: str, template: frozenset[str], shown: frozenset[s
         for x in reversed(node.items):
             if not isinstance(x, str):
                 below = f"{path}/{x.label}"
-                todo.append((x, below, hidden or x.hidden or x.named and below not in shown))
+                todo.append((x, below, hidden or (x.hidden or x.named) and below not in shown))
     if not found:
         found = next(x for x in (named["article"], named["main"], named["body"], named["#"]) if x)
         template = frozenset()
@@ -322,7 +359,7 @@ def main_text(text: str, slot: str, template: frozenset[str], shown: frozenset[s
         elif node.tag in ("br", "td", "th", "wbr"):
             part.append("" if node.tag == "wbr" else " ")
             work += [(x, path if isinstance(x, str) else f"{path}/{x.label}") for x in reversed(node.items)]
-        elif path in template or (node.hidden or node.named and path not in shown) and path != slot:
+        elif path in template or (node.hidden or node.named) and path not in shown:
             end()
         else:
             block = node.tag in BLOCK
@@ -334,37 +371,53 @@ def main_text(text: str, slot: str, template: frozenset[str], shown: frozenset[s
     return "\n".join(lines)
 
 
+_WRAPPER = pa.struct([("slot", pa.string()), ("template", pa.list_(pa.string())), ("shown", pa.list_(pa.string()))])
+
+
+def induce(votes: DataFrame) -> DataFrame:
+    """(host, wrapper) of each host from its votes: the slot, the template inside it and what names do not hide."""
+
+    def of_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                slot, template, shown = choose([tuple(v.values()) for v in found.as_py()])
+                yield pa.record_batch([pa.array([name]), pa.array([{"slot": slot, "template": sorted(template), "shown": sorted(shown)}], _WRAPPER)], ["host", "wrapper"])
+
+    gathered = votes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "hidden", "same", "differ", "chars"))).alias("votes"))
+    return gathered.mapInArrow(of_host, "host string, wrapper struct<slot:string,template:array<string>,shown:array<string>>")
+
+
 @lru_cache(maxsize=2_000)
-def _chosen(votes: tuple) -> tuple[str, frozenset[str], frozenset[str]]:
-    return *choose(list(votes)), unhidden(list(votes), constant_paths(list(votes)))
+def _sets(slot: str, template: tuple[str, ...], shown: tuple[str, ...]) -> tuple[str, frozenset[str], frozenset[str]]:
+    return slot, frozenset(template), frozenset(shown)
 
 
-def extract_pages(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", text_col: str = "main_text", broadcast_hosts: int = 50_000) -> DataFrame:
+def extract_pages(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", text_col: str = "main_text", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """All rows of ``pages`` with the main text of each page in ``text_col``.
 
     A null page is empty and its text is empty; a null or odd address belongs to the host without a name; equal pages of a
     host have equal texts; an empty table gives no rows; a column named ``text_col`` is replaced, all others stay.
 
-    Pages are shuffled once by host, and large hosts in groups, for the votes. They are read again where they lie while there are
-    at most ``broadcast_hosts`` hosts, whose wrappers are then sent to all tasks; beyond that, pages are joined with the wrappers by host, and Spark splits large hosts.
+    Pages are shuffled once by host, and large hosts in groups, for the votes. They are read again where they lie while
+    the wrappers of all hosts take at most ``broadcast_bytes``, which are then sent to all tasks; beyond that, pages are
+    joined with the wrappers by host, and Spark splits large hosts.
     """
     columns = [c for c in pages.columns if c != text_col]
-    name, votes_col = free(pages, "_host", "_votes")
+    name, wrapper_col = free(pages, "_host", "_wrapper")
     rows = pages.select(*columns).withColumn(name, host(pages[url_col]))
-    votes = template_votes(rows.select(name, F.col(html_col)))
-    wrappers = votes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "hidden", "same", "differ", "chars"))).alias(votes_col))
-    wrappers = cut(wrappers.withColumnRenamed("host", name))
-    small = wrappers.count() <= broadcast_hosts
-    joined = rows.join(F.broadcast(wrappers) if small else wrappers, name, "left").select(*columns, votes_col)
+    wrappers = cut(induce(template_votes(rows.select(name, F.col(html_col)))))
+    paths = F.concat("wrapper.template", "wrapper.shown")
+    size = wrappers.agg(F.sum(64 + F.octet_length("host") + 2 * F.octet_length("wrapper.slot") + F.octet_length(F.array_join(paths, "....."))).alias("bytes")).first()["bytes"]
+    wrappers = wrappers.select(F.col("host").alias(name), F.col("wrapper").alias(wrapper_col))
+    joined = rows.join(F.broadcast(wrappers) if (size or 0) <= broadcast_bytes else wrappers, name, "left").select(*columns, wrapper_col)
     at = columns.index(html_col)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = batch.column(len(columns))
-            texts = []
+            found, texts = batch.column(len(columns)), []
             for k, page in enumerate(batch.column(at).to_pylist()):
-                wrapper = _chosen(tuple(tuple(v.values()) for v in votes[k].as_py() or ()))
-                texts.append(main_text(page or "", *wrapper))
+                w = found[k].as_py() or {"slot": "", "template": (), "shown": ()}
+                texts.append(main_text(page or "", *_sets(w["slot"], tuple(w["template"]), tuple(w["shown"]))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*columns, text_col])
 
     schema = StructType([*(f for f in rows.schema.fields if f.name in columns), StructField(text_col, StringType())])

@@ -175,9 +175,9 @@ def test_wrapper_finds_the_slot_without_its_name(spark):
         want[k] = f"Title {k}\nFirst & {k}\nsecond line {k * 7} with markup\none {k}\ntwo"
     rows += [(50, None, None), (51, "", ""), (52, "http://b.example/", "<p>no wrapper &lt;here"), (53, "x", "plain text"), (54, "http://c.example", "<article>one<p>two</article><aside>no</aside>"), (54, "http://c.example", "<article>one<p>two</article><aside>no</aside>")]
     df = spark.createDataFrame([(*r, "k", "v") for r in rows], "page_id long, url string, html string, _host string, text string").repartition(3)
-    for hosts in (100, 0):
+    for hosts in (1 << 20, 0):
         got = collections.defaultdict(list)
-        for r in extract_pages(df, broadcast_hosts=hosts).collect():
+        for r in extract_pages(df, broadcast_bytes=hosts).collect():
             got[r["page_id"]].append(r["main_text"])
         assert {k: got[k][0] for k in want} == want
         assert got[50] == got[51] == [""] and got[52] == ["no wrapper <here"] and got[53] == ["plain text"] and got[54] == ["one\ntwo"] * 2
@@ -204,6 +204,36 @@ def test_names_do_not_hide_the_article(spark, start):
     assert got == {k: f"Title {k}\ntext {k} {'of words ' * 9}".strip() for k in range(12)}
 
 
+def unnamed(k, n=1):
+    """A page of plain elements without telling names: menu, advert and foot vary, and so do reader comments; a notice stays."""
+    text = " ".join(f"<p>Part {j} of text {k * 7 + j} {'some more words of it ' * 6}</p>" for j in range(n))
+    return f"<body><div><div><a href=/{k}>menu {k}</a></div><div>buy {k} now</div><div><h1>Title {k}</h1>{text}<div>All texts are under the licence of this site</div></div><div>foot {k * 3}</div></div></body>"
+
+
+def test_wrapper_alone_finds_the_article(spark, monkeypatch):
+    rows = [(k, "http://a.example/x", unnamed(k, 1 + k % 4)) for k in range(24)]
+    rows += [(100 + k, "http://b.example/x", unnamed(k, 2).replace("<div><h1>", "<div><div>lead of no heading</div><div class=x7><h1>").replace("licence", f"licence</div><div class='comments'>reader {k} says") + "<aside>also " + str(k) + "</aside>") for k in range(24)]
+    want = {k: f"Title {k}\n" + "\n".join(f"Part {j} of text {k * 7 + j} {'some more words of it ' * 6}".strip() for j in range(1 + k % 4 if k < 24 else 2)) for k in range(24)}
+    for n in (1, 40):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "page_id long, url string, html string")
+        got = {r["page_id"]: r["main_text"] for r in extract_pages(df).collect()}
+        assert {k: got[k] for k in range(24)} == want
+        for k in range(24):  # the notice is split by the reader comment here, and its first part is constant
+            assert got[100 + k].startswith(f"Title {k}\nPart 0 of text") and "menu" not in got[100 + k] and "buy" not in got[100 + k] and "reader" not in got[100 + k] and "also" not in got[100 + k] and "foot" not in got[100 + k]
+    # Without votes the same page keeps the notice: the wrapper changes the text.
+    assert "licence of this site" in main_text(rows[0][2], "", frozenset())
+    votes = [("#/body.x/div:h", False, 0, 20, 400), ("#/body.x/div:h/h1", False, 0, 20, 60), ("#/body.x/nav", True, 0, 20, 90), ("#/body.x/div:h/p", False, 20, 0, 30)]
+    assert choose(votes)[:2] == ("#/body.x/div:h", frozenset({"#/body.x/div:h/p"}))
+
+
+def test_pages_repeated_long_and_deep(spark):
+    long = "<body><div><h1>T</h1>" + "".join(f"<p>line {k}</p>" for k in range(20_000)) + "</div></body>"
+    deep = "<div>" * 1500 + "deep" + "</div>" * 1500
+    rows = [(1, "http://a.example/", long), (2, "http://a.example/", long), (3, "http://d.example/", deep), (4, None, None)]
+    got = {r["page_id"]: r["main_text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got[1] == got[2] == "T\n" + "\n".join(f"line {k}" for k in range(20_000)) and got[3] == "deep" and got[4] == ""
+
+
 def test_pages_empty_table(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
@@ -214,7 +244,7 @@ def test_tree_matching():
     b = tree("<div><h1>b</h1><ul><li>2</li><li>3</li></ul><p>y</p></div>")
     n, pairs = match_trees(a, b)
     assert n == len(pairs) == 5  # root, div, h1, and the list with its item, which hold more than the paragraph
-    assert match_trees(a, a)[0] == 6 and choose([]) == ("", frozenset())
+    assert match_trees(a, a)[0] == 6 and choose([]) == ("", frozenset(), frozenset({""}))
 
 
 @pytest.mark.parametrize("text", ["<", "<p", "</", "<!--", "<script>", "<a b='", "<p>" * 1000, "<div>" * 2000 + "x", "&#x;&bogus;&amp", "\x00<p>퟿"])
