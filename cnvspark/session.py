@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Applications that have been sent this package.
+_SENT: set[str] = set()
+
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, if nothing else put it on their path."""
-    root = str(Path(__file__).resolve().parents[1])
-    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    """Sends this package to the Python workers of the session, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SENT:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SENT.add(context.applicationId)
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
