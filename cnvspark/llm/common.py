@@ -6,11 +6,18 @@ import json
 import os
 import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cnvspark.session import importable
+
+
+#: Folders that :func:`kept` has written, by the id of the application; :func:`scratch` deletes them.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``, by Spark's own reader."""
@@ -18,24 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, if nothing else put it on their path."""
-    root = str(Path(__file__).resolve().parents[2])
-    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the one that the cluster names in ``spark.checkpoint.dir``.
 
-    It is the one that the cluster names in ``spark.checkpoint.dir``. Where that is unset, as in tests on one machine,
-    the session gets a temporary one.
+    Where that is unset the session gets a temporary one if all of it runs on this machine, as in tests; otherwise a folder of
+    one machine would lose data, which is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -49,10 +50,23 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: lineage ends here, and every executor sees it."""
     spark = df.sparkSession
     path = shared_path(spark, what)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A step whose result is the last that :func:`kept` writes in it: on leaving, the other folders that it wrote are deleted."""
+    written = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = len(written)
+    yield
+    for path in written[before:-1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del written[before:-1]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

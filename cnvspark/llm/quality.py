@@ -1,6 +1,7 @@
 """Quality by random-indexing word vectors, pooled over a text, and a two-layer network in numpy.
 
-Every word has a fixed sparse random index vector, made from its hash. A word's vector is the sum of the index vectors of
+Every word has a fixed sparse random index vector, made from its hash into a bounded number of buckets: words of one bucket
+share it, which keeps what is gathered over the whole corpus bounded. A word's vector is the sum of the index vectors of
 the words around it over the whole corpus, so words in like company have like vectors. A text is the mean of its
 words' vectors. A network with one hidden layer maps it to a logit, and a temperature makes that a probability.
 """

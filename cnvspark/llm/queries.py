@@ -14,7 +14,7 @@ from cnvspark.llm.html_extraction import extract_pages
 from cnvspark.llm.labelled import held_out
 from cnvspark.llm.near_dedup import near_duplicates
 from cnvspark.llm.packing import pack_documents
-from cnvspark.llm.pii import count_kind, sanitize, span_text
+from cnvspark.llm.pii import SECRET, TERM, count_kind, sanitize, span_text
 from cnvspark.llm.quality import fit_quality, score_quality
 from cnvspark.llm.sharding import shard_documents
 from cnvspark.llm.token_files import read_token_files, with_starts, write_token_files
@@ -86,6 +86,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count_kind(F.col("spans"), i).alias(f"n_{k}") for i, k in enumerate(("email", "ip", "card", "phone"))),
         F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
+        count_kind(F.col("spans"), SECRET).alias("n_secret"),
+        count_kind(F.col("spans"), TERM).alias("n_term"),
     )
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cnvspark.llm.common import cut
+from cnvspark.llm.common import cut, text_key
 from cnvspark.llm.tokens import coder
 
 # Fixed values of the public zstandard skippable-frame and seekable formats.
@@ -56,7 +56,12 @@ class FrameWriter:
         """Adds a document; ``ids`` are little-endian unsigned 32-bit."""
         n = len(ids) // 4
         self.docs.append((doc_id or 0, doc_id is None, len(self.entries), self.size // self.width, n))
-        self.pending.append(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.width == 2 else ids)
+        if self.width == 2:
+            wide = np.frombuffer(ids, "<u4")
+            if n and int(wide.max()) > 0xFFFF:
+                raise ValueError(f"id {int(wide.max())} does not fit into two bytes; use width=4")
+            ids = wide.astype("<u2").tobytes()
+        self.pending.append(ids)
         self.size += n * self.width
         self.tokens += n
         if self.size >= self.frame_bytes:
@@ -133,8 +138,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
     Rows are range-partitioned by id, sorted, encoded (null text: empty), ended by ``end_id`` and written by the task
     that holds them, one file a partition; ``width`` 2 suits vocabularies below 65,536. A task writes under a name of its
     own attempt and then renames, so a lost executor leaves no half file and a repeated task writes the same bytes.
-    Null ids come first; rows that repeat an id go in order of their text's MD5; an empty table gives an empty manifest; other columns are
-    ignored. The manifest has a row for each non-empty file and is checkpointed, so that files are written once.
+    Null ids come first; rows that repeat an id go in order of their text's MD5, over several files if they are many; an empty
+    table gives an empty manifest; other columns are ignored; an id that does not fit ``width`` is an error. The manifest has a row for each non-empty file and is checkpointed, so that files are written once.
     """
     base = path.rstrip("/")
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -156,11 +161,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
         if writer is not None:
             writer.close()
             sink.close()
+            if store.get_file_info(f"{folder}/{name}").type != fs.FileType.NotFound:  # of a task that is run again
+                store.delete_file(f"{folder}/{name}")
             store.move(draft, f"{folder}/{name}")
             yield pa.record_batch([[part], [f"{base}/{name}"], [len(writer.docs)], [writer.tokens], [len(writer.entries)], [writer.bytes]], schema=_MANIFEST)
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    placed = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), text_key(docs[text_col]).alias("key"))
+    placed = rows.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
     return cut(placed.mapInArrow(write, MANIFEST))
 
 

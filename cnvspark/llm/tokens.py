@@ -44,7 +44,8 @@ class TokenCoder:
     A byte-level pre-tokenizer cuts a text before each lone space, so the ids of a text are those of its chunks, each
     with the space before it, one after another. Chunks repeat, so their ids are remembered (at most ``memo_size``
     of them), and so are those of the pre-tokens in plain chunks. A text where a space touches other white space, or
-    that holds a special token's opening, goes to the library as a whole. The library's model makes all ids in every case.
+    that holds a special token's opening, goes to the library as a whole, which gives such a token its own id. The
+    library's model makes all ids in every case.
     """
 
     def __init__(self, path: str, memo_size: int = 900_000):
@@ -52,7 +53,6 @@ class TokenCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         letters, tokenize = _byte_letters(), self.tokenizer.model.tokenize
 
         def of_run(run: str) -> bytes:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cnvspark.llm.common import free, importable, kept, table
+from cnvspark.llm.common import free, importable, kept, scratch, table
 from cnvspark.llm.decontamination import decontaminate
 from cnvspark.llm.near_dedup import drop_near_duplicates
 from cnvspark.llm.packing import pack_documents
@@ -42,11 +42,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data generalised and terms that give it away removed; ``n_chars`` follows the text."""
     importable(spark)
-    columns = docs.columns
-    rows = sanitize(docs).withColumn("text", F.col("clean"))
-    if "n_chars" in columns:
+    own = [c for c in docs.columns if c.lower() in ("spans", "clean")]  # columns of the table that the operator would replace
+    aside = dict(zip(own, free(docs, *(f"_own_{c}" for c in own)), strict=True))
+    rows = sanitize(docs.withColumnsRenamed(aside)).withColumn("text", F.col("clean")).drop("spans", "clean").withColumnsRenamed({v: k for k, v in aside.items()})
+    if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*columns)
+    return rows.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +62,10 @@ STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decont
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), name)
+    with scratch(spark):
+        for name, stage in STAGES:
+            with scratch(spark):
+                docs = kept(stage(spark, docs, sf_dir), name)
     return docs
 
 

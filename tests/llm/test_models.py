@@ -150,6 +150,13 @@ def test_held_out_rows_are_never_learnt(spark, labelled):
     assert len(got) == 100 and all(zlib.crc32(str(ids[t]).encode()) % 5 for t, _ in got)
 
 
+def test_repeated_ids_do_not_multiply(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1)] * 20 + [(1, 1, 0), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    want = [("text 0", 1), ("b", 0)]
+    assert training_rows(docs, labels, "toxic", 5, 100) == [x for i, x in enumerate(want, 1) if zlib.crc32(str(i).encode()) % 5]
+
+
 def test_windows_cover_every_word():
     for n in range(1, 200):
         starts = list(toxicity.window_starts(n, 32))

@@ -1,6 +1,6 @@
 import corpus_pipeline
 import pytest
-from cnvspark.llm.common import kept
+from cnvspark.llm.common import kept, scratch
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +35,22 @@ def test_stages(spark, folder):
 def test_run_packs_everything_left(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in rows} >= set(range(60)) and all(r["offset"] + r["length"] <= 1024 for r in rows)
+
+
+def test_stages_keep_columns_of_their_own_names(spark, folder):
+    docs = spark.createDataFrame([(1, "write to boss@corp.example", "s1", 5), (2, None, "s2", 6)], "doc_id long, text string, spans string, Clean long")
+    rows = {r["doc_id"]: r for r in corpus_pipeline.pii(spark, docs, folder).collect()}
+    assert [tuple(rows[k]) for k in (1, 2)] == [(1, "write to [EMAIL]", "s1", 5), (2, None, "s2", 6)]
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.pii):
+        assert stage(spark, docs, folder).columns == docs.columns and stage(spark, docs, folder).count() == 2
+        none = stage(spark, docs.limit(0), folder)
+        assert none.columns == docs.columns and none.count() == 0
+
+
+def test_scratch_leaves_only_the_result(spark):
+    with scratch(spark):
+        first = kept(spark.range(3).toDF("x"), "a")
+        last = kept(first, "b")
+    assert last.count() == 3
+    with pytest.raises(Exception, match="(?i)not.exist|not found"):
+        spark.read.parquet(first.inputFiles()[0].rsplit("/", 1)[0]).count()

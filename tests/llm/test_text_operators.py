@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -8,7 +9,7 @@ from cnvspark.llm.common import small_table
 from cnvspark.llm.decontamination import decontaminate
 from cnvspark.llm.fingerprints import fingerprint_documents
 from cnvspark.llm.html_extraction import Tree, choose, extract_pages, main_text, match_trees, parse
-from cnvspark.llm.pii import KINDS, disclosing_terms, sanitize, span_text
+from cnvspark.llm.pii import KINDS, SECRET, TERM, disclosing_terms, near_entities, sanitize, span_text
 from pyspark.sql import functions as F
 
 
@@ -91,6 +92,69 @@ def test_disclosing_terms(spark):
     assert all(not out[i]["spans"] and out[i]["clean"] == rows[i][1] for i in range(6, 400))
 
 
+def test_shares_against_a_plain_count(spark):
+    rng = random.Random(8)
+    filler = [f"word{i}" for i in range(60)]
+    people = {f"p{i}@corp.example": [f"nick{i}", f"town{i}"] for i in range(6)}
+    texts = []
+    for i in range(300):
+        words = [rng.choice(filler) for _ in range(30)]
+        if i % 3 == 0:
+            who = rng.choice([*people])
+            at = rng.randrange(len(words))
+            words[at:at] = [*rng.sample(people[who], rng.randint(0, 2)), who] + [rng.choice(filler) for _ in range(2)]
+        texts.append(" ".join(words))
+    texts += texts[:40]  # copies count as rows, not as further texts
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = near_entities(df, F.col("text"), words=3, reach=160)
+    got = {(r["entity"], r["term"]): (r["texts"], r["share"]) for r in disclosing_terms(df, F.col("text"), near, min_texts=2, threshold=-9).collect()}
+    spots = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        words = t.split()
+        for at, w in enumerate(words):
+            if "@" in w:
+                for x in words[max(0, at - 3) : at] + words[at + 1 : at + 4]:
+                    if "@" not in x:
+                        spots[w, x].add(i)
+                        spots["", x].add(i)
+                spots[w, None].add(i)
+                spots["", None].add(i)
+    holds = collections.Counter(x for t in texts for x in set(t.split()))
+    want = {}
+    for (who, x), rows in spots.items():
+        n_c, kinds = len(spots[who, None]), len({texts[i] for i in rows})
+        if x and kinds >= 2:
+            n = len(texts)
+            want[f"email:{who}" if who else "email:*", x] = (kinds, math.log(n * len(rows) / (n_c * holds[x])) / math.log(max(n / n_c, 2)))
+    assert got.keys() == want.keys() and len(want) > 50
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    spans = {r["doc_id"]: [x["value"] for x in r["spans"] if x["kind"] == TERM] for r in sanitize(df, words=3).collect()}
+    assert {v[:4] for found in spans.values() for v in found} == {"nick", "town"}
+
+
+def test_secrets_and_what_says_that_there_is_one(spark):
+    rng = random.Random(9)
+    filler = [f"word{i}" for i in range(100)]
+    rows = []
+    for i in range(200):
+        words = [rng.choice(filler) for _ in range(30)]
+        if i < 8:
+            words[10:10] = ["apikey", "=", '"' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"']
+        rows.append((i, " ".join(words)))
+    rows += [(300, "averyverylongwordwithoutanydigitsinit 12345678901234567890123 short1a2b3"), (301, "ends in Zm9vYmFyMTIzNDU2Nzg5")]
+    got = {r["doc_id"]: [(x["kind"], x["value"]) for x in r["spans"]] for r in sanitize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(8):
+        assert [k for k, _ in got[i]] == [TERM, SECRET] and got[i][0][1] == "apikey"
+    assert not any(got[i] for i in range(8, 200)) and got[301] == [(SECRET, "Zm9vYmFyMTIzNDU2Nzg5")]
+    assert not [x for x in got[300] if x[0] == SECRET]
+
+
+def test_spans_in_a_text_of_many_matches(spark):
+    text = "é " + " ".join(f"a{i}@corp{i % 7}.example" for i in range(5000))
+    (row,) = sanitize(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(row["spans"]) == 5000 and all(text[s["start"] : s["end"]] == s["value"] for s in row["spans"])
+
+
 def test_copies_disclose_nothing(spark):
     text = "some quite unusual words around boss@corp.example and then some more unusual ones"
     df = spark.createDataFrame([(i, text) for i in range(50)] + [(100 + i, f"other text {i}") for i in range(50)], "doc_id long, text string")
@@ -102,7 +166,7 @@ def test_pii_odd_rows(odd, none):
     assert set(odd.columns) | {"clean"} == set(rows.columns)
     got = rows.collect()
     assert len(got) == odd.count() and all(r["clean"] == r["text"] for r in got)
-    assert sanitize(none).collect() == [] and len(KINDS) == 5
+    assert sanitize(none).collect() == [] and len(KINDS) == 6
 
 
 def test_decontamination_against_planted(spark):
