@@ -99,3 +99,9 @@ def single_threaded() -> None:
     """Keeps native thread pools of a Python worker to the one core that Spark gave its task."""
     for name in ("TOKENIZERS_PARALLELISM", "OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
         os.environ[name] = "false" if name.startswith("TOK") else "1"
+
+
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` cut, and in no more partitions than its rows need, ``rows`` in each: what is shuffled next comes from few tasks."""
+    df = cut(df)
+    return df.coalesce(df.count() // rows + 1)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cnvspark.llm.common import cut, free, kept, text_key
+from cnvspark.llm.common import compact, cut, free, kept, text_key
 from cnvspark.llm.words import word_hashes
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -194,30 +194,35 @@ def _verified(pairs: DataFrame, words: DataFrame, k: int, threshold: float) -> D
                     good.append(ordered_similarity(runs, runs_of(y), threshold) >= threshold - 1e-9)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    if ids.count() <= _BROADCAST_IDS:  # then only words of rows in question are shuffled
-        words = words.join(F.broadcast(ids), "rid", "left_semi")
+    pairs = compact(pairs)
+    words = _of(words, pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct())
     both = pairs.join(words.select(F.col("rid").alias("b"), F.col("words").alias("wb")), "b").join(words.select(F.col("rid").alias("a"), F.col("words").alias("wa")), "a")
     return both.select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
 
+def _of(words: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``words`` that ``ids`` names, with its columns; if these are few, only rows in question are shuffled."""
+    ids = compact(ids)
+    return words.join(F.broadcast(ids) if ids.count() <= _BROADCAST_IDS else ids, "rid")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of an undirected graph of (a, b) but the roots, its root being the least node it is connected to.
 
     Alternates large and small stars until nothing changes; each turn is two aggregations and two joins, and ends its lineage.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = compact(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:
+        few = edges.rdd.getNumPartitions()
         # Large star: neighbours above a node go to the least of its neighbourhood.
         around = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(few).distinct().coalesce(few)
         # Small star: a node and its lower neighbours go to the least of them.
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(few)
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lowest.select("a", F.col("m").alias("b")))
-        edges = cut(small.distinct())
+        edges = compact(small.coalesce(few).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -269,29 +274,29 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     banded = reps.select("rid", F.explode("bands").alias("band"))
     words = sketches.select("rid", "words")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bucketed = cut(banded.join(shared, "band"))
+    bucketed = compact(banded.join(shared, "band"))
     # The first of a band is the row that shares most with others. It is first in most bands of a group, so few pairs differ.
-    weight = cut(bucketed.groupBy("rid").agg(F.sum("n").alias("weight")))
+    weight = compact(bucketed.groupBy("rid").agg(F.sum("n").alias("weight")))
     first = bucketed.join(weight, "rid").groupBy("band").agg(F.max(F.struct("weight", "rid"))["rid"].alias("first"))
     stars = bucketed.join(first, "band").where("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b")).distinct()
-    links = cut(_verified(stars, words, k, similarity))
+    links = compact(_verified(stars, words, k, similarity))
     roots = components(links)
-    mixed = cut(_mixed(bucketed.select("band", "rid"), roots))
+    mixed = compact(_mixed(bucketed.select("band", "rid"), roots).join(weight, "rid"))
     if not mixed.isEmpty():
-        found = _across(mixed, weight, roots, words, k, similarity)
+        found = _across(mixed, roots, words, k, similarity)
         if not found.isEmpty():
             roots = components(links.unionByName(found))
     # The first row of a class, by its texts: rows meet their text alone, so no task holds the rows of a class.
     members = roots.select(F.col("node").alias("rep"), "root").unionByName(roots.select(F.col("root").alias("rep"), "root").distinct())
     named = texts.select("key", "copies", "first", "rep").join(members, "rep", "left")
-    least_of = cut(named.where("root is not null").groupBy("root").agg(F.min("first").alias("least")))
+    least_of = compact(named.where("root is not null").groupBy("root").agg(F.min("first").alias("least")))
     named = named.join(least_of, "root", "left").select("key", "copies", F.coalesce("least", "first").alias("least"))
     of_rows = sketches.select("rid", "doc_id", "key").join(named, "key")
     return of_rows.select("doc_id", "key", F.col("least.doc_id").alias("class_id"), "copies", (F.col("rid") == F.col("least.rid")).alias("kept"))
 
 
 def _prefixes(words: DataFrame, k: int, threshold: float, common: int = 32) -> DataFrame:
-    """(run, rid, n, at): of each text the first of its ``n`` runs in one order of all runs, so many that two texts alike at
+    """(run, rid, weight, n, at): of each text the first of its ``n`` runs in one order of all runs, so many that two texts alike at
     ``threshold`` share one of them. Runs of more than ``common`` texts are last, by their number, so what many texts share,
     as a passage, is first in none that has enough of its own. Any order gives the same pairs alike; at most
     ``_BROADCAST_IDS`` runs are known as common.
@@ -313,25 +318,25 @@ def _prefixes(words: DataFrame, k: int, threshold: float, common: int = 32) -> D
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = shared.value
         for batch in batches:
-            for rid, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for rid, weight, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 run = runs_of(packed).view(np.int64)
                 n = len(run)
                 place = np.minimum(np.searchsorted(known, run), max(0, len(known) - 1))
                 often = np.where(known[place] == run, number[place], 0) if len(known) else np.zeros(n, np.int64)
                 taken = run[np.lexsort((run, often))][: n - int(np.ceil(threshold * n - 1e-9)) + 1]
-                yield pa.record_batch([pa.array(taken), pa.array(np.full(len(taken), rid)), pa.array(np.full(len(taken), n)), pa.array(np.arange(len(taken)))], ["run", "rid", "n", "at"])
+                yield pa.record_batch([pa.array(taken), *(pa.array(np.full(len(taken), x)) for x in (rid, weight, n)), pa.array(np.arange(len(taken)))], ["run", "rid", "weight", "n", "at"])
 
-    return words.select("rid", "words").mapInArrow(first, "run long, rid long, n long, at long")
+    return words.select("rid", "weight", "words").mapInArrow(first, "run long, rid long, weight long, n long, at long")
 
 
-def _across(mixed: DataFrame, weight: DataFrame, roots: DataFrame, words: DataFrame, k: int, similarity: float) -> DataFrame:
+def _across(mixed: DataFrame, roots: DataFrame, words: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links between all rows of ``mixed`` that ``roots`` leaves in different classes.
 
     Rows alike share a run of their prefixes. For each run the rows are compared with the one of most weight, and then, with
     classes that know of it, with all rows of other classes, but for pairs whose runs after the last shared one are too few.
     """
-    runs = _prefixes(words.join(mixed, "rid", "left_semi"), k, similarity)
-    runs = cut(runs.join(weight, "rid"))
+    runs = kept(_prefixes(_of(words, mixed), k, similarity), "prefixes")
+    runs = compact(runs.join(runs.groupBy("run").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("run"), "run", "left_semi"))
 
     def labelled(roots: DataFrame) -> DataFrame:
         named = runs.join(roots.select(F.col("node").alias("rid"), F.col("root").alias("label")), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
@@ -341,9 +346,9 @@ def _across(mixed: DataFrame, weight: DataFrame, roots: DataFrame, words: DataFr
     near = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
     stars = labelled(roots).where("label <> first.label").withColumn("m", F.col("first.n")).where(near)
     stars = stars.select(F.col("first.rid").alias("a"), F.col("rid").alias("b")).distinct()
-    found = cut(_verified(stars, words, k, similarity))
+    found = compact(_verified(stars, words, k, similarity))
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
-    left = cut(labelled(components(links)).select("run", "rid", "n", "at", "label"))
+    left = compact(labelled(components(links) if found.take(1) else roots).select("run", "rid", "n", "at", "label"))
     if left.isEmpty():
         return found
     # The shorter text of a pair shares a run that comes even earlier in it.
@@ -351,4 +356,4 @@ def _across(mixed: DataFrame, weight: DataFrame, roots: DataFrame, words: DataFr
     longer = (F.col("n") > F.col("m")) | (F.col("n") == F.col("m")) & (F.col("rid") > F.col("b"))
     most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to"))
     pairs = left.join(other, "run").where(longer & F.expr("label <> other") & near & (most >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9))
-    return found.unionByName(cut(_verified(pairs.select(F.col("rid").alias("a"), "b").distinct(), words, k, similarity)))
+    return found.unionByName(compact(_verified(pairs.select(F.col("rid").alias("a"), "b").distinct(), words, k, similarity)))
