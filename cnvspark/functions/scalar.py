@@ -21,6 +21,21 @@ def null_failed(value: Column, other: Column) -> Column:
     return F.when(value.isNull() | other.isNull() | F.isnan(value) | F.isnan(other), F.lit(None)).otherwise(value)
 
 
+def bed_point(pos: Column) -> tuple[Column, Column]:
+    """(start, end) of a one-based position as a zero-based half-open interval."""
+    return pos - 1, pos
+
+
+def fittable(masked: Column, lrr: Column, low: float = -0.75, high: float = 0.5) -> Column:
+    """Whether a probe may take part in a fit: unmasked, and its LRR within bounds."""
+    return ~masked & lrr.between(low, high)
+
+
+def size_within(start: Column, end: Column, least: int, most: int) -> Column:
+    """Whether an interval's length lies within bounds, both included."""
+    return (end - start).between(least, most)
+
+
 def zygosity(baf: Column) -> Column:
     """How far an allele frequency is from balance, folded to [0.5, 1]."""
     return F.abs(baf - 0.5) + 0.5

@@ -49,15 +49,19 @@ def baf_targets(df: DataFrame) -> DataFrame:
 
 
 def rescale_baf(df: DataFrame) -> DataFrame:
-    """BAF mapped by the weighted line from the medians of the targets to the targets, then shifted probe by probe, and
-    with ``zyg`` computed anew.
+    """BAF mapped by the weighted line from the medians of the targets to the targets, then shifted probe by probe to where the
+    line puts the median of the target, and with ``zyg`` computed anew. ``masked`` rows, if marked, take no part in the fit and
+    are mapped but not shifted.
     """
     rows = baf_targets(df)
-    medians = rows.groupBy("target").agg(F.median("model_baf").alias("m"), F.count("model_baf").cast("double").alias("w"))
-    line = weighted_line(medians, "m", "target", "w")
-    out = rows.join(F.broadcast(line), how="cross").withColumn("baf_rescaled", F.col("baf") * F.col("slope") + F.col("intercept"))
-    out = out.withColumn("baf_shifted", F.col("baf_rescaled") + F.col("target") - (F.col("model_baf") * F.col("slope") + F.col("intercept")))
-    return out.withColumn("zyg", F.abs(F.col("baf_shifted") - 0.5) + 0.5).drop("slope", "intercept")
+    masked = F.col("masked") if "masked" in df.columns else F.lit(False)
+    medians = rows.where(~masked).groupBy("target").agg(F.median("model_baf").alias("_m"), F.count("model_baf").cast("double").alias("w"))
+    line = weighted_line(medians, "_m", "target", "w")
+    out = rows.join(F.broadcast(medians.drop("w")), "target", "left").join(F.broadcast(line), how="cross")
+    out = out.withColumn("baf_rescaled", F.col("baf") * F.col("slope") + F.col("intercept"))
+    shift = F.when(masked, 0.0).otherwise((F.col("_m") - F.col("model_baf")) * F.col("slope"))
+    out = out.withColumn("baf_shifted", F.col("baf_rescaled") + shift)
+    return out.withColumn("zyg", F.abs(F.col("baf_shifted") - 0.5) + 0.5).drop("slope", "intercept", "_m")
 
 
 def hist_moments(hist: DataFrame, by: list[str], per_unit: int) -> DataFrame:
@@ -109,22 +113,29 @@ def project_missing(fits: DataFrame) -> DataFrame:
     return wanted.join(have, "cn", "left").select("cn", F.coalesce("_l", line).alias("lrr_mean"), F.coalesce("_s", "s2").alias("lrr_sd"), F.coalesce("_z", zyg).alias("zyg_mean"))
 
 
-def log_emissions(probes: DataFrame, states: DataFrame, lrr: DataFrame, zyg: DataFrame, penalties: list[float], mode: str = "segment") -> DataFrame:
+def log_emissions(probes: DataFrame, states: DataFrame, lrr: DataFrame, zyg: DataFrame, penalties: list[float], mode: str = "segment", informative: float | None = None, bad: float = 0.01) -> DataFrame:
     """Rows with ``log_ep``: the log emission of every state, in order of state number.
 
-    ``probes`` need cn_in, allelism_in, inf_in, lrr_bin, zyg_bin; ``states`` (state, cn, allelism, mosaic, inf_out, zyg_key); ``lrr``
-    (cn, bin, p); ``zyg`` (zyg_key, bin, p). Tables of states and emissions are small and broadcast; no row of probes is
-    exploded, as the tables come in as maps by bin.
+    ``probes`` need cn_in, allelism_in, inf_in, zyg_bin and lrr_bin, or lrr_bins, an array of the LRR's bin as corrected for copy number
+    0, 1, ...; ``states`` (state, cn, allelism, mosaic, inf_out, zyg_key); ``lrr`` (cn, bin, p); ``zyg`` (zyg_key, bin, p). When
+    refining, ``informative`` is the share of probes that are so, which weighs informative states against others;
+    ``bad`` is that of probes that seem informative with one allele. Tables of states and emissions are small and
+    broadcast; no row of probes is exploded, as the tables come in as arrays by bin.
     """
 
     def lookup(table: DataFrame, key: str) -> DataFrame:
-        return table.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "p"))).alias("_p"))
+        found = table.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "p"))).alias("_m"), F.min("bin").alias("_low"), F.max("bin").alias("_high"))
+        return found.select(key, F.struct("_low", F.transform(F.sequence("_low", "_high"), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0))).alias("_p")).alias("_t"))
+
+    def at(table, bin_):
+        return F.coalesce(F.get(table["_p"], bin_ - table["_low"]), F.lit(0.0))
 
     l_rows, z_rows = lookup(lrr, "cn"), lookup(zyg, "zyg_key")
-    wide = states.join(l_rows.withColumnRenamed("_p", "lp"), "cn", "left").join(z_rows.withColumnRenamed("_p", "zp"), "zyg_key", "left")
-    flat = z_rows.where("zyg_key = '1'").select(F.col("_p").alias("z1")).limit(1)
+    wide = states.join(l_rows.withColumnRenamed("_t", "lp"), "cn", "left").join(z_rows.withColumnRenamed("_t", "zp"), "zyg_key", "left")
+    flat = z_rows.where("zyg_key = '1'").select(F.col("_t").alias("z1")).limit(1)
     packed = wide.agg(F.array_sort(F.collect_list(F.struct("state", "cn", "allelism", "mosaic", "inf_out", "lp", "zp")), lambda a, b: a["state"] - b["state"]).alias("_states")).join(flat, how="left")
     steps = F.array(*(F.lit(float(x)) for x in penalties))
+    by_cn = "lrr_bins" in probes.columns
 
     def one(s):
         same = s["cn"] == F.col("cn_in")
@@ -137,8 +148,11 @@ def log_emissions(probes: DataFrame, states: DataFrame, lrr: DataFrame, zyg: Dat
         else:
             adj_as, adj_cn = F.lit(1.0), F.when(same, 1.0).otherwise(penalty)
             key_one = ~F.col("inf_in") | ~s["inf_out"]
-        lp = F.coalesce(F.try_element_at(s["lp"], F.col("lrr_bin")), F.lit(0.0))
-        zp = F.coalesce(F.try_element_at(F.when(key_one, F.col("z1")).otherwise(s["zp"]), F.col("zyg_bin")), F.lit(0.0))
+            if informative is not None:
+                chance = F.when(s["allelism"] == 1, F.lit(float(bad))).otherwise(F.lit(float(informative)))
+                adj_as = F.when(s["allelism"] == 0, 0.5).when(s["inf_out"], chance).otherwise(1 - chance)
+        lp = at(s["lp"], F.get("lrr_bins", s["cn"].cast("int")) if by_cn else F.col("lrr_bin"))
+        zp = F.when(key_one, at(F.col("z1"), F.col("zyg_bin"))).otherwise(at(s["zp"], F.col("zyg_bin")))
         return safe_log(adj_as * adj_cn * lp * zp)
 
     return probes.join(F.broadcast(packed), how="cross").withColumn("log_ep", F.transform("_states", one)).drop("_states", "z1")

@@ -32,13 +32,19 @@ def fittable_cns(df: DataFrame, n: int = 25_000) -> DataFrame:
 
 
 def gc_limits(df: DataFrame, seed: int = 40, n: int = 25_000) -> DataFrame:
-    """For each copy number the range of GC percents around ``seed``: down and up to the first one with fewer than ``n``
+    """The range of GC percents around ``seed`` over all probes (one row): down and up to the first one with fewer than ``n``
     probes, which is the limit.
     """
-    counts = df.groupBy("cn_in", "perc_gc").agg(F.count(F.lit(1)).alias("n"))
-    dense = counts.select("cn_in").distinct().withColumn("perc_gc", F.explode(F.sequence(F.lit(0), F.lit(100))))
-    full = dense.join(counts, ["cn_in", "perc_gc"], "left").withColumn("fail", F.coalesce("n", F.lit(0)) < n)
-    return full.groupBy("cn_in").agg(F.coalesce(F.max(F.when(F.col("fail") & (F.col("perc_gc") <= seed), F.col("perc_gc"))), F.lit(0)).alias("gc_low"), F.coalesce(F.min(F.when(F.col("fail") & (F.col("perc_gc") >= seed), F.col("perc_gc"))), F.lit(100)).alias("gc_high"))
+    counts = df.groupBy("perc_gc").agg(F.count(F.lit(1)).alias("n"))
+    grid = df.sparkSession.range(101).select(F.col("id").cast("int").alias("perc_gc"))
+    full = grid.join(counts, "perc_gc", "left").withColumn("fail", F.coalesce("n", F.lit(0)) < n)
+    low, high = (F.when(F.col("fail") & side, F.col("perc_gc")) for side in (F.col("perc_gc") <= seed, F.col("perc_gc") >= seed))
+    return full.agg(F.coalesce(F.max(low), F.lit(0)).alias("gc_low"), F.coalesce(F.min(high), F.lit(100)).alias("gc_high"))
+
+
+def within_limits(df: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows whose GC percent lies within the limits (one row), both included."""
+    return df.join(F.broadcast(limits), F.col("perc_gc").between(F.col("gc_low"), F.col("gc_high"))).drop("gc_low", "gc_high")
 
 
 #: A quadratic fit from sums n, g1..g4, y, gy, g2y, as SQL text that means the same in every engine.
@@ -60,11 +66,11 @@ def fit_gc(df: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """(cn_in, perc_gc, offset): the fitted value at each GC percent less the median of the copy number."""
     rows = df.where("lrr is not null and frac_gc is not null")
     if limits is not None:
-        rows = rows.join(F.broadcast(limits), "cn_in").where("perc_gc between gc_low and gc_high")
+        rows = within_limits(rows, limits)
     coefs = gc_sums(rows, "cn_in", "frac_gc", "lrr").select("cn_in", "median", *(F.expr(e).alias(k) for k, e in QUADRATIC.items()))
     grid = coefs.withColumn("perc_gc", F.explode(F.sequence(F.lit(0), F.lit(100))))
     if limits is not None:
-        grid = grid.join(F.broadcast(limits), "cn_in").where("perc_gc between gc_low and gc_high")
+        grid = within_limits(grid, limits)
     g = F.col("perc_gc") / 100
     return grid.select("cn_in", "perc_gc", (F.col("c0") + F.col("c1") * g + F.col("c2") * g * g - F.col("median")).alias("offset"))
 
@@ -88,12 +94,22 @@ def candidate_lrr(df: DataFrame, offsets: DataFrame, cns: list[int]) -> DataFram
     return rows.join(F.broadcast(table), ["fit_cn", "perc_gc"], "left").withColumn("lrr_cn", F.when(F.col("cn") == 0, F.col("lrr")).otherwise(F.col("lrr") - F.col("offset"))).drop("offset", "fit_cn")
 
 
+def candidate_bins(df: DataFrame, offsets: DataFrame, max_cn: int, per_unit: int) -> DataFrame:
+    """Rows with ``lrr_bins``: the bin of the LRR corrected as if the probe had copy number 0, 1, ... ``max_cn``, as
+    :func:`candidate_lrr` does, without a row for each. The offsets come in by GC percent, at most 101 rows.
+    """
+    none = F.array(*(F.lit(0.0) for _ in range(max_cn + 1)))
+    fitted = offsets.select(F.col("cn_in").alias("fit_cn")).distinct()
+    wanted = df.sparkSession.range(1, max_cn + 1).select(F.col("id").cast("int").alias("cn"))
+    nearest = wanted.join(F.broadcast(fitted), how="cross").groupBy("cn").agg(F.min(F.struct(F.abs(F.col("fit_cn") - F.col("cn")), "fit_cn"))["fit_cn"].alias("fit_cn"))
+    each = offsets.select(F.col("cn_in").alias("fit_cn"), "perc_gc", "offset").join(F.broadcast(nearest), "fit_cn")
+    table = each.groupBy("perc_gc").agg(F.array_sort(F.collect_list(F.struct("cn", "offset"))).alias("_offsets"))
+    rows = df.join(F.broadcast(table), "perc_gc", "left")
+    per_cn = F.coalesce(F.concat(F.array(F.lit(0.0)), F.transform("_offsets", lambda x: x["offset"])), none)
+    return rows.withColumn("lrr_bins", F.transform(per_cn, lambda o: F.rint((F.col("lrr") - o) * per_unit).cast("int"))).drop("_offsets")
+
+
 def last_wins(gc: DataFrame, line: str = "line_no") -> DataFrame:
     """One GC value for each probe: that of the last line, without NULL, empty and ``0`` texts."""
     good = gc.where(F.col("frac_gc").isNotNull() & ~F.col("frac_gc").isin("", "NA", "0"))
     return good.groupBy("probe").agg(F.max_by("frac_gc", line).cast("double").alias("frac_gc"))
-
-
-def previous_of(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Rows with the value before."""
-    return df.withColumn(f"prev_{value}", F.lag(value).over(Window.partitionBy(*by).orderBy(order)))

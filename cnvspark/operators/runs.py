@@ -84,8 +84,10 @@ def flanks(df: DataFrame, by: list[str], runs: DataFrame, n: int = 10) -> DataFr
 
 
 def called_cn(all_probes: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
-    """Called copy number of each run: the median of 2·2^LRR, corrected by the copy numbers' medians over unchanged probes."""
+    """Called copy number of each run: the median of 2·2^LRR, corrected by what the unchanged probes of the run's output copy
+    number are off it; uncorrected where there are none.
+    """
     calc = 2 * F.pow(F.lit(2.0), F.col("lrr"))
-    corr = all_probes.where("not masked and cn_out = cn_in and cn_in > 0").groupBy("cn_in").agg((F.first("cn_in") / F.median(calc)).alias("corr"))
-    rows = runs.join(F.broadcast(corr), "cn_in", "left").withColumn("_c", calc * F.coalesce("corr", F.lit(1.0)))
+    corr = all_probes.where("not masked and cn_out = cn_in").groupBy(F.col("cn_in").alias("cn_out")).agg((F.first("cn_in") / F.median(calc)).alias("corr"))
+    rows = runs.join(F.broadcast(corr), "cn_out", "left").withColumn("_c", calc * F.coalesce("corr", F.lit(1.0)))
     return rows.groupBy(*by, "run").agg(F.round(F.median("_c"), 2).alias("cn_clc")).withColumn("cn_p", F.lit(0.0))

@@ -104,6 +104,11 @@ def informative_fraction(df: DataFrame) -> DataFrame:
     return df.where(~F.col("masked")).agg(F.avg(F.col("inf_in").cast("double")).alias("fraction"))
 
 
+def sufficient(df: DataFrame, by: str, usable: Column, least: int) -> DataFrame:
+    """(by, ok): whether there are at least ``least`` usable rows."""
+    return df.groupBy(by).agg((F.count_if(usable) >= least).alias("ok"))
+
+
 def avg_likelihood_hist(svs: DataFrame, width: float = 10.0, cap: float = 250.0) -> DataFrame:
     """Histogram of exp(rel_ll / n_probes), capped."""
     v = F.least(F.exp(F.col("rel_ll") / F.col("n_probes")), F.lit(cap))

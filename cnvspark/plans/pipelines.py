@@ -14,7 +14,7 @@ from cnvspark.functions import scalar as S
 from cnvspark.operators import compare, coverage, emissions, gcbias, hmm, intervals, runs, samples, stats
 from cnvspark.sources import readers
 
-#: Penalties for states 1, 2, 3 and 4 copies away, and the chance of a change between neighbouring probes.
+#: Penalties for states 1, 2, 3 and 4 copies away, and the chance of a change between neighbouring probes.
 PENALTIES, CHANGE = [0.98, 0.9, 0.5, 0.1], 1e-4
 LRR_BINS, ZYG_BINS = 30, 150
 _STATE = "state int, allelic_state string, cn double, allelism int, mosaic boolean, inf_out boolean, zyg_key string"
@@ -57,17 +57,18 @@ def train(spark: SparkSession, method: str, *, path: str | None = None, chroms:
     return coverage.sex_model(spark, chroms or [f"chr{c}" for c in (*range(1, 23), "X", "Y")], method)
 
 
-def _states(max_cn: int) -> list[tuple[int, str, float, int, bool, bool, str]]:
-    """One state for each copy number and allelism without mosaics, in order: number, allelic state, copy number,
-    allelism, mosaic, informative, key of its zygosity table.
+def _states(max_cn: int, mosaics: bool = False, by_inf: bool = False) -> list[tuple[int, str, float, int, bool, bool, str]]:
+    """One state for each copy number and allelism, in order: number, allelic state, copy number, allelism, mosaic,
+    informative, key of its zygosity table. With ``mosaics`` those between copy numbers too; with ``by_inf`` one state each for
+    informative and other probes.
     """
     found: dict[tuple[float, str], list] = {}
     for line in readers.STATES.strip().splitlines():
         name, cn, allelism, _, inf, mosaic, _ = line.split()
-        if mosaic == "no" and float(cn) <= max_cn:
-            state = found.setdefault((float(cn), name), [int(allelism), False])
+        if (mosaics or mosaic == "no") and float(cn) <= max_cn:
+            state = found.setdefault((float(cn), name, by_inf and inf == "yes"), [int(allelism), False, mosaic == "yes"])
             state[1] |= inf == "yes"
-    return [(i, name, cn, a, False, inf, str(a) if a <= 1 else f"s{name}") for i, ((cn, name), (a, inf)) in enumerate(sorted(found.items()))]
+    return [(i, name, cn, a, mosaic, inf, str(a) if a <= 1 else f"s{name}") for i, ((cn, name, _), (a, inf, mosaic)) in enumerate(sorted(found.items()))]
 
 
 def _gauss(low: int, high: int, mean: float, sd: float, bad: float, floor: float = 1e-12) -> list[float]:
@@ -93,21 +94,27 @@ def _tables(spark: SparkSession, states: list[tuple], lrr_sd: float) -> tuple[Da
     return spark.createDataFrame(lrr, "cn double, bin int, p double"), spark.createDataFrame(zyg, "zyg_key string, bin int, p double")
 
 
-def _decode(rows: DataFrame, by: list[str], max_cn: int, lrr_sd: float, mode: str, change: float, block: int | None) -> DataFrame:
-    """Rows with hs, as_out, cn_out, allelism_out from the hidden Markov model; rows need lrr_fit, zyg, cn_in, allelism_in, inf_in."""
+def _decode(rows: DataFrame, by: list[str], max_cn: int, lrr_sd: float, mode: str, change: float, block: int | None, informative: float | None = None) -> DataFrame:
+    """Rows with hs, as_out, cn_out, allelism_out from the hidden Markov model; rows need lrr_fit or lrr_bins, zyg, cn_in,
+    allelism_in, inf_in. States are split by informativity if its share is given.
+    """
     spark = rows.sparkSession
-    listed = _states(max_cn)
+    listed = _states(max_cn, by_inf=informative is not None)
     states = spark.createDataFrame(listed, _STATE)
     lrr, zyg = _tables(spark, listed, lrr_sd)
-    binned = rows.withColumn("lrr_bin", S.bin_even(F.col("lrr_fit"), LRR_BINS)).withColumn("zyg_bin", S.bin_even(F.col("zyg"), ZYG_BINS))
-    ep = emissions.log_emissions(binned, states.select("state", "cn", "allelism", "mosaic", "inf_out", "zyg_key"), lrr, zyg, PENALTIES, mode)
+    binned = rows.withColumn("zyg_bin", S.bin_even(F.col("zyg"), ZYG_BINS))
+    if "lrr_bins" not in rows.columns:
+        binned = binned.withColumn("lrr_bin", S.bin_even(F.col("lrr_fit"), LRR_BINS))
+    ep = emissions.log_emissions(binned, states.select("state", "cn", "allelism", "mosaic", "inf_out", "zyg_key"), lrr, zyg, PENALTIES, mode, informative)
     decoded = hmm.viterbi(ep, by, ["pos", "probe"], "log_ep", hmm.transitions(len(listed), change), block=block)
     names = states.select(F.col("state").alias("hs"), F.col("allelic_state").alias("as_out"), F.col("cn").alias("cn_out"), F.col("allelism").alias("allelism_out"))
-    return decoded.join(F.broadcast(names), "hs").drop("lrr_bin", "zyg_bin")
+    return decoded.join(F.broadcast(names), "hs").drop("lrr_bin", "lrr_bins", "zyg_bin")
 
 
-def refine(obs: DataFrame, intervals_: DataFrame, gc: DataFrame, *, max_cn: int = 5, min_probes: int = 25_000, lrr_sd: float = 0.2, rounds: int = 1, block: int | None = hmm.BLOCK) -> DataFrame:
-    """A refined model of probes from control samples: medians, input copy number, GC correction, decoding, rejection of gains.
+def refine(obs: DataFrame, intervals_: DataFrame, gc: DataFrame, *, max_cn: int = 5, min_probes: int = 25_000, min_gc: int | None = None, lrr_sd: float = 0.2, rounds: int = 1, block: int | None = hmm.BLOCK) -> DataFrame:
+    """A refined model of probes from control samples: medians, input copy number, GC limits and correction for each candidate
+    copy number, decoding weighted by how many probes are informative, rejection of gains. ``min_gc`` is the least number of
+    probes of a GC percent within the limits (``min_probes`` if not given).
 
     In a second round the copy number comes from the first round's probes. The model is persisted, as jobs read it
     several times; ``unpersist`` it when done.
@@ -118,11 +125,13 @@ def refine(obs: DataFrame, intervals_: DataFrame, gc: DataFrame, *, max_cn: int
     for _ in range(rounds):
         rows = with_cn if out is None else probes.join(out.select("probe", F.col("cn_out").alias("cn_in")), "probe")
         rows = samples.usable(samples.join_gc(rows, gc).withColumn("perc_gc", S.perc_gc(F.col("frac_gc"))), mode="discard", max_cn=max_cn)
+        rows = gcbias.within_limits(rows, gcbias.gc_limits(rows, n=min_probes if min_gc is None else min_gc))
         fitted = gcbias.fittable_cns(rows, min_probes).select("cn_in")
         offsets = gcbias.fit_gc(rows.join(F.broadcast(fitted), "cn_in"))
-        rows = gcbias.apply_gc(rows, offsets).withColumn("lrr_fit", F.coalesce("lrr_corr", "lrr")).withColumn("zyg", S.zygosity(F.col("baf")))
+        rows = gcbias.candidate_bins(gcbias.apply_gc(rows, offsets), offsets, max_cn, LRR_BINS).withColumn("zyg", S.zygosity(F.col("baf")))
         rows = rows.withColumn("inf_in", S.informative(F.col("zyg"))).withColumn("allelism_in", F.when(F.col("cn_in") <= 1, F.col("cn_in").cast("int")).otherwise(2)).withColumn("masked", F.lit(False))
-        out = hmm.reject_gains(runs.derive_changes(_decode(rows, ["chrom"], max_cn, lrr_sd, "refine", CHANGE, block)))
+        share = stats.informative_fraction(rows).first()["fraction"]
+        out = hmm.reject_gains(runs.derive_changes(_decode(rows, ["chrom"], max_cn, lrr_sd, "refine", CHANGE, block, share or 0.0)))
     return out.select("chrom", "pos", "probe", "lrr", "baf", "cn_in", "perc_gc", "inf_in", "as_out", "cn_out", "allelism_out", "inf_out", "cnc").persist()
 
 
@@ -165,7 +174,7 @@ def compare_samples(decoded: DataFrame, svs: DataFrame, threshold: int = 2_000_0
     regions = intervals.number_regions(intervals.collapse_regions(sized, by), [F.when(F.col("size") == "small", 0).otherwise(1)])
     placed = intervals.interval_union(sized, "flank_start", "flank_end", by).join(regions.select(*by, "island", "region_id"), [*by, "island"])
     paths = decoded.where("sv_run is not null").select(F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("sv_run").cast("string")).alias("sv"), "sample", "probe", F.col("hs").alias("state"))
-    probes = decoded.select("sample", "probe", "masked", "log_ep", "model_state", F.col("anomalous").alias("changed"))
+    probes = decoded.select("sample", "probe", "masked", "log_ep", "model_state", (F.coalesce(F.col("cnc") != 0, F.lit(False)) | F.coalesce("loh_probe", F.lit(False))).alias("changed"))
     best = compare.extreme_samples(compare.pair_scores(paths, probes))
     seen = compare.overlap_samples(paths, probes)
     return placed.join(best, ["sv", "sample"], "left").join(seen, ["sv", "sample"], "left").drop("island").orderBy("region_id", "chrom", "start", "end")
@@ -176,8 +185,3 @@ def fan_out(table: DataFrame, experiment: str) -> DataFrame:
     rows = table.where(F.col("Experiment") == experiment)
     control = F.upper("Control") == "YES"
     return rows.groupBy("Experiment", "Cell_Line", "Cell_Clone").agg(F.sort_array(F.collect_set(F.when(control, F.col("Sample_ID")))).alias("controls"), F.sort_array(F.collect_set("Sample_ID")).alias("samples"))
-
-
-def iso_line(i: int, n: int) -> float:
-    """The relative likelihood of ``n`` probes that are each 10**``i`` times as likely."""
-    return math.log(10**i) * n

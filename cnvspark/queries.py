@@ -58,7 +58,7 @@ def prj3(spark, d):
 
 @_query("prj4_bed_point", "SELECT sample, probe, pos - 1 AS start, pos AS \"end\" FROM v_probe")
 def prj4(spark, d):
-    return view(spark, d, "v_probe").select("sample", "probe", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"))
+    return view(spark, d, "v_probe").select("sample", "probe", *(c.alias(n) for c, n in zip(S.bed_point(F.col("pos")), ("start", "end"), strict=True)))
 
 
 @_query("prj5_zygosity", "SELECT sample, probe, l_orderkey, l_linenumber, round(abs(baf - 0.5) + 0.5, 6) AS zyg FROM v_probe")
@@ -122,7 +122,7 @@ def prj13m(spark, d):
 
 @_query("prj14_fittable", "SELECT sample, probe, NOT masked AND lrr BETWEEN -0.75 AND 0.5 AS fittable FROM v_state", "v_state")
 def prj14(spark, d):
-    return view(spark, d, "v_state").select("sample", "probe", (~F.col("masked") & F.col("lrr").between(-0.75, 0.5)).alias("fittable"))
+    return view(spark, d, "v_state").select("sample", "probe", S.fittable(F.col("masked"), F.col("lrr")).alias("fittable"))
 
 
 @_query("prj15_usable_depth", "SELECT g, t FROM v_series WHERE x >= 20 - 3.5 * 4 AND x <= 3 * (20 + 3.5 * 4)", "v_series")
@@ -180,7 +180,7 @@ def prj24(spark, d):
 
 @_query("prj26_size_bounds", "SELECT ord, \"end\" - start AS span FROM v_segment WHERE \"end\" - start BETWEEN 5000 AND 20000", "v_segment")
 def prj26(spark, d):
-    return view(spark, d, "v_segment").select("ord", (F.col("end") - F.col("start")).alias("span")).where("span between 5000 and 20000")
+    return view(spark, d, "v_segment").where(S.size_within(F.col("start"), F.col("end"), 5000, 20000)).select("ord", (F.col("end") - F.col("start")).alias("span"))
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
@@ -336,15 +336,15 @@ def jn15(spark, d):
     return intervals.contained(view(spark, d, "v_span"), intervals.number_regions(_regions(spark, d))).select("sample", "chrom", "flank_start", "flank_end", F.col("region_id"))
 
 
-_PAIRS = """e AS (SELECT sample, probe, masked, cn_out - 1 AS model_state, [-0.5*(lrr+0.5)*(lrr+0.5), -0.5*lrr*lrr, -0.5*(lrr-0.5)*(lrr-0.5)] AS ep FROM v_state WHERE chrom = 'chr1'),
-sv AS (SELECT concat(CAST(sample AS STRING), ':', CAST(run AS STRING)) AS sv, sample, probe, cn_out - 1 AS state FROM r WHERE chrom = 'chr1'),
+_PAIRS = """e AS (SELECT sample, probe, masked, cn_out - 1 AS model_state, [-0.5*(lrr+0.5)*(lrr+0.5), -0.5*lrr*lrr, -0.5*(lrr-0.5)*(lrr-0.5)] AS ep FROM v_state),
+sv AS (SELECT concat(CAST(sample AS STRING), ':', chrom, ':', CAST(run AS STRING)) AS sv, sample, probe, cn_out - 1 AS state FROM r),
 p AS (SELECT sv.sv, sv.sample, e.sample AS target, sum(ep[sv.state + 1] - ep[e.model_state + 1]) AS score, count(*) AS n FROM sv JOIN e ON e.probe = sv.probe WHERE NOT e.masked GROUP BY ALL)"""
 
 
 def _pair_inputs(spark, d):
     lrr = F.col("lrr")
-    probes = view(spark, d, "v_state").where("chrom = 'chr1'").select("sample", "probe", "masked", (F.col("cn_out") - 1).alias("model_state"), F.array(-0.5 * (lrr + 0.5) * (lrr + 0.5), -0.5 * lrr * lrr, -0.5 * (lrr - 0.5) * (lrr - 0.5)).alias("log_ep"), (F.col("cn_out") != F.col("cn_in")).alias("changed"))
-    svs = _run_rows(spark, d).where("chrom = 'chr1'").select(F.concat_ws(":", F.col("sample").cast("string"), F.col("run").cast("string")).alias("sv"), "sample", "probe", (F.col("cn_out") - 1).alias("state"))
+    probes = runs.derive_changes(view(spark, d, "v_state")).select("sample", "probe", "masked", (F.col("cn_out") - 1).alias("model_state"), F.array(-0.5 * (lrr + 0.5) * (lrr + 0.5), -0.5 * lrr * lrr, -0.5 * (lrr - 0.5) * (lrr - 0.5)).alias("log_ep"), ((F.col("cnc") != 0) | F.col("loh_probe")).alias("changed"))
+    svs = _run_rows(spark, d).select(F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("run").cast("string")).alias("sv"), "sample", "probe", (F.col("cn_out") - 1).alias("state"))
     return svs, probes
 
 
@@ -364,7 +364,7 @@ def agg17(spark, d):
     return compare.extreme_samples(scores).select("sv", "sample", "min_trll_smp", "max_trll_smp")
 
 
-@_query("agg18_overlap_samples", _runs_sql(", k AS (SELECT sv, x.sample, list_sort(list(DISTINCT v.sample)) AS l FROM (SELECT concat(CAST(sample AS STRING), ':', CAST(run AS STRING)) AS sv, sample, probe FROM r WHERE chrom = 'chr1') x JOIN v_state v ON v.probe = x.probe AND v.sample <> x.sample AND v.cn_out <> v.cn_in AND NOT v.masked GROUP BY sv, x.sample) SELECT s.sv, s.sample, coalesce(array_to_string(l, ','), '') AS ovlp_smp FROM (SELECT DISTINCT concat(CAST(sample AS STRING), ':', CAST(run AS STRING)) AS sv, sample FROM r WHERE chrom = 'chr1') s LEFT JOIN k ON k.sv = s.sv AND k.sample = s.sample"))
+@_query("agg18_overlap_samples", _runs_sql(", k AS (SELECT sv, x.sample, list_sort(list(DISTINCT v.sample)) AS l FROM (SELECT concat(CAST(sample AS STRING), ':', chrom, ':', CAST(run AS STRING)) AS sv, sample, probe FROM r) x JOIN v_state v ON v.probe = x.probe AND v.sample <> x.sample AND (v.cn_out <> v.cn_in OR (v.allelism_out <= 1 AND v.inf_in)) AND NOT v.masked GROUP BY sv, x.sample) SELECT s.sv, s.sample, coalesce(array_to_string(l, ','), '') AS ovlp_smp FROM (SELECT DISTINCT concat(CAST(sample AS STRING), ':', chrom, ':', CAST(run AS STRING)) AS sv, sample FROM r) s LEFT JOIN k ON k.sv = s.sv AND k.sample = s.sample"))
 def agg18(spark, d):
     return compare.overlap_samples(*_pair_inputs(spark, d))
 
@@ -384,19 +384,19 @@ def jn18(spark, d):
     return cut.select("chrom", "start", "end", F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
-@_query("jn19_exclude", "SELECT f.sample, f.chrom, f.flank_start, f.flank_end FROM v_span f WHERE f.chrom NOT IN ('chr21') AND NOT EXISTS (SELECT 1 FROM v_segment s WHERE s.ord % 50 = 0 AND s.chrom = f.chrom AND s.start < f.flank_end AND s.\"end\" > f.flank_start)", "v_span v_segment")
+@_query("jn19_exclude", "SELECT f.sample, f.chrom, f.flank_start, f.flank_end FROM v_span f WHERE f.chrom NOT IN ('chr21') AND NOT EXISTS (SELECT 1 FROM v_segment s WHERE s.cn = 0 AND s.chrom = f.chrom AND s.start < f.flank_end AND s.\"end\" > f.flank_start)", "v_span v_segment")
 def jn19(spark, d):
     features = view(spark, d, "v_span").withColumnsRenamed({"flank_start": "start", "flank_end": "end"})
-    left = intervals.exclude(features, view(spark, d, "v_segment").where("ord % 50 = 0"), width=WIDTH, skip=("chr21",))
+    left = intervals.exclude(features, view(spark, d, "v_segment").where("cn = 0"), width=WIDTH, skip=("chr21",))
     return left.select("sample", "chrom", F.col("start").alias("flank_start"), F.col("end").alias("flank_end"))
 
 
 # --- aggregations ----------------------------------------------------------------------------------------------------
 
 
-@_query("agg1_probe_medians", "SELECT probe, round(median(lrr), 6) AS lrr, round(median(baf), 6) AS baf, count(*) AS n FROM v_probe WHERE sample % 3 = 0 GROUP BY probe")
+@_query("agg1_probe_medians", "SELECT probe, round(median(lrr), 6) AS lrr, round(median(baf), 6) AS baf, count(*) AS n FROM v_probe GROUP BY probe")
 def agg1(spark, d):
-    return stats.probe_medians(view(spark, d, "v_probe").where("sample % 3 = 0"), ["probe"], values=("lrr", "baf")).select("probe", _r("lrr").alias("lrr"), _r("baf").alias("baf"), "n")
+    return stats.probe_medians(view(spark, d, "v_probe"), ["probe"], values=("lrr", "baf")).select("probe", _r("lrr").alias("lrr"), _r("baf").alias("baf"), "n")
 
 
 @_query("agg2_mean_sd", "SELECT sample, chrom, round(avg(lrr), 6) AS mean, round(coalesce(stddev_samp(lrr), 0), 6) AS sd, count(lrr) AS n FROM v_probe GROUP BY sample, chrom")
@@ -497,7 +497,7 @@ def agg14(spark, d):
     return runs.run_means(_run_rows(spark, d), SC).select(*SC, "run", *(_r(c, 5).alias(c) for c in ("lrr_mean", "lrr_sd")), *(_r(_r(c, 9), 4).alias(c) for c in ("zyg_mean", "zyg_sd")))
 
 
-@_query("agg15_called_cn", _runs_sql(", k AS (SELECT cn_in, cn_in / median(2 * pow(2, lrr)) AS corr FROM v_state WHERE NOT masked AND cn_out = cn_in AND cn_in > 0 GROUP BY cn_in) SELECT sample, chrom, run, round(median(2 * pow(2, lrr) * coalesce(corr, 1)), 2) AS cn_clc, 0.0 AS cn_p FROM r LEFT JOIN k ON k.cn_in = r.cn_in GROUP BY sample, chrom, run"))
+@_query("agg15_called_cn", _runs_sql(", k AS (SELECT cn_in, cn_in / median(2 * pow(2, lrr)) AS corr FROM v_state WHERE NOT masked AND cn_out = cn_in GROUP BY cn_in) SELECT sample, chrom, run, round(median(2 * pow(2, lrr) * coalesce(corr, 1)), 2) AS cn_clc, 0.0 AS cn_p FROM r LEFT JOIN k ON k.cn_in = r.cn_out GROUP BY sample, chrom, run"))
 def agg15(spark, d):
     return runs.called_cn(view(spark, d, "v_state"), _run_rows(spark, d), SC)
 
@@ -514,7 +514,7 @@ def agg19(spark, d):
 
 @_query("agg20_sufficient", "SELECT cn_out AS cn, count(*) FILTER (WHERE NOT masked AND lrr BETWEEN -0.75 AND 0.75) >= 100 AS ok FROM v_state GROUP BY cn_out", "v_state")
 def agg20(spark, d):
-    return view(spark, d, "v_state").groupBy(F.col("cn_out").alias("cn")).agg((F.count_if(~F.col("masked") & F.col("lrr").between(-0.75, 0.75)) >= 100).alias("ok"))
+    return stats.sufficient(view(spark, d, "v_state").withColumn("cn", F.col("cn_out")), "cn", S.fittable(F.col("masked"), F.col("lrr"), high=0.75), 100)
 
 
 @_query("agg21_informative_fraction", "SELECT round(avg(CAST(inf_in AS INT)), 6) AS fraction FROM v_state WHERE NOT masked", "v_state")
@@ -632,7 +632,7 @@ def win9(spark, d):
     return _hist(spark, d).select("cn", "bin", _r("p").alias("p"))
 
 
-@_query("win10_gc_limits", "SELECT cn_in, CAST(coalesce(max(perc) FILTER (WHERE fail AND perc <= 40), 0) AS INT) AS gc_low, CAST(coalesce(min(perc) FILTER (WHERE fail AND perc >= 40), 100) AS INT) AS gc_high FROM (SELECT c.cn_in, p.perc, coalesce(n, 0) < 3 AS fail FROM (SELECT DISTINCT cn_in FROM v_model) c CROSS JOIN (SELECT unnest(range(0, 101)) AS perc) p LEFT JOIN (SELECT cn_in, perc_gc, count(*) AS n FROM v_model GROUP BY ALL) k ON k.cn_in = c.cn_in AND k.perc_gc = p.perc) GROUP BY cn_in", "v_model")
+@_query("win10_gc_limits", "SELECT CAST(coalesce(max(perc) FILTER (WHERE fail AND perc <= 40), 0) AS INT) AS gc_low, CAST(coalesce(min(perc) FILTER (WHERE fail AND perc >= 40), 100) AS INT) AS gc_high FROM (SELECT p.perc, coalesce(n, 0) < 3 AS fail FROM (SELECT unnest(range(0, 101)) AS perc) p LEFT JOIN (SELECT perc_gc, count(*) AS n FROM v_model GROUP BY ALL) k ON k.perc_gc = p.perc)", "v_model")
 def win10(spark, d):
     return gcbias.gc_limits(view(spark, d, "v_model"), 40, 3)
 
@@ -727,12 +727,12 @@ def mod4(spark, d):
 
 
 @_query("mod5_rescale_baf", """, m AS (SELECT probe, baf AS model_baf, cn_in, CASE WHEN baf >= 0.5 THEN 1 - CASE WHEN cn_in = 2 THEN 0.5 WHEN cn_in = 3 THEN 0.33 ELSE 0.0 END ELSE CASE WHEN cn_in = 2 THEN 0.5 WHEN cn_in = 3 THEN 0.33 ELSE 0.0 END END AS target FROM v_model),
- o AS (SELECT sample, m.*, v.baf FROM v_obs v JOIN m ON m.probe = v.probe), k AS (SELECT target, median(model_baf) AS x, CAST(count(*) AS DOUBLE) AS w FROM o GROUP BY target), q AS (SELECT sum(w) sw, sum(w*x) sx, sum(w*target) sy, sum(w*x*x) sxx, sum(w*x*target) sxy FROM k), z AS (SELECT (sw*sxy - sx*sy)/(sw*sxx - sx*sx) AS slope, sw, sx, sy FROM q)
- SELECT sample, probe, round(baf * slope + target - model_baf * slope, 5) AS baf_shifted FROM o, z""", "v_obs v_model")
+ o AS (SELECT sample, m.*, v.baf, m.probe % 17 = 0 AS masked FROM v_obs v JOIN m ON m.probe = v.probe), k AS (SELECT target, median(model_baf) AS x, CAST(count(*) AS DOUBLE) AS w FROM o WHERE NOT masked GROUP BY target), q AS (SELECT sum(w) sw, sum(w*x) sx, sum(w*target) sy, sum(w*x*x) sxx, sum(w*x*target) sxy FROM k), z AS (SELECT (sw*sxy - sx*sy)/(sw*sxx - sx*sx) AS slope, sw, sx, sy FROM q)
+ SELECT sample, probe, round(baf * slope + (sy - slope*sx)/sw + CASE WHEN masked THEN 0 ELSE (k.x - model_baf) * slope END, 5) AS baf_shifted FROM o LEFT JOIN k ON k.target = o.target, z""", "v_obs v_model")
 def mod5(spark, d):
     model = view(spark, d, "v_model").select("probe", F.col("baf").alias("model_baf"), "cn_in")
     rows = view(spark, d, "v_obs").select("sample", "probe", "baf").join(model, "probe")
-    rows = rows.withColumn("as_in", F.when(F.col("cn_in") == 2, "CN2_11").when(F.col("cn_in") == 3, "CN3_12").otherwise("CN1_1")).withColumn("inf_in", F.col("cn_in") >= 2)
+    rows = rows.withColumn("as_in", F.when(F.col("cn_in") == 2, "CN2_11").when(F.col("cn_in") == 3, "CN3_12").otherwise("CN1_1")).withColumn("inf_in", F.col("cn_in") >= 2).withColumn("masked", F.col("probe") % 17 == 0)
     return emissions.rescale_baf(rows).select("sample", "probe", _r("baf_shifted", 5).alias("baf_shifted"))
 
 
@@ -806,6 +806,24 @@ def mod14(spark, d):
     return rows.select("sample", "probe", "state", F.when(F.col("log_p") > -1e99, _r("log_p", 5)).otherwise(F.col("log_p")).alias("log_p"))
 
 
+@_query("mod14_log_emissions_refine", f"""{_fit_sql('', 'v_obs', 'v_state')}, i AS (SELECT avg(CAST(inf_in AS INT)) AS f FROM v_state WHERE NOT masked), b AS (SELECT sample, probe, cn_out AS cn, inf_in, CAST(round_even(lrr*30,0) AS INT) AS lb, CAST(round_even(zyg*150,0) AS INT) AS zb, lrr FROM v_state WHERE NOT masked), l AS (SELECT cn, lb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, lb), z AS (SELECT cn, zb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, zb),
+ x AS (SELECT b.*, s.state, s.cn AS out, s.inf AS inf, CAST(round_even((b.lrr - coalesce(t.off, 0)) * 30, 0) AS INT) AS lbc FROM b JOIN v_model m ON m.probe = b.probe CROSS JOIN (VALUES (0, 1, false), (1, 2, false), (2, 2, true), (3, 3, true)) s(state, cn, inf) LEFT JOIN fit t ON t.cn_in = s.cn AND t.perc_gc = m.perc_gc),
+ e AS (SELECT x.sample, x.probe, x.state, CASE WHEN x.out = 2 THEN 1.0 ELSE 0.98 END * CASE WHEN x.out = 1 THEN 0.99 WHEN x.inf THEN i.f ELSE 1 - i.f END * coalesce(l.p, 0) * coalesce(CASE WHEN NOT x.inf_in OR NOT x.inf THEN z1.p ELSE z.p END, 0) AS p FROM x CROSS JOIN i LEFT JOIN l ON l.cn = x.out AND l.lb = x.lbc LEFT JOIN z ON z.cn = x.out AND z.zb = x.zb LEFT JOIN z z1 ON z1.cn = 1 AND z1.zb = x.zb)
+ SELECT sample, probe, CAST(state AS INT) AS state, CASE WHEN p > 0 THEN round(ln(p), 5) ELSE -1e100 END AS log_p FROM e""")
+def mod14_refine(spark, d):
+    model = view(spark, d, "v_model")
+    base = _emission_tables(spark, d)
+    lrr = stats.obs_histogram(base, ["cn"], "lrr_bin", -40, 40).select("cn", "bin", "p")
+    zyg = stats.obs_histogram(base.withColumn("zyg_key", F.col("cn").cast("string")), ["zyg_key"], "zyg_bin", 75, 150).select("zyg_key", "bin", "p")
+    state = view(spark, d, "v_state").where("not masked")
+    share = stats.informative_fraction(state).first()["fraction"]
+    rows = state.select("sample", "probe", "lrr", "inf_in", S.bin_even(F.col("zyg"), 150).alias("zyg_bin"), F.lit(2).alias("cn_in"), F.lit(2).alias("allelism_in"))
+    rows = gcbias.candidate_bins(rows.join(model.select("probe", "perc_gc"), "probe"), gcbias.fit_gc(model), 3, 30)
+    states = spark.createDataFrame([(0, 1, 1, False, False, "1"), (1, 2, 2, False, False, "2"), (2, 2, 2, False, True, "2"), (3, 3, 2, False, True, "3")], "state int, cn int, allelism int, mosaic boolean, inf_out boolean, zyg_key string")
+    out = emissions.log_emissions(rows, states, lrr, zyg, [0.98, 0.9, 0.5, 0.1], "refine", share).select("sample", "probe", F.posexplode("log_ep").alias("state", "log_p"))
+    return out.select("sample", "probe", "state", F.when(F.col("log_p") > -1e99, _r("log_p", 5)).otherwise(F.col("log_p")).alias("log_p"))
+
+
 def _series_ep(spark, d) -> DataFrame:
     x = F.col("x")
     return view(spark, d, "v_series").select("g", "t", F.array(*(_r(-0.5 * ((x - m) / 12.0) * ((x - m) / 12.0), 9) for m in (10.0, 30.0, 60.0))).alias("log_ep"))
@@ -964,7 +982,7 @@ def snk2(spark, d):
 
 @_query("pipe5_refine")
 def pipe5(spark, d):
-    return pipelines.refine(view(spark, d, "v_probe").select("sample", "chrom", "pos", "probe", "lrr", "baf"), view(spark, d, "v_segment"), view(spark, d, "v_model").select("probe", "frac_gc"), min_probes=10, block=None)
+    return pipelines.refine(view(spark, d, "v_probe").select("sample", "chrom", "pos", "probe", "lrr", "baf"), view(spark, d, "v_segment"), view(spark, d, "v_model").select("probe", "frac_gc"), min_probes=10, min_gc=1, block=None)
 
 
 @_query("pipe6_segment")
