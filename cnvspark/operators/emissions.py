@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cnvspark.functions.scalar import safe_log
+from cnvspark.operators import stats
 
 # BAF targets by allelic ratio, and stand-ins for copy numbers without data.
 BAF_TARGETS = {"CN2_11": 0.5, "CN3_12": 0.33, "CN4_13": 0.25, "CN4_22": 0.5, "CN5_14": 0.2, "CN5_23": 0.4}
@@ -27,7 +28,7 @@ def rescale_lrr(model: DataFrame) -> DataFrame:
     """Model medians rescaled: shifted so that CN 2 has median 0, then mapped by the weighted line from the copy numbers'
     medians to log2(CN/2). Adds ``lrr_rescaled`` and keeps the line in ``slope``, ``intercept``, ``shift``.
     """
-    medians = model.where("cn_in > 0").groupBy("cn_in").agg(F.median("lrr").alias("m"), F.count("lrr").cast("double").alias("w"))
+    medians = stats.exact_medians(model.where("cn_in > 0"), ["cn_in"], "lrr").select("cn_in", F.col("median").alias("m"), F.col("n").cast("double").alias("w"))
     shift = medians.where("cn_in = 2").agg(F.coalesce(F.max("m"), F.lit(0.0)).alias("shift"))
     points = medians.join(F.broadcast(shift), how="cross").select((F.col("m") - F.col("shift")).alias("x"), F.log2(F.col("cn_in") / 2).alias("y"), "w")
     line = weighted_line(points, "x", "y", "w").join(shift, how="cross")
@@ -55,7 +56,7 @@ def rescale_baf(df: DataFrame) -> DataFrame:
     """
     rows = baf_targets(df)
     masked = F.col("masked") if "masked" in df.columns else F.lit(False)
-    medians = rows.where(~masked).groupBy("target").agg(F.median("model_baf").alias("_m"), F.count("model_baf").cast("double").alias("w"))
+    medians = stats.exact_medians(rows.where(~masked), ["target"], "model_baf").select("target", F.col("median").alias("_m"), F.col("n").cast("double").alias("w"))
     line = weighted_line(medians, "_m", "target", "w")
     out = rows.join(F.broadcast(medians.drop("w")), "target", "left").join(F.broadcast(line), how="cross")
     out = out.withColumn("baf_rescaled", F.col("baf") * F.col("slope") + F.col("intercept"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cnvspark.functions.scalar import probe_window
+from cnvspark.operators import stats
 
 
 def probe_windows(probes: DataFrame, half: int = 100) -> DataFrame:
@@ -59,7 +60,7 @@ QUADRATIC = {
 def gc_sums(df: DataFrame, by: str, g: str, y: str) -> DataFrame:
     """What a quadratic fit needs, in one pass."""
     x, v = F.col(g), F.col(y)
-    return df.groupBy(by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("g1"), F.sum(x * x).alias("g2"), F.sum(x * x * x).alias("g3"), F.sum(x * x * x * x).alias("g4"), F.sum(v).alias("y"), F.sum(x * v).alias("gy"), F.sum(x * x * v).alias("g2y"), F.median(y).alias("median"))
+    return df.groupBy(by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("g1"), F.sum(x * x).alias("g2"), F.sum(x * x * x).alias("g3"), F.sum(x * x * x * x).alias("g4"), F.sum(v).alias("y"), F.sum(x * v).alias("gy"), F.sum(x * x * v).alias("g2y"))
 
 
 def fit_gc(df: DataFrame, limits: DataFrame | None = None) -> DataFrame:
@@ -67,7 +68,8 @@ def fit_gc(df: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     rows = df.where("lrr is not null and frac_gc is not null")
     if limits is not None:
         rows = within_limits(rows, limits)
-    coefs = gc_sums(rows, "cn_in", "frac_gc", "lrr").select("cn_in", "median", *(F.expr(e).alias(k) for k, e in QUADRATIC.items()))
+    sums = gc_sums(rows, "cn_in", "frac_gc", "lrr").join(F.broadcast(stats.exact_medians(rows, ["cn_in"], "lrr").drop("n")), "cn_in")
+    coefs = sums.select("cn_in", "median", *(F.expr(e).alias(k) for k, e in QUADRATIC.items()))
     grid = coefs.withColumn("perc_gc", F.explode(F.sequence(F.lit(0), F.lit(100))))
     if limits is not None:
         grid = within_limits(grid, limits)

@@ -10,12 +10,6 @@ def _bins(low: Column, high: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(low / width), F.greatest(F.floor(high / width), F.floor(low / width))))
 
 
-def bin_width(intervals: DataFrame, start: str = "start", end: str = "end") -> int:
-    """A width for which intervals fall into few bins: twice their mean length, or a hundredth of the greatest end."""
-    row = intervals.agg((F.max(end) / 100).alias("a"), (2 * F.avg(F.col(end) - F.col(start))).alias("b")).first()
-    return max(1, int(max(row["a"] or 1, row["b"] or 1)))
-
-
 def first_match(points: DataFrame, intervals: DataFrame, *, width: int, value: str, order: str = "ord", mode: str = "touch") -> DataFrame:
     """All rows of ``points`` (chrom, pos) with ``value`` of the interval that holds them; NULL if none does.
 
@@ -32,11 +26,11 @@ def first_match(points: DataFrame, intervals: DataFrame, *, width: int, value: s
     return points.join(best, ["chrom", "pos"], "left")
 
 
-def overlap_all(spans: DataFrame, points: DataFrame, *, width: int, start: str = "start", end: str = "end") -> DataFrame:
-    """Every (span, point) with start <= pos <= end on one chromosome."""
+def overlap_all(spans: DataFrame, points: DataFrame, *, width: int, start: str = "start", end: str = "end", by: list[str] | None = None) -> DataFrame:
+    """Every (span, point) with start <= pos <= end on one chromosome (or of equal ``by``)."""
     binned = spans.withColumn("_bin", _bins(F.col(start), F.col(end), width))
     placed = points.withColumn("_bin", F.floor(F.col("pos") / width))
-    return binned.join(placed, ["chrom", "_bin"]).where((F.col("pos") >= F.col(start)) & (F.col("pos") <= F.col(end))).drop("_bin")
+    return binned.join(placed, [*(by or ["chrom"]), "_bin"]).where((F.col("pos") >= F.col(start)) & (F.col("pos") <= F.col(end))).drop("_bin")
 
 
 def exclude(features: DataFrame, regions: DataFrame, *, width: int, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -48,12 +42,28 @@ def exclude(features: DataFrame, regions: DataFrame, *, width: int, skip: tuple[
     return left.join(bad.select("chrom", "start", "end").distinct(), ["chrom", "start", "end"], "left_anti")
 
 
-def interval_union(df: DataFrame, start: str, end: str, by: list[str]) -> DataFrame:
-    """Rows with ``island``, the number of their union of touching intervals within ``by``."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    return df.withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+def interval_union(df: DataFrame, start: str, end: str, by: list[str], width: int = 1_000_000) -> DataFrame:
+    """Rows with ``island``, the number of their union of touching intervals within ``by``.
+
+    Rows are ordered within bins of ``start`` of ``width`` positions. How far the bins before a bin reach, and how many islands
+    start in them, comes from tables of a row for each bin, so no task holds the intervals of a whole chromosome.
+    """
+    rows = df.withColumn("_bin", F.coalesce(F.floor(F.col(start) / width), F.lit(-1)))
+    keys, before = [*by, "_bin"], Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_bins_before(table: DataFrame, fold, value: str, name: str) -> DataFrame:
+        bins = table.groupBy(*keys).agg(fold(value).alias("_v"))
+        told = bins.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), fold("_v").over(before).alias(name))
+        return table.join(told, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).drop(*(f"_k{i}" for i in range(len(keys))))
+
+    order = Window.partitionBy(*keys).orderBy(start, end)
+    rows = with_bins_before(rows, F.max, end, "_reach")
+    reach = F.greatest("_reach", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_fresh", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
+    rows = with_bins_before(rows, F.sum, "_fresh", "_islands")
+    # Rows of equal bounds count together, as their order may have changed since.
+    island = F.coalesce("_islands", F.lit(0)) + F.sum("_fresh").over(order.rangeBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("island", island).drop("_bin", "_reach", "_fresh", "_islands")
 
 
 def collapse_regions(svs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -64,23 +74,39 @@ def collapse_regions(svs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def number_regions(regions: DataFrame, first: list[Column] | None = None) -> DataFrame:
-    """Consecutive ids in order of size class (small first), chromosome and start, over the small table of regions."""
-    order = Window.orderBy(*(first or []), "chrom", "start")
-    return regions.withColumn("region_id", F.row_number().over(order).cast("long"))
-
-
-def contained(svs: DataFrame, regions: DataFrame) -> DataFrame:
-    """Variants with the region that holds their flank span, joined by chromosome and the region's start bins."""
-    right = regions.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "region_id")
-    return svs.join(right, (svs["chrom"] == right["chrom"]) & (F.col("flank_start") >= F.col("r_start")) & (F.col("flank_end") <= F.col("r_end"))).drop(right["chrom"])
+    """Consecutive ids in order of size class (small first), chromosome and start. Regions are numbered within class and
+    chromosome; the ids at which these begin come from their counts.
+    """
+    classes = [f"_o{i}" for i in range(len(first or []))]
+    rows = regions.withColumns(dict(zip(classes, first or [], strict=True)))
+    keys = [*classes, "chrom"]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # a row for each class and chromosome
+    offsets = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("start")))
+    placed = rows.join(F.broadcast(offsets), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return placed.withColumn("region_id", F.col("_before") + F.col("_at")).drop("_before", "_at", *classes, *(f"_k{i}" for i in range(len(keys))))
+
+
+def contained(svs: DataFrame, regions: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """Variants with the region that holds their flank span, joined by chromosome and the bin of the span's start, which is one of
+    the region's bins.
+    """
+    right = regions.select(F.col("chrom").alias("_chrom"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), "region_id", _bins(F.col("start"), F.col("end"), width).alias("_bin"))
+    left = svs.withColumn("_at", F.floor(F.col("flank_start") / width))
+    hit = left.join(right, (F.col("chrom") == F.col("_chrom")) & (F.col("_at") == F.col("_bin")) & (F.col("flank_start") >= F.col("r_start")) & (F.col("flank_end") <= F.col("r_end")))
+    return hit.drop("_chrom", "_bin", "_at")
 
 
-def widen_by_rank(spans: DataFrame, probes: DataFrame, n: int = 10) -> DataFrame:
-    """(sv, probe) for the probes of each span and ``n`` more on either side, by rank within sample and chromosome."""
-    ranked = probes.withColumn("rank", F.row_number().over(Window.partitionBy("sample", "chrom").orderBy("pos", "probe")))
-    inside = spans.select("sv", "sample", "chrom", "start", "end").join(ranked, ["sample", "chrom"]).where("pos between start and end")
-    bounds = inside.groupBy("sv", "sample", "chrom").agg((F.min("rank") - n).alias("lo"), (F.max("rank") + n).alias("hi"))
-    return bounds.join(ranked, ["sample", "chrom"]).where("rank between lo and hi").select("sv", "sample", "chrom", "probe", "pos", "rank")
+def widen_by_rank(spans: DataFrame, probes: DataFrame, n: int = 10, width: int = 1_000_000) -> DataFrame:
+    """(sv, probe) for the probes of each span and ``n`` more on either side, by rank within sample and chromosome. Probes meet
+    spans in bins of positions, and then by their very rank.
+    """
+    by = ["sample", "chrom"]
+    ranked = probes.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "probe")))
+    inside = overlap_all(spans.select("sv", *by, "start", "end"), ranked.select(*by, "pos", "rank"), width=width, by=by)
+    bounds = inside.groupBy("sv", *by).agg((F.min("rank") - n).alias("lo"), (F.max("rank") + n).alias("hi"))
+    wanted = bounds.select("sv", *by, F.explode(F.sequence("lo", "hi")).alias("rank"))
+    return wanted.join(ranked, [*by, "rank"]).select("sv", *by, "probe", "pos", "rank")
 
 
 def read_region(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:

@@ -76,9 +76,14 @@ def normalize(df: DataFrame, by: list[str], p: str) -> DataFrame:
 
 
 def sample_cap(df: DataFrame, by: list[str], key: list[str], n: int, seed: int) -> DataFrame:
-    """At most ``n`` rows of each key, drawn by a seeded hash of ``key``: the same rows on every run."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(*(F.col(k) for k in key), F.lit(seed)), *key)
-    return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
+    """At most ``n`` rows of each key, drawn by a seeded hash of ``key``: the same rows on every run.
+
+    Each of 64 parts of a key, by its hash, keeps its first ``n``, and the key those of its parts: no task sorts a whole key.
+    """
+    rows = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in key)).cast("binary"))).withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(64)))
+    for parts in ([*by, "_part"], by):
+        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*parts).orderBy("_h", *key))).where(F.col("_r") <= n).drop("_r")
+    return rows.drop("_h", "_part")
 
 
 def first_per_group(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -88,9 +93,32 @@ def first_per_group(df: DataFrame, by: list[str], order: list[str]) -> DataFrame
     return best.select(*by, "_b.*")
 
 
+def exact_medians(df: DataFrame, by: list[str], x: str, per_unit: int = 1000) -> DataFrame:
+    """(by, median, n) over rows that have ``x``: the exact median of few keys with very many rows.
+
+    Rows are counted by bins of ``x``, and only those of the one or two bins that hold the middle ranks are looked at again, as
+    counted values. So no buffer holds the values of a key. Keys without values do not come.
+    """
+    rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x")).withColumn("_bin", F.floor(F.col("_x") * per_unit))
+    key = Window.partitionBy(*by)
+    counted = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = counted.withColumn("_total", F.sum("_n").over(key)).withColumn("_to", F.sum("_n").over(key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
+    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)  # middle ranks, from 0
+    holds = lambda n: ((F.col("_to") > low) & (F.col("_to") - F.col(n) <= low)) | ((F.col("_to") > high) & (F.col("_to") - F.col(n) <= high))
+    hit = ranked.where(holds("_n")).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col("_bin").alias("_b"), "_total", (F.col("_to") - F.col("_n")).alias("_before"))
+    on = F.col("_bin") == F.col("_b")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    values = rows.join(F.broadcast(hit), on).groupBy(*by, "_bin", "_x").agg(F.count(F.lit(1)).alias("_n"), F.first("_total").alias("_total"), F.first("_before").alias("_before"))
+    within = Window.partitionBy(*by, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("_to", F.col("_before") + F.sum("_n").over(within))
+    at = lambda rank: F.min(F.when(F.col("_to") > rank, F.col("_x")))
+    return values.groupBy(*by).agg((0.5 * at(low) + 0.5 * at(high)).alias("median"), F.first("_total").alias("n"))
+
+
 def median_of_medians(df: DataFrame, key: str, x: str) -> DataFrame:
-    """Median and weight (rows) of each key."""
-    return df.groupBy(key).agg(F.median(x).alias("median"), F.count(x).alias("n"))
+    """Median and weight (rows) of each key that has values."""
+    return exact_medians(df, [key], x)
 
 
 def fraction_changed(df: DataFrame) -> DataFrame:

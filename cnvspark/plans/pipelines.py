@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cnvspark.functions import scalar as S
 from cnvspark.operators import compare, coverage, emissions, gcbias, hmm, intervals, runs, samples, stats
+from cnvspark.session import shared_path
 from cnvspark.sources import readers
 
 #: Penalties for states 1, 2, 3 and 4 copies away, and the chance of a change between neighbouring probes.
@@ -32,7 +33,7 @@ def index_samples(spark: SparkSession, reports: str, path: str) -> DataFrame:
     return stats.norm_histogram(spark.read.parquet(path), ["sample"], "lrr", 20, -1.0, 1.0)
 
 
-def train_depth(aln: DataFrame, region: str, *, bin_size: int = 5000, max_cn: int = 4, max_tlen: int = 1000) -> tuple[DataFrame, DataFrame]:
+def train_depth(aln: DataFrame, region: str, *, bin_size: int = 5000, max_cn: int = 4, max_tlen: int = 1000, block: int | None = hmm.BLOCK) -> tuple[DataFrame, DataFrame]:
     """Segments and bins of copy number from read depth: coverage, a mixture with equally spaced means, decoded calls."""
     bins = coverage.fragment_coverage(coverage.filter_alignments(aln, max_tlen=max_tlen), bin_size)
     ref = coverage.region_stats(bins, region, bin_size).first()
@@ -41,7 +42,7 @@ def train_depth(aln: DataFrame, region: str, *, bin_size: int = 5000, max_cn: in
     hist = used.groupBy(F.rint("count").alias("x")).agg(F.count(F.lit(1)).alias("n"))
     mix = coverage.constrained_mixture(hist, max_cn, m1, s1)
     probs = F.array(*(F.expr(S.bin_prob_sql("count", repr(float(m)), repr(float(s)))) for _, m, s in mix))
-    called = hmm.segment_sequence(used.withColumn("ep", probs), ["chrom"], ["bin"], "ep", z=0.1, p=0.995, states=max_cn)
+    called = hmm.segment_sequence(used.withColumn("ep", probs), ["chrom"], ["bin"], "ep", z=0.1, p=0.995, states=max_cn, block=block)
     called = called.withColumn("cn", F.col("hs") + 1).drop("hs", "ep")
     segments = coverage.collapse_bins(called, ["chrom"], "cn", bin_size)
     weights = coverage.segment_cn_weights(coverage.bin_runs(called, ["chrom"], "cn"), segments, [(m, s) for _, m, s in mix], ["chrom"])
@@ -144,9 +145,8 @@ def segment(obs: DataFrame, model: DataFrame, *, max_cn: int = 5, lrr_sd: float
     by = ["sample", "chrom"]
     base = model.select("probe", F.col("lrr").alias("model_lrr"), F.col("cn_out").alias("cn_in"), F.col("allelism_out").alias("allelism_in"), F.col("inf_out").alias("model_inf"))
     rows = obs.join(base, "probe").withColumn("masked", F.col("lrr").isNull() | F.col("baf").isNull() | F.col("cn_in").isNull())
-    medians = base.where("cn_in > 0").groupBy("cn_in").agg(F.median("model_lrr").alias("median"))
     target = F.when(F.col("cn_in") > 0, F.log2(F.col("cn_in") / 2)).otherwise(F.col("model_lrr"))
-    rows = rows.join(F.broadcast(medians), "cn_in", "left").withColumn("lrr_fit", F.when(~F.col("masked"), F.col("lrr") + target - F.col("model_lrr")).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("lrr_fit", F.when(~F.col("masked"), F.col("lrr") + target - F.col("model_lrr")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("zyg", S.zygosity(F.coalesce("baf", F.lit(1.0)))).withColumn("inf_in", F.coalesce("model_inf", F.lit(False)))
     decoded = runs.flag_anomalous(runs.derive_changes(_decode(rows, by, max_cn, lrr_sd, "segment", change, block)))
     decoded = runs.usable_index(decoded, by).persist()  # read by every part of the variant table
@@ -168,9 +168,13 @@ def segment(obs: DataFrame, model: DataFrame, *, max_cn: int = 5, lrr_sd: float
 
 
 def compare_samples(decoded: DataFrame, svs: DataFrame, threshold: int = 2_000_000) -> DataFrame:
-    """Variants of all samples with their regions by size class, and how well each fits every other sample."""
+    """Variants of all samples with their regions by size class, and how well each fits every other sample. The variants are
+    written to the shared folder once, as regions and unions read them several times.
+    """
     sized = svs.withColumn("size", S.size_class(F.col("flank_start"), F.col("flank_end"), threshold)).withColumn("sv", F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("run").cast("string")))
-    by = ["size", "chrom"]
+    path = shared_path(svs.sparkSession, "variants")
+    sized.write.parquet(path)
+    sized, by = svs.sparkSession.read.parquet(path), ["size", "chrom"]
     regions = intervals.number_regions(intervals.collapse_regions(sized, by), [F.when(F.col("size") == "small", 0).otherwise(1)])
     placed = intervals.interval_union(sized, "flank_start", "flank_end", by).join(regions.select(*by, "island", "region_id"), [*by, "island"])
     paths = decoded.where("sv_run is not null").select(F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("sv_run").cast("string")).alias("sv"), "sample", "probe", F.col("hs").alias("state"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cnvspark.functions import scalar as S
 from cnvspark.operators import compare, coverage, emissions, gcbias, hmm, intervals, peaks, runs, samples, stats
 from cnvspark.plans import pipelines, plotdata
+from cnvspark.session import shared_path
 from cnvspark.sources import readers, writers
 from cnvspark.views import DERIVED, view, with_views
 
@@ -156,7 +157,10 @@ def prj20(spark, d):
     return view(spark, d, "v_segment").select("ord", S.size_class(F.col("start"), F.col("end"), 15_000).alias("size"))
 
 
-@_query("prj21_blind_alias")
+_ALIAS = "SELECT sample, concat(chr(CAST(65 + h % 26 AS INT)), chr(CAST(65 + h // 26 % 26 AS INT)), '-', lpad(CAST(h // 676 AS STRING), 2, '0')) AS alias FROM (SELECT sample, CAST(concat('0x', substring(md5(concat('7:', CAST(sample AS STRING))), 1, 8)) AS BIGINT) % 67600 AS h FROM (SELECT DISTINCT sample FROM v_probe))"
+
+
+@_query("prj21_blind_alias", _ALIAS)
 def prj21(spark, d):
     return writers.group_manifest(view(spark, d, "v_probe").select("sample").distinct(), 7)
 
@@ -315,7 +319,7 @@ SELECT concat(CAST(b.sample AS STRING), ':', b.chrom, ':', CAST(run AS STRING))
 def jn14(spark, d):
     spans = _run_rows(spark, d).groupBy(*SC, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
     spans = spans.withColumn("sv", F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("run").cast("string")))
-    return intervals.widen_by_rank(spans, view(spark, d, "v_state").select(*SC, "probe", "pos")).select("sv", "probe", "rank")
+    return intervals.widen_by_rank(spans, view(spark, d, "v_state").select(*SC, "probe", "pos"), width=WIDTH).select("sv", "probe", "rank")
 
 
 _REGIONS = """i AS (SELECT *, max(flank_end) OVER (PARTITION BY chrom ORDER BY flank_start, flank_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_span),
@@ -333,7 +337,7 @@ def _regions(spark, d) -> DataFrame:
 
 @_query("jn15_contained", _regions_sql(", n AS (SELECT *, row_number() OVER (ORDER BY chrom, start) AS region_id FROM g) SELECT s.sample, s.chrom, s.flank_start, s.flank_end, region_id FROM v_span s JOIN n ON n.chrom = s.chrom AND s.flank_start >= n.start AND s.flank_end <= n.\"end\""))
 def jn15(spark, d):
-    return intervals.contained(view(spark, d, "v_span"), intervals.number_regions(_regions(spark, d))).select("sample", "chrom", "flank_start", "flank_end", F.col("region_id"))
+    return intervals.contained(view(spark, d, "v_span"), intervals.number_regions(_regions(spark, d)), WIDTH).select("sample", "chrom", "flank_start", "flank_end", "region_id")
 
 
 _PAIRS = """e AS (SELECT sample, probe, masked, cn_out - 1 AS model_state, [-0.5*(lrr+0.5)*(lrr+0.5), -0.5*lrr*lrr, -0.5*(lrr-0.5)*(lrr-0.5)] AS ep FROM v_state),
@@ -404,9 +408,9 @@ def agg2(spark, d):
     return stats.mean_sd(view(spark, d, "v_probe"), SC, "lrr").select(*SC, _r("mean").alias("mean"), _r("sd").alias("sd"), "n")
 
 
-@_query("agg3_trimmed", "SELECT sample, chrom, round(CASE WHEN count(*) >= 3 THEN (sum(lrr) - min(lrr) - max(lrr)) / (count(*) - 2) ELSE 0 END, 5) AS mean FROM v_probe GROUP BY sample, chrom")
+@_query("agg3_trimmed", "SELECT sample, chrom, round(m, 5) AS mean, round(CASE WHEN n >= 2 THEN sqrt(greatest((q - n * m * m) / (n - 1), 0)) ELSE 0 END, 4) AS sd FROM (SELECT sample, chrom, count(*) - 2 AS n, CASE WHEN count(*) >= 3 THEN (sum(lrr) - min(lrr) - max(lrr)) / (count(*) - 2) ELSE 0 END AS m, sum(lrr * lrr) - min(lrr) * min(lrr) - max(lrr) * max(lrr) AS q FROM v_probe GROUP BY sample, chrom)")
 def agg3(spark, d):
-    return stats.trimmed_mean_sd(view(spark, d, "v_probe"), SC, "lrr").select(*SC, _r("mean", 5).alias("mean"))
+    return stats.trimmed_mean_sd(view(spark, d, "v_probe"), SC, "lrr").select(*SC, _r("mean", 5).alias("mean"), _r("sd", 4).alias("sd"))
 
 
 @_query("agg4_norm_histogram", "SELECT k.sample, b.bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY k.sample), 3) AS freq FROM (SELECT DISTINCT sample FROM v_probe WHERE lrr BETWEEN -0.9 AND 0.9) k CROSS JOIN (SELECT CAST(unnest(range(-18, 19)) AS INT) AS bin) b LEFT JOIN (SELECT sample, CAST(round_even(lrr * 20, 0) AS INT) AS bin, count(*) AS n FROM v_probe WHERE lrr BETWEEN -0.9 AND 0.9 GROUP BY ALL) c ON c.sample = k.sample AND c.bin = b.bin")
@@ -664,7 +668,7 @@ def srt3(spark, d):
 ORACLES["srt3_sort_composite"] = _regions_sql("SELECT chrom, island, flank_start, flank_end, sample FROM j")
 
 
-@_query("srt4_sample_cap")
+@_query("srt4_sample_cap", "SELECT sample, probe, cn_out FROM (SELECT *, row_number() OVER (PARTITION BY cn_out ORDER BY md5(concat('42:', CAST(sample AS STRING), ':', CAST(probe AS STRING))), sample, probe) AS r FROM v_state) WHERE r <= 500", "v_state")
 def srt4(spark, d):
     return stats.sample_cap(view(spark, d, "v_state").select("sample", "probe", "cn_out"), ["cn_out"], ["sample", "probe"], 500, 42)
 
@@ -829,13 +833,13 @@ def _series_ep(spark, d) -> DataFrame:
     return view(spark, d, "v_series").select("g", "t", F.array(*(_r(-0.5 * ((x - m) / 12.0) * ((x - m) / 12.0), 9) for m in (10.0, 30.0, 60.0))).alias("log_ep"))
 
 
-def _viterbi_sql(ep: str, log_start: list[float], log_t: np.ndarray) -> str:
+def _viterbi_sql(ep: str, log_start: list[float], log_t: np.ndarray, views: str = "", source: str = "v_series") -> str:
     n = len(log_start)
     best = lambda j: "[" + ", ".join(f"v.d[{i + 1}] + CAST({log_t[i][j]!r} AS DOUBLE)" for i in range(n)) + "]"
     ds = ", ".join(f"list_max({best(j)}) + s.e[{j + 1}]" for j in range(n))
     bs = ", ".join(f"list_position({best(j)}, list_max({best(j)}))" for j in range(n))
     start = ", ".join(f"s.e[{j + 1}] + CAST({log_start[j]!r} AS DOUBLE)" for j in range(n))
-    return f"""{with_views('v_series').replace('WITH ', 'WITH RECURSIVE ')}, s AS MATERIALIZED (SELECT g, t, row_number() OVER (PARTITION BY g ORDER BY t) AS k, {ep} AS e FROM v_series),
+    return f"""{(views or with_views('v_series')).replace('WITH ', 'WITH RECURSIVE ', 1)}, s AS MATERIALIZED (SELECT g, t, row_number() OVER (PARTITION BY g ORDER BY t) AS k, {ep} AS e FROM {source}),
  v AS MATERIALIZED (WITH RECURSIVE v AS (SELECT s.g, s.k, [{start}] AS d, CAST([{', '.join(['0'] * n)}] AS BIGINT[]) AS phi FROM s WHERE k = 1 UNION ALL SELECT s.g, s.k, [{ds}], CAST([{bs}] AS BIGINT[]) FROM v JOIN s ON s.g = v.g AND s.k = v.k + 1) SELECT * FROM v),
  l AS (SELECT g, max(k) AS k FROM v GROUP BY g), b AS (SELECT v.g, v.k, list_position(v.d, list_max(v.d)) AS st FROM v JOIN l ON l.g = v.g AND l.k = v.k UNION ALL SELECT p.g, p.k, c.phi[b.st] FROM b JOIN v c ON c.g = b.g AND c.k = b.k JOIN v p ON p.g = b.g AND p.k = b.k - 1)
  SELECT s.g, s.t, CAST(b.st - 1 AS INT) AS hs FROM b JOIN s ON s.g = b.g AND s.k = b.k"""
@@ -865,14 +869,22 @@ def _cat_sql() -> str:
 @_query("mod16_segment_sequence", _viterbi_sql(_cat_sql(), [float(np.log(0.9)), float(np.log(0.1))], hmm.persistence(2, 0.95, 0.9, True).tolist()))
 def mod16(spark, d):
     df = view(spark, d, "v_series").select("g", "t", "cat")
-    return hmm.segment_sequence(df, ["g"], ["t"], _CATS, z=0.9, p=0.95, weighted=True).select("g", "t", "hs")
+    return hmm.segment_sequence(df, ["g"], ["t"], _CATS, z=0.9, p=0.95, weighted=True, block=hmm.BLOCK).select("g", "t", "hs")
+
+
+def _depth_ep() -> str:
+    return "[" + ", ".join(f"ln({S.bin_prob_sql('x', repr(m), repr(s))})" for m, s in _DEPTHS) + "]"
+
+
+_DEPTHS = ((1.0, 0.8), (2.0, 1.1), (3.0, 1.4))
+_DEPTH_PATH = _viterbi_sql(_depth_ep(), [float(x) for x in np.log([0.1, 0.45, 0.45])], hmm.persistence(3, 0.995, 0.1).tolist(), _cover_sql(""), """(SELECT chrom AS g, bin AS t, "count" AS x FROM c)""")
 
 
-@_query("mod17_bin_cn")
+@_query("mod17_bin_cn", _DEPTH_PATH.replace("SELECT s.g, s.t, CAST(b.st - 1 AS INT) AS hs FROM", "SELECT s.g AS chrom, s.t AS bin, CAST(b.st AS INT) AS cn FROM"))
 def mod17(spark, d):
     bins = _cover(spark, d)
-    probs = F.array(*(F.expr(S.bin_prob_sql("count", repr(m), repr(s))) for m, s in ((1.0, 0.8), (2.0, 1.1), (3.0, 1.4))))
-    called = hmm.segment_sequence(bins.withColumn("ep", probs), ["chrom"], ["bin"], "ep", z=0.1, p=0.995, states=3)
+    probs = F.array(*(F.expr(S.bin_prob_sql("count", repr(m), repr(s))) for m, s in _DEPTHS))
+    called = hmm.segment_sequence(bins.withColumn("ep", probs), ["chrom"], ["bin"], "ep", z=0.1, p=0.995, states=3, block=hmm.BLOCK)
     return called.select("chrom", "bin", (F.col("hs") + 1).alias("cn"))
 
 
@@ -916,7 +928,8 @@ def src1(spark, d):
     obs = view(spark, d, "v_obs")
     rows = obs.select(F.col("sample").cast("string").alias("file"), F.concat_ws("\t", F.col("probe").cast("string"), F.replace("chrom", F.lit("chr"), F.lit("")), F.col("pos").cast("string"), F.when(F.col("probe") % 9 == 0, "NaN").otherwise(F.col("lrr").cast("string")), F.col("baf").cast("string")).alias("line"))
     heads = obs.select(F.col("sample").cast("string").alias("file")).distinct().withColumn("line", F.explode(F.array(F.lit("[Header]"), F.lit("Content\tx"), F.lit("[Data]"), F.lit("SNP Name\tChr\tPosition\tLog R Ratio\tB Allele Freq"))))
-    got = readers.parse_reports(rows.unionByName(heads))
+    files = view(spark, d, "v_probe").select("sample").distinct().count()
+    got = readers.parse_reports(rows.unionByName(heads), files)
     return got.select(F.col("file").cast("long").alias("sample"), "chrom", "pos", "probe", "lrr", "baf")
 
 
@@ -980,19 +993,127 @@ def snk2(spark, d):
     return writers.round_svs(runs.run_means(_run_rows(spark, d), SC).select(*SC, "run", _r("lrr_mean").alias("lrr_mean")), 2)
 
 
+# --- files written and read again ------------------------------------------------------------------------------------
+
+
+def _experiment(spark, d) -> DataFrame:
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    return c.select(F.lit("exp1").alias("Experiment"), F.col("c_mktsegment").alias("Cell_Line"), F.col("c_nationkey").cast("string").alias("Cell_Clone"), F.when(F.col("c_custkey") % 2 == 0, "yes").otherwise("No").alias("Control"), F.col("c_name").alias("Sample_ID"))
+
+
+@_query("src5_read_samples", """SELECT 'exp1' AS "Experiment", c_mktsegment AS "Cell_Line", CAST(c_nationkey AS STRING) AS "Cell_Clone", CASE WHEN c_custkey % 2 = 0 THEN 'yes' ELSE 'No' END AS "Control", c_name AS "Sample_ID" FROM customer""")
+def src5(spark, d):
+    path = shared_path(spark, "samples")
+    _experiment(spark, d).write.csv(path, header=True)
+    return readers.read_samples(spark, path)
+
+
+_BED = "SELECT chrom, start, \"end\", concat('n', CAST(ord AS STRING)) AS name, CAST(cn AS DOUBLE) AS score, '+' AS strand FROM v_segment"
+
+
+def _bed_file(spark, d) -> str:
+    path = shared_path(spark, "bed")
+    line = F.concat_ws("\t", "chrom", F.format_number("start", 0), F.col("end").cast("string"), F.concat(F.lit("n"), F.col("ord").cast("string")), F.col("cn").cast("string"), F.lit("+"))
+    view(spark, d, "v_segment").select(line.alias("value")).write.text(path)
+    return path
+
+
+@_query("src7_read_bed", _BED, "v_segment")
+def src7(spark, d):
+    return readers.read_bed(spark, _bed_file(spark, d)).drop("ord")
+
+
+@_query("pipe4_train_intervals", _BED, "v_segment")
+def pipe4(spark, d):
+    return pipelines.train(spark, "bed6", path=_bed_file(spark, d)).drop("ord")
+
+
+@_query("src10_read_probe_gc", "SELECT CAST(probe AS STRING) AS probe, frac_gc FROM v_model", "v_model")
+def src10_file(spark, d):
+    path = shared_path(spark, "gc")
+    view(spark, d, "v_model").select("probe", "frac_gc").write.csv(path, sep="\t", header=True)
+    return gcbias.last_wins(readers.read_probe_gc(spark, path))
+
+
+@_query("src11_read_probe_model", "SELECT probe, lrr, baf, cn_in AS cn_out, 'CN2_11' AS as_out, true AS inf_out FROM v_model WHERE probe % 11 <> 0", "v_model")
+def src11(spark, d):
+    path = shared_path(spark, "model")
+    model = view(spark, d, "v_model").select("probe", "lrr", "baf", F.col("cn_in").alias("cn_out"), F.when(F.col("probe") % 11 != 0, "CN2_11").alias("as_out"), F.lit(True).alias("inf_out"))
+    model.write.parquet(path)
+    return readers.read_probe_model(spark, path)
+
+
+@_query("src12_read_svs", "SELECT sample, chrom, flank_start, flank_end, CAST(NULL AS INT) AS cn FROM v_span UNION ALL SELECT ord, chrom, start, \"end\", cn FROM v_segment", "v_span v_segment")
+def src12(spark, d):
+    a, b = shared_path(spark, "svs"), shared_path(spark, "svs")
+    view(spark, d, "v_span").write.parquet(a)
+    view(spark, d, "v_segment").select(F.col("ord").alias("sample"), "chrom", F.col("start").alias("flank_start"), F.col("end").alias("flank_end"), "cn").write.parquet(b)
+    return readers.read_svs(spark, [a, b]).select("sample", "chrom", "flank_start", "flank_end", "cn")
+
+
+@_query("snk1_write_probes", "SELECT CAST(sample AS BIGINT) AS sample, chrom, pos, CAST(probe AS STRING) AS prb_name, lrr, baf, cn_in, cn_out FROM v_state", "v_state")
+def snk1(spark, d):
+    path = shared_path(spark, "probes")
+    writers.write_probes(view(spark, d, "v_state").withColumn("prb_name", F.col("probe").cast("string")), path)
+    return spark.read.parquet(path).select(F.col("sample").cast("long").alias("sample"), "chrom", "pos", "prb_name", "lrr", "baf", "cn_in", "cn_out")
+
+
+@_query("snk3_write_model", ORACLES["agg10_collapse_bins"])
+def snk3(spark, d):
+    path = shared_path(spark, "depth")
+    bins = _called(spark, d)
+    writers.write_model(coverage.collapse_bins(bins, ["chrom"], "cn", 500), bins, path)
+    return spark.read.parquet(f"{path}/segments").withColumn("mean", _r("mean", 5)).withColumn("sd", _r("sd", 5))
+
+
+@_query("snk4_save_model", ORACLES["win9_normalize"])
+def snk4(spark, d):
+    path = shared_path(spark, "fitted")
+    writers.save_model({"hist": _hist(spark, d)}, path)
+    return writers.load_model(spark, path, ["hist"])["hist"].select("cn", "bin", _r("p").alias("p"))
+
+
+@_query("snk5_write_compare", ORACLES["jn15_contained"])
+def snk5(spark, d):
+    path = shared_path(spark, "compared")
+    writers.write_compare(jn15(spark, d), path)
+    return spark.read.parquet(path).select("sample", "chrom", "flank_start", "flank_end", "region_id")
+
+
+@_query("snk6_write_group_manifest", _ALIAS)
+def snk6(spark, d):
+    path = shared_path(spark, "group")
+    writers.write_group_manifest(view(spark, d, "v_probe").select("sample").distinct(), path, 7)
+    return spark.read.parquet(path)
+
+
+@_query("pipe1_list_samples", ORACLES["src2_parse_manifest"])
+def pipe1(spark, d):
+    path = shared_path(spark, "manifest")
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    orders.select(F.col("o_orderkey").alias("Row"), F.concat(F.lit("s "), F.col("o_custkey").cast("string")).alias("DNA_ID"), F.lit("x").alias("DNA_Name")).write.csv(path, header=True)
+    return pipelines.list_samples(spark, path)
+
+
+@_query("mod2_correct_model", _fit_sql("SELECT m.probe, round(m.lrr - f.off, 5) AS lrr_corr FROM v_model m LEFT JOIN fit f ON f.cn_in = m.cn_in AND f.perc_gc = m.perc_gc"))
+def mod2(spark, d):
+    model = view(spark, d, "v_model")
+    return gcbias.apply_gc(model, gcbias.fit_gc(model)).select("probe", _r("lrr_corr", 5).alias("lrr_corr"))
+
+
 @_query("pipe5_refine")
 def pipe5(spark, d):
-    return pipelines.refine(view(spark, d, "v_probe").select("sample", "chrom", "pos", "probe", "lrr", "baf"), view(spark, d, "v_segment"), view(spark, d, "v_model").select("probe", "frac_gc"), min_probes=10, min_gc=1, block=None)
+    return pipelines.refine(view(spark, d, "v_probe").select("sample", "chrom", "pos", "probe", "lrr", "baf"), view(spark, d, "v_segment"), view(spark, d, "v_model").select("probe", "frac_gc"), min_probes=10, min_gc=1)
 
 
 @_query("pipe6_segment")
 def pipe6(spark, d):
-    return pipelines.segment(view(spark, d, "v_obs"), pipe5(spark, d), block=None)[1]
+    return pipelines.segment(view(spark, d, "v_obs"), pipe5(spark, d))[1]
 
 
 @_query("pipe7_compare")
 def pipe7(spark, d):
-    return pipelines.compare_samples(*pipelines.segment(view(spark, d, "v_obs"), pipe5(spark, d), block=None))
+    return pipelines.compare_samples(*pipelines.segment(view(spark, d, "v_obs"), pipe5(spark, d)))
 
 
 @_query("plt3_cn_transitions", "SELECT cn_in, cn_out, count(*) AS n FROM v_state WHERE NOT masked GROUP BY ALL", "v_state")
@@ -1026,16 +1147,18 @@ def pipe8(spark, d):
     return out.withColumn("controls", F.array_join("controls", ",")).withColumn("samples", F.array_join("samples", ","))
 
 
-@_query("plt1_gc_scatter")
+@_query("plt1_gc_scatter", _fit_sql("SELECT m.cn_in, m.probe, m.perc_gc, round(m.lrr, 5) AS lrr, round(m.zyg, 5) AS zyg, round(f.off, 5) AS line FROM (SELECT *, abs(baf - 0.5) + 0.5 AS zyg, row_number() OVER (PARTITION BY cn_in ORDER BY md5(concat('1:', CAST(probe AS STRING))), probe) AS r FROM v_model) m LEFT JOIN fit f ON f.cn_in = m.cn_in AND f.perc_gc = m.perc_gc WHERE r <= 300"))
 def plt1(spark, d):
-    return plotdata.gc_scatter(view(spark, d, "v_model").withColumn("zyg", S.zygosity(F.col("baf"))), n=300)[0]
+    some, line = plotdata.gc_scatter(view(spark, d, "v_model").withColumn("zyg", S.zygosity(F.col("baf"))), n=300)
+    return some.join(F.broadcast(line), ["cn_in", "perc_gc"], "left").select("cn_in", "probe", "perc_gc", _r("lrr", 5).alias("lrr"), _r("zyg", 5).alias("zyg"), _r("offset", 5).alias("line"))
 
 
-@_query("plt2_zyg_lrr_boxes", f", {_HIST}, f AS (SELECT cn, sum(bin / 10.0 * p) AS m, sqrt(greatest(sum(bin / 10.0 * (bin / 10.0) * p) - pow(sum(bin / 10.0 * p), 2), 0)) AS s FROM p GROUP BY cn) SELECT cn, round(m - 2 * s, 5) AS lrr_low, round(m + 2 * s, 5) AS lrr_high FROM f", "v_state")
+@_query("plt2_zyg_lrr_boxes", f", {_HIST}, f AS (SELECT cn, sum(bin / 10.0 * p) AS m, sqrt(greatest(sum(bin / 10.0 * (bin / 10.0) * p) - pow(sum(bin / 10.0 * p), 2), 0)) AS s FROM p GROUP BY cn) SELECT r.probe, round(r.lrr, 5) AS lrr, round(r.zyg, 5) AS zyg, round(m - 2 * s, 5) AS lrr_low, round(m + 2 * s, 5) AS lrr_high FROM (SELECT *, row_number() OVER (PARTITION BY cn_in ORDER BY md5(concat('1:', probe)), probe) AS n FROM (SELECT cn_in, lrr, zyg, concat(CAST(sample AS STRING), ':', CAST(probe AS STRING)) AS probe FROM v_state)) r LEFT JOIN f ON f.cn = r.cn_in WHERE r.n <= 25000", "v_state")
 def plt2(spark, d):
     fits = emissions.hist_moments(_hist(spark, d), ["cn"], 10).select("cn", F.col("mean").alias("lrr_mean"), F.col("sd").alias("lrr_sd"), F.lit(0.5).alias("zyg_mean"), F.lit(0.05).alias("zyg_sd"))
-    rows = view(spark, d, "v_state").select(F.col("cn_in"), "probe", "lrr", "zyg")
-    return plotdata.zyg_lrr_scatter(rows, fits)[1].select("cn", _r("lrr_low", 5).alias("lrr_low"), _r("lrr_high", 5).alias("lrr_high"))
+    rows = view(spark, d, "v_state").select("cn_in", F.concat_ws(":", F.col("sample").cast("string"), F.col("probe").cast("string")).alias("probe"), "lrr", "zyg")
+    some, boxes = plotdata.zyg_lrr_scatter(rows, fits)
+    return some.join(F.broadcast(boxes), F.col("cn_in") == F.col("cn"), "left").select("probe", *(_r(c, 5).alias(c) for c in ("lrr", "zyg", "lrr_low", "lrr_high")))
 
 
 @_query("plt5_size_vs_score", _runs_sql(", e AS (SELECT count(*) FILTER (WHERE cn_out <> cn_in OR (inf_in AND NOT inf_out)) AS n_probes, CAST(count(*) FILTER (WHERE inf_in) AS DOUBLE) AS rel_ll FROM r GROUP BY sample, chrom, run) SELECT n_probes, rel_ll, round(ln(10) * n_probes, 5) AS iso1, round(ln(100) * n_probes, 5) AS iso2, round(ln(1000) * n_probes, 5) AS iso3 FROM e"))

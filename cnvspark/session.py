@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,18 @@ def importable(spark: SparkSession) -> None:
     _SENT.add(context.applicationId)
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one if all of the
+    session runs on this machine.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session on one machine, for tests and benchmarks."""
     return (

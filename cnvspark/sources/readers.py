@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cnvspark.functions.scalar import is_position, norm_chrom
 
+#: Headers of at most so many files (a few integers each) are broadcast.
+MANY_FILES = 100_000
 # The columns that the formats name.
 REPORT_COLUMNS = {"chrom": "Chr", "pos": "Position", "lrr": "Log R Ratio", "baf": "B Allele Freq", "probe": "SNP Name"}
 EXPERIMENT_COLUMNS = ("Experiment", "Cell_Line", "Cell_Clone", "Control", "Sample_ID")
@@ -45,15 +47,29 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
-def parse_reports(text: DataFrame) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files, lines counted from 0 in each file. A file is read in blocks; where a block begins
+    comes from a table of a row for each block.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    blocks = text.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return text.join(starts, ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "line")
+
+
+def parse_reports(text: DataFrame, files: int | None = None) -> DataFrame:
     """Probe rows from (file, line) of vendor reports: the header of each file tells where its columns are.
 
     Preamble lines and bad rows fail the checks on chromosome and position; if either value of a probe is not a number,
-    both are NULL. Headers, one a file, are joined back to the lines.
+    both are NULL. Headers, one a file, are joined back to the lines; with at most ``MANY_FILES`` of them, if ``files`` says so,
+    they are broadcast, so that no line is shuffled.
     """
     fields = F.split("line", "\t")
     heads = text.where(F.contains("line", F.lit("SNP Name")) & F.contains("line", F.lit("Log R Ratio"))).groupBy("file").agg(F.min("line").alias("_head"))
     heads = heads.select("file", *(F.array_position(F.split("_head", "\t"), F.lit(v)).cast("int").alias(f"_{k}") for k, v in REPORT_COLUMNS.items()))
+    if files is not None and files <= MANY_FILES:
+        heads = F.broadcast(heads)
     rows = text.join(heads, "file").where(F.contains("line", F.lit("\t")))
     got = rows.select("file", *(F.try_element_at(fields, F.when(F.col(f"_{k}") > 0, F.col(f"_{k}"))).alias(k) for k in REPORT_COLUMNS))
     value = lambda c: F.when(F.lower(c).isin("nan", "na", ""), F.lit(None)).otherwise(c).try_cast("double")
@@ -64,7 +80,7 @@ def parse_reports(text: DataFrame) -> DataFrame:
 
 def read_final_reports(spark: SparkSession, path: str | list[str], chroms: list[str] | None = None) -> DataFrame:
     """All probe reports below a path or glob in one job."""
-    rows = parse_reports(lines(spark, path))
+    rows = parse_reports(lines(spark, path), len(spark.read.text(path).inputFiles()))
     return rows.where(F.col("chrom").isin(chroms)) if chroms else rows
 
 
@@ -128,13 +144,12 @@ def parse_bed(text: DataFrame) -> DataFrame:
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
-    """A BED file with ``ord``, the order of its lines. Interval models are small files, so a file is one row before it is
-    split. ``.gz`` is read as such; ``.bgz`` is refused, as Spark would take it for plain text.
+    """A BED file with ``ord``, the number of its line. ``.gz`` is read as such; ``.bgz`` is refused, as Spark would take it for
+    plain text.
     """
     if path.endswith(".bgz"):
         raise ValueError("rename .bgz files to .gz")
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
-    return parse_bed(whole)
+    return parse_bed(numbered_lines(spark, path).select(F.col("line_no").alias("ord"), "line"))
 
 
 def model_from_bed(bed: DataFrame) -> DataFrame:
@@ -171,9 +186,8 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFram
 
 def read_probe_gc(spark: SparkSession, path: str) -> DataFrame:
     """(probe, frac_gc, line_no) of a GC table as texts; see ``last_wins`` for its rules."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     cells = F.split("line", "\t")
-    return whole.where((F.col("line_no") > 0) & (F.col("line") != "")).select(F.get(cells, F.lit(0)).alias("probe"), F.get(cells, F.lit(1)).alias("frac_gc"), "line_no")
+    return numbered_lines(spark, path).where((F.col("line_no") > 0) & (F.col("line") != "")).select(F.get(cells, F.lit(0)).alias("probe"), F.get(cells, F.lit(1)).alias("frac_gc"), "line_no")
 
 
 def read_probe_model(spark: SparkSession, path: str, require: tuple[str, ...] = ("as_out", "cn_out", "inf_out", "lrr", "baf")) -> DataFrame:

@@ -100,6 +100,50 @@ def test_interval_union_is_idempotent(spark):
     assert key(once) == key(again)
 
 
+def test_interval_union_over_bins_equals_one_window(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), s, s + rng.choice([1, 40, 300])) for s in (rng.randrange(3000) for _ in range(300))] * 2
+    got = intervals.interval_union(spark.createDataFrame(rows, "c string, s long, e long").repartition(3), "s", "e", ["c"], width=50)
+    want, number, reach = [], {}, {}
+    for c, s, e in sorted(rows):
+        if c not in reach or s > reach[c]:
+            number[c] = number.get(c, 0) + 1
+        reach[c] = max(reach.get(c, e), e)
+        want.append((c, s, e, number[c]))
+    assert sorted((r["c"], r["s"], r["e"], r["island"]) for r in got.collect()) == want
+
+
+def test_exact_medians_against_the_built_in(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, 0.5, rng.gauss(0, 1), -3.0, 1e-4])) for _ in range(2000)] + [(3, None), (4, 7.0)]
+    df = spark.createDataFrame(rows, "k int, x double").repartition(5)
+    want = {r["k"]: (r["m"], r["n"]) for r in df.groupBy("k").agg(F.median("x").alias("m"), F.count("x").alias("n")).where("n > 0").collect()}
+    got = {r["k"]: (r["median"], r["n"]) for r in stats.exact_medians(df, ["k"], "x").collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
+    assert stats.exact_medians(df.limit(0), ["k"], "x").count() == 0
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(500)))
+    (tmp_path / "b.txt").write_text("x\r\n\ny")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["line_no"], r["line"]) for r in got if r["file"].endswith("a.txt")) == [(i, f"line {i}") for i in range(500)]
+    assert sorted((r["line_no"], r["line"]) for r in got if r["file"].endswith("b.txt")) == [(0, "x"), (1, ""), (2, "y")]
+
+
+def test_regions_are_numbered_in_order(spark):
+    rows = [(c, s, s + random.Random(s).choice([5, 500])) for c in ("chr1", "chr10", "chr2") for s in range(0, 4000, 100)]
+    big = S.size_class(F.col("start"), F.col("end"), 100) == "large"
+    got = intervals.number_regions(spark.createDataFrame(rows, "chrom string, start long, end long").repartition(4), [big.cast("int")]).collect()
+    want = sorted(rows, key=lambda r: (r[2] - r[1] > 100, r[0], r[1]))
+    assert [(r["chrom"], r["start"], r["end"]) for r in sorted(got, key=lambda r: r["region_id"])] == want and {r["region_id"] for r in got} == set(range(1, len(rows) + 1))
+
+
 def test_half_open_and_touch(spark):
     iv = spark.createDataFrame([(1, "c", 0, 10, 2), (2, "c", 10, 20, 3)], "ord int, chrom string, start long, end long, cn int")
     points = spark.createDataFrame([("c", p) for p in (1, 10, 11, 20, 21, 22)], "chrom string, pos long")
