@@ -1051,10 +1051,11 @@ def src12(spark, d):
     return readers.read_svs(spark, [a, b]).select("sample", "chrom", "flank_start", "flank_end", "cn")
 
 
-@_query("snk1_write_probes", "SELECT CAST(sample AS BIGINT) AS sample, chrom, pos, CAST(probe AS STRING) AS prb_name, lrr, baf, cn_in, cn_out FROM v_state", "v_state")
+@_query("snk1_write_probes", "SELECT CAST(cn_out AS BIGINT) AS sample, chrom, pos, concat(CAST(sample AS STRING), ':', CAST(probe AS STRING)) AS prb_name, lrr, baf, cn_in, cn_out FROM v_state", "v_state")
 def snk1(spark, d):
     path = shared_path(spark, "probes")
-    writers.write_probes(view(spark, d, "v_state").withColumn("prb_name", F.col("probe").cast("string")), path)
+    rows = view(spark, d, "v_state").withColumn("prb_name", F.concat_ws(":", F.col("sample").cast("string"), F.col("probe").cast("string")))
+    writers.write_probes(rows.withColumn("sample", F.col("cn_out")), path)  # a folder for each copy number and chromosome
     return spark.read.parquet(path).select(F.col("sample").cast("long").alias("sample"), "chrom", "pos", "prb_name", "lrr", "baf", "cn_in", "cn_out")
 
 
