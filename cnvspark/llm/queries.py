@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cnvspark.llm import quality_rules, spelling, vector_codes
 from cnvspark.llm.common import shared_path, table
 from cnvspark.llm.decontamination import decontaminate
 from cnvspark.llm.fingerprints import fingerprint_documents
@@ -91,6 +92,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the corpus that occur twice or more, with the form that each is a variant of."""
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every usable vector."""
+    return vector_codes.quantise(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of every document and the verdict of the rules on it."""
+    rows = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *(F.col(f"rules.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_near_dedup": op2_near_dedup,
@@ -102,7 +119,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_spelling": op11_spelling,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 #: DuckDB SQL where it can express the operator's own rows.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_spelling": spelling.sql(), "op12_vector_codes": vector_codes.sql(), "op13_quality_rules": quality_rules.sql()}
