@@ -104,7 +104,7 @@ def usable_depth(depth: Column, m1: float, s1: float, max_cn: int, nsd: float =
 
 def safe_log(p: Column) -> Column:
     """Natural logarithm, with a floor for what is not positive."""
-    return F.when(p > 0, F.ln(p)).otherwise(F.lit(-1e100))
+    return F.coalesce(F.ln(p), F.lit(-1e100))  # the logarithm of what is not positive is NULL
 
 
 def signed_log10(x: Column) -> Column:

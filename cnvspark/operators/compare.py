@@ -11,10 +11,12 @@ def pair_scores(svs: DataFrame, probes: DataFrame) -> DataFrame:
 
     ``svs`` has a row for each (sv, sample, probe, state); ``probes`` one for each (sample, probe) with ``log_ep`` and
     the model's own ``model_state``; masked rows do not count. Samples are joined on the probe's name, so the join
-    shuffles on it and a large region is spread over its probes.
+    shuffles on it and a large region is spread over its probes. If both tables have ``group``, as the clones of a line do,
+    samples are compared within it alone.
     """
-    usable = probes.where(~F.col("masked")).select(F.col("sample").alias("target"), "probe", "log_ep", "model_state")
-    rows = svs.join(usable, "probe")
+    on = ["group", "probe"] if "group" in svs.columns and "group" in probes.columns else ["probe"]
+    usable = probes.where(~F.col("masked")).select(F.col("sample").alias("target"), *on, "log_ep", "model_state")
+    rows = svs.join(usable, on)
     gain = F.element_at("log_ep", F.col("state") + 1) - F.element_at("log_ep", F.col("model_state") + 1)
     return rows.groupBy("sv", "sample", "target").agg(F.sum(gain).alias("score"), F.count(F.lit(1)).alias("n"))
 
@@ -29,8 +31,9 @@ def extreme_samples(scores: DataFrame) -> DataFrame:
 
 def overlap_samples(svs: DataFrame, probes: DataFrame) -> DataFrame:
     """Other samples that have a changed probe among those of the variant, as a sorted list."""
-    changed = probes.where("changed and not masked").select(F.col("sample").alias("target"), "probe").distinct()
-    hit = svs.select("sv", "sample", "probe").join(changed, "probe").where("target <> sample").select("sv", "sample", "target").distinct()
+    on = ["group", "probe"] if "group" in svs.columns and "group" in probes.columns else ["probe"]
+    changed = probes.where("changed and not masked").select(F.col("sample").alias("target"), *on).distinct()
+    hit = svs.select("sv", "sample", *on).join(changed, on).where("target <> sample").select("sv", "sample", "target").distinct()
     found = hit.groupBy("sv", "sample").agg(F.array_join(F.transform(F.sort_array(F.collect_list("target")), lambda x: x.cast("string")), ",").alias("ovlp_smp"))
     return svs.select("sv", "sample").distinct().join(found, ["sv", "sample"], "left").withColumn("ovlp_smp", F.coalesce("ovlp_smp", F.lit("")))
 

@@ -96,19 +96,28 @@ def candidate_lrr(df: DataFrame, offsets: DataFrame, cns: list[int]) -> DataFram
     return rows.join(F.broadcast(table), ["fit_cn", "perc_gc"], "left").withColumn("lrr_cn", F.when(F.col("cn") == 0, F.col("lrr")).otherwise(F.col("lrr") - F.col("offset"))).drop("offset", "fit_cn")
 
 
-def candidate_bins(df: DataFrame, offsets: DataFrame, max_cn: int, per_unit: int) -> DataFrame:
-    """Rows with ``lrr_bins``: the bin of the LRR corrected as if the probe had copy number 0, 1, ... ``max_cn``, as
-    :func:`candidate_lrr` does, without a row for each. The offsets come in by GC percent, at most 101 rows.
+def candidate_offsets(offsets: DataFrame, max_cn: int) -> DataFrame:
+    """(perc_gc, offsets): the offset of each copy number 0, 1, ... ``max_cn``; one without a fit borrows that of the nearest fitted one
+    (the lower of two), and CN 0 is not corrected. At most 101 rows.
     """
-    none = F.array(*(F.lit(0.0) for _ in range(max_cn + 1)))
     fitted = offsets.select(F.col("cn_in").alias("fit_cn")).distinct()
-    wanted = df.sparkSession.range(1, max_cn + 1).select(F.col("id").cast("int").alias("cn"))
+    wanted = offsets.sparkSession.range(1, max_cn + 1).select(F.col("id").cast("int").alias("cn"))
     nearest = wanted.join(F.broadcast(fitted), how="cross").groupBy("cn").agg(F.min(F.struct(F.abs(F.col("fit_cn") - F.col("cn")), "fit_cn"))["fit_cn"].alias("fit_cn"))
     each = offsets.select(F.col("cn_in").alias("fit_cn"), "perc_gc", "offset").join(F.broadcast(nearest), "fit_cn")
-    table = each.groupBy("perc_gc").agg(F.array_sort(F.collect_list(F.struct("cn", "offset"))).alias("_offsets"))
-    rows = df.join(F.broadcast(table), "perc_gc", "left")
-    per_cn = F.coalesce(F.concat(F.array(F.lit(0.0)), F.transform("_offsets", lambda x: x["offset"])), none)
-    return rows.withColumn("lrr_bins", F.transform(per_cn, lambda o: F.rint((F.col("lrr") - o) * per_unit).cast("int"))).drop("_offsets")
+    table = each.groupBy("perc_gc").agg(F.array_sort(F.collect_list(F.struct("cn", "offset"))).alias("_o"))
+    return table.select("perc_gc", F.concat(F.array(F.lit(0.0)), F.col("_o.offset")).alias("offsets"))
+
+
+def candidate_values(df: DataFrame, offsets: DataFrame, max_cn: int) -> DataFrame:
+    """Rows with ``lrr_cns``: the LRR corrected as if the probe had copy number 0, 1, ... ``max_cn``, without a row for each."""
+    rows = df.join(F.broadcast(candidate_offsets(offsets, max_cn)), "perc_gc", "left")
+    return rows.withColumn("lrr_cns", F.array(*(F.col("lrr") - F.coalesce(F.get("offsets", F.lit(c)), F.lit(0.0)) for c in range(max_cn + 1)))).drop("offsets")
+
+
+def candidate_bins(df: DataFrame, offsets: DataFrame, max_cn: int, per_unit: int) -> DataFrame:
+    """Rows with ``lrr_bins``, the bins of :func:`candidate_values`."""
+    rows = candidate_values(df, offsets, max_cn)
+    return rows.withColumn("lrr_bins", F.array(*(F.rint(F.get("lrr_cns", F.lit(c)) * per_unit).cast("int") for c in range(max_cn + 1)))).drop("lrr_cns")
 
 
 def last_wins(gc: DataFrame, line: str = "line_no") -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-#: Rows in a block of a long sequence.
-BLOCK = 4096
+#: Rows in a block of a long sequence, and rows that a task decodes together.
+BLOCK, HELD = 4096, 200_000
 
 
 def transitions(n: int, t: float) -> np.ndarray:
@@ -33,58 +37,127 @@ def persistence(n: int, p: float, z: float, weighted: bool = False) -> np.ndarra
         return np.log(out)
 
 
-def decode(log_ep: np.ndarray, log_t: np.ndarray, log_start: np.ndarray) -> np.ndarray:
-    """The most likely path (ties: the lowest state). Rows that no state explains are neutral."""
-    ep = np.where(np.isneginf(log_ep).all(axis=1, keepdims=True) | (log_ep <= -1e99).all(axis=1, keepdims=True), 0.0, log_ep)
-    back = np.zeros(ep.shape, np.int32)
-    d = log_start + ep[0]
-    for i in range(1, len(ep)):
-        step = d[:, None] + log_t
-        back[i] = step.argmax(axis=0)
-        d = step.max(axis=0) + ep[i]
-    path = np.zeros(len(ep), np.int32)
-    path[-1] = int(d.argmax())
-    for i in range(len(ep) - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
+def neutral(ep: np.ndarray) -> np.ndarray:
+    """Log emissions in which rows that no state explains are neutral."""
+    return np.where((ep <= -1e99).all(axis=1, keepdims=True), 0.0, ep)
+
+
+def decode_all(ep: np.ndarray, starts: np.ndarray, log_t: np.ndarray, log_start: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """The most likely paths (ties: the lowest state) of many sequences, one after another in the rows of ``ep`` from ``starts``.
+
+    All sequences go on together: each step is one array operation over those that are that long. ``log_start`` is one row or
+    one for each sequence; ``ends`` are the states that the sequences must end in, if known.
+    """
+    lengths = np.diff(np.r_[starts, len(ep)])
+    order = np.argsort(-lengths, kind="stable")
+    at, left = starts[order], lengths[order]
+    d = np.broadcast_to(log_start, (len(starts), ep.shape[1]))[order] + ep[at]
+    back, last = np.zeros(ep.shape, np.int16), np.zeros(len(starts), np.int64)
+
+    def finish(first: int, until: int) -> None:
+        last[first:until] = d[first:until].argmax(axis=1) if ends is None else ends[order][first:until]
+
+    live = len(starts)
+    for t in range(1, int(left[0]) if len(left) else 0):
+        now = int(np.searchsorted(-left, -t, side="left"))  # sequences longer than t
+        finish(now, live)
+        step = d[:now, :, None] + log_t
+        rows = at[:now] + t
+        back[rows] = step.argmax(axis=1)
+        d = step.max(axis=1) + ep[rows]
+        live = now
+    finish(0, live)
+    path, state = np.zeros(len(ep), np.int32), last.copy()
+    for t in range(int(left[0]) - 1 if len(left) else -1, -1, -1):
+        now = int(np.searchsorted(-left, -t, side="left"))
+        rows = at[:now] + t
+        path[rows] = state[:now]
+        state[:now] = back[rows, state[:now]]
     return path
 
 
+def decode(log_ep: np.ndarray, log_t: np.ndarray, log_start: np.ndarray) -> np.ndarray:
+    """The most likely path of one sequence."""
+    return decode_all(neutral(np.asarray(log_ep, float)), np.zeros(1, np.int64), log_t, log_start)
+
+
+def _sequences(df: DataFrame, by: list[str], order: list[str], log_ep: str, states: int, solve: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: StructType) -> DataFrame:
+    """``solve(rows, emissions, starts)`` over whole sequences, many in one call: rows are dealt by their keys and sorted, and a
+    task hands on the sequences that it has whole, about :data:`HELD` rows at a time.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ep = table.column(log_ep).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, states)
+            yield from solve(table, neutral(ep), starts).to_batches(max_chunksize=10_000)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) < HELD:
+                continue
+            table = pa.Table.from_batches(held)
+            starts = _starts(table, by)
+            if len(starts) > 1:  # the last one may go on
+                yield from solved(table.slice(0, int(starts[-1])), starts[:-1])
+                held = table.slice(int(starts[-1])).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from solved(table, _starts(table, by))
+
+    rows = (df.repartition(*by) if by else df.coalesce(1)).sortWithinPartitions(*by, *order).select(*names)
+    return rows.mapInArrow(run, schema)
+
+
+def _starts(table: pa.Table, by: list[str]) -> np.ndarray:
+    """Where the sequences of sorted rows begin."""
+    fresh = np.zeros(table.num_rows, bool)
+    fresh[0] = True
+    for name in by:
+        codes = pa.compute.fill_null(table.column(name).combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        fresh[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(fresh)
+
+
 def viterbi(df: DataFrame, by: list[str], order: list[str], log_ep: str, log_t: np.ndarray, log_start: np.ndarray | None = None, *, state: str = "hs", block: int | None = None) -> DataFrame:
     """Rows with the number of their state on the most likely path of their sequence.
 
-    Sequences are grouped by ``by`` and ordered by ``order``. A sequence longer than ``block`` rows is decoded in blocks:
-    each block gives its best score between every pair of outer states, a scan of these small matrices finds the state
-    before each block, and blocks are then traced back on their own. So no task holds more than a block. Scores are the
-    same as in one piece; only floating-point ties can differ.
+    Sequences are grouped by ``by`` and ordered by ``order``; those of one task are decoded together. A sequence of more than
+    ``block`` rows is decoded in blocks: each block gives its best score between every pair of outer states, a scan of these
+    small matrices finds the state before each block, and blocks are then traced back on their own. So no task holds more than
+    a block of one sequence. Scores are the same as in one piece; only floating-point ties can differ. With blocks ``df``
+    should be read from a table, as it is read twice; rows of equal order are then ordered by all their columns.
     """
-    n, columns = len(log_t), df.columns
+    n, columns = len(log_t), [*df.columns, state]
     start = np.full(n, -np.log(n)) if log_start is None else log_start
     schema = StructType([*df.schema.fields, StructField(state, IntegerType())])
+    found = lambda table, path: table.append_column(state, pa.array(path, pa.int32()))
     if block is None:
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable")
-            pdf[state] = decode(np.vstack(pdf[log_ep].to_numpy()).astype(float), log_t, start)
-            return pdf
-
-        return df.groupBy(*by).applyInPandas(whole, schema)
-    sequence = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("_block", F.floor((F.row_number().over(sequence) - 1) / block))
-
-    def neutral(pdf: pd.DataFrame) -> np.ndarray:
-        ep = np.vstack(pdf[log_ep].to_numpy()).astype(float)
-        return np.where((ep <= -1e99).all(axis=1, keepdims=True), 0.0, ep)
-
-    def summarize(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ep = neutral(pdf.sort_values(order, kind="stable"))
-        best = log_t + ep[0] if key[-1] else np.tile(start + ep[0], (n, 1))  # row: state before the block
-        for e in ep[1:]:
-            best = (best[:, :, None] + log_t[None]).max(axis=1) + e
-        return pd.DataFrame([[*key, best.ravel().tolist()]])
-
-    key_fields = [df.schema[c] for c in by]
+        return _sequences(df, by, order, log_ep, n, lambda table, ep, starts: found(table, decode_all(ep, starts, log_t, start)), schema)
+    ties = F.xxhash64(*df.columns)
+    sequence = Window.partitionBy(*by).orderBy(*order, ties)
+    rows = df.withColumn("_block", F.floor((F.row_number().over(sequence) - 1) / block)).withColumn("_tie", ties)
+    keys, order = [*by, "_block"], [*order, "_tie"]
+    key_fields = [*(df.schema[c] for c in by), StructField("_block", LongType())]
+
+    def summarize(table: pa.Table, ep: np.ndarray, starts: np.ndarray) -> pa.Table:
+        """Best score of each block from the state before it (of the first: any) to its last one, all blocks together."""
+        lengths = np.diff(np.r_[starts, len(ep)])
+        order = np.argsort(-lengths, kind="stable")
+        at, left = starts[order], lengths[order]
+        first = table.column("_block").to_numpy()[at] == 0
+        best = np.where(first[:, None, None], start[None, None, :], log_t[None]) + ep[at][:, None, :]
+        for t in range(1, int(left[0])):
+            now = int(np.searchsorted(-left, -t, side="left"))
+            best[:now] = (best[:now, :, :, None] + log_t).max(axis=2) + ep[at[:now] + t][:, None, :]
+        out = np.empty_like(best)
+        out[order] = best
+        return table.select(keys).take(pa.array(starts)).append_column("best", pa.array(out.reshape(len(starts), -1).tolist(), pa.list_(pa.float64())))
+
+    matrices = _sequences(rows, keys, order, log_ep, n, summarize, StructType([*key_fields, StructField("best", ArrayType(DoubleType()))]))
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-    matrices = rows.groupBy(*by, "_block").applyInPandas(summarize, f"{names}, _block bigint, best array<double>")
 
     def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_block")
@@ -100,19 +173,14 @@ def viterbi(df: DataFrame, by: list[str], order: list[str], log_ep: str, log_t:
         ends.reverse()
         return pd.DataFrame([[*key, b, -1 if i == 0 else ends[i - 1], e] for i, (b, e) in enumerate(zip(pdf["_block"], ends, strict=True))])
 
-    outer = matrices.groupBy(*by).applyInPandas(scan, f"{names}, _block bigint, _before int, _end int")
+    outer = matrices.groupBy(*by).applyInPandas(scan, f"{names}, _before int, _end int")
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        ep, before, end = neutral(pdf), int(pdf["_before"].iloc[0]), int(pdf["_end"].iloc[0])
-        first = start if before < 0 else log_t[before]
-        last = np.full(n, -np.inf)
-        last[end] = 0.0
-        ep[-1] = ep[-1] + last
-        pdf[state] = decode(ep, log_t, first)
-        return pdf[[*columns, state]]
+    def trace(table: pa.Table, ep: np.ndarray, starts: np.ndarray) -> pa.Table:
+        before, end = (table.column(c).to_numpy()[starts] for c in ("_before", "_end"))
+        firsts = np.where((before < 0)[:, None], start[None], log_t[np.maximum(before, 0)])
+        return found(table, decode_all(ep, starts, log_t, firsts, end)).select(columns)
 
-    return rows.join(outer, [*by, "_block"]).groupBy(*by, "_block").applyInPandas(trace, schema)
+    return _sequences(rows.join(outer, keys), keys, order, log_ep, n, trace, schema)
 
 
 def segment_sequence(df: DataFrame, by: list[str], order: list[str], emissions: str | dict, *, z: float = 0.5, p: float = 0.9, weighted: bool = False, trans: np.ndarray | None = None, states: int | None = None, state: str = "hs", block: int | None = None) -> DataFrame:

@@ -69,7 +69,11 @@ def interval_union(df: DataFrame, start: str, end: str, by: list[str], width: in
 def collapse_regions(svs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Regions of touching flank spans: bounds, variants, samples and their sorted list."""
     by = by or ["chrom"]
-    rows = interval_union(svs, "flank_start", "flank_end", by)
+    return region_table(interval_union(svs, "flank_start", "flank_end", by), by)
+
+
+def region_table(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Regions of rows that bear the number of their ``island``."""
     return rows.groupBy(*by, "island").agg(F.min("flank_start").alias("start"), F.max("flank_end").alias("end"), F.count(F.lit(1)).alias("n_svs"), F.count_distinct("sample").alias("n_samples"), F.array_join(F.sort_array(F.collect_set("sample")), ",").alias("samples"))
 
 
@@ -97,16 +101,20 @@ def contained(svs: DataFrame, regions: DataFrame, width: int = 1_000_000) -> Dat
     return hit.drop("_chrom", "_bin", "_at")
 
 
-def widen_by_rank(spans: DataFrame, probes: DataFrame, n: int = 10, width: int = 1_000_000) -> DataFrame:
+def widen_by_rank(spans: DataFrame, probes: DataFrame, n: int = 10, width: int = 1_000_000, region: tuple[str, str] | None = None) -> DataFrame:
     """(sv, probe) for the probes of each span and ``n`` more on either side, by rank within sample and chromosome. Probes meet
-    spans in bins of positions, and then by their very rank.
+    spans in bins of positions, and then by their very rank. ``region`` names the columns of ``spans`` that bound what is added.
+    Other columns of ``probes`` stay.
     """
     by = ["sample", "chrom"]
     ranked = probes.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "probe")))
-    inside = overlap_all(spans.select("sv", *by, "start", "end"), ranked.select(*by, "pos", "rank"), width=width, by=by)
-    bounds = inside.groupBy("sv", *by).agg((F.min("rank") - n).alias("lo"), (F.max("rank") + n).alias("hi"))
-    wanted = bounds.select("sv", *by, F.explode(F.sequence("lo", "hi")).alias("rank"))
-    return wanted.join(ranked, [*by, "rank"]).select("sv", *by, "probe", "pos", "rank")
+    inside = overlap_all(spans.select("sv", *by, "start", "end", *(region or ())), ranked.select(*by, "pos", "rank"), width=width, by=by)
+    bounds = inside.groupBy("sv", *by, *(region or ())).agg((F.min("rank") - n).alias("lo"), (F.max("rank") + n).alias("hi"))
+    wanted = bounds.select("sv", *by, *(region or ()), F.explode(F.sequence("lo", "hi")).alias("rank"))
+    found = wanted.join(ranked, [*by, "rank"])
+    if region:
+        found = found.where(F.col("pos").between(F.col(region[0]), F.col(region[1]))).drop(*region)
+    return found.select("sv", *by, "probe", "pos", "rank", *(c for c in probes.columns if c not in (*by, "probe", "pos")))
 
 
 def read_region(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cnvspark.functions import scalar as S
+from cnvspark.operators import stats
+
 
 def _order(by: list[str]):
     return Window.partitionBy(*by).orderBy("pos", "probe")
@@ -46,10 +49,29 @@ def sub_run_count(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by, "merged").agg(F.count_distinct("run").alias("n_sub"))
 
 
+def _evidence() -> list[Column]:
+    changed = (F.col("cn_out") != F.col("cn_in")) | (F.col("inf_in") & ~F.col("inf_out"))
+    return [F.count_if(changed).alias("n_probes"), F.count_if(F.col("inf_in")).alias("n_inf")]
+
+
+def _spans() -> list[Column]:
+    joined = lambda c: F.array_join(F.sort_array(F.collect_set(F.col(c).cast("string"))), ",").alias(c)
+    return [F.min("pos").alias("start"), F.max("pos").alias("end"), (F.max("pos") - F.min("pos") + 1).alias("span"), joined("cn_in"), joined("cn_out"), joined("cnc"), F.bool_or(F.col("allelism_out") < F.col("allelism_in")).alias("loh_run")]
+
+
+def _means() -> list[Column]:
+    zyg = F.when(F.col("inf_in"), F.col("zyg"))
+    return [F.avg("lrr").alias("lrr_mean"), F.coalesce(F.stddev_samp("lrr"), F.lit(0.0)).alias("lrr_sd"), F.avg(zyg).alias("zyg_mean"), F.stddev_samp(zyg).alias("zyg_sd")]
+
+
 def run_evidence(df: DataFrame, by: list[str]) -> DataFrame:
     """``n_probes``: changed, or informative in the model and no more; ``n_inf``: informative in the model."""
-    changed = (F.col("cn_out") != F.col("cn_in")) | (F.col("inf_in") & ~F.col("inf_out"))
-    return df.groupBy(*by, "run").agg(F.count_if(changed).alias("n_probes"), F.count_if(F.col("inf_in")).alias("n_inf"))
+    return df.groupBy(*by, "run").agg(*_evidence())
+
+
+def run_table(df: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Evidence, spans, means and ``more`` of each run in one aggregation."""
+    return df.groupBy(*by, "run").agg(*_spans(), *_evidence(), *_means(), *more)
 
 
 def filter_runs(runs: DataFrame, min_probes: int = 5, min_evidence: int = 7, min_rel_ll: float = 10.0) -> DataFrame:
@@ -65,14 +87,12 @@ def keep_runs(df: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
 
 def run_spans(df: DataFrame, by: list[str]) -> DataFrame:
     """Bounds, span, sorted distinct copy numbers and changes, and whether allelism fell anywhere."""
-    joined = lambda c: F.array_join(F.sort_array(F.collect_set(F.col(c).cast("string"))), ",").alias(c)
-    return df.groupBy(*by, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), (F.max("pos") - F.min("pos") + 1).alias("span"), joined("cn_in"), joined("cn_out"), joined("cnc"), F.bool_or(F.col("allelism_out") < F.col("allelism_in")).alias("loh_run"))
+    return df.groupBy(*by, "run").agg(*_spans())
 
 
 def run_means(df: DataFrame, by: list[str]) -> DataFrame:
     """Mean and SD of LRR, and of zygosity over probes that are informative in the model."""
-    zyg = F.when(F.col("inf_in"), F.col("zyg"))
-    return df.groupBy(*by, "run").agg(F.avg("lrr").alias("lrr_mean"), F.coalesce(F.stddev_samp("lrr"), F.lit(0.0)).alias("lrr_sd"), F.avg(zyg).alias("zyg_mean"), F.stddev_samp(zyg).alias("zyg_sd"))
+    return df.groupBy(*by, "run").agg(*_means())
 
 
 def flanks(df: DataFrame, by: list[str], runs: DataFrame, n: int = 10) -> DataFrame:
@@ -87,7 +107,9 @@ def called_cn(all_probes: DataFrame, runs: DataFrame, by: list[str]) -> DataFram
     """Called copy number of each run: the median of 2·2^LRR, corrected by what the unchanged probes of the run's output copy
     number are off it; uncorrected where there are none.
     """
-    calc = 2 * F.pow(F.lit(2.0), F.col("lrr"))
-    corr = all_probes.where("not masked and cn_out = cn_in").groupBy(F.col("cn_in").alias("cn_out")).agg((F.first("cn_in") / F.median(calc)).alias("corr"))
+    calc = S.lrr_to_cn(F.col("lrr"))
+    same = all_probes.where("not masked and cn_out = cn_in").select(F.col("cn_in").alias("cn_out"), calc.alias("_calc"))
+    medians = stats.exact_medians(same, ["cn_out"], "_calc")  # nearly all unchanged probes have one copy number
+    corr = medians.select("cn_out", (F.col("cn_out") / F.col("median")).alias("corr"))
     rows = runs.join(F.broadcast(corr), "cn_out", "left").withColumn("_c", calc * F.coalesce("corr", F.lit(1.0)))
     return rows.groupBy(*by, "run").agg(F.round(F.median("_c"), 2).alias("cn_clc")).withColumn("cn_p", F.lit(0.0))

@@ -93,11 +93,12 @@ def first_per_group(df: DataFrame, by: list[str], order: list[str]) -> DataFrame
     return best.select(*by, "_b.*")
 
 
-def exact_medians(df: DataFrame, by: list[str], x: str, per_unit: int = 1000) -> DataFrame:
-    """(by, median, n) over rows that have ``x``: the exact median of few keys with very many rows.
+def exact_medians(df: DataFrame, by: list[str], x: str, per_unit: int = 1000, few: bool = True) -> DataFrame:
+    """(by, median, n) over rows that have ``x``: the exact median of keys with very many rows.
 
     Rows are counted by bins of ``x``, and only those of the one or two bins that hold the middle ranks are looked at again, as
-    counted values. So no buffer holds the values of a key. Keys without values do not come.
+    counted values. So no buffer holds the values of a key. Keys without values do not come. Where keys are ``few`` (copy
+    numbers) the bins of the middle are broadcast; else, as for the samples of a cohort, they are joined by key and bin.
     """
     rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x")).withColumn("_bin", F.floor(F.col("_x") * per_unit))
     key = Window.partitionBy(*by)
@@ -109,7 +110,7 @@ def exact_medians(df: DataFrame, by: list[str], x: str, per_unit: int = 1000) ->
     on = F.col("_bin") == F.col("_b")
     for i, c in enumerate(by):
         on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    values = rows.join(F.broadcast(hit), on).groupBy(*by, "_bin", "_x").agg(F.count(F.lit(1)).alias("_n"), F.first("_total").alias("_total"), F.first("_before").alias("_before"))
+    values = rows.join(F.broadcast(hit) if few else hit, on).groupBy(*by, "_bin", "_x").agg(F.count(F.lit(1)).alias("_n"), F.first("_total").alias("_total"), F.first("_before").alias("_before"))
     within = Window.partitionBy(*by, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("_to", F.col("_before") + F.sum("_n").over(within))
     at = lambda rank: F.min(F.when(F.col("_to") > rank, F.col("_x")))

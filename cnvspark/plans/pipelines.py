@@ -6,19 +6,23 @@ Every job works on a whole cohort at once, with samples and chromosomes as keys
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cnvspark.functions import scalar as S
-from cnvspark.operators import compare, coverage, emissions, gcbias, hmm, intervals, runs, samples, stats
-from cnvspark.session import shared_path
+from cnvspark.operators import compare, coverage, emissions, fitting, gcbias, hmm, intervals, runs, samples, stats
+from cnvspark.operators.emissions import State, Tables
+from cnvspark.session import written
 from cnvspark.sources import readers
 
 #: Penalties for states 1, 2, 3 and 4 copies away, and the chance of a change between neighbouring probes.
 PENALTIES, CHANGE = [0.98, 0.9, 0.5, 0.1], 1e-4
-LRR_BINS, ZYG_BINS = 30, 150
-_STATE = "state int, allelic_state string, cn double, allelism int, mosaic boolean, inf_out boolean, zyg_key string"
+# Log ratios that take part in fits, when refining and when segmenting.
+REFINE_LRR, SEGMENT_LRR = (-1.5, 1.0), (-2.5, 2.5)
+#: The fits of up to so many samples (some 50 KB each) are broadcast; those of more are joined by sample.
+MANY_SAMPLES = 2000
 
 
 def list_samples(spark: SparkSession, manifest: str, name_col: str = "DNA_ID") -> DataFrame:
@@ -58,130 +62,178 @@ def train(spark: SparkSession, method: str, *, path: str | None = None, chroms:
     return coverage.sex_model(spark, chroms or [f"chr{c}" for c in (*range(1, 23), "X", "Y")], method)
 
 
-def _states(max_cn: int, mosaics: bool = False, by_inf: bool = False) -> list[tuple[int, str, float, int, bool, bool, str]]:
-    """One state for each copy number and allelism, in order: number, allelic state, copy number, allelism, mosaic,
-    informative, key of its zygosity table. With ``mosaics`` those between copy numbers too; with ``by_inf`` one state each for
-    informative and other probes.
+def _states(max_cn: float, mosaics: bool = False, by_inf: bool = False) -> list[State]:
+    """One state for each copy number and allelism, in order. With ``mosaics`` those between copy numbers too; with ``by_inf`` one
+    state each for informative and other probes.
     """
-    found: dict[tuple[float, str], list] = {}
+    found: dict[tuple[float, str, bool], list] = {}
     for line in readers.STATES.strip().splitlines():
         name, cn, allelism, _, inf, mosaic, _ = line.split()
         if (mosaics or mosaic == "no") and float(cn) <= max_cn:
             state = found.setdefault((float(cn), name, by_inf and inf == "yes"), [int(allelism), False, mosaic == "yes"])
             state[1] |= inf == "yes"
-    return [(i, name, cn, a, mosaic, inf, str(a) if a <= 1 else f"s{name}") for i, ((cn, name, _), (a, inf, mosaic)) in enumerate(sorted(found.items()))]
-
-
-def _gauss(low: int, high: int, mean: float, sd: float, bad: float, floor: float = 1e-12) -> list[float]:
-    """Normal probabilities of integer bins, a little of which goes to bad probes, with sum 1."""
-    phi = lambda x: 0.5 * math.erfc(-(x - mean) / (sd * math.sqrt(2)))
-    p = [0.99 * max(phi(b + 0.5) - phi(b - 0.5), floor) + 0.01 * bad for b in range(low, high + 1)]
-    return [x / sum(p) for x in p]
-
-
-def _tables(spark: SparkSession, states: list[tuple], lrr_sd: float) -> tuple[DataFrame, DataFrame]:
-    """Emission tables over all bins, of a size that the bins fix: LRR by copy number, zygosity by state."""
-    low, high = -5 * LRR_BINS, 3 * LRR_BINS
-    lrr = []
-    for cn in sorted({s[2] for s in states}):
-        mean = math.log2(cn / 2) if cn > 0 else -3.5
-        lrr += [(cn, b, p) for b, p in zip(range(low, high + 1), _gauss(low, high, mean * LRR_BINS, lrr_sd * LRR_BINS, 1e-3), strict=True)]
-    first = ZYG_BINS // 2
-    zyg = []
-    for key in sorted({s[6] for s in states}):
-        peak = abs(emissions.BAF_TARGETS.get(key[1:], 0.0) - 0.5) + 0.5 if key[0] == "s" else 1.0
-        flat = [1 / (ZYG_BINS - first + 1)] * (ZYG_BINS - first + 1)
-        zyg += [(key, b, p) for b, p in zip(range(first, ZYG_BINS + 1), flat if key == "0" else _gauss(first, ZYG_BINS, peak * ZYG_BINS, 0.05 * ZYG_BINS, 1e-2), strict=True)]
-    return spark.createDataFrame(lrr, "cn double, bin int, p double"), spark.createDataFrame(zyg, "zyg_key string, bin int, p double")
-
-
-def _decode(rows: DataFrame, by: list[str], max_cn: int, lrr_sd: float, mode: str, change: float, block: int | None, informative: float | None = None) -> DataFrame:
-    """Rows with hs, as_out, cn_out, allelism_out from the hidden Markov model; rows need lrr_fit or lrr_bins, zyg, cn_in,
-    allelism_in, inf_in. States are split by informativity if its share is given.
+    return [State(i, name, cn, a, mosaic, inf) for i, ((cn, name, _), (a, inf, mosaic)) in enumerate(sorted(found.items()))]
+
+
+def _decode(rows: DataFrame, by: list[str], states: list[State], mode: str, change: float, block: int | None, informative: float | None = None) -> DataFrame:
+    """Rows with log_ep, hs, as_out, cn_out and allelism_out from the hidden Markov model. Rows need lrr_cns, zyg, cn_in, allelism_in,
+    inf_in, and the arrays ``lrr_table`` and ``zyg_table`` of their group's fit, which are dropped.
+    """
+    tables = Tables(F.col("lrr_table"), fitting.LRR_LOW, fitting.LRR_N, F.col("zyg_table"), fitting.ZYG_LOW, fitting.ZYG_N)
+    top = int(max(s.cn for s in states))
+    own = F.when(F.col("cn_in").between(0, top), F.get("lrr_cns", F.col("cn_in").cast("int"))).otherwise(F.get("lrr_cns", F.lit(0)))
+    cns = F.array(*(fitting.lrr_bin(F.get("lrr_cns", F.lit(c))) for c in range(top + 1)))
+    binned = rows.withColumns({"zyg_bin": fitting.zyg_bin(F.col("zyg")), "lrr_bins": cns, "lrr_fit": own})
+    ep = emissions.log_emissions(binned, states, tables, PENALTIES, mode, informative, fitting.BAD).drop("lrr_table", "zyg_table", "lrr_bins", "zyg_bin", "lrr_cns")
+    if "masked" in rows.columns:  # a masked probe says nothing
+        ep = ep.withColumn("log_ep", F.when(F.col("masked"), F.array_repeat(F.lit(0.0), len(states))).otherwise(F.col("log_ep")))
+    decoded = hmm.viterbi(ep if block is None else written(ep, "emissions"), by, ["pos", "probe"], "log_ep", hmm.transitions(len(states), change), block=block)
+    value = lambda values, kind: F.get(F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>"), F.col("hs"))
+    return decoded.withColumns({"as_out": value([s.name for s in states], "string"), "cn_out": value([s.cn for s in states], "double"), "allelism_out": value([s.allelism for s in states], "int")})
+
+
+class Model(NamedTuple):
+    """A refined model: its probes, the GC offsets of its copy numbers (cn_in, perc_gc, offset; None: no correction), and its fitted
+    states.
     """
-    spark = rows.sparkSession
-    listed = _states(max_cn, by_inf=informative is not None)
-    states = spark.createDataFrame(listed, _STATE)
-    lrr, zyg = _tables(spark, listed, lrr_sd)
-    binned = rows.withColumn("zyg_bin", S.bin_even(F.col("zyg"), ZYG_BINS))
-    if "lrr_bins" not in rows.columns:
-        binned = binned.withColumn("lrr_bin", S.bin_even(F.col("lrr_fit"), LRR_BINS))
-    ep = emissions.log_emissions(binned, states.select("state", "cn", "allelism", "mosaic", "inf_out", "zyg_key"), lrr, zyg, PENALTIES, mode, informative)
-    decoded = hmm.viterbi(ep, by, ["pos", "probe"], "log_ep", hmm.transitions(len(listed), change), block=block)
-    names = states.select(F.col("state").alias("hs"), F.col("allelic_state").alias("as_out"), F.col("cn").alias("cn_out"), F.col("allelism").alias("allelism_out"))
-    return decoded.join(F.broadcast(names), "hs").drop("lrr_bin", "lrr_bins", "zyg_bin")
-
-
-def refine(obs: DataFrame, intervals_: DataFrame, gc: DataFrame, *, max_cn: int = 5, min_probes: int = 25_000, min_gc: int | None = None, lrr_sd: float = 0.2, rounds: int = 1, block: int | None = hmm.BLOCK) -> DataFrame:
+
+    probes: DataFrame
+    offsets: DataFrame | None = None
+    fits: DataFrame | None = None
+
+
+def refine(obs: DataFrame, intervals_: DataFrame, gc: DataFrame, *, max_cn: int = 5, min_probes: int = 25_000, min_gc: int | None = None, least: int = fitting.LEAST, rounds: int = 1, change: float = CHANGE, block: int | None = None, path: str | None = None) -> Model:
     """A refined model of probes from control samples: medians, input copy number, GC limits and correction for each candidate
-    copy number, decoding weighted by how many probes are informative, rejection of gains. ``min_gc`` is the least number of
-    probes of a GC percent within the limits (``min_probes`` if not given).
+    copy number, emission tables fitted to the probes, decoding weighted by how many probes are informative, rejection of
+    gains. States go up to one above the highest copy number that can be fitted, and probes beyond are left out. ``min_gc`` is
+    the least number of probes of a GC percent within the limits (``min_probes`` if not given), ``least`` that of a copy
+    number whose table is fitted.
 
-    In a second round the copy number comes from the first round's probes. The model is persisted, as jobs read it
-    several times; ``unpersist`` it when done.
+    In a second round the copy number comes from the first round's probes. Every step that others read is written: to ``path``,
+    where a driver that starts again takes up the rounds that it finds, or else to the shared folder.
     """
-    probes = stats.probe_medians(obs, ["chrom", "pos", "probe"], values=("lrr", "baf"))
-    with_cn = intervals.first_match(probes, intervals_, width=100_000, value="cn").withColumnRenamed("cn", "cn_in").withColumn("cn_in", F.col("cn_in").cast("double"))
-    out = None
-    for _ in range(rounds):
-        rows = with_cn if out is None else probes.join(out.select("probe", F.col("cn_out").alias("cn_in")), "probe")
-        rows = samples.usable(samples.join_gc(rows, gc).withColumn("perc_gc", S.perc_gc(F.col("frac_gc"))), mode="discard", max_cn=max_cn)
+    at = lambda k, what: None if path is None else f"{path}/round-{k}/{what}"
+    probes = written(stats.probe_medians(obs, ["chrom", "pos", "probe"], values=("lrr", "baf")), "medians", at(0, "medians"))
+    start = intervals.first_match(probes, intervals_, width=100_000, value="cn").select(*probes.columns, F.col("cn").cast("double").alias("cn_in"))
+    model = None
+    for k in range(1, rounds + 1):
+        rows = start if model is None else probes.join(model.probes.select("probe", F.col("cn_out").alias("cn_in")), "probe")
+        rows = written(samples.usable(samples.join_gc(rows, gc).withColumn("perc_gc", S.perc_gc(F.col("frac_gc"))), mode="discard", max_cn=max_cn), "usable", at(k, "usable"))
         rows = gcbias.within_limits(rows, gcbias.gc_limits(rows, n=min_probes if min_gc is None else min_gc))
-        fitted = gcbias.fittable_cns(rows, min_probes).select("cn_in")
-        offsets = gcbias.fit_gc(rows.join(F.broadcast(fitted), "cn_in"))
-        rows = gcbias.candidate_bins(gcbias.apply_gc(rows, offsets), offsets, max_cn, LRR_BINS).withColumn("zyg", S.zygosity(F.col("baf")))
-        rows = rows.withColumn("inf_in", S.informative(F.col("zyg"))).withColumn("allelism_in", F.when(F.col("cn_in") <= 1, F.col("cn_in").cast("int")).otherwise(2)).withColumn("masked", F.lit(False))
-        share = stats.informative_fraction(rows).first()["fraction"]
-        out = hmm.reject_gains(runs.derive_changes(_decode(rows, ["chrom"], max_cn, lrr_sd, "refine", CHANGE, block, share or 0.0)))
-    return out.select("chrom", "pos", "probe", "lrr", "baf", "cn_in", "perc_gc", "inf_in", "as_out", "cn_out", "allelism_out", "inf_out", "cnc").persist()
-
-
-def segment(obs: DataFrame, model: DataFrame, *, max_cn: int = 5, lrr_sd: float = 0.2, change: float = CHANGE, min_probes: int = 5, min_evidence: int = 7, min_rel_ll: float = 10.0, block: int | None = hmm.BLOCK) -> tuple[DataFrame, DataFrame]:
+        fittable = sorted(r["cn_in"] for r in gcbias.fittable_cns(rows, min_probes).collect())  # a handful
+        if not fittable:
+            raise ValueError(f"no copy number has {min_probes} probes within the GC limits")
+        top = min(int(max(fittable)) + 1, max_cn)
+        offsets = written(gcbias.fit_gc(rows.where(F.col("cn_in").isin(fittable))), "offsets", at(k, "offsets"))
+        rows = gcbias.candidate_values(gcbias.apply_gc(rows.where(F.col("cn_in") <= top), offsets), offsets, top)
+        rows = rows.withColumn("zyg", S.zygosity(F.col("baf"))).withColumn("inf_in", S.informative(F.col("zyg"))).withColumn("masked", F.lit(False))
+        rows = written(rows.withColumn("allelism_in", F.when(F.col("cn_in") <= 1, F.col("cn_in").cast("int")).otherwise(2)), "corrected", at(k, "corrected"))
+        share = stats.informative_fraction(rows).first()["fraction"] or 0.0
+        states = _states(top, by_inf=True)
+        tables = written(fitting.fit_tables(fitting.histogram(rows, [], *REFINE_LRR), [], states, least=least, span=REFINE_LRR[1] - REFINE_LRR[0]), "fits", at(k, "fits"))
+        fit = tables.first()  # flat tables of a size that the bins fix
+        if fit is None:
+            raise ValueError("no probe has a log ratio within the limits of a fit")
+        rows = rows.withColumns({"lrr_table": emissions.literal(fit["lrr"]), "zyg_table": emissions.literal(fit["zyg"])})
+        out = hmm.reject_gains(runs.derive_changes(_decode(rows, ["chrom"], states, "refine", change, block, share)))
+        names = ["chrom", "pos", "probe", "lrr", "baf", "cn_in", "perc_gc", "inf_in", "as_out", "cn_out", "allelism_out", "inf_out", "cnc"]
+        model = Model(written(out.select(*names), "model", at(k, "model")), offsets, tables.select(F.inline("fits")))
+    return model
+
+
+def correct_samples(obs: DataFrame, model: Model, top: int) -> DataFrame:
+    """Probes of all samples as a model sees them, masked where they or the model miss a value: LRR corrected for GC and for each
+    candidate copy number, LRR and BAF on their ideal scale by lines fitted to each sample, and each probe shifted by what its
+    own model median is off. A sample whose model has one copy number is shifted, not scaled.
+
+    Needs (sample, chrom, pos, probe, lrr, baf); adds cn_in, as_in, allelism_in, inf_in, masked, lrr_corr, lrr_cns and zyg.
+    """
+    has, zyg = model.probes.columns, S.zygosity(F.col("baf"))
+    # Without allelic states in the model they follow from copy number and zygosity.
+    cn, likely = F.col("cn_out"), F.lit(None).cast("string")
+    for copies, name, most in ((5, "CN5_14", 1.0), (5, "CN5_23", 0.7), (4, "CN4_13", 1.0), (4, "CN4_22", 0.625), (3, "CN3_12", 1.0), (2, "CN2_11", 1.0), (1, "CN1_1", 1.0)):
+        likely = F.when((cn == copies) & (zyg <= most), name).otherwise(likely)
+    base = model.probes.select("probe", F.col("lrr").alias("model_lrr"), F.col("baf").alias("model_baf"), F.col("cn_out").alias("cn_in"), F.col("allelism_out").alias("allelism_in"), F.coalesce("inf_out", F.lit(False)).alias("inf_in"), (F.col("as_out") if "as_out" in has else likely).alias("as_in"), (F.col("perc_gc") if "perc_gc" in has else F.lit(None).cast("int")).alias("perc_gc"))
+    rows = obs.select("sample", "chrom", "pos", "probe", "lrr", "baf").join(base, "probe")
+    if model.offsets is None:
+        rows = rows.withColumns({"offset": F.lit(0.0), "lrr_cns": F.array(*(F.col("lrr") for _ in range(top + 1)))})
+        gc_missing = F.lit(False)
+    else:
+        rows = gcbias.candidate_values(rows.join(F.broadcast(model.offsets), ["cn_in", "perc_gc"], "left"), model.offsets, top)
+        gc_missing = F.col("perc_gc").isNull()
+    ok = (F.col("cn_in") > 0) & (F.col("cn_in") <= top) & F.col("lrr").isNotNull() & F.col("baf").isNotNull() & ~gc_missing
+    rows = rows.withColumns({"masked": ~F.coalesce(ok, F.lit(False)), "lrr_corr": F.col("lrr") - F.col("offset"), "model_lrr": F.col("model_lrr") - F.coalesce("offset", F.lit(0.0))}).drop("offset")
+    rows = written(rows, "samples")
+    medians, lines = emissions.lrr_lines(rows, ["sample"], "model_lrr", shift=True)
+    rows = rows.join(medians.drop("w"), ["sample", "cn_in"], "left").join(lines.withColumnsRenamed({"slope": "_slope", "intercept": "_intercept", "shift": "_shift"}), "sample", "left")
+    slope, moved = F.coalesce("_slope", F.lit(1.0)), F.coalesce(F.col("m") - F.col("model_lrr"), F.lit(0.0))
+    ideal = lambda x: (x - F.coalesce("_shift", F.lit(0.0)) + moved) * slope + F.coalesce("_intercept", F.lit(0.0))
+    rows = rows.withColumns({"lrr_corr": ideal(F.col("lrr_corr")), "lrr_cns": F.array(*(ideal(F.get("lrr_cns", F.lit(c))) for c in range(top + 1)))}).drop("m", "_slope", "_intercept", "_shift", "model_lrr")
+    rows = emissions.rescale_baf(written(rows, "ratios"), ["sample"], shift=True)
+    return rows.withColumn("zyg", F.coalesce("zyg", F.lit(1.0))).drop("target", "model_baf", "baf_rescaled", "baf_shifted")
+
+
+def segment(obs: DataFrame, model: Model | DataFrame, *, max_cn: int = 5, mosaics: bool = True, change: float = CHANGE, least: int = fitting.LEAST, min_probes: int = 5, min_evidence: int = 7, min_rel_ll: float = 10.0, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Decoded probes and scored variants of all samples against a refined model, in one job.
 
-    The model's output is the input here. Each probe is shifted by what its own model median is off its copy number; a probe
-    without values is masked and stays. Decoded probes are persisted, so that sequences are decoded once.
+    The model's output is the input here. Samples are corrected (:func:`correct_samples`), emission tables are fitted to each
+    one, with states between copy numbers if ``mosaics``, and all are decoded together. A probe without values is masked and
+    stays. Corrected and decoded probes are written to the shared folder, so each step is done once and a lost executor repeats
+    little. Fits have a row for each sample; those of up to ``MANY_SAMPLES`` are broadcast.
     """
-    by = ["sample", "chrom"]
-    base = model.select("probe", F.col("lrr").alias("model_lrr"), F.col("cn_out").alias("cn_in"), F.col("allelism_out").alias("allelism_in"), F.col("inf_out").alias("model_inf"))
-    rows = obs.join(base, "probe").withColumn("masked", F.col("lrr").isNull() | F.col("baf").isNull() | F.col("cn_in").isNull())
-    target = F.when(F.col("cn_in") > 0, F.log2(F.col("cn_in") / 2)).otherwise(F.col("model_lrr"))
-    rows = rows.withColumn("lrr_fit", F.when(~F.col("masked"), F.col("lrr") + target - F.col("model_lrr")).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("zyg", S.zygosity(F.coalesce("baf", F.lit(1.0)))).withColumn("inf_in", F.coalesce("model_inf", F.lit(False)))
-    decoded = runs.flag_anomalous(runs.derive_changes(_decode(rows, by, max_cn, lrr_sd, "segment", change, block)))
-    decoded = runs.usable_index(decoded, by).persist()  # read by every part of the variant table
-    found = runs.anomalous_runs(decoded, by)
+    by, model = ["sample", "chrom"], model if isinstance(model, Model) else Model(model)
+    fitted = [r[0] for r in model.offsets.select("cn_in").distinct().collect()] if model.offsets is not None else [max_cn]
+    states = _states(min(int(max(fitted)) + 1, max_cn), mosaics)
+    top = int(max(s.cn for s in states))
+    rows = written(correct_samples(obs, model, top), "corrected")
+    targets = {cn: math.log2(cn / 2) for cn in range(1, top + 1)}
+    tables = written(fitting.fit_tables(fitting.histogram(rows, ["sample"], *SEGMENT_LRR), ["sample"], states, targets=targets, least=least, span=SEGMENT_LRR[1] - SEGMENT_LRR[0]), "fits")
+    fits = tables.select("sample", F.col("fits.cn").alias("_cns"), F.col("lrr").alias("lrr_table"), F.col("zyg").alias("zyg_table"))
+    rows = rows.join(F.broadcast(fits) if fits.count() <= MANY_SAMPLES else fits, "sample")
+    # Changes from a copy number that the sample gives no table of cannot be scored.
+    rows = rows.withColumn("masked", F.col("masked") | ~F.array_contains("_cns", F.col("cn_in"))).drop("_cns")
+    decoded = runs.usable_index(runs.flag_anomalous(runs.derive_changes(_decode(rows, by, states, "segment", change, block))), by)
     # The model's state: the first one of equal copy number and allelism; relative likelihood is the gain over it.
-    names = obs.sparkSession.createDataFrame(_states(max_cn), _STATE).groupBy(F.col("cn").alias("cn_in"), F.col("allelism").alias("allelism_in")).agg(F.min("state").alias("model_state"))
-    decoded = decoded.join(F.broadcast(names), ["cn_in", "allelism_in"], "left").withColumn("model_state", F.coalesce("model_state", "hs"))
-    found = found.join(F.broadcast(names), ["cn_in", "allelism_in"], "left").withColumn("model_state", F.coalesce("model_state", "hs"))
-    lls = found.groupBy(*by, "run").agg(F.round(F.sum(F.element_at("log_ep", F.col("model_state") + 1)), 1).alias("mdl_ll"), F.round(F.sum(F.element_at("log_ep", F.col("hs") + 1)), 1).alias("sv_ll"))
-    evidence = runs.run_evidence(found, by).join(lls, [*by, "run"]).withColumn("rel_ll", F.round(F.col("sv_ll") - F.col("mdl_ll"), 1))
-    kept = runs.filter_runs(evidence, min_probes, min_evidence, min_rel_ll)
+    first: dict[tuple[float, int], int] = {}
+    for s in reversed(states):
+        first[s.cn, s.allelism] = s.state
+    own = F.col("hs")
+    for (cn, allelism), state in first.items():
+        own = F.when((F.col("cn_in") == cn) & (F.col("allelism_in") == allelism), state).otherwise(own)
+    decoded = written(decoded.drop("lrr_corr", "lrr").withColumnRenamed("lrr_fit", "lrr").withColumn("model_state", own), "decoded")
+    found = written(runs.anomalous_runs(decoded, by), "runs")
+    total = lambda state: F.round(F.sum(F.element_at("log_ep", F.col(state) + 1)), 1)
+    summed = runs.run_table(found, by, total("model_state").alias("mdl_ll"), total("hs").alias("sv_ll")).withColumn("rel_ll", F.round(F.col("sv_ll") - F.col("mdl_ll"), 1))
+    kept = written(runs.filter_runs(summed, min_probes, min_evidence, min_rel_ll), "kept")
     found = runs.keep_runs(found, kept, by)
-    svs = kept
-    for part in (runs.run_spans(found, by), runs.run_means(found, by), runs.called_cn(decoded, found, by), runs.flanks(decoded, by, found)):
-        svs = svs.join(part, [*by, "run"])
-    sv_probes = found.select(*by, "run", "probe")
-    decoded = decoded.join(sv_probes.withColumnRenamed("run", "sv_run"), [*by, "probe"], "left")
+    svs = kept.join(runs.called_cn(decoded, found, by), [*by, "run"]).join(runs.flanks(decoded, by, found), [*by, "run"])
+    decoded = decoded.join(found.select(*by, "probe", F.col("run").alias("sv_run")), [*by, "probe"], "left")
     return decoded, svs
 
 
-def compare_samples(decoded: DataFrame, svs: DataFrame, threshold: int = 2_000_000) -> DataFrame:
-    """Variants of all samples with their regions by size class, and how well each fits every other sample. The variants are
-    written to the shared folder once, as regions and unions read them several times.
+def compare_samples(decoded: DataFrame, svs: DataFrame, threshold: int = 2_000_000, flank: int = 10, groups: DataFrame | None = None) -> DataFrame:
+    """Variants of all samples with their regions by size class, and how well each fits every other sample.
+
+    A variant is scored over its probes and ``flank`` more on either side, as far as its region goes. With ``groups`` (sample,
+    group), as the clones of a line are, samples are compared within their group. Variants are written to the shared folder
+    once, as regions and unions read them several times.
     """
-    sized = svs.withColumn("size", S.size_class(F.col("flank_start"), F.col("flank_end"), threshold)).withColumn("sv", F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("run").cast("string")))
-    path = shared_path(svs.sparkSession, "variants")
-    sized.write.parquet(path)
-    sized, by = svs.sparkSession.read.parquet(path), ["size", "chrom"]
-    regions = intervals.number_regions(intervals.collapse_regions(sized, by), [F.when(F.col("size") == "small", 0).otherwise(1)])
-    placed = intervals.interval_union(sized, "flank_start", "flank_end", by).join(regions.select(*by, "island", "region_id"), [*by, "island"])
-    paths = decoded.where("sv_run is not null").select(F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("sv_run").cast("string")).alias("sv"), "sample", "probe", F.col("hs").alias("state"))
-    probes = decoded.select("sample", "probe", "masked", "log_ep", "model_state", (F.coalesce(F.col("cnc") != 0, F.lit(False)) | F.coalesce("loh_probe", F.lit(False))).alias("changed"))
-    best = compare.extreme_samples(compare.pair_scores(paths, probes))
-    seen = compare.overlap_samples(paths, probes)
-    return placed.join(best, ["sv", "sample"], "left").join(seen, ["sv", "sample"], "left").drop("island").orderBy("region_id", "chrom", "start", "end")
+    name = lambda run: F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col(run).cast("string")).alias("sv")
+    sized = written(svs.withColumn("size", S.size_class(F.col("flank_start"), F.col("flank_end"), threshold)).withColumn("sv", name("run")), "variants")
+    by = ["size", "chrom"]
+    islands = written(intervals.interval_union(sized, "flank_start", "flank_end", by), "islands")
+    regions = intervals.number_regions(intervals.region_table(islands, by), [F.when(F.col("size") == "small", 0).otherwise(1)])
+    placed = written(islands.join(regions.select(*by, "island", "region_id", F.col("start").alias("region_start"), F.col("end").alias("region_end")), [*by, "island"]).drop("island"), "placed")
+    probes = decoded.select("sample", "chrom", "pos", "probe", "masked", "hs", "log_ep", "model_state", (F.coalesce(F.col("cnc") != 0, F.lit(False)) | F.coalesce("loh_probe", F.lit(False))).alias("changed"))
+    if groups is not None:
+        probes = probes.join(groups.select("sample", "group"), "sample")
+    more = ["group"] if groups is not None else []
+    wide = intervals.widen_by_rank(placed, probes.select("sample", "chrom", "pos", "probe", F.col("hs").alias("state"), *more), n=flank, region=("region_start", "region_end"))
+    wide = written(wide, "paths")
+    best = compare.extreme_samples(compare.pair_scores(wide.select("sv", "sample", "probe", "state", *more), probes))
+    inside = wide.join(placed.select("sv", "start", "end"), "sv").where(F.col("pos").between(F.col("start"), F.col("end")))
+    seen = compare.overlap_samples(inside.select("sv", "sample", "probe", *more), probes)
+    return placed.join(best, ["sv", "sample"], "left").join(seen, ["sv", "sample"], "left").drop("region_start", "region_end").orderBy("region_id", "chrom", "start", "end")
 
 
 def fan_out(table: DataFrame, experiment: str) -> DataFrame:

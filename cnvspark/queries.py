@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cnvspark.functions import scalar as S
-from cnvspark.operators import compare, coverage, emissions, gcbias, hmm, intervals, peaks, runs, samples, stats
+from cnvspark.operators import compare, coverage, emissions, fitting, gcbias, hmm, intervals, peaks, runs, samples, stats
 from cnvspark.plans import pipelines, plotdata
 from cnvspark.session import shared_path
 from cnvspark.sources import readers, writers
@@ -388,10 +388,10 @@ def jn18(spark, d):
     return cut.select("chrom", "start", "end", F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
-@_query("jn19_exclude", "SELECT f.sample, f.chrom, f.flank_start, f.flank_end FROM v_span f WHERE f.chrom NOT IN ('chr21') AND NOT EXISTS (SELECT 1 FROM v_segment s WHERE s.cn = 0 AND s.chrom = f.chrom AND s.start < f.flank_end AND s.\"end\" > f.flank_start)", "v_span v_segment")
+@_query("jn19_exclude", "SELECT f.sample, f.chrom, f.flank_start, f.flank_end FROM v_span f WHERE f.chrom NOT IN ('chr21') AND NOT EXISTS (SELECT 1 FROM v_segment s WHERE s.chrom = f.chrom AND s.start < f.flank_end AND s.\"end\" > f.flank_start)", "v_span v_segment")
 def jn19(spark, d):
     features = view(spark, d, "v_span").withColumnsRenamed({"flank_start": "start", "flank_end": "end"})
-    left = intervals.exclude(features, view(spark, d, "v_segment").where("cn = 0"), width=WIDTH, skip=("chr21",))
+    left = intervals.exclude(features, view(spark, d, "v_segment"), width=WIDTH, skip=("chr21",))
     return left.select("sample", "chrom", F.col("start").alias("flank_start"), F.col("end").alias("flank_end"))
 
 
@@ -755,6 +755,14 @@ def mod7(spark, d):
     return spark.createDataFrame(fit, "peak int, weight double, mean double, sd double").select("peak", *(_r(c, 4).alias(c) for c in ("weight", "mean", "sd")))
 
 
+@_query("mod7_choose_form")
+def mod7_choose(spark, d):
+    hist = view(spark, d, "v_state").withColumn("lrr_corr", F.col("lrr")).withColumn("cn_in", F.col("cn_out"))
+    hist = fitting.histogram(hist, ["sample"], -2.5, 2.5)
+    fits = fitting.fit_tables(hist, ["sample"], pipelines._states(5, True), least=20)
+    return fits.select("sample", F.inline("fits")).select("sample", "state", "name", "cn", "form", *(_r(c, 4).alias(c) for c in ("lrr_mean", "lrr_sd", "zyg_mean", "zyg_sd")))
+
+
 @_query("mod8_lrr_moments", f", {_HIST} SELECT cn, round(sum(bin / 10.0 * p), 5) AS mean, round(sqrt(greatest(sum(bin / 10.0 * (bin / 10.0) * p) - pow(sum(bin / 10.0 * p), 2), 0)), 5) AS sd FROM p GROUP BY cn", "v_state")
 def mod8(spark, d):
     return emissions.hist_moments(_hist(spark, d), ["cn"], 10).select("cn", _r("mean", 5).alias("mean"), _r("sd", 5).alias("sd"))
@@ -780,7 +788,7 @@ def mod11(spark, d):
     return emissions.mosaic(h, high, ["sample"]).select("sample", "bin", _r("p", 5).alias("p"))
 
 
-@_query("mod12_project_missing", f", {_HIST}, f AS (SELECT cn, sum(bin / 10.0 * p) AS m, sqrt(greatest(sum(bin / 10.0 * (bin / 10.0) * p) - pow(sum(bin / 10.0 * p), 2), 0)) AS s FROM p WHERE cn = 2 GROUP BY cn) SELECT CAST(k.cn AS DOUBLE) AS cn, round(CASE WHEN k.cn = 2 THEN m ELSE m + (m + 0.33) * log2(k.cn / 2.0) END, 5) AS lrr_mean, round(s, 5) AS lrr_sd, CAST(CASE k.cn WHEN 1 THEN 1.0 WHEN 2 THEN 0.51 WHEN 3 THEN 0.65 ELSE 0.72 END AS DOUBLE) AS zyg_mean FROM (SELECT unnest([1,2,3,4]) AS cn) k, f", "v_state")
+@_query("mod12_project_missing", f", {_HIST}, f AS (SELECT cn, sum(bin / 10.0 * p) AS m, sqrt(greatest(sum(bin / 10.0 * (bin / 10.0) * p) - pow(sum(bin / 10.0 * p), 2), 0)) AS s FROM p WHERE cn = 2 GROUP BY cn) SELECT CAST(k.cn AS DOUBLE) AS cn, round(CASE WHEN k.cn = 0 THEN -0.33 - 2 * s WHEN k.cn = 2 THEN m ELSE m + (m + 0.33) * log2(nullif(k.cn, 0) / 2.0) END, 5) AS lrr_mean, round(CASE WHEN k.cn = 0 THEN 0 ELSE s END, 5) AS lrr_sd, CAST(CASE k.cn WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.51 WHEN 3 THEN 0.65 ELSE 0.72 END AS DOUBLE) AS zyg_mean FROM (SELECT unnest([0,1,2,3,4]) AS cn) k, f", "v_state")
 def mod12(spark, d):
     fits = emissions.hist_moments(_hist(spark, d).where("cn = 2"), ["cn"], 10).select(F.col("cn").cast("double").alias("cn"), F.col("mean").alias("lrr_mean"), F.col("sd").alias("lrr_sd"), F.lit(0.51).alias("zyg_mean"))
     return emissions.project_missing(fits).select("cn", _r("lrr_mean", 5).alias("lrr_mean"), _r("lrr_sd", 5).alias("lrr_sd"), "zyg_mean")
@@ -793,39 +801,45 @@ def mod13(spark, d):
     return emissions.fill_states(states, fits).select("state", "cn", _r("lrr_mean", 5).alias("lrr_mean"))
 
 
-def _log_ep(spark, d) -> DataFrame:
-    rows = _emission_tables(spark, d).select("sample", "probe", "lrr_bin", "zyg_bin", F.lit(2).alias("cn_in"), F.lit(2).alias("allelism_in"), (F.col("zyg_bin") < 128).alias("inf_in"))
+#: The input copy number and allelism that the emission queries give a probe: 0 to 3 copies.
+_CN_IN, _ALLELISM_IN = "CAST(probe % 4 AS INT)", "CAST(least(probe % 4, 2) AS INT)"
+
+
+def _tables_of(spark, d, states: list[emissions.State]) -> emissions.Tables:
+    """Observed emission tables of the given states, each with the zygosities of its copy number."""
     base = _emission_tables(spark, d)
     lrr = stats.obs_histogram(base, ["cn"], "lrr_bin", -40, 40).select("cn", "bin", "p")
     zyg = stats.obs_histogram(base.withColumn("zyg_key", F.col("cn").cast("string")), ["zyg_key"], "zyg_bin", 75, 150).select("zyg_key", "bin", "p")
-    states = spark.createDataFrame([(0, 1, 1, False, False, "1"), (1, 2, 2, False, True, "2"), (2, 3, 2, False, True, "3")], "state int, cn int, allelism int, mosaic boolean, inf_out boolean, zyg_key string")
-    return emissions.log_emissions(rows, states, lrr, zyg, [0.98, 0.9, 0.5, 0.1])
+    return emissions.literal_tables(states, [str(int(s.cn)) for s in states], lrr, zyg)
 
 
-@_query("mod14_log_emissions", """, b AS (SELECT sample, probe, cn_out AS cn, CAST(round_even(lrr*30,0) AS INT) AS lb, CAST(round_even(zyg*150,0) AS INT) AS zb FROM v_state WHERE NOT masked), l AS (SELECT cn, lb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, lb), z AS (SELECT cn, zb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, zb),
- e AS (SELECT b.sample, b.probe, s.state, CASE WHEN s.cn = 2 THEN 1.0 ELSE 0.98 END * coalesce(l.p, 0) * coalesce(CASE WHEN b.zb >= 128 THEN z1.p ELSE z.p END, 0) AS p FROM b CROSS JOIN (VALUES (0, 1), (1, 2), (2, 3)) s(state, cn) LEFT JOIN l ON l.cn = s.cn AND l.lb = b.lb LEFT JOIN z ON z.cn = s.cn AND z.zb = b.zb LEFT JOIN z z1 ON z1.cn = 1 AND z1.zb = b.zb)
+def _long(rows: DataFrame) -> DataFrame:
+    """A row for each probe and state."""
+    out = rows.select("sample", "probe", F.posexplode("log_ep").alias("state", "log_p"))
+    return out.select("sample", "probe", "state", F.when(F.col("log_p") > -1e99, _r("log_p", 5)).otherwise(F.col("log_p")).alias("log_p"))
+
+
+@_query("mod14_log_emissions", f""", b AS (SELECT sample, probe, cn_out AS cn, {_CN_IN} AS cn_in, {_ALLELISM_IN} AS al_in, CAST(round_even(lrr*30,0) AS INT) AS lb, CAST(round_even(zyg*150,0) AS INT) AS zb FROM v_state WHERE NOT masked), l AS (SELECT cn, lb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, lb), z AS (SELECT cn, zb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, zb),
+ e AS (SELECT b.sample, b.probe, s.state, CASE WHEN b.cn_in = 0 OR s.al > b.al_in THEN 0.0 WHEN s.cn = b.cn_in THEN CASE WHEN s.al = b.al_in THEN 1.0 ELSE 0.9 END ELSE CASE abs(s.cn - b.cn_in) WHEN 1 THEN 0.98 WHEN 2 THEN 0.9 ELSE 0.5 END END * coalesce(l.p, 0) * coalesce(CASE WHEN b.zb >= 128 THEN z1.p ELSE z.p END, 0) AS p FROM b CROSS JOIN (VALUES (0, 1, 1), (1, 2, 1), (2, 2, 2), (3, 3, 2)) s(state, cn, al) LEFT JOIN l ON l.cn = s.cn AND l.lb = b.lb LEFT JOIN z ON z.cn = s.cn AND z.zb = b.zb LEFT JOIN z z1 ON z1.cn = 1 AND z1.zb = b.zb)
  SELECT sample, probe, CAST(state AS INT) AS state, CASE WHEN p > 0 THEN round(ln(p), 5) ELSE -1e100 END AS log_p FROM e""", "v_state")
 def mod14(spark, d):
-    rows = _log_ep(spark, d).select("sample", "probe", F.posexplode("log_ep").alias("state", "log_p"))
-    return rows.select("sample", "probe", "state", F.when(F.col("log_p") > -1e99, _r("log_p", 5)).otherwise(F.col("log_p")).alias("log_p"))
+    rows = _emission_tables(spark, d).select("sample", "probe", "lrr_bin", "zyg_bin", F.expr(_CN_IN).alias("cn_in"), F.expr(_ALLELISM_IN).alias("allelism_in"), (F.col("zyg_bin") < 128).alias("inf_in"))
+    states = [emissions.State(0, "CN1_1", 1, 1, False, False), emissions.State(1, "CN2_02", 2, 1, False, False), emissions.State(2, "CN2_11", 2, 2, False, True), emissions.State(3, "CN3_12", 3, 2, False, True)]
+    return _long(emissions.log_emissions(rows, states, _tables_of(spark, d, states), pipelines.PENALTIES))
 
 
-@_query("mod14_log_emissions_refine", f"""{_fit_sql('', 'v_obs', 'v_state')}, i AS (SELECT avg(CAST(inf_in AS INT)) AS f FROM v_state WHERE NOT masked), b AS (SELECT sample, probe, cn_out AS cn, inf_in, CAST(round_even(lrr*30,0) AS INT) AS lb, CAST(round_even(zyg*150,0) AS INT) AS zb, lrr FROM v_state WHERE NOT masked), l AS (SELECT cn, lb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, lb), z AS (SELECT cn, zb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, zb),
+@_query("mod14_log_emissions_refine", f"""{_fit_sql('', 'v_obs', 'v_state')}, i AS (SELECT avg(CAST(inf_in AS INT)) AS f FROM v_state WHERE NOT masked), b AS (SELECT sample, probe, cn_out AS cn, {_CN_IN} AS cn_in, inf_in, CAST(round_even(lrr*30,0) AS INT) AS lb, CAST(round_even(zyg*150,0) AS INT) AS zb, lrr FROM v_state WHERE NOT masked), l AS (SELECT cn, lb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, lb), z AS (SELECT cn, zb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, zb),
  x AS (SELECT b.*, s.state, s.cn AS out, s.inf AS inf, CAST(round_even((b.lrr - coalesce(t.off, 0)) * 30, 0) AS INT) AS lbc FROM b JOIN v_model m ON m.probe = b.probe CROSS JOIN (VALUES (0, 1, false), (1, 2, false), (2, 2, true), (3, 3, true)) s(state, cn, inf) LEFT JOIN fit t ON t.cn_in = s.cn AND t.perc_gc = m.perc_gc),
- e AS (SELECT x.sample, x.probe, x.state, CASE WHEN x.out = 2 THEN 1.0 ELSE 0.98 END * CASE WHEN x.out = 1 THEN 0.99 WHEN x.inf THEN i.f ELSE 1 - i.f END * coalesce(l.p, 0) * coalesce(CASE WHEN NOT x.inf_in OR NOT x.inf THEN z1.p ELSE z.p END, 0) AS p FROM x CROSS JOIN i LEFT JOIN l ON l.cn = x.out AND l.lb = x.lbc LEFT JOIN z ON z.cn = x.out AND z.zb = x.zb LEFT JOIN z z1 ON z1.cn = 1 AND z1.zb = x.zb)
+ e AS (SELECT x.sample, x.probe, x.state, CASE abs(x.out - x.cn_in) WHEN 0 THEN 1.0 WHEN 1 THEN 0.98 WHEN 2 THEN 0.9 ELSE 0.5 END * CASE WHEN x.out = 1 THEN 0.99 WHEN x.inf THEN i.f ELSE 1 - i.f END * coalesce(l.p, 0) * coalesce(CASE WHEN NOT x.inf_in OR NOT x.inf THEN z1.p ELSE z.p END, 0) AS p FROM x CROSS JOIN i LEFT JOIN l ON l.cn = x.out AND l.lb = x.lbc LEFT JOIN z ON z.cn = x.out AND z.zb = x.zb LEFT JOIN z z1 ON z1.cn = 1 AND z1.zb = x.zb)
  SELECT sample, probe, CAST(state AS INT) AS state, CASE WHEN p > 0 THEN round(ln(p), 5) ELSE -1e100 END AS log_p FROM e""")
 def mod14_refine(spark, d):
     model = view(spark, d, "v_model")
-    base = _emission_tables(spark, d)
-    lrr = stats.obs_histogram(base, ["cn"], "lrr_bin", -40, 40).select("cn", "bin", "p")
-    zyg = stats.obs_histogram(base.withColumn("zyg_key", F.col("cn").cast("string")), ["zyg_key"], "zyg_bin", 75, 150).select("zyg_key", "bin", "p")
     state = view(spark, d, "v_state").where("not masked")
     share = stats.informative_fraction(state).first()["fraction"]
-    rows = state.select("sample", "probe", "lrr", "inf_in", S.bin_even(F.col("zyg"), 150).alias("zyg_bin"), F.lit(2).alias("cn_in"), F.lit(2).alias("allelism_in"))
+    rows = state.select("sample", "probe", "lrr", "inf_in", S.bin_even(F.col("zyg"), 150).alias("zyg_bin"), F.expr(_CN_IN).alias("cn_in"), F.expr(_ALLELISM_IN).alias("allelism_in"))
     rows = gcbias.candidate_bins(rows.join(model.select("probe", "perc_gc"), "probe"), gcbias.fit_gc(model), 3, 30)
-    states = spark.createDataFrame([(0, 1, 1, False, False, "1"), (1, 2, 2, False, False, "2"), (2, 2, 2, False, True, "2"), (3, 3, 2, False, True, "3")], "state int, cn int, allelism int, mosaic boolean, inf_out boolean, zyg_key string")
-    out = emissions.log_emissions(rows, states, lrr, zyg, [0.98, 0.9, 0.5, 0.1], "refine", share).select("sample", "probe", F.posexplode("log_ep").alias("state", "log_p"))
-    return out.select("sample", "probe", "state", F.when(F.col("log_p") > -1e99, _r("log_p", 5)).otherwise(F.col("log_p")).alias("log_p"))
+    states = [emissions.State(0, "CN1_1", 1, 1, False, False), emissions.State(1, "CN2_02", 2, 2, False, False), emissions.State(2, "CN2_11", 2, 2, False, True), emissions.State(3, "CN3_12", 3, 2, False, True)]
+    return _long(emissions.log_emissions(rows, states, _tables_of(spark, d, states), pipelines.PENALTIES, "refine", share))
 
 
 def _series_ep(spark, d) -> DataFrame:
@@ -1102,19 +1116,33 @@ def mod2(spark, d):
     return gcbias.apply_gc(model, gcbias.fit_gc(model)).select("probe", _r("lrr_corr", 5).alias("lrr_corr"))
 
 
+def _refined(spark, d, rounds: int = 1) -> pipelines.Model:
+    return pipelines.refine(view(spark, d, "v_probe").select("sample", "chrom", "pos", "probe", "lrr", "baf"), view(spark, d, "v_segment"), view(spark, d, "v_model").select("probe", "frac_gc"), min_probes=10, min_gc=1, least=100, rounds=rounds)
+
+
 @_query("pipe5_refine")
 def pipe5(spark, d):
-    return pipelines.refine(view(spark, d, "v_probe").select("sample", "chrom", "pos", "probe", "lrr", "baf"), view(spark, d, "v_segment"), view(spark, d, "v_model").select("probe", "frac_gc"), min_probes=10, min_gc=1)
+    return _refined(spark, d).probes
+
+
+@_query("pipe5_refine_rounds")
+def pipe5_rounds(spark, d):
+    return _refined(spark, d, 2).probes
+
+
+@_query("pipe5_refine_fits")
+def pipe5_fits(spark, d):
+    return _refined(spark, d).fits.select("state", "name", "cn", "form", *(_r(c, 4).alias(c) for c in ("lrr_mean", "lrr_sd", "zyg_mean", "zyg_sd")))
 
 
 @_query("pipe6_segment")
 def pipe6(spark, d):
-    return pipelines.segment(view(spark, d, "v_obs"), pipe5(spark, d))[1]
+    return pipelines.segment(view(spark, d, "v_obs"), _refined(spark, d), least=100)[1]
 
 
 @_query("pipe7_compare")
 def pipe7(spark, d):
-    return pipelines.compare_samples(*pipelines.segment(view(spark, d, "v_obs"), pipe5(spark, d)))
+    return pipelines.compare_samples(*pipelines.segment(view(spark, d, "v_obs"), _refined(spark, d), least=100))
 
 
 @_query("plt3_cn_transitions", "SELECT cn_in, cn_out, count(*) AS n FROM v_state WHERE NOT masked GROUP BY ALL", "v_state")
@@ -1170,6 +1198,4 @@ def plt5(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which runs of probes deviate in which sample: medians, anomalies, runs, evidence and means, from built-ins alone."""
-    rows = _run_rows(spark, sf_dir)
-    keys = [*SC, "run"]
-    return runs.run_spans(rows, SC).join(runs.run_evidence(rows, SC), keys).join(runs.run_means(rows, SC), keys)
+    return runs.run_table(_run_rows(spark, sf_dir), SC)

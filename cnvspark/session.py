@@ -7,10 +7,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Applications that have been sent this package.
 _SENT: set[str] = set()
+#: Paths in the shared folder, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def importable(spark: SparkSession) -> None:
@@ -36,7 +38,35 @@ def shared_path(spark: SparkSession, what: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet, to the shared folder or to ``path``, and read again: its lineage ends here, and jobs after it
+    read the table. One that ``path`` holds already is taken up as it is, as by a driver that starts again.
+    """
+    spark = df.sparkSession
+    target = path or shared_path(spark, what)
+    if path is None or not exists(spark, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store its path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what :func:`written` and :func:`shared_path` have put into the shared folder for this application; results that
+    read it must be done with.
+    """
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:

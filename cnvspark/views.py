@@ -14,7 +14,7 @@ BASE = {
     "v_fragment": ("events", "SELECT event_id, event_type AS rname, (event_id*97) % 200000 + 1 AS pos, CAST(floor(value) AS BIGINT) + 1 AS tlen, CAST(user_id % 60 AS INT) AS mapq, CAST((event_id*37) % 4096 AS INT) AS flag, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE '=' END AS rnext FROM events"),
     "v_contig": ("documents", "SELECT CAST(doc_id AS STRING) AS contig, upper(replace(text, 'ß', 'ss')) AS seq FROM documents"),
     "v_series": ("events", "SELECT user_id AS g, event_id AS t, value AS x, event_type AS cat FROM events"),
-    "v_span": ("lineitem", "SELECT l_suppkey AS sample, concat('chr', CAST(l_orderkey % 22 + 1 AS STRING)) AS chrom, l_partkey*1000 AS flank_start, l_partkey*1000 + CAST(l_quantity AS BIGINT)*100 AS flank_end FROM lineitem WHERE l_returnflag='R'"),
+    "v_span": ("lineitem", "SELECT l_suppkey AS sample, concat('chr', CAST(l_orderkey % 22 + 1 AS STRING)) AS chrom, l_partkey*1000 AS flank_start, l_partkey*1000 + CAST(l_quantity AS BIGINT)*100 AS flank_end FROM lineitem"),
 }
 
 #: Views over views: one row for each (sample, probe); a model; decoded probes; anomalous runs.

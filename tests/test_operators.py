@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from cnvspark import queries as q
 from cnvspark.functions import scalar as S
-from cnvspark.operators import coverage, hmm, intervals, peaks, samples, stats
+from cnvspark.operators import coverage, emissions, fitting, hmm, intervals, peaks, samples, stats
 from cnvspark.plans import pipelines
 from cnvspark.sources import readers, writers
 from pyspark.sql import functions as F
@@ -226,25 +226,154 @@ def test_sample_cap_is_repeatable(spark):
     assert draw(df) == draw(df.repartition(7)) and len(draw(df)) == 30
 
 
-def test_segment_finds_planted_changes(spark):
-    rng = np.random.default_rng(42)
-    n, rows, model = 400, [], []
-    for p in range(n):
-        model.append((p, "chr1", p * 1000, 0.0, 0.5, 2.0, 2, True))
-    planted = {"a": (100, 160, 3), "b": (200, 260, 1)}
-    for s in ("a", "b", "c"):
+def planted(rng, n=400, samples="abc"):
+    model = [(p, "chr1", p * 1000, 0.0, 0.5, 2.0, 2, True) for p in range(n)]
+    changes = {"a": (100, 160, 3), "b": (200, 260, 1)}
+    rows = []
+    for s in samples:
         for p in range(n):
-            lo, hi, cn = planted.get(s, (0, 0, 2))
+            lo, hi, cn = changes.get(s, (0, 0, 2))
             k = cn if lo <= p < hi else 2
             baf = {1: rng.choice([0.0, 1.0]), 2: 0.5, 3: rng.choice([0.33, 0.67])}[k]
             rows.append((s, "chr1", p * 1000, p, float(np.log2(k / 2) + rng.normal(0, 0.15)), float(min(1, max(0, baf + rng.normal(0, 0.03))))))
-    obs = spark.createDataFrame(rows, "sample string, chrom string, pos long, probe int, lrr double, baf double").drop("chrom_")
+    return changes, rows, model
+
+
+@pytest.mark.parametrize("block", [None, 64])
+def test_segment_finds_planted_changes(spark, block):
+    changes, rows, model = planted(np.random.default_rng(42))
+    obs = spark.createDataFrame(rows, "sample string, chrom string, pos long, probe int, lrr double, baf double")
     mdl = spark.createDataFrame(model, "probe int, chrom string, pos long, lrr double, baf double, cn_out double, allelism_out int, inf_out boolean")
-    decoded, svs = pipelines.segment(obs, mdl, block=None)
+    decoded, svs = pipelines.segment(obs, mdl, mosaics=False, change=1e-4, block=block)
     got = {r["sample"]: r for r in svs.collect()}
     assert set(got) == {"a", "b"} and got["a"]["cnc"] == "1.0" and got["b"]["cnc"] == "-1.0"
-    for s, (lo, hi, _) in planted.items():
+    for s, (lo, hi, _) in changes.items():
         assert abs(got[s]["start"] / 1000 - lo) <= 3 and abs(got[s]["end"] / 1000 - hi) <= 3
     out = {r["sample"]: r for r in pipelines.compare_samples(decoded, svs).collect()}
     assert all(r["qrll"] > 0 > r["max_trll"] for r in out.values())
-    decoded.unpersist()
+    groups = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2)], "sample string, group int")
+    within = {r["sample"]: r for r in pipelines.compare_samples(decoded, svs, groups=groups).collect()}
+    assert within["a"]["max_trll"] is None and within["b"]["max_trll_smp"] == "c" and within["b"]["qrll"] == out["b"]["qrll"]
+
+
+def test_segment_with_mosaics_masks_and_a_plan_of_bounded_size(spark):
+    changes, rows, model = planted(np.random.default_rng(3))
+    rng = np.random.default_rng(4)
+    rows += [("m", "chr1", p * 1000, p, float((-0.45 if 50 <= p < 200 else 0.0) + rng.normal(0, 0.1)), float(0.5 + (rng.choice([-0.25, 0.25]) if 50 <= p < 200 else 0) + rng.normal(0, 0.02))) for p in range(400)]
+    rows[5] = (*rows[5][:4], None, 0.5)
+    obs = spark.createDataFrame(rows, "sample string, chrom string, pos long, probe int, lrr double, baf double")
+    mdl = spark.createDataFrame(model, "probe int, chrom string, pos long, lrr double, baf double, cn_out double, allelism_out int, inf_out boolean")
+    decoded, svs = pipelines.segment(obs, mdl, change=1e-4)
+    assert decoded.count() == len(rows) and decoded.where("masked").count() == 1
+    got = [r for r in svs.where("sample = 'm'").collect()]
+    assert got and all(r["cn_out"] == "1.5" and 50_000 <= r["start"] and r["end"] < 200_000 for r in got) and sum(r["n_probes"] for r in got) > 100
+    plan = svs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 30
+
+
+# --- fits of emission tables ------------------------------------------------------------------------------------------
+
+
+def share(values, low, n, per_unit):
+    return np.bincount(np.clip(np.rint(values * per_unit).astype(int) - low, 0, n - 1), minlength=n).astype(float)
+
+
+def test_curves_against_a_fine_search():
+    rng = np.random.default_rng(9)
+    x = (fitting.ZYG_LOW + np.arange(fitting.ZYG_N)) / fitting.ZYG_BINS
+    f = share(rng.normal(0.66, 0.03, 40_000), fitting.ZYG_LOW, fitting.ZYG_N, fitting.ZYG_BINS)
+    f /= f.sum()
+    one = fitting.Peak((1, 1, 1), (0.62, 0.67, 0.72), (0.001, 0.05, 0.1))
+    ((_, m, s),), loss = fitting.fit_curve(x, f, [one], 1 / fitting.ZYG_BINS)
+    bell = lambda m, s: np.exp(-0.5 * ((x - m) / s) ** 2) / (s * np.sqrt(2 * np.pi)) / fitting.ZYG_BINS
+    grid = min(((f - bell(a, b)) ** 2).sum() for a in np.linspace(0.62, 0.72, 101) for b in np.linspace(0.01, 0.1, 91))
+    assert abs(m - 0.66) < 2e-3 and abs(s - 0.03) < 2e-3 and loss <= grid + 1e-12
+    two = [fitting.Peak((0, 0.5, 1), (0.49, 0.5, 0.54), (0.001, 0.05, 0.1)), fitting.Peak((0, 0.5, 1), (0.62, 0.67, 0.72), (0.001, 0.05, 0.1))]
+    g = 0.3 * bell(0.52, 0.02) + 0.7 * bell(0.7, 0.04)
+    fit, loss = fitting.fit_curve(x, g, two, 1 / fitting.ZYG_BINS)
+    assert loss < 1e-10 and np.allclose(fit, [(0.3, 0.52, 0.02), (0.7, 0.7, 0.04)], atol=1e-3)
+    beyond, _ = fitting.fit_curve(x, bell(0.8, 0.03), [one], 1 / fitting.ZYG_BINS)
+    assert beyond[0][1] == 0.72  # held at its bound
+
+
+def test_forms_follow_the_data():
+    rng = np.random.default_rng(10)
+    z = lambda *parts: share(np.concatenate([0.5 + np.abs(rng.normal(m - 0.5, s, n)) for m, s, n in parts]), fitting.ZYG_LOW, fitting.ZYG_N, fitting.ZYG_BINS)
+    ones = z((1.0, 0.01, 5000))
+    pure = fitting.fit_zygosities({2: z((0.51, 0.015, 9000)), 3: z((0.67, 0.02, 4000)), 4: z((0.51, 0.015, 2000), (0.75, 0.02, 2000))}, ones, mosaics=True)
+    assert set(pure.tables) == {"0", "1", "CN2_11", "CN3_12", "CN4_22", "CN4_13", "CN1.5_11", "CN2.5_12"}
+    assert all(abs(t.sum() - 1) < 1e-9 and (t >= 0).all() for t in pure.tables.values())
+    x = (fitting.ZYG_LOW + np.arange(fitting.ZYG_N)) / fitting.ZYG_BINS
+    mean = lambda t: (t * x).sum()
+    assert abs(mean(pure.tables["CN4_13"]) - 0.75) < 0.02 and mean(pure.tables["CN2_11"]) < mean(pure.tables["CN2.5_12"]) < mean(pure.tables["CN3_12"])
+    mixed = fitting.fit_zygosities({2: z((0.51, 0.015, 6000), (0.67, 0.02, 4000)), 3: z((0.51, 0.015, 1500), (0.67, 0.02, 5000), (0.75, 0.01, 1500)), 4: z((0.51, 0.015, 2000), (0.75, 0.02, 2000))}, ones)
+    assert mixed.forms[2] == "complex" and mixed.forms[3] == "complex"
+    assert abs(mixed.peaks[2][0][1] - 0.51) < 0.01 and abs(mixed.peaks[3][1][1] - 0.67) < 0.01 and abs(mixed.peaks[3][2][1] - 0.75) < 0.01
+    few = fitting.fit_zygosities({2: z((0.51, 0.015, 900)), 3: z((0.67, 0.02, 10))}, ones)
+    assert few.forms == {1: "simple", 2: "simple", 3: "projected"} and "CN4_13" not in few.tables
+    none = fitting.fit_zygosities({}, np.zeros(fitting.ZYG_N))
+    assert none.forms[2] == "projected" and abs(none.tables["CN2_11"].sum() - 1) < 1e-9
+
+
+def test_tables_of_samples_in_one_job(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for s, shift in (("a", 0.0), ("b", 0.1)):
+        for cn, lrr, baf, n in ((1, -0.5, 0.0, 1200), (2, 0.0, 0.5, 3000), (3, 0.4, 0.33, 1500), (2, 0.0, 1.0, 2000)):
+            rows += [(s, cn, float(a + shift), float(abs(b - 0.5) + 0.5), False) for a, b in zip(rng.normal(lrr, 0.1, n), np.clip(rng.normal(baf, 0.02, n), 0, 1))]
+    df = spark.createDataFrame(rows, "sample string, cn_in int, lrr_corr double, zyg double, masked boolean")
+    states = pipelines._states(3, True)
+    got = {r["sample"]: r for r in fitting.fit_tables(fitting.histogram(df, ["sample"], -2.5, 2.5), ["sample"], states).collect()}
+    for s, shift in (("a", 0.0), ("b", 0.1)):
+        fits = {f["name"]: f for f in got[s]["fits"]}
+        assert set(fits) == {x.name for x in states}
+        for name, lrr in (("CN1_1", -0.5), ("CN2_11", 0.0), ("CN3_12", 0.4)):
+            assert abs(fits[name]["lrr_mean"] - lrr - shift) < 0.02 and 0.05 < fits[name]["lrr_sd"] < 0.15
+        lrr = np.array(got[s]["lrr"]).reshape(len(states), fitting.LRR_N)
+        assert np.allclose(lrr.sum(axis=1), 1)
+        seen = share(np.array([r[2] for r in rows if r[0] == s and r[1] == 1 and r[3] >= 0.85]), fitting.LRR_LOW, fitting.LRR_N, fitting.LRR_BINS)
+        assert np.allclose(lrr[next(x.state for x in states if x.name == "CN1_1")], fitting.with_bad(seen / seen.sum(), 1 / (30 * 2.5)))
+
+
+def test_samples_are_rescaled_each_on_its_own(spark):
+    rng = np.random.default_rng(12)
+    rows = [(s, 1 + i % 3, float(a * (i % 3) + b + rng.normal(0, 0.01))) for s, a, b in (("a", 0.3, 0.2), ("b", 0.7, -0.1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "sample string, cn_in int, lrr double")
+    medians, lines = emissions.lrr_lines(df, ["sample"])
+    got = {r["sample"]: r for r in lines.collect()}
+    for s in "ab":
+        one, line = emissions.lrr_lines(df.where(F.col("sample") == s), [])
+        want = line.first()
+        assert all(abs(got[s][c] - want[c]) < 1e-9 for c in ("slope", "intercept", "shift"))
+        assert {(r["cn_in"], round(r["m"], 9)) for r in medians.where(F.col("sample") == s).collect()} == {(r["cn_in"], round(r["m"], 9)) for r in one.collect()}
+    alone = emissions.lrr_lines(df.where("cn_in = 2"), ["sample"], shift=True)[1].collect()
+    assert [r["slope"] for r in alone] == [1.0, 1.0]
+    with pytest.raises(Exception, match="two copy numbers"):
+        emissions.lrr_lines(df.where("cn_in = 2"), ["sample"])[1].collect()
+
+
+def test_many_sequences_at_once_equal_one_by_one():
+    rng = np.random.default_rng(13)
+    for n in (1, 2, 5):
+        lengths = rng.integers(1, 30, 40)
+        starts = np.r_[0, np.cumsum(lengths)[:-1]]
+        ep, log_t, start = np.log(rng.random((lengths.sum(), n))), np.log(rng.dirichlet(np.ones(n), n)), np.log(rng.dirichlet(np.ones(n)))
+        path = hmm.decode_all(ep, starts, log_t, start)
+        for s, k in zip(starts, lengths):
+            assert path[s : s + k].tolist() == hmm.decode(ep[s : s + k], log_t, start).tolist()
+
+
+def test_refine_takes_up_written_rounds(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    probes = [("chr1", p * 1000, p, 3 if 300 <= p < 500 else 2) for p in range(800)]
+    obs = [(s, c, pos, p, float(np.log2(k / 2) + rng.normal(0, 0.1)), float(rng.choice([0.33, 0.67] if k == 3 else [0.5, 1.0]))) for s in "abc" for c, pos, p, k in probes]
+    df = spark.createDataFrame(obs, "sample string, chrom string, pos long, probe int, lrr double, baf double")
+    iv = spark.createDataFrame([(1, "chr1", 0, 299_500, 2), (2, "chr1", 299_500, 499_500, 3), (3, "chr1", 499_500, 900_000, 2)], "ord int, chrom string, start long, end long, cn int")
+    gc = spark.createDataFrame([(p, 0.38 + 0.01 * (p % 5)) for p in range(800)], "probe int, frac_gc double")
+    run = lambda: pipelines.refine(df, iv, gc, min_probes=50, min_gc=20, least=100, rounds=2, path=str(tmp_path))
+    first = {r["probe"]: r for r in run().probes.collect()}
+    assert len(first) > 700 and sum(r["cn_out"] == (3 if 300 <= p < 500 else 2) for p, r in first.items()) > 0.97 * len(first)
+    stamp = (tmp_path / "round-1" / "model" / "_SUCCESS").stat().st_mtime_ns
+    again = run()
+    assert {r["probe"]: r for r in again.probes.collect()} == first and (tmp_path / "round-1" / "model" / "_SUCCESS").stat().st_mtime_ns == stamp
+    assert {r["name"] for r in again.fits.collect()} >= {"CN2_11", "CN3_12"}
