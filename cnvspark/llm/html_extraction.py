@@ -10,16 +10,19 @@ classes do not choose the slot; they only tell what else inside it is no article
 from __future__ import annotations
 
 import html
+import itertools
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from cnvspark.llm.common import cut, free
+from cnvspark.llm.common import cut, free, kept
 
 # HTML's elements by how they hold text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +41,10 @@ BOILERPLATE = frozenset("ad ads adv advert advertisement advertising banner spon
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDES = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: Alignments of up to so many pairs of kids are made in plain loops, larger ones by rows of numpy.
+SMALL = 400
+#: Hosts of many pages: so many are broadcast at most, more are joined.
+MANY_HOSTS = 100_000
 _LABEL = re.compile(r"[^.:!]*")
 _WORD = re.compile(r"[a-z]+")
 
@@ -131,7 +138,7 @@ def host(url: Column) -> Column:
 class Tree:
     """A tree for alignment: like neighbours are one node; ``text`` is what the node itself holds."""
 
-    __slots__ = ("label", "path", "text", "chars", "kids", "hidden")
+    __slots__ = ("label", "path", "text", "chars", "kids", "hidden", "shape")
 
     def __init__(self, node: Node, path: str, hidden: bool):
         self.label, self.path = node.label, f"{path}/{node.label}" if path else node.label
@@ -167,32 +174,116 @@ class Tree:
                 same._join(kid)
 
 
+class _Matching:
+    """Simple tree matching of two trees: weights by shape, so that like subtrees are compared once."""
+
+    def __init__(self, *trees: Tree):
+        self.shapes: dict[tuple, int] = {}
+        self.known: dict[tuple[int, int], int] = {}
+        for tree in trees:
+            order, todo = [], [tree]
+            while todo:
+                order.append(t := todo.pop())
+                todo += t.kids
+            for t in reversed(order):
+                t.shape = self.shapes.setdefault((t.label, *(k.shape for k in t.kids)), len(self.shapes))
+
+    def weight(self, a: Tree, b: Tree) -> int:
+        """The greatest number of node pairs that keeps labels, order and descent."""
+        if a.label != b.label:
+            return 0
+        if not a.kids or not b.kids:
+            return 1
+        key = (a.shape, b.shape)
+        if key not in self.known:
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            n, m = len(a.kids), len(b.kids)
+            if n * m <= SMALL:
+                best = int(self._table(a, b)[n][m]) + 1
+            else:
+                for row in self._rows(a, b):
+                    pass
+                best = int(row[-1]) + 1
+            self.known[key] = best
+        return self.known[key]
+
+    def pairs(self, a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
+        """The pairs of a greatest matching."""
+        out, todo = [], [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            if x.label == y.label:
+                out.append((x, y))
+                if x.kids and y.kids:
+                    todo += [(x.kids[i], y.kids[j]) for i, j in self._chosen(x, y)]
+        return out
+
+    def _table(self, a: Tree, b: Tree) -> list[list[int]]:
+        m, rows = len(b.kids), [[0] * (len(b.kids) + 1)]
+        for x in a.kids:
+            last, row = rows[-1], [0] * (m + 1)
+            for j, y in enumerate(b.kids):
+                row[j + 1] = max(last[j + 1], row[j], last[j] + (self.weight(x, y) if x.label == y.label else 0))
+            rows.append(row)
+        return rows
+
+    def _rows(self, a: Tree, b: Tree, first: int = 0, row: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """The rows of the alignment's table after ``first``, each one array operation over the kids of ``b``."""
+        one_each = list({y.shape: y for y in b.kids}.values())
+        place = {y.shape: k for k, y in enumerate(one_each)}
+        of = np.array([place[y.shape] for y in b.kids])
+        by_label: dict[str, list[int]] = {}
+        for k, y in enumerate(one_each):
+            by_label.setdefault(y.label, []).append(k)
+        row = np.zeros(len(b.kids) + 1, np.int32) if row is None else row
+        weights: dict[int, np.ndarray] = {}
+        for x in a.kids[first:]:
+            if x.shape not in weights:
+                if len(weights) * len(one_each) > 4_000_000:
+                    weights.clear()
+                weights[x.shape] = np.zeros(len(one_each), np.int32)
+                for k in by_label.get(x.label, ()):
+                    weights[x.shape][k] = self.weight(x, one_each[k])
+            new = np.zeros_like(row)
+            np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[x.shape][of]), out=new[1:])
+            row = new
+            yield row
+
+    def _chosen(self, a: Tree, b: Tree) -> list[tuple[int, int]]:
+        """Positions of the kids that a greatest matching pairs. Of a large table only every so many rows are held, and the ones
+        between are worked out again on the way back, so memory grows with the kids times the root of their number.
+        """
+        i, j, out = len(a.kids), len(b.kids), []
+        step, held = i, {}
+        if i * j > SMALL:
+            step = math.isqrt(i - 1) + 1
+            held = {k: row for k, row in enumerate(self._rows(a, b), 1) if k % step == 0}
+        held[0] = np.zeros(j + 1, np.int32)
+        while i and j:
+            low = (i - 1) // step * step  # rows low to i are needed next
+            if step == len(a.kids) and not low:
+                table = self._table(a, b)
+            else:
+                table = [held[low], *itertools.islice(self._rows(a, b, low, held[low]), i - low)]
+            while i > low and j:
+                row, above = table[i - low], table[i - 1 - low]
+                if row[j] == above[j]:
+                    i -= 1
+                elif row[j] == row[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+        return out
+
+
 def match_trees(a: Tree, b: Tree) -> tuple[int, list[tuple[Tree, Tree]]]:
-    """Simple tree matching: the greatest number of node pairs that keeps labels, order and descent, and the pairs."""
-    if a.label != b.label:
-        return 0, []
-    n, m = len(a.kids), len(b.kids)
-    if not n or not m:
-        return 1, [(a, b)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    pair: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(n):
-        for j in range(m):
-            w = 0
-            if a.kids[i].label == b.kids[j].label:
-                pair[i, j] = match_trees(a.kids[i], b.kids[j])
-                w = pair[i, j][0]
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    out, i, j = [(a, b)], n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out += pair[i, j][1]
-    return best[n][m] + 1, out
+    """Simple tree matching: the greatest number of node pairs that keeps labels, order and descent, and the pairs. Exact at any size:
+    time grows with the product of the kids of paired nodes, memory with their number times its root.
+    """
+    matching = _Matching(a, b)
+    return matching.weight(a, b), matching.pairs(a, b)
 
 
 _VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("hidden", pa.bool_()), ("same", pa.int64()), ("differ", pa.int64()), ("chars", pa.int64())])
@@ -207,8 +298,8 @@ def template_votes(pages: DataFrame, group: int = 128) -> DataFrame:
     """
     name, text = (pages[c] for c in pages.columns)
     rows = pages.select(name.alias("host"), F.coalesce(text, F.lit("")).alias("html"))
-    large = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
-    rows = rows.join(F.broadcast(large), "host", "left").withColumn("hash", F.xxhash64("html"))
+    large = kept(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group), "hosts")
+    rows = rows.join(F.broadcast(large) if large.count() <= MANY_HOSTS else large, "host", "left").withColumn("hash", F.xxhash64("html"))
     rows = rows.withColumn("part", F.pmod(F.col("hash"), F.coalesce(F.ceil(F.col("n") / group), F.lit(1)).cast("long")))
     rows = rows.select("host", "html", "part", "hash").repartition("host", "part").sortWithinPartitions("host", "part", "hash")
 

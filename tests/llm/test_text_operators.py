@@ -3,11 +3,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import pytest
 from cnvspark.llm.common import small_table
 from cnvspark.llm.decontamination import decontaminate
 from cnvspark.llm.fingerprints import fingerprint_documents
+from cnvspark.llm import html_extraction
 from cnvspark.llm.html_extraction import Tree, choose, extract_pages, main_text, match_trees, parse
 from cnvspark.llm.pii import KINDS, SECRET, TERM, disclosing_terms, near_entities, sanitize, span_text
 from pyspark.sql import functions as F
@@ -318,3 +320,55 @@ def test_parser_never_fails(text):
 
 def test_small_table(spark):
     assert [tuple(r) for r in small_table(spark, [(1, "a"), (2, None)], "x int, y string").collect()] == [(1, "a"), (2, None)]
+
+
+def plain_matching(a, b):
+    """Simple tree matching by its definition: the full table, kids by kids."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_matching(x, y))
+    return best[-1][-1] + 1
+
+
+def test_matching_against_the_full_table(monkeypatch):
+    rng = random.Random(21)
+
+    def page(depth):
+        tag = rng.choice(["p", "h2", "ul", "div class=x", "div class=y", "section", "blockquote"])
+        inside = "".join(page(depth - 1) for _ in range(rng.randint(0, 5))) if depth else "text"
+        return f"<{tag}>{inside}</{tag.split()[0]}>"
+
+    for small in (400, 0):
+        monkeypatch.setattr(html_extraction, "SMALL", small)
+        for _ in range(60):
+            a, b = (Tree(parse("".join(page(rng.randint(0, 3)) for _ in range(rng.randint(0, 9)))), "", False) for _ in range(2))
+            n, pairs = match_trees(a, b)
+            assert n == len(pairs) == plain_matching(a, b)
+            assert all(x.label == y.label for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == n
+            order = lambda t: [t, *(x for k in t.kids for x in order(k))]
+            at = [{id(x): k for k, x in enumerate(order(t))} for t in (a, b)]
+            placed = sorted((at[0][id(x)], at[1][id(y)]) for x, y in pairs)
+            assert placed == sorted(placed, key=lambda p: p[1])
+
+
+def test_many_unlike_blocks_need_little_memory():
+    n = 20_000
+    one = Tree(parse("".join(f"<h2>head {i}</h2><p>text {i}</p>" for i in range(n // 2))), "", False)
+    two = Tree(parse("".join(f"<h2>head {i}</h2><p>other {i}</p>" + ("<ul><li>x</ul>" if i % 50 == 0 else "") for i in range(n // 2))), "", False)
+    tracemalloc.start()
+    count, pairs = match_trees(one, two)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == len(pairs) == n + 1 and peak < 300e6
+
+
+def test_many_hosts_join(spark, monkeypatch):
+    pages = [(i, f"http://h{i % 3}.org/{i}", f"<html><body><div class=menu>Home</div><article><h1>T{i}</h1><p>Body text number {i} of the page.</p></article></body></html>") for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    rows = lambda: sorted((r["page_id"], r["main_text"]) for r in extract_pages(df).collect())
+    want = rows()
+    monkeypatch.setattr(html_extraction, "MANY_HOSTS", -1)
+    assert rows() == want
