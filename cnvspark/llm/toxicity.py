@@ -2,7 +2,7 @@
 
 A word enters as a vector of the word and one of its runs of characters, both learnt with the network. The network reads
 windows of words in both directions, attention weighs the positions, and a text's score is that of its most toxic window;
-windows overlap by half and cover the whole text. A word that is repeated at once is read once.
+windows overlap by half and cover the whole text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -244,11 +243,6 @@ def window_starts(n: int, size: int) -> range:
     return range(0, max(1, -(-(n - size) // step) * step + 1 if n > size else 1), step)
 
 
-def read_once(words: list[str]) -> list[str]:
-    """Words in order without those that only repeat the one before."""
-    return [w for w, _ in groupby(words)]
-
-
 class ToxicityModel:
     """Word inputs, network, window size, and the scale and shift that turn the greatest logit into a probability."""
 
@@ -334,7 +328,6 @@ class Scorer:
         for w in words:
             x = np.fromiter(map(get, w), np.int32, len(w))
             if len(x):
-                x = x[np.append(True, x[1:] != x[:-1])]  # as read_once() does: rows are equal where words are
                 s = np.array(window_starts(len(x), size))
                 starts.append(at + s)
                 lengths.append(np.minimum(len(x) - s, size))
@@ -370,7 +363,7 @@ def train(rows: list[tuple[str, int]], *, window: int = 32, hidden: int = 8, att
     if len(set(labels[:n])) < 2:
         return ToxicityModel(None, None, window, 1.0, 0.0)
     inputs = WordInputs(texts[:n], labels[:n])
-    series = [read_once(t.split()) for t in texts[:n]]
+    series = [t.split() for t in texts[:n]]
     names = sorted({w for s in series for w in s})
     place = {w: k for k, w in enumerate(names)}
     series = [np.array([place[w] for w in s]) for s in series]

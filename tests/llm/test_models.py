@@ -56,7 +56,7 @@ def test_runs_of_characters_against_a_plain_loop():
 
 def plain_scores(model, text):
     """Every window by itself, position by position."""
-    words, p, k = toxicity.read_once(text.split()), model.p, model.hidden
+    words, p, k = text.split(), model.p, model.hidden
     sig = lambda x: 1 / (1 + np.exp(-x))
     out = []
     for start in toxicity.window_starts(len(words), model.window):
