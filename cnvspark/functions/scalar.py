@@ -122,14 +122,20 @@ def size_class(start: Column, end: Column, threshold: int = 2_000_000) -> Column
     return F.when(end - start > threshold, "large").otherwise("small")
 
 
-def blind_alias(sample: Column, seed: int) -> Column:
-    """Two letters and two digits from a seeded hash of a sample's name. Equal names have equal aliases; 67,600 exist, so
-    a group should check that they differ.
+def alias_key(sample: Column, seed: int) -> Column:
+    """The seeded hash of a sample's name, by whose order its group gives out aliases."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), sample).cast("binary"))
+
+
+def blind_alias(number: Column) -> Column:
+    """Two letters and two digits for a number from 0; numbers below 67,600 have aliases of their own, beyond that the digits are
+    more. 40,503 and 67,600 have no common divisor, so neighbours are far apart and none meet.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), sample).cast("binary"))
-    h = F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("long") % (26 * 26 * 100)
+    number = number.cast("long")
+    spread = F.when(number < 67_600, (number * 40_503) % 67_600).otherwise(number)
     letter = lambda x: F.char(F.lit(65) + x.cast("int"))
-    return F.concat(letter(h % 26), letter(F.floor(h / 26) % 26), F.lit("-"), F.lpad((F.floor(h / 676)).cast("string"), 2, "0"))
+    digits = F.floor(spread / 676).cast("string")
+    return F.concat(letter(spread % 26), letter(F.floor(spread / 26) % 26), F.lit("-"), F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
 
 
 #: The complementary error function by its classical Chebyshev fit, as SQL text that means the same in every engine.

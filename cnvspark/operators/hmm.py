@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -183,16 +183,56 @@ def viterbi(df: DataFrame, by: list[str], order: list[str], log_ep: str, log_t:
     return _sequences(rows.join(outer, keys), keys, order, log_ep, n, trace, schema)
 
 
-def segment_sequence(df: DataFrame, by: list[str], order: list[str], emissions: str | dict, *, z: float = 0.5, p: float = 0.9, weighted: bool = False, trans: np.ndarray | None = None, states: int | None = None, state: str = "hs", block: int | None = None) -> DataFrame:
+def typed_emissions(ep: list[list[list[float]]], kind: str = "ot", seen: str = "os") -> Column:
+    """The emission probabilities of all states for an observation's type and observed state (numbers from 0), from ``ep`` by type,
+    state and observed state. An unknown type or observation has probability 0 in all states.
+    """
+    states, seens = len(ep[0]), len(ep[0][0])
+    flat = F.split(F.lit(",".join(repr(float(p)) for t in ep for s in t for p in s)), ",").cast("array<double>")
+    known = F.col(kind).between(0, len(ep) - 1) & F.col(seen).between(0, seens - 1)
+    return F.array(*(F.coalesce(F.when(known, F.get(flat, (F.col(kind) * states + k) * seens + F.col(seen))), F.lit(0.0)) for k in range(states)))
+
+
+def typed_weights(spark: SparkSession, ep: list[list[list[float]]]) -> DataFrame:
+    """(ot, hs_in, hs, w): for each type, input and output state the logarithm of the median emission of the output state, weighted
+    by that of the input state: the mid-point to the next one where half is hit exactly, 0 without weight (minus infinity as a
+    logarithm). A table of the model's size.
+    """
+
+    def median(x: list[float], w: list[float]) -> float:
+        pairs = sorted(zip(x, w, strict=True))
+        total, run = sum(w), 0.0
+        for k, (value, weight) in enumerate(pairs):
+            run += weight
+            if total and run / total > 0.5:
+                return value
+            if total and run / total == 0.5 and k + 1 < len(pairs):
+                return (value + pairs[k + 1][0]) / 2
+        return 0.0
+
+    rows = [(t, i, o, float(np.log(m)) if (m := median(ep[t][o], ep[t][i])) > 0 else float("-inf")) for t in range(len(ep)) for i in range(len(ep[t])) for o in range(len(ep[t]))]
+    return spark.createDataFrame(rows, "ot int, hs_in int, hs int, w double")
+
+
+def expected_loglik(df: DataFrame, by: list[str], weights: DataFrame) -> DataFrame:
+    """Expected log-likelihood of a path (ot, hs_in, hs): its counts of type, input and output state, weighted (a row for each key)."""
+    counts = df.groupBy(*by, "ot", "hs_in", "hs").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(weights), ["ot", "hs_in", "hs"]).groupBy(*by).agg(F.sum(F.col("n") * F.col("w")).alias("loglik"))
+
+
+def segment_sequence(df: DataFrame, by: list[str], order: list[str], emissions: str | dict | list, *, z: float = 0.5, p: float = 0.9, weighted: bool = False, trans: np.ndarray | None = None, states: int | None = None, state: str = "hs", block: int | None = None) -> DataFrame:
     """Most likely states 0..N−1 of ordered rows.
 
-    ``emissions`` is an array column of probabilities, or a dict from the value of the column ``cat`` to such an array. State 0 starts
-    with probability ``z``, the others share the rest; the transition matrix is ``trans``, or made from ``p``.
+    ``emissions`` is an array column of probabilities, a dict from the value of the column ``cat`` to such an array, or a list by type,
+    state and observed state for the columns ``ot`` and ``os``. State 0 starts with probability ``z``, the others share the
+    rest; the transition matrix is ``trans``, or made from ``p``.
     """
     if isinstance(emissions, dict):
         n = len(next(iter(emissions.values())))
         table = F.create_map(*(x for k, v in emissions.items() for x in (F.lit(k), F.array(*(F.lit(float(q)) for q in v)))))
         probs: Column = F.element_at(table, F.col("cat"))
+    elif isinstance(emissions, list):
+        n, probs = len(emissions[0]), typed_emissions(emissions)
     else:
         n, probs = states, F.col(emissions)
     rows = df.withColumn("_log_ep", F.transform(probs, lambda q: F.when(q > 0, F.ln(q)).otherwise(F.lit(-1e100))))

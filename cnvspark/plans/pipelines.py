@@ -30,11 +30,38 @@ def list_samples(spark: SparkSession, manifest: str, name_col: str = "DNA_ID") -
     return samples.list_samples(readers.read_manifest(spark, manifest, name_col), "row", "sample")
 
 
-def index_samples(spark: SparkSession, reports: str, path: str) -> DataFrame:
-    """All reports as one Parquet table by sample, sorted by position, and each sample's LRR histogram."""
-    rows = readers.read_final_reports(spark, reports).withColumn("sample", F.regexp_extract("file", r"FinalReport_?(.*)\.txt$", 1))
-    rows.repartition("sample").sortWithinPartitions("sample", "chrom", "pos").write.mode("overwrite").partitionBy("sample").parquet(path)
-    return stats.norm_histogram(spark.read.parquet(path), ["sample"], "lrr", 20, -1.0, 1.0)
+def index_samples(reports: DataFrame, path: str, partitions: int = 200, row_group: int = 8 << 20) -> DataFrame:
+    """Probe rows (sample, chrom, pos, ...) of all samples as one Parquet table in order of chromosome and position, and each sample's
+    histograms of LRR and BAF.
+
+    Files are ranges of positions over all samples, each sorted, in row groups of about ``row_group`` bytes. Their statistics of
+    chromosome and position let a region be read (``intervals.read_region``) from the row groups that hold it alone, and
+    neither files nor tasks grow in number with the samples.
+    """
+    rows = reports.repartitionByRange(partitions, "chrom", "pos").sortWithinPartitions("chrom", "pos", "sample")
+    rows.write.mode("overwrite").option("parquet.block.size", row_group).option("parquet.page.size", 64 << 10).parquet(path)
+    return sample_histograms(reports.sparkSession.read.parquet(path))
+
+
+def sample_histograms(rows: DataFrame) -> DataFrame:
+    """(sample, value, bin, n, freq): LRR in twentieths from -1 to 1 and BAF in fiftieths from 0 to 1, of each sample."""
+    lrr = stats.norm_histogram(rows, ["sample"], "lrr", 20, -1.0, 1.0).withColumn("value", F.lit("lrr"))
+    return lrr.unionByName(stats.norm_histogram(rows, ["sample"], "baf", 50, 0.0, 1.0).withColumn("value", F.lit("baf")))
+
+
+def index_reports(spark: SparkSession, reports: str, path: str, **options) -> DataFrame:
+    """:func:`index_samples` of report files, whose names hold the samples."""
+    rows = readers.read_final_reports(spark, reports)
+    return index_samples(rows.withColumn("sample", F.regexp_extract("file", r"FinalReport_?(.*)\.txt$", 1)).drop("file"), path, **options)
+
+
+def probe_gc(probes: DataFrame, chunks: DataFrame, chunk: int = 1 << 20, half: int = 100) -> DataFrame:
+    """(probe, frac_gc): the share of G and C in the window around each probe (probe, chrom, pos), from the chunks of a reference
+    sequence. A window is cut at the ends of its contig; a probe whose contig is missing, or ends before the window, has no row.
+    """
+    spans = gcbias.probe_windows(probes.select("probe", "chrom", "pos").distinct(), half)
+    cut = gcbias.slice_sequence(spans, chunks, chunk).where(F.length("seq") > 0)
+    return cut.select("probe", S.gc_fraction(F.col("seq")).alias("frac_gc"))
 
 
 def train_depth(aln: DataFrame, region: str, *, bin_size: int = 5000, max_cn: int = 4, max_tlen: int = 1000, block: int | None = hmm.BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -53,13 +80,26 @@ def train_depth(aln: DataFrame, region: str, *, bin_size: int = 5000, max_cn: in
     return segments.join(weights, ["chrom", "run"]), called
 
 
-def train(spark: SparkSession, method: str, *, path: str | None = None, chroms: list[str] | None = None, **options) -> DataFrame:
-    """A baseline model: from alignments (``bam``, read as SAM text or Parquet), from intervals (``bed6``), or by sex (``M``, ``F``)."""
+class Baseline(NamedTuple):
+    """What training gives: the copy-number model, and the GC content of the probes if it was asked for."""
+
+    model: DataFrame
+    gc: DataFrame | None = None
+
+
+def train(spark: SparkSession, method: str, *, path: str | None = None, chroms: list[str] | None = None, reports: str | None = None, fasta: str | None = None, chunk: int = 1 << 20, **options) -> Baseline:
+    """A baseline model: from alignments (``bam``, read as SAM text or Parquet), from intervals (``bed6``), or by sex (``M``, ``F``).
+    With ``reports`` and ``fasta`` the GC content around the probes of the first report comes with it.
+    """
     if method == "bam":
-        return train_depth(readers.read_alignments(spark, path), **options)[0]
-    if method == "bed6":
-        return readers.model_from_bed(readers.read_bed(spark, path))
-    return coverage.sex_model(spark, chroms or [f"chr{c}" for c in (*range(1, 23), "X", "Y")], method)
+        model = train_depth(readers.read_alignments(spark, path), **options)[0]
+    elif method == "bed6":
+        model = readers.model_from_bed(readers.read_bed(spark, path))
+    else:
+        model = coverage.sex_model(spark, chroms or [f"chr{c}" for c in (*range(1, 23), "X", "Y")], method)
+    if reports is None or fasta is None:
+        return Baseline(model)
+    return Baseline(model, probe_gc(readers.prototype_probes(readers.read_final_reports(spark, reports)), readers.read_fasta(spark, fasta, chunk), chunk))
 
 
 def _states(max_cn: float, mosaics: bool = False, by_inf: bool = False) -> list[State]:

@@ -157,7 +157,7 @@ def prj20(spark, d):
     return view(spark, d, "v_segment").select("ord", S.size_class(F.col("start"), F.col("end"), 15_000).alias("size"))
 
 
-_ALIAS = "SELECT sample, concat(chr(CAST(65 + h % 26 AS INT)), chr(CAST(65 + h // 26 % 26 AS INT)), '-', lpad(CAST(h // 676 AS STRING), 2, '0')) AS alias FROM (SELECT sample, CAST(concat('0x', substring(md5(concat('7:', CAST(sample AS STRING))), 1, 8)) AS BIGINT) % 67600 AS h FROM (SELECT DISTINCT sample FROM v_probe))"
+_ALIAS = "SELECT sample, concat(chr(CAST(65 + h % 26 AS INT)), chr(CAST(65 + h // 26 % 26 AS INT)), '-', lpad(CAST(h // 676 AS STRING), 2, '0')) AS alias FROM (SELECT sample, (row_number() OVER (ORDER BY md5(concat('7:', CAST(sample AS STRING))), sample) - 1) * 40503 % 67600 AS h FROM (SELECT DISTINCT sample FROM v_probe))"
 
 
 @_query("prj21_blind_alias", _ALIAS)
@@ -274,6 +274,13 @@ def jn9(spark, d):
 ORACLES["jn9_state_attributes"] = f"{with_views('v_state')} SELECT sample, probe, CAST(cn_out AS DOUBLE) AS copy_number, CAST(CASE WHEN cn_out = 1 THEN 1 ELSE 2 END AS INT) AS allelism FROM v_state"
 
 
+@_query("src14_load_states", "SELECT l_linenumber AS cn, count(*) AS n, CAST(max(CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 3 WHEN 4 THEN 5 WHEN 5 THEN 5 END) AS BIGINT) AS states FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1")
+def src14(spark, d):
+    states = readers.load_states(spark, 5.0, False).groupBy(F.col("copy_number").cast("int").alias("cn")).agg(F.count(F.lit(1)).alias("states"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linenumber").alias("cn"))
+    return rows.join(F.broadcast(states), "cn").groupBy("cn").agg(F.count(F.lit(1)).alias("n"), F.first("states").alias("states"))
+
+
 @_query("jn10_combine_categories", "SELECT a, b, row_number() OVER (ORDER BY b, a) AS idx FROM (SELECT DISTINCT l_returnflag AS a FROM lineitem) CROSS JOIN (SELECT DISTINCT l_linestatus AS b FROM lineitem)")
 def jn10(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
@@ -894,6 +901,32 @@ _DEPTHS = ((1.0, 0.8), (2.0, 1.1), (3.0, 1.4))
 _DEPTH_PATH = _viterbi_sql(_depth_ep(), [float(x) for x in np.log([0.1, 0.45, 0.45])], hmm.persistence(3, 0.995, 0.1).tolist(), _cover_sql(""), """(SELECT chrom AS g, bin AS t, "count" AS x FROM c)""")
 
 
+#: Emissions by type, state and observed state.
+_TYPED = [[[0.7, 0.2, 0.1], [0.1, 0.3, 0.6]], [[0.5, 0.4, 0.1], [0.2, 0.2, 0.6]]]
+
+
+def _typed_sql() -> str:
+    logs = lambda t, k: "[" + ", ".join(f"CAST({float(np.log(_TYPED[t][k][o]))!r} AS DOUBLE)" for o in range(3)) + "]"
+    return "[" + ", ".join(f"CASE WHEN t % 2 = 0 THEN {logs(0, k)}[CAST(floor(x) AS BIGINT) % 3 + 1] ELSE {logs(1, k)}[CAST(floor(x) AS BIGINT) % 3 + 1] END" for k in range(2)) + "]"
+
+
+def _typed_rows(spark, d) -> DataFrame:
+    return view(spark, d, "v_series").select("g", "t", (F.col("t") % 2).cast("int").alias("ot"), (F.floor("x") % 3).cast("int").alias("os"), (F.floor("x") % 2).cast("int").alias("hs_in"), (F.col("t") % 3 == 0).cast("int").alias("hs"))
+
+
+@_query("mod16_typed_sequence", _viterbi_sql(_typed_sql(), [float(np.log(0.6)), float(np.log(0.4))], hmm.persistence(2, 0.9, 0.6).tolist()))
+def mod16_typed(spark, d):
+    return hmm.segment_sequence(_typed_rows(spark, d).select("g", "t", "ot", "os"), ["g"], ["t"], _TYPED, z=0.6, p=0.9).select("g", "t", "hs")
+
+
+@_query("mod20_typed_loglik", f""", ep AS (SELECT * FROM (VALUES {', '.join(f'({t}, {k}, {o}, {_TYPED[t][k][o]})' for t in range(2) for k in range(2) for o in range(3))}) v(ot, s, o, p)),
+ q AS (SELECT a.ot, a.s AS hs_in, b.s AS hs, b.p AS x, a.p AS w, b.o FROM ep a JOIN ep b ON b.ot = a.ot AND b.o = a.o), r AS (SELECT *, sum(w) OVER (PARTITION BY ot, hs_in, hs ORDER BY x, w ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY ot, hs_in, hs) AS run, lead(x) OVER (PARTITION BY ot, hs_in, hs ORDER BY x, w) AS nx FROM q),
+ m AS (SELECT ot, hs_in, hs, arg_min(CASE WHEN run > 0.5 THEN x ELSE (x + nx) / 2 END, run) AS wm FROM r WHERE run >= 0.5 GROUP BY ALL)
+ SELECT g, round(sum(n * ln(wm)), 4) AS loglik FROM (SELECT g, t % 2 AS ot, CAST(floor(x) AS BIGINT) % 2 AS hs_in, CASE WHEN t % 3 = 0 THEN 1 ELSE 0 END AS hs, count(*) AS n FROM v_series GROUP BY ALL) c JOIN m USING (ot, hs_in, hs) GROUP BY g""", "v_series")
+def mod20_typed(spark, d):
+    return hmm.expected_loglik(_typed_rows(spark, d), ["g"], hmm.typed_weights(spark, _TYPED)).select("g", _r("loglik", 4).alias("loglik"))
+
+
 @_query("mod17_bin_cn", _DEPTH_PATH.replace("SELECT s.g, s.t, CAST(b.st - 1 AS INT) AS hs FROM", "SELECT s.g AS chrom, s.t AS bin, CAST(b.st AS INT) AS cn FROM"))
 def mod17(spark, d):
     bins = _cover(spark, d)
@@ -1039,7 +1072,7 @@ def src7(spark, d):
 
 @_query("pipe4_train_intervals", _BED, "v_segment")
 def pipe4(spark, d):
-    return pipelines.train(spark, "bed6", path=_bed_file(spark, d)).drop("ord")
+    return pipelines.train(spark, "bed6", path=_bed_file(spark, d)).model.drop("ord")
 
 
 @_query("src10_read_probe_gc", "SELECT CAST(probe AS STRING) AS probe, frac_gc FROM v_model", "v_model")
@@ -1120,6 +1153,48 @@ def _refined(spark, d, rounds: int = 1) -> pipelines.Model:
     return pipelines.refine(view(spark, d, "v_probe").select("sample", "chrom", "pos", "probe", "lrr", "baf"), view(spark, d, "v_segment"), view(spark, d, "v_model").select("probe", "frac_gc"), min_probes=10, min_gc=1, least=100, rounds=rounds)
 
 
+_GC_CHUNK = 300
+
+
+@_query("src9_read_fasta", "SELECT contig, n AS chunk_no, md5(substring(upper(regexp_replace(seq, '\\s', '', 'g')), n * 300 + 1, 300)) AS digest FROM (SELECT contig, seq, unnest(range(0, (length(regexp_replace(seq, '\\s', '', 'g')) + 299) // 300)) AS n FROM v_contig)", "v_contig")
+def src9_fasta(spark, d):
+    return readers.read_fasta(spark, _fasta_file(spark, d), _GC_CHUNK).select("contig", "chunk_no", F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
+def _fasta_file(spark, d) -> str:
+    """All contigs as FASTA text in lines of 70 bases."""
+    path = shared_path(spark, "fasta")
+    bases = F.regexp_replace("seq", r"\s", "")
+    record = F.concat(F.lit(">"), "contig", F.lit(" a contig\n"), F.trim(F.regexp_replace(bases, "(.{70})", "$1\n"), F.lit("\n")))
+    view(spark, d, "v_contig").where(F.length(bases) > 0).select(record.alias("value")).write.text(path)
+    return path
+
+
+@_query("pipe4_train_gc", "SELECT contig AS probe, round((length(w) - length(translate(w, 'GC', ''))) / CAST(length(w) AS DOUBLE), 6) AS frac_gc FROM (SELECT contig, substring(upper(regexp_replace(seq, '\\s', '', 'g')), greatest(pos - 101, 0) + 1, pos + 100 - greatest(pos - 101, 0)) AS w FROM (SELECT contig, seq, CAST(contig AS BIGINT) * 7 % 500 + 1 AS pos FROM v_contig)) WHERE length(w) > 0", "v_contig")
+def pipe4_gc(spark, d):
+    contigs = view(spark, d, "v_contig")
+    path = shared_path(spark, "reports")
+    line = F.concat_ws("\t", F.col("contig"), F.col("contig"), (F.col("contig").cast("long") * 7 % 500 + 1).cast("string"), F.lit("0.1"), F.lit("0.5"))
+    head = spark.range(1).select(F.lit("SNP Name\tChr\tPosition\tLog R Ratio\tB Allele Freq").alias("value"))
+    head.unionByName(contigs.select(line.alias("value"))).coalesce(1).write.text(path)
+    # The contigs' names are numbers, to which the reports' reader puts "chr".
+    reports = readers.read_final_reports(spark, path).withColumn("chrom", F.regexp_replace("chrom", "^chr", ""))
+    return pipelines.probe_gc(readers.prototype_probes(reports), readers.read_fasta(spark, _fasta_file(spark, d), _GC_CHUNK), _GC_CHUNK).select("probe", _r("frac_gc").alias("frac_gc"))
+
+
+@_query("pipe2_index_samples", "SELECT k.sample, CAST(b.bin AS INT) AS bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY k.sample), 3) AS freq FROM (SELECT DISTINCT sample FROM v_obs WHERE lrr BETWEEN -1 AND 1) k CROSS JOIN (SELECT unnest(range(-20, 21)) AS bin) b LEFT JOIN (SELECT sample, CAST(round_even(lrr * 20, 0) AS INT) AS bin, count(*) AS n FROM v_obs WHERE lrr BETWEEN -1 AND 1 GROUP BY ALL) c ON c.sample = k.sample AND c.bin = b.bin", "v_obs")
+def pipe2(spark, d):
+    found = pipelines.index_samples(view(spark, d, "v_obs"), shared_path(spark, "index"), partitions=8)
+    return found.where("value = 'lrr'").drop("value")
+
+
+@_query("pipe2_read_region", ORACLES["src13_read_region"])
+def pipe2_region(spark, d):
+    path = shared_path(spark, "index")
+    pipelines.index_samples(view(spark, d, "v_obs"), path, partitions=8)
+    return intervals.read_region(spark.read.parquet(path), "chr3", 100_000, 900_000).select("sample", "probe", "pos")
+
+
 @_query("pipe5_refine")
 def pipe5(spark, d):
     return _refined(spark, d).probes
@@ -1155,6 +1230,19 @@ def plt4(spark, d):
     return plotdata.depth_histogram(_cover(spark, d))
 
 
+@_query("plt4_depth_quantiles", f"{_DEPTH_PATH.replace('SELECT s.g, s.t, CAST(b.st - 1 AS INT) AS hs FROM b', ', done AS (SELECT s.g, s.t, CAST(b.st AS INT) AS cn FROM b')}), d AS (SELECT cn, x AS v, count(*) AS n FROM done JOIN (SELECT chrom AS g, bin AS t, \"count\" AS x FROM c) USING (g, t) GROUP BY ALL), e AS (SELECT cn, v, sum(n) OVER (PARTITION BY cn ORDER BY v ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER (PARTITION BY cn) AS total FROM d) SELECT cn, CAST(q AS DOUBLE) AS q, round(min(v), 5) AS value FROM e, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS q) WHERE run >= greatest(q * total, 1) GROUP BY cn, q")
+def plt4_quantiles(spark, d):
+    bins = _cover(spark, d)
+    called = mod17(spark, d).join(bins, ["chrom", "bin"])
+    return plotdata.depth_quantiles(called).withColumn("value", _r("value", 5))
+
+
+@_query("plt4_depth_densities", _cover_sql(", h AS (SELECT CAST(round_even(\"count\", 0) AS INT) AS bin, count(*) AS n FROM c GROUP BY 1) SELECT g.bin, round(coalesce(n, 0) / CAST(sum(coalesce(n, 0)) OVER () AS DOUBLE), 6) AS share, " + ", ".join(f"round({w / (s * (2 * np.pi) ** 0.5)!r} * exp(-0.5 * pow((g.bin - {m!r}) / {s!r}, 2)), 6) AS cn{k}" for k, (w, m, s) in enumerate(((0.5, 1.0, 0.8), (0.3, 2.0, 1.1), (0.2, 3.0, 1.4)), 1)) + " FROM (SELECT CAST(unnest(range((SELECT min(bin) FROM h), (SELECT max(bin) FROM h) + 1)) AS INT) AS bin) g LEFT JOIN h ON h.bin = g.bin"))
+def plt4_densities(spark, d):
+    rows = plotdata.depth_densities(_cover(spark, d), [(0.5, 1.0, 0.8), (0.3, 2.0, 1.1), (0.2, 3.0, 1.4)])
+    return rows.select("bin", *(_r(c).alias(c) for c in ("share", "cn1", "cn2", "cn3")))
+
+
 @_query("plt6_uniqueness", _runs_sql(f", {_PAIRS}, x AS (SELECT sv, round(max(CASE WHEN target = sample THEN score END), 4) AS q, round(max(CASE WHEN target <> sample THEN score END), 4) AS m FROM p GROUP BY sv, sample) SELECT sv, CASE WHEN q = 0 THEN 0.0 ELSE round(sign(q) * log10(abs(q)), 3) END AS x, CASE WHEN m = 0 THEN 0.0 ELSE round(sign(m) * log10(abs(m)), 3) END AS y FROM x"))
 def plt6(spark, d):
     scores = compare.extreme_samples(compare.pair_scores(*_pair_inputs(spark, d)))

@@ -47,15 +47,20 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no, line) of text files, lines counted from 0 in each file. A file is read in blocks; where a block begins
     comes from a table of a row for each block.
     """
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
-    blocks = text.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = blocks.select("file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    return text.join(starts, ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "line")
+    return _block_lines(spark, path).drop("block")
+
+
+def _block_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line_no, line, block): numbered lines with the place in the file at which their block begins."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    blocks = text.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("file", "block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return text.join(starts, ["file", "block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "line", "block")
 
 
 def parse_reports(text: DataFrame, files: int | None = None) -> DataFrame:
@@ -177,11 +182,44 @@ def chunk_sequences(contigs: DataFrame, chunk: int) -> DataFrame:
     return rows.select("contig", F.col("chunk_no").cast("long").alias("chunk_no"), F.substr("_seq", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("seq"))
 
 
+def place_bases(text: DataFrame) -> DataFrame:
+    """(contig, offset, seq) from (file, block, line_no, line) of FASTA files: each line of bases with its contig and its place there.
+
+    Lines are looked at within their block alone. What a block begins with, the contig that is open and how many of its bases
+    came before, is told by tables of a row for each block, and for each contig and block. So a contig of any length is never one
+    row, as long as its lines are not. White space is left out; lines before the first header belong to none.
+    """
+    here, rest = Window.partitionBy("file", "block").orderBy("line_no"), Window.unboundedPreceding
+    is_head = F.startswith("line", F.lit(">"))
+    rows = text.withColumn("_head", F.max(F.when(is_head, F.col("line_no"))).over(here.rowsBetween(rest, 0)))
+    heads = text.where(is_head).select("file", F.col("line_no").alias("_head"), F.regexp_extract("line", r"^>\s*(\S*)", 1).alias("contig"))
+    blocks = rows.groupBy("file", "block").agg(F.max("_head").alias("_last"))
+    open_ = F.max("_last").over(Window.partitionBy("file").orderBy("block").rowsBetween(rest, -1))
+    rows = rows.join(blocks.select("file", "block", open_.alias("_open")), ["file", "block"])
+    bases = F.upper(F.regexp_replace("line", r"\s", ""))
+    rows = rows.where(~is_head).select("file", "block", "line_no", F.coalesce("_head", "_open").alias("_head"), bases.alias("seq")).where(F.col("_head").isNotNull() & (F.col("seq") != ""))
+    keys = ["file", "_head"]
+    parts = rows.groupBy(*keys, "block").agg(F.sum(F.length("seq").cast("long")).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(rest, -1)), F.lit(0))
+    rows = rows.join(parts.select(*keys, "block", before.alias("_before")), [*keys, "block"])
+    inside = F.coalesce(F.sum(F.length("seq").cast("long")).over(Window.partitionBy(*keys, "block").orderBy("line_no").rowsBetween(rest, -1)), F.lit(0))
+    return rows.withColumn("offset", F.col("_before") + inside).join(heads, keys).select("contig", "offset", "seq")
+
+
+def chunk_pieces(pieces: DataFrame, chunk: int) -> DataFrame:
+    """(contig, chunk_no, seq) from pieces (contig, offset, seq): a piece goes to every chunk that it reaches into."""
+    end = F.col("offset") + F.length("seq") - 1
+    rows = pieces.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("offset") / chunk), F.floor(end / chunk))))
+    low = F.greatest(F.col("chunk_no") * chunk - F.col("offset"), F.lit(0))
+    high = F.least((F.col("chunk_no") + 1) * chunk - F.col("offset"), F.length("seq"))
+    part = F.struct("offset", F.substr("seq", (low + 1).cast("int"), (high - low).cast("int")).alias("s"))
+    found = rows.groupBy("contig", "chunk_no").agg(F.array_sort(F.collect_list(part)).alias("_p"))
+    return found.select("contig", F.col("chunk_no").cast("long").alias("chunk_no"), F.array_join("_p.s", "").alias("seq"))
+
+
 def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
-    """A FASTA file in chunks. A contig is one row before it is cut, so convert a genome once to Parquet."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.length("value") > 0)
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-    return chunk_sequences(raw.select(F.regexp_extract("value", r"^(\S+)", 1).alias("contig"), body.alias("seq")), chunk)
+    """FASTA files as chunks (contig, chunk_no, seq), in capitals; files are split into blocks like any text."""
+    return chunk_pieces(place_bases(_block_lines(spark, path)), chunk)
 
 
 def read_probe_gc(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cnvspark.functions.scalar import blind_alias
+from cnvspark.functions.scalar import alias_key, blind_alias
 
 # Column orders of the tables.
 PROBE_COL = "chrom start pos prb_name is_na strand lrr baf as_in cn_in inf_in lrr_raw baf_raw hs as_out cn_out inf_out cnc loh".split()
@@ -57,9 +57,14 @@ def load_model(spark: SparkSession, path: str, names: list[str]) -> dict[str, Da
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
-def group_manifest(samples: DataFrame, seed: int) -> DataFrame:
-    """Samples with their blinded aliases."""
-    return samples.select("sample", blind_alias(F.col("sample").cast("string"), seed).alias("alias"))
+def group_manifest(samples: DataFrame, seed: int, group: str | None = None) -> DataFrame:
+    """Samples with their blinded aliases, which differ within a group (all samples, or those of equal ``group``): samples are
+    numbered by the order of their seeded hashes. A group is the samples of an experiment.
+    """
+    by = [group] if group else []
+    named = samples.select(*by, "sample").distinct().withColumn("_key", alias_key(F.col("sample").cast("string"), seed))
+    numbered = named.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_key", "sample")) - 1)
+    return numbered.select(*by, "sample", blind_alias(F.col("_n")).alias("alias"))
 
 
 def write_group_manifest(samples: DataFrame, path: str, seed: int) -> None:

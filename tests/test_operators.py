@@ -205,7 +205,7 @@ def test_text_readers(spark, tmp_path):
     table = readers.read_samples(spark, f"{tmp_path}/e.csv")
     assert [r[0] for r in samples.select_samples(table, "Sample_ID", control=True).collect()] == ["S1"]
     assert pipelines.fan_out(table, "e").first()["samples"] == ["S1", "S2"]
-    assert pipelines.train(spark, "F", chroms=["chr1", "chrX", "chrY"]).count() == 2
+    assert pipelines.train(spark, "F", chroms=["chr1", "chrX", "chrY"]).model.count() == 2
     assert readers.load_states(spark, 5.0, True).count() == 24 and readers.load_states(spark, 2.0, False).count() == 5
 
 
@@ -218,6 +218,10 @@ def test_writers_round_trip(spark, tmp_path):
     assert writers.load_model(spark, f"{tmp_path}/m", ["a"])["a"].count() == 2
     aliases = [r["alias"] for r in writers.group_manifest(df, 3).collect()]
     assert len(set(aliases)) == 2 and all(len(a) == 5 and a[2] == "-" for a in aliases)
+    many = [r["alias"] for r in writers.group_manifest(spark.range(70_000).select(F.col("id").alias("sample")), 3).collect()]
+    assert len(set(many)) == 70_000
+    groups = writers.group_manifest(spark.range(600).select((F.col("id") % 2).alias("line"), (F.col("id") % 300).alias("sample")), 5, "line")
+    assert groups.groupBy("line").agg(F.count_distinct("alias").alias("a"), F.count_distinct("sample").alias("s")).where("a <> s").count() == 0
 
 
 def test_sample_cap_is_repeatable(spark):
@@ -377,3 +381,85 @@ def test_refine_takes_up_written_rounds(spark, tmp_path):
     again = run()
     assert {r["probe"]: r for r in again.probes.collect()} == first and (tmp_path / "round-1" / "model" / "_SUCCESS").stat().st_mtime_ns == stamp
     assert {r["name"] for r in again.fits.collect()} >= {"CN2_11", "CN3_12"}
+
+
+def test_fasta_over_blocks(spark, tmp_path):
+    rng = random.Random(15)
+    contigs = {f"c{i}": "".join(rng.choice("acgtN") for _ in range(rng.choice([0, 1, 59, 60, 61, 900, 4000]))) for i in range(12)}
+    for k, part in enumerate((list(contigs)[:7], list(contigs)[7:])):
+        text = "; no header yet\n" if k else ""
+        for c in part:
+            text += f">{c} note\r\n" + "".join(contigs[c][i : i + 60] + "\n" for i in range(0, len(contigs[c]), 60)) + ("\n" if rng.random() < 0.5 else "")
+        (tmp_path / f"{k}.fa").write_text(text)
+    want = {(c, n): s[n * 250 : (n + 1) * 250].upper() for c, s in contigs.items() for n in range(-(-len(s) // 250))}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("300", "700", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = readers.read_fasta(spark, str(tmp_path), 250).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert {(r["contig"], r["chunk_no"]): r["seq"] for r in got} == want and len(got) == len(want)
+
+
+def test_train_with_gc(spark, tmp_path):
+    rng = random.Random(16)
+    seq = "".join(rng.choice("ACGT") for _ in range(5000))
+    (tmp_path / "g.fa").write_text(">chr1\n" + "\n".join(seq[i : i + 50] for i in range(0, 5000, 50)) + "\n")
+    places = [1, 50, 101, 2500, 4990, 5090, 5200]
+    rows = "".join(f"rs{p}\t1\t{p}\t0\t0.5\n" for p in places) + "rsx\t2\t10\t0\t0.5\n"
+    (tmp_path / "s_FinalReport1.txt").write_text("SNP Name\tChr\tPosition\tLog R Ratio\tB Allele Freq\n" + rows)
+    base = pipelines.train(spark, "M", chroms=["chr1"], reports=f"{tmp_path}/*FinalReport*", fasta=f"{tmp_path}/g.fa", chunk=400)
+    want = {}
+    for p in places:
+        window = seq[max(p - 101, 0) : p + 100]
+        if window:
+            want[f"rs{p}"] = (window.count("G") + window.count("C")) / len(window)
+    got = {r["probe"]: r["frac_gc"] for r in base.gc.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items()) and base.model.count() == 1
+
+
+def test_index_reads_the_row_groups_of_a_region_alone(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(200_000).select((F.col("id") % 10).cast("string").alias("sample"), F.concat(F.lit("chr"), (F.col("id") % 5 + 1).cast("string")).alias("chrom"), (F.col("id") * 37 % 1_000_000).alias("pos"), F.col("id").alias("probe"), (F.rand(1) - 0.5).alias("lrr"), F.rand(2).alias("baf"))
+    path = str(tmp_path / "index")
+    hist = pipelines.index_samples(rows, path, partitions=6, row_group=100_000)
+    assert hist.groupBy("sample", "value").agg(F.sum("n").alias("n")).where("value = 'lrr' and n <> 20000").count() == 0
+    groups = holding = files = 0
+    for f in (tmp_path / "index").glob("*.parquet"):
+        meta, files = pq.ParquetFile(f).metadata, files + 1
+        for g in range(meta.num_row_groups):
+            stats_of = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c).statistics for c in range(meta.num_columns)}
+            groups += 1
+            holding += stats_of["chrom"].min <= "chr3" <= stats_of["chrom"].max and not (stats_of["pos"].max < 100_000 or stats_of["pos"].min > 120_000)
+    region = intervals.read_region(spark.read.parquet(path), "chr3", 100_000, 120_000)
+    want = rows.where("chrom = 'chr3' and pos between 100000 and 120000").select("probe").collect()
+    assert sorted(r["probe"] for r in region.select("probe").collect()) == sorted(r["probe"] for r in want)
+    assert "PushedFilters: [IsNotNull(chrom)" in region._jdf.queryExecution().executedPlan().toString()
+    assert files <= 6 and groups >= 12 and 1 <= holding <= groups // 4
+
+
+def test_typed_weights_and_paths(spark):
+    rng = np.random.default_rng(17)
+    ep = [[rng.dirichlet(np.ones(4)).tolist() for _ in range(3)] for _ in range(2)]
+    w = {(r["ot"], r["hs_in"], r["hs"]): r["w"] for r in hmm.typed_weights(spark, ep).collect()}
+    for t, i, o in itertools.product(range(2), range(3), range(3)):
+        pairs = sorted(zip(ep[t][o], ep[t][i]))
+        run = np.cumsum([p[1] for p in pairs]) / sum(ep[t][i])
+        assert abs(w[t, i, o] - np.log(pairs[int(np.argmax(run > 0.5))][0])) < 1e-12
+    rows = [(0, k, int(rng.integers(2)), int(rng.integers(4)), int(rng.integers(3)), int(rng.integers(3))) for k in range(40)]
+    df = spark.createDataFrame(rows, "g int, t int, ot int, os int, hs_in int, hs int")
+    got = hmm.expected_loglik(df, ["g"], hmm.typed_weights(spark, ep)).first()["loglik"]
+    assert abs(got - sum(w[ot, a, b] for _, _, ot, _, a, b in rows)) < 1e-9
+    path = [r["hs"] for r in hmm.segment_sequence(df.drop("hs"), ["g"], ["t"], ep, z=0.4, p=0.8).orderBy("t").collect()]
+    logs = np.log(np.array([[ep[ot][s][o] for s in range(3)] for _, _, ot, o, _, _ in rows]))
+    assert path == hmm.decode(logs, hmm.persistence(3, 0.8, 0.4), np.log([0.4, 0.3, 0.3])).tolist()
+
+
+def test_flanks_stay_within_their_region(spark):
+    probes = spark.createDataFrame([("s", "c", 10 * k, k, k % 3) for k in range(100)], "sample string, chrom string, pos long, probe int, state int")
+    spans = spark.createDataFrame([("a", "s", "c", 300, 350, 270, 500), ("b", "s", "c", 0, 20, 0, 990)], "sv string, sample string, chrom string, start long, end long, lo_ long, hi_ long")
+    got = intervals.widen_by_rank(spans, probes, n=10, width=64, region=("lo_", "hi_"))
+    by = {sv: sorted(r["probe"] for r in got.collect() if r["sv"] == sv) for sv in "ab"}
+    assert by == {"a": list(range(27, 46)), "b": list(range(13))} and "state" in got.columns
