@@ -88,6 +88,34 @@ def test_balance(lengths):
     assert all(got[i] == n for i, n in enumerate(lengths))
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(0, 31), max_size=50), st.sampled_from([(1.0, 0.0), (1.0, 0.1), (0.0, 1.0)]))
+def test_balance_is_the_lowest_cost_rule(lengths, weights):
+    """A plain reading of the rule: longest first, to the sequence of least cost that has room, what fits nowhere into gaps."""
+    capacity, (linear, quadratic) = 32, weights
+    seqs = [{"room": capacity, "cost": 0.0} for _ in range(-(-sum(lengths) // capacity))]
+    want, left = [], []
+    for item in sorted((i for i, n in enumerate(lengths) if n), key=lambda i: (-lengths[i], i)):
+        n = lengths[item]
+        fits = [k for k, q in enumerate(seqs) if q["room"] >= n]
+        if not fits:
+            left.append(item)
+            continue
+        k = min(fits, key=lambda k: (seqs[k]["cost"], k))
+        want.append((item, 0, n, k, capacity - seqs[k]["room"]))
+        seqs[k]["room"] -= n
+        seqs[k]["cost"] += linear * n + quadratic * n * n
+    for item in left:
+        start = 0
+        while start < lengths[item]:
+            k = max(range(len(seqs)), key=lambda k: (seqs[k]["room"], -k))
+            take = min(lengths[item] - start, seqs[k]["room"])
+            want.append((item, start, take, k, capacity - seqs[k]["room"]))
+            seqs[k]["room"] -= take
+            start += take
+    assert balance(np.array(lengths, np.int64), capacity, linear, quadratic) == want
+
+
 def test_shards_are_even_and_gapless(odd):
     rows = shard_documents(odd, shards=8, replicas=16).collect()
     slots = collections.defaultdict(list)
@@ -101,24 +129,26 @@ def test_shards_are_even_and_gapless(odd):
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want and texts
 
 
-def test_ring_against_brute_force(spark, odd):
-    nodes = virtual_nodes(8, 16)
+@pytest.mark.parametrize("shards,replicas", [(8, 16), (3, 1), (2, 2)])
+def test_ring_against_brute_force(spark, odd, shards, replicas):
+    nodes = virtual_nodes(shards, replicas)
     placed = odd.select("doc_id", "text", ring_position(F.col("text")).alias("p"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c")).collect()
-    keys = sorted(placed, key=lambda r: (r["p"], r["doc_id"] is not None, r["doc_id"] or 0, r["c"]))
-    room = [len(keys) // 8 + (s < len(keys) % 8) for s in range(8)]
+    first = lambda p: next((i for i, (q, _) in enumerate(nodes) if q >= p), 0)
+    # Arc by arc; a key behind the last node belongs to the first one, after the keys before that.
+    keys = sorted(placed, key=lambda r: (first(r["p"]), r["p"], r["doc_id"] is not None, r["doc_id"] or 0, r["c"]))
+    room = [len(keys) // shards + (s < len(keys) % shards) for s in range(shards)]
     want = []
     for r in keys:
-        at = next((i for i, (p, _) in enumerate(nodes) if p >= r["p"]), 0)
+        at = first(r["p"])
         while room[nodes[at % len(nodes)][1]] == 0:
             at += 1
         shard = nodes[at % len(nodes)][1]
         room[shard] -= 1
         want.append((r["doc_id"], r["c"], shard))
-    # The arc that closes the ring comes first, as its keys belong to the first node.
-    got = collections.Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in shard_documents(odd, shards=8, replicas=16).collect())
-    wrapped = [r for r in keys if r["p"] > nodes[-1][0]]
-    if not wrapped:
-        assert got == collections.Counter(want)
+    got = collections.Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in shard_documents(odd, shards=shards, replicas=replicas).collect())
+    assert got == collections.Counter(want)
+    if replicas < 16:
+        assert any(r["p"] > nodes[-1][0] for r in keys)  # the arc that closes the ring
 
 
 def test_fill_moves_clockwise():

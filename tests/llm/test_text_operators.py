@@ -372,3 +372,41 @@ def test_many_hosts_join(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(html_extraction, "MANY_HOSTS", -1)
     assert rows() == want
+
+
+def brute_overlaps(doc, item, least_words=13, similarity=0.8):
+    """Matches of the best stretch over all diagonals by its definition: the longest one, most matches among these."""
+    least, best = min(least_words, len(item)), 0
+    if len(item) < 8:
+        return any(doc[i : i + len(item)] == item for i in range(len(doc) - len(item) + 1))
+    for diagonal in range(-len(item) + 1, len(doc)):
+        low, high = max(0, diagonal), min(len(doc), diagonal + len(item))
+        same = [doc[i] == item[i - diagonal] for i in range(low, high)]
+        for i in range(len(same)):
+            for j in range(i + least, len(same) + 1):
+                if sum(same[i:j]) >= similarity * (j - i) - 1e-9:
+                    best = max(best, j - i)
+    return best >= least
+
+
+def test_decontamination_against_all_diagonals(spark):
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    pool = [word() for _ in range(60)]
+    items = [[rng.choice(pool) for _ in range(rng.choice([3, 7, 8, 9, 14, 20, 26]))] for _ in range(14)]
+    docs = []
+    for _ in range(160):
+        text = [rng.choice(pool) for _ in range(rng.randint(0, 30))]
+        if rng.random() < 0.8:
+            item = rng.choice(items)
+            low = rng.randrange(len(item))
+            part = item[low : low + rng.randint(1, len(item))] if rng.random() < 0.5 else list(item)
+            part = [rng.choice(pool) if rng.random() < rng.choice([0, 0.1, 0.25]) else w for w in part]
+            at = rng.randint(0, len(text))
+            text[at:at] = part
+        docs.append(text)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {(d, k) for d, t in enumerate(docs) for k, item in enumerate(items) if brute_overlaps(t, item)}
+    got = {(r["doc_id"], x["item_id"]) for r in decontaminate(df, bench).collect() for x in r["items"]}
+    assert len(want) > 30 and got == want
