@@ -1,6 +1,10 @@
 import corpus_pipeline
 import pytest
 from cnvspark.llm.common import kept, scratch
+from cnvspark.llm.html_extraction import extract_pages
+from cnvspark.llm.quality import fit_quality, score_quality
+from cnvspark.llm.toxicity import fit_toxicity, score_toxicity
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +51,35 @@ def test_stages_keep_columns_of_their_own_names(spark, folder):
         assert none.columns == docs.columns and none.count() == 0
 
 
+def test_first_and_last_stage_on_odd_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("toxicity", F.lit("own")).withColumn("_toxicity", F.lit(7))
+    kept_docs = corpus_pipeline.toxicity(spark, docs, folder)
+    assert kept_docs.columns == docs.columns and {r["toxicity"] for r in kept_docs.collect()} == {"own"}
+    assert not any(r["doc_id"] and 300 <= r["doc_id"] < 340 for r in kept_docs.collect())
+    none = corpus_pipeline.toxicity(spark, docs.limit(0), folder)
+    assert none.columns == docs.columns and none.count() == 0
+    clash = spark.createDataFrame([(1, "some words", 3, "x"), (2, None, 4, "y"), (None, "", 5, "z")], "doc_id long, text string, length long, sequence_id string")
+    pieces = corpus_pipeline.packing(spark, clash, folder).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in pieces) == [(False, 1), (False, 2), (True, 0)]
+    assert corpus_pipeline.packing(spark, clash.limit(0), folder).collect() == []
+
+
+def test_scores_replace_columns_of_their_names(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    own = docs.withColumns({"quality_score": F.lit("own"), "toxicity": F.lit("own")})
+    for scored, name in ((score_quality(own, fit_quality(docs, labels)), "quality_score"), (score_toxicity(own, fit_toxicity(docs, labels)), "toxicity")):
+        assert sorted(scored.columns) == sorted(own.columns) and dict(scored.dtypes)[name] == "double" and scored.count() == docs.count()
+        assert all(0 <= r[name] <= 1 for r in scored.collect())
+
+
+def test_pages_keep_columns_that_clash(spark):
+    rows = [(i, f"http://h.org/{i}", f"<html><body><nav>Home</nav><article><h1>T{i}</h1><p>Words of page {i} that vary.</p></article></body></html>", "a", "b") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _wrapper string, _host string")
+    got = extract_pages(pages)
+    assert set(got.columns) == {*pages.columns, "main_text"} and {(r["_wrapper"], r["_host"]) for r in got.collect()} == {("a", "b")}
+    assert all(f"Words of page {r['page_id']}" in r["main_text"] for r in got.collect())
+
+
 def test_scratch_leaves_only_the_result(spark):
     with scratch(spark):
         first = kept(spark.range(3).toDF("x"), "a")
