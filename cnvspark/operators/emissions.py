@@ -91,8 +91,8 @@ def hist_moments(hist: DataFrame, by: list[str], per_unit: int) -> DataFrame:
 
 
 def near_peak(df: DataFrame, peaks: DataFrame, by: str, nsd: float = 1.5) -> DataFrame:
-    """Probes within ``nsd`` SDs of their copy number's zygosity peak."""
-    return df.join(F.broadcast(peaks.select(by, F.col("mean").alias("_m"), F.col("sd").alias("_s"))), by).where(F.abs(F.col("zyg") - F.col("_m")) <= nsd * F.col("_s")).drop("_m", "_s")
+    """Probes within ``nsd`` SDs of their copy number's zygosity peak, to six places."""
+    return df.join(F.broadcast(peaks.select(by, F.col("mean").alias("_m"), F.col("sd").alias("_s"))), by).where(F.round(F.abs(F.col("zyg") - F.col("_m")), 6) <= F.round(nsd * F.col("_s"), 6)).drop("_m", "_s")
 
 
 def normalize_emission(df: DataFrame, by: list[str], f: float, bad: float) -> DataFrame:

@@ -39,17 +39,3 @@ def fit_peaks(hist: DataFrame, bounds: list[tuple[float, float]], iters: int = 2
                 s[j] = min(max(max(var, 0.0) ** 0.5, SD_RANGE[0]), SD_RANGE[1])
     hist.unpersist()
     return [(j + 1, w[j], m[j], s[j]) for j in range(k)]
-
-
-def fit_zygosity(hist: DataFrame, cn: int) -> tuple[str, list[tuple[int, float, float, float]]]:
-    """The better of the simple and the complex form of a copy number, by the squared residual of the histogram."""
-    total = hist.agg(F.sum("n")).first()[0] or 1.0
-    best = None
-    for form, bounds in MEANS[cn].items():
-        fit = fit_peaks(hist, bounds)
-        dens = sum((F.lit(w / (s * 2.5066282746310002)) * F.exp(-0.5 * ((F.col("x") - m) / s) ** 2) for _, w, m, s in fit), F.lit(0.0))
-        width = hist.agg(((F.max("x") - F.min("x")) / F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias("w")).first()["w"] or 1.0
-        residual = hist.agg(F.sum((F.col("n") / total - dens * width) ** 2)).first()[0]
-        if best is None or residual < best[0]:
-            best = (residual, form, fit)
-    return best[1], best[2]

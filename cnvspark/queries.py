@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cnvspark.functions import scalar as S
 from cnvspark.operators import compare, coverage, emissions, fitting, gcbias, hmm, intervals, peaks, runs, samples, stats
 from cnvspark.plans import pipelines, plotdata
-from cnvspark.session import shared_path
+from cnvspark.session import shared_path, written
 from cnvspark.sources import readers, writers
 from cnvspark.views import DERIVED, view, with_views
 
@@ -329,6 +329,13 @@ def jn14(spark, d):
     return intervals.widen_by_rank(spans, view(spark, d, "v_state").select(*SC, "probe", "pos"), width=WIDTH).select("sv", "probe", "rank")
 
 
+@_query("jn14_widen_in_region", ORACLES["jn14_widen_by_rank"].replace("min(rank) - 10 AS lo, max(rank) + 10 AS hi FROM", "min(rank) - 10 AS lo, max(rank) + 10 AS hi, min(s) - 200000 AS from_, max(e) + 100000 AS to_ FROM") + " AND k.pos BETWEEN from_ AND to_")
+def jn14_region(spark, d):
+    spans = _run_rows(spark, d).groupBy(*SC, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+    spans = spans.withColumns({"sv": F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("run").cast("string")), "from_": F.col("start") - 200_000, "to_": F.col("end") + 100_000})
+    return intervals.widen_by_rank(spans, view(spark, d, "v_state").select(*SC, "probe", "pos"), width=WIDTH, region=("from_", "to_")).select("sv", "probe", "rank")
+
+
 _REGIONS = """i AS (SELECT *, max(flank_end) OVER (PARTITION BY chrom ORDER BY flank_start, flank_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_span),
 j AS (SELECT *, CAST(sum(CASE WHEN reach IS NULL OR flank_start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY flank_start, flank_end ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM i),
 g AS (SELECT chrom, island, min(flank_start) AS start, max(flank_end) AS "end", count(*) AS n_svs, count(DISTINCT sample) AS n_samples, array_to_string(list_sort(list(DISTINCT sample)), ',') AS samples FROM j GROUP BY chrom, island)"""
@@ -344,7 +351,8 @@ def _regions(spark, d) -> DataFrame:
 
 @_query("jn15_contained", _regions_sql(", n AS (SELECT *, row_number() OVER (ORDER BY chrom, start) AS region_id FROM g) SELECT s.sample, s.chrom, s.flank_start, s.flank_end, region_id FROM v_span s JOIN n ON n.chrom = s.chrom AND s.flank_start >= n.start AND s.flank_end <= n.\"end\""))
 def jn15(spark, d):
-    return intervals.contained(view(spark, d, "v_span"), intervals.number_regions(_regions(spark, d)), WIDTH).select("sample", "chrom", "flank_start", "flank_end", "region_id")
+    regions = written(intervals.number_regions(_regions(spark, d)), "regions")  # joined with the spans once, not worked out beside them
+    return intervals.contained(view(spark, d, "v_span"), regions, WIDTH).select("sample", "chrom", "flank_start", "flank_end", "region_id")
 
 
 _PAIRS = """e AS (SELECT sample, probe, masked, cn_out - 1 AS model_state, [-0.5*(lrr+0.5)*(lrr+0.5), -0.5*lrr*lrr, -0.5*(lrr-0.5)*(lrr-0.5)] AS ep FROM v_state),
@@ -775,6 +783,13 @@ def mod8(spark, d):
     return emissions.hist_moments(_hist(spark, d), ["cn"], 10).select("cn", _r("mean", 5).alias("mean"), _r("sd", 5).alias("sd"))
 
 
+@_query("mod8_near_peak", ", k AS (SELECT cn_out, round(avg(zyg), 4) AS m, round(stddev_samp(zyg), 4) AS s FROM v_state WHERE NOT masked GROUP BY cn_out) SELECT v.sample, v.probe, v.cn_out FROM v_state v JOIN k ON k.cn_out = v.cn_out WHERE round(abs(zyg - m), 6) <= round(1.5 * s, 6)", "v_state")
+def mod8_near(spark, d):
+    rows = view(spark, d, "v_state")
+    fits = rows.where("not masked").groupBy("cn_out").agg(_r(F.avg("zyg"), 4).alias("mean"), _r(F.stddev_samp("zyg"), 4).alias("sd"))
+    return emissions.near_peak(rows, fits, "cn_out").select("sample", "probe", "cn_out")
+
+
 @_query("mod9_bin_prob", f"SELECT t, round({S.bin_prob_sql('x', '20.0', '6.0')}, 6) AS p FROM v_series", "v_series")
 def mod9(spark, d):
     return view(spark, d, "v_series").select("t", _r(F.expr(S.bin_prob_sql("x", "20.0", "6.0"))).alias("p"))
@@ -1124,7 +1139,7 @@ def snk4(spark, d):
 @_query("snk5_write_compare", ORACLES["jn15_contained"])
 def snk5(spark, d):
     path = shared_path(spark, "compared")
-    writers.write_compare(jn15(spark, d), path)
+    writers.write_compare(jn15(spark, d).withColumns({"start": F.col("flank_start"), "end": F.col("flank_end")}), path)
     return spark.read.parquet(path).select("sample", "chrom", "flank_start", "flank_end", "region_id")
 
 

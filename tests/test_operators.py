@@ -187,6 +187,8 @@ def test_erfc(spark):
 def test_text_readers(spark, tmp_path):
     (tmp_path / "p_FinalReport1.txt").write_bytes(b"[Header]\r\nContent\tx\r\n[Data]\r\nPosition\tSNP Name\tB Allele Freq\tChr\tLog R Ratio\textra\r\n100\trs1\t0.5\t1\t-0.1\tq\r\n0x\trs2\t0.5\t1\t0\tq\r\n200\trs3\t0.4\tchrX\tNaN\tq\r\n")
     got = {r["probe"]: r for r in readers.read_final_reports(spark, f"{tmp_path}/*FinalReport*").collect()}
+    hist = pipelines.index_reports(spark, f"{tmp_path}/*FinalReport*", f"{tmp_path}/index", partitions=2)
+    assert {r["sample"] for r in hist.collect()} == {"1"} and spark.read.parquet(f"{tmp_path}/index").count() == 2
     assert set(got) == {"rs1", "rs3"} and got["rs1"]["chrom"] == "chr1" and got["rs3"]["lrr"] is got["rs3"]["baf"] is None
     (tmp_path / "m.csv").write_text("x\nRow,DNA_ID,DNA_Name\n1,a b,n1\n2,c,n2\n3,,n3\n4,d,n4\n")
     assert [r["sample"] for r in pipelines.list_samples(spark, f"{tmp_path}/m.csv").collect()] == ["a_b", "c"]
@@ -214,6 +216,10 @@ def test_writers_round_trip(spark, tmp_path):
     writers.write_svs(df, f"{tmp_path}/svs")
     back = readers.read_svs(spark, [f"{tmp_path}/svs"])
     assert back.columns == writers.SV_COL and sorted(r["lrr_mean"] for r in back.collect()) == [0.123, 0.5]
+    regions = spark.createDataFrame([(k % 3, f"chr{k % 2}", (k * 7) % 11, k) for k in range(40)], "region_id int, chrom string, start long, end long").repartition(5)
+    writers.write_compare(regions, f"{tmp_path}/cmp")
+    order = [(r["region_id"], r["chrom"], r["start"], r["end"]) for r in spark.read.parquet(f"{tmp_path}/cmp").coalesce(1).collect()]
+    assert order == sorted(order) and len(order) == 40
     writers.save_model({"a": df}, f"{tmp_path}/m")
     assert writers.load_model(spark, f"{tmp_path}/m", ["a"])["a"].count() == 2
     aliases = [r["alias"] for r in writers.group_manifest(df, 3).collect()]
