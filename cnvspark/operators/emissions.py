@@ -29,12 +29,12 @@ def weighted_line(df: DataFrame, x: str, y: str, w: str, by: list[str] | None =
     return s.select(*(by or []), slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("sw")).alias("intercept"))
 
 
-def lrr_lines(model: DataFrame, by: list[str], value: str = "lrr", shift: bool = False) -> tuple[DataFrame, DataFrame]:
+def lrr_lines(model: DataFrame, by: list[str], value: str = "lrr", shift: bool = False, few: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(medians, lines) of log ratios: the exact median ``m`` and number ``w`` of each (by, cn_in) above copy number 0, and of each group
-    the ``slope``, ``intercept`` and ``shift`` that bring copy number 2 to 0 and the medians to log2(CN/2).
+    the ``slope``, ``intercept`` and ``shift`` that bring copy number 2 to 0 and the medians to log2(CN/2). ``few`` is that of
+    :func:`stats.exact_medians`; without groups keys are few.
     """
-    few = not by  # a row for each copy number, or for each group and copy number
-    medians = stats.exact_medians(model.where("cn_in > 0"), [*by, "cn_in"], value, few=few).select(*by, "cn_in", F.col("median").alias("m"), F.col("n").cast("double").alias("w"))
+    medians = stats.exact_medians(model.where("cn_in > 0"), [*by, "cn_in"], value, few=not by if few is None else few).select(*by, "cn_in", F.col("median").alias("m"), F.col("n").cast("double").alias("w"))
     zero = medians.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("cn_in") == 2, F.col("m"))), F.lit(0.0)).alias("shift"))
     points = medians.join(zero, by) if by else medians.join(F.broadcast(zero), how="cross")
     points = points.select(*by, (F.col("m") - F.col("shift")).alias("x"), F.log2(F.col("cn_in") / 2).alias("y"), "w")
@@ -64,18 +64,20 @@ def baf_targets(df: DataFrame) -> DataFrame:
     return df.withColumn("target", F.when(F.col("model_baf") >= 0.5, 1 - target).otherwise(target))
 
 
-def rescale_baf(df: DataFrame, by: list[str] | None = None, shift: bool = False) -> DataFrame:
+def rescale_baf(df: DataFrame, by: list[str] | None = None, shift: bool = False, few: bool | None = None) -> DataFrame:
     """BAF mapped by the weighted line from the medians of the targets to the targets, then shifted probe by probe to where the
     line puts the median of the target, and with ``zyg`` computed anew. ``masked`` rows, if marked, take no part in the fit and
     are mapped but not shifted. With ``by`` each group has medians and a line of its own, all groups in one job; ``shift`` is
-    that of :func:`weighted_line`.
+    that of :func:`weighted_line`. Groups that are ``few`` have their medians and lines broadcast, else they are joined.
     """
     by, rows = by or [], baf_targets(df)
+    few = not by if few is None else few
+    told = F.broadcast if few else lambda x: x
     masked = F.col("masked") if "masked" in df.columns else F.lit(False)
-    medians = stats.exact_medians(rows.where(~masked), [*by, "target"], "model_baf", few=not by).select(*by, "target", F.col("median").alias("_m"), F.col("n").cast("double").alias("w"))
+    medians = stats.exact_medians(rows.where(~masked), [*by, "target"], "model_baf", few=few).select(*by, "target", F.col("median").alias("_m"), F.col("n").cast("double").alias("w"))
     line = weighted_line(medians, "_m", "target", "w", by, shift)
     if by:
-        out = rows.join(medians.drop("w"), [*by, "target"], "left").join(line, by, "left")
+        out = rows.join(told(medians.drop("w")), [*by, "target"], "left").join(told(line), by, "left")
     else:
         out = rows.join(F.broadcast(medians.drop("w")), "target", "left").join(F.broadcast(line), how="cross")
     out = out.withColumn("baf_rescaled", F.col("baf") * F.col("slope") + F.col("intercept"))

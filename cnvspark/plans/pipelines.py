@@ -204,12 +204,15 @@ def correct_samples(obs: DataFrame, model: Model, top: int) -> DataFrame:
     ok = (F.col("cn_in") > 0) & (F.col("cn_in") <= top) & F.col("lrr").isNotNull() & F.col("baf").isNotNull() & ~gc_missing
     rows = rows.withColumns({"masked": ~F.coalesce(ok, F.lit(False)), "lrr_corr": F.col("lrr") - F.col("offset"), "model_lrr": F.col("model_lrr") - F.coalesce("offset", F.lit(0.0))}).drop("offset")
     rows = written(rows, "samples")
-    medians, lines = emissions.lrr_lines(rows, ["sample"], "model_lrr", shift=True)
-    rows = rows.join(medians.drop("w"), ["sample", "cn_in"], "left").join(lines.withColumnsRenamed({"slope": "_slope", "intercept": "_intercept", "shift": "_shift"}), "sample", "left")
+    few = rows.select("sample").distinct().count() <= MANY_SAMPLES  # then a row for each sample and copy number is broadcast
+    told = F.broadcast if few else lambda x: x
+    medians, lines = emissions.lrr_lines(rows, ["sample"], "model_lrr", shift=True, few=few)
+    lines = lines.withColumnsRenamed({"slope": "_slope", "intercept": "_intercept", "shift": "_shift"})
+    rows = rows.join(told(medians.drop("w")), ["sample", "cn_in"], "left").join(told(lines), "sample", "left")
     slope, moved = F.coalesce("_slope", F.lit(1.0)), F.coalesce(F.col("m") - F.col("model_lrr"), F.lit(0.0))
     ideal = lambda x: (x - F.coalesce("_shift", F.lit(0.0)) + moved) * slope + F.coalesce("_intercept", F.lit(0.0))
     rows = rows.withColumns({"lrr_corr": ideal(F.col("lrr_corr")), "lrr_cns": F.array(*(ideal(F.get("lrr_cns", F.lit(c))) for c in range(top + 1)))}).drop("m", "_slope", "_intercept", "_shift", "model_lrr")
-    rows = emissions.rescale_baf(written(rows, "ratios"), ["sample"], shift=True)
+    rows = emissions.rescale_baf(written(rows, "ratios"), ["sample"], shift=True, few=few)
     return rows.withColumn("zyg", F.coalesce("zyg", F.lit(1.0))).drop("target", "model_baf", "baf_rescaled", "baf_shifted")
 
 
