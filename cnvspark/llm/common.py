@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,6 +103,31 @@ def single_threaded() -> None:
         os.environ[name] = "false" if name.startswith("TOK") else "1"
 
 
+#: What the Python code of operators remembers between tasks: how each forgets it, and whose memory this worker holds now.
+_FORGET: dict[str, Callable[[], object]] = {}
+_HOLDS: list[str] = []
+
+
+def remembers(owner: str, forget: Callable[[], object]) -> None:
+    """Tells how an operator's code forgets what it remembers in a Python worker."""
+    _FORGET[owner] = forget
+
+
+def working(owner: str) -> None:
+    """For code that is about to remember things between tasks. Spark goes on to use a Python worker for other stages, so what other
+    operators have remembered in it is forgotten first, and its memory goes back to the machine.
+    """
+    if _HOLDS != [owner]:
+        for other, forget in _FORGET.items():
+            if other != owner:
+                forget()
+        _HOLDS[:] = [owner]
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` cut, and in no more partitions than its rows need, ``rows`` in each: what is shuffled next comes from few tasks."""
     df = cut(df)

@@ -7,7 +7,7 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-from cnvspark.llm.common import single_threaded
+from cnvspark.llm.common import remembers, single_threaded, working
 
 #: White space that may join with a space next to it into one pre-token.
 _JOINING = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
@@ -90,9 +90,17 @@ class TokenCoder:
 
 
 @lru_cache(maxsize=2)
+def _coder(path: str) -> TokenCoder:
+    return TokenCoder(path)
+
+
 def coder(path: str) -> TokenCoder:
     """One coder for each Python worker, which Spark reuses between tasks."""
-    return TokenCoder(path)
+    working("tokens")
+    return _coder(path)
+
+
+remembers("tokens", _coder.cache_clear)
 
 
 def tokenizer_path() -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cnvspark.llm.common import single_threaded
+from cnvspark.llm.common import remembers, single_threaded, working
 from cnvspark.llm.labelled import training_rows
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
@@ -418,11 +418,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 1200, l
     return train(training_rows(docs, labels, "toxic", per_class, longest), **options)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _scorer(key: int, shared) -> Scorer:
     return Scorer(shared.value)
 
 
+remembers("toxicity", _scorer.cache_clear)
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
     """All rows of ``docs`` with the score of their whole text, between 0 and 1.
 
@@ -436,6 +439,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     key = id(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("toxicity")
         scorer = _scorer(key, shared)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):

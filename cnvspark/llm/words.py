@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from cnvspark.llm.common import remembers, working
+
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
 
 
@@ -21,10 +23,12 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+remembers("words", _HASHES.clear)
 
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
     """For each text the hashes of its words in order; words stand between white space, and bare marks are none."""
+    working("words")
     out = []
     for text in texts:
         words = text.split()

@@ -185,3 +185,15 @@ def test_temperature_reduces_loss():
     before = loss()
     net.calibrate(x[200:], y[200:])
     assert loss() <= before + 1e-9
+
+
+def test_a_worker_holds_what_one_operator_remembers():
+    from cnvspark.llm import common, words
+
+    words.word_hashes(["some words here"])
+    assert len(words._HASHES) == 3
+    common.working("tokens")
+    assert not words._HASHES and common._HOLDS == ["tokens"]
+    words.word_hashes(["other words"])
+    common.working("words")
+    assert len(words._HASHES) == 2
