@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 
 from cnvspark.llm.tokens import coder
 
+#: Chunks whose ids a worker remembers: fewer than for token files, as a task holds a block of pieces beside them.
+MEMO = 200_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, cost double, ids binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("cost", pa.float64()), ("ids", pa.binary())])
 
@@ -65,7 +67,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, next_sequence = coder(tokenizer).encode, TaskContext.get().partitionId() << 33
+        encode, next_sequence = coder(tokenizer, MEMO).encode, TaskContext.get().partitionId() << 33
         ids, docs, size = [], [], 0
 
         def block() -> pa.RecordBatch:

@@ -90,14 +90,14 @@ class TokenCoder:
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str) -> TokenCoder:
-    return TokenCoder(path)
+def _coder(path: str, memo_size: int) -> TokenCoder:
+    return TokenCoder(path, memo_size)
 
 
-def coder(path: str) -> TokenCoder:
+def coder(path: str, memo_size: int = 900_000) -> TokenCoder:
     """One coder for each Python worker, which Spark reuses between tasks."""
     working("tokens")
-    return _coder(path)
+    return _coder(path, memo_size)
 
 
 remembers("tokens", _coder.cache_clear)
