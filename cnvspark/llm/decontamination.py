@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cnvspark.llm.common import kept
+from cnvspark.llm.common import free, kept
 from cnvspark.llm.words import word_hashes
 
 #: Kept (1) and ignored (0) positions. The first two hit every stretch of 8 words or more of which four fifths are equal: with
@@ -152,29 +152,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     contaminated come back instead, with all their columns.
 
     The benchmark goes to the tasks in blocks of at most ``block_tokens`` words, one pass over the documents for each
-    block, so what a task holds is bounded; documents are never shuffled, but written once with a key where there are several blocks. The stream of benchmark rows passes the driver
-    a block at a time.
+    block, so what a task holds is bounded by one block. Documents are not shuffled where one block holds the benchmark; where
+    there are several, they are written once with a key, and by it the blocks' findings are merged. The stream of benchmark
+    rows passes the driver a block at a time.
     """
     spark, columns = docs.sparkSession, docs.columns
     id_name = id_col if id_col in columns else None
+    (key,) = free(docs, "row")
     current = row = first = None
     for block in _blocks(benchmark.select(benchmark[item_col].cast("long"), benchmark[item_text_col]), block_tokens):
         shared = spark.sparkContext.broadcast(Index(block, masks, 20))
-        if keep:
-            docs = _keep_clean(docs, text_col, shared, min_tokens, min_share, similarity)
-        else:
-            if first is not None and row is None:  # a second block: rows get a key that is written once, to merge by
-                row = kept(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
-                current = _overlaps(row, "row", "text", first, min_tokens, min_share, similarity)
-            if row is None:
-                first, current = shared, _overlaps(docs, id_name, text_col, shared, min_tokens, min_share, similarity)
-            else:
-                current = current.unionByName(_overlaps(row, "row", "text", shared, min_tokens, min_share, similarity))
+        if first is None:
+            first = shared
+            continue
+        if row is None:  # a second block
+            some = docs if keep else docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+            text_name = text_col if keep else "text"
+            row = kept(some.withColumn(key, F.monotonically_increasing_id()), "rows")
+            current = _overlaps(row, key, text_name, first, min_tokens, min_share, similarity)
+        current = current.unionByName(_overlaps(row, key, text_name, shared, min_tokens, min_share, similarity))
+    if keep and row is not None:
+        dirty = current.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+        return row.join(dirty, key, "left_anti").drop(key)
     if keep:
-        return docs
-    if current is None:
+        return docs if first is None else _keep_clean(docs, text_col, first, min_tokens, min_share, similarity)
+    if first is None:
         return docs.select(docs[id_col].cast("long").alias("doc_id"), F.array().cast("array<struct<item_id:long,start:long,end:long,matched:long>>").alias("items"), F.lit(False).alias("contaminated"))
-    return current if row is None else _merge(current, row)
+    return _overlaps(docs, id_name, text_col, first, min_tokens, min_share, similarity) if row is None else _merge(current, row.withColumnRenamed(key, "row"))
 
 
 def _with_short(block: list[tuple[int, np.ndarray]], masks: tuple[str, ...]) -> tuple[str, ...]:

@@ -219,6 +219,11 @@ def test_decontamination_keeps_every_row_over_blocks(spark):
     of = lambda rows: sorted((str(r["doc_id"]), [x["item_id"] for x in r["items"]], r["contaminated"]) for r in rows)
     want = of(decontaminate(df, bench).collect())
     assert len(want) == len(docs) and of(decontaminate(df, bench, block_tokens=20).collect()) == want
+    wide = df.withColumn("row", F.lit("own")).withColumn("lang", F.lit("x"))
+    left = decontaminate(wide, bench, keep=True, block_tokens=20)  # rows are merged by a key beside the table's own column
+    once = decontaminate(wide, bench, keep=True)
+    assert left.columns == wide.columns and sorted(map(str, left.collect())) == sorted(map(str, once.collect()))
+    assert 0 < left.count() < wide.count()
 
 
 def test_decontamination_odd_rows(spark, odd, none):
