@@ -101,19 +101,25 @@ def contained(svs: DataFrame, regions: DataFrame, width: int = 1_000_000) -> Dat
     return hit.drop("_chrom", "_bin", "_at")
 
 
-def widen_by_rank(spans: DataFrame, probes: DataFrame, n: int = 10, width: int = 1_000_000, region: tuple[str, str] | None = None) -> DataFrame:
-    """(sv, probe) for the probes of each span and ``n`` more on either side, by rank within sample and chromosome. Probes meet
-    spans in bins of positions, and then by their very rank. ``region`` names the columns of ``spans`` that bound what is added.
-    Other columns of ``probes`` stay.
+def widen_by_rank(spans: DataFrame, probes: DataFrame, n: int = 10, width: int = 64, region: tuple[str, str] | None = None) -> DataFrame:
+    """(sv, probe) for the probes of each span and ``n`` more on either side, by rank within sample and chromosome. Spans find their
+    first and last rank by counting the probes before their ends, and meet probes in blocks of ``width`` ranks, so neither is
+    repeated for each position. ``region`` names the columns of ``spans`` that bound what is added. Other columns of ``probes`` stay.
     """
-    by = ["sample", "chrom"]
+    by, span = ["sample", "chrom"], ["sv", *(region or ())]
     ranked = probes.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "probe")))
-    inside = overlap_all(spans.select("sv", *by, "start", "end", *(region or ())), ranked.select(*by, "pos", "rank"), width=width, by=by)
-    bounds = inside.groupBy("sv", *by, *(region or ())).agg((F.min("rank") - n).alias("lo"), (F.max("rank") + n).alias("hi"))
-    wanted = bounds.select("sv", *by, *(region or ()), F.explode(F.sequence("lo", "hi")).alias("rank"))
-    found = wanted.join(ranked, [*by, "rank"])
+    known = spans.where(F.col("start").isNotNull() & F.col("end").isNotNull()).select(*by, *span, "start", "end")
+    at = F.inline(F.array(F.struct(F.col("start").alias("pos"), F.lit(0).alias("_kind")), F.struct(F.col("end").alias("pos"), F.lit(2).alias("_kind"))))
+    ends = known.select("*", at)  # at one position starts come before probes, and ends after them
+    marks = ends.unionByName(probes.select(*by, "pos", F.lit(1).alias("_kind")), allowMissingColumns=True)
+    before = F.count_if(F.col("_kind") == 1).over(Window.partitionBy(*by).orderBy("pos", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    counted = marks.withColumn("_n", before).where("_kind <> 1")
+    inside = counted.groupBy(*by, *span, "start", "end").agg((F.min(F.when(F.col("_kind") == 0, F.col("_n"))) + 1).alias("_low"), F.max(F.when(F.col("_kind") == 2, F.col("_n"))).alias("_high")).where("_low <= _high")
+    bounds = inside.groupBy(*by, *span).agg((F.min("_low") - n).alias("_low"), (F.max("_high") + n).alias("_high"))
+    wanted = bounds.withColumn("_block", F.explode(F.sequence(F.floor(F.greatest("_low", F.lit(1)) / width), F.floor(F.col("_high") / width))))
+    found = wanted.join(ranked.withColumn("_block", F.floor(F.col("rank") / width)), [*by, "_block"]).where(F.col("rank").between(F.col("_low"), F.col("_high")))
     if region:
-        found = found.where(F.col("pos").between(F.col(region[0]), F.col(region[1]))).drop(*region)
+        found = found.where(F.col("pos").between(F.col(region[0]), F.col(region[1])))
     return found.select("sv", *by, "probe", "pos", "rank", *(c for c in probes.columns if c not in (*by, "probe", "pos")))
 
 

@@ -326,14 +326,14 @@ SELECT concat(CAST(b.sample AS STRING), ':', b.chrom, ':', CAST(run AS STRING))
 def jn14(spark, d):
     spans = _run_rows(spark, d).groupBy(*SC, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
     spans = spans.withColumn("sv", F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("run").cast("string")))
-    return intervals.widen_by_rank(spans, view(spark, d, "v_state").select(*SC, "probe", "pos"), width=WIDTH).select("sv", "probe", "rank")
+    return intervals.widen_by_rank(spans, view(spark, d, "v_state").select(*SC, "probe", "pos")).select("sv", "probe", "rank")
 
 
 @_query("jn14_widen_in_region", ORACLES["jn14_widen_by_rank"].replace("min(rank) - 10 AS lo, max(rank) + 10 AS hi FROM", "min(rank) - 10 AS lo, max(rank) + 10 AS hi, min(s) - 200000 AS from_, max(e) + 100000 AS to_ FROM") + " AND k.pos BETWEEN from_ AND to_")
 def jn14_region(spark, d):
     spans = _run_rows(spark, d).groupBy(*SC, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
     spans = spans.withColumns({"sv": F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("run").cast("string")), "from_": F.col("start") - 200_000, "to_": F.col("end") + 100_000})
-    return intervals.widen_by_rank(spans, view(spark, d, "v_state").select(*SC, "probe", "pos"), width=WIDTH, region=("from_", "to_")).select("sv", "probe", "rank")
+    return intervals.widen_by_rank(spans, view(spark, d, "v_state").select(*SC, "probe", "pos"), region=("from_", "to_")).select("sv", "probe", "rank")
 
 
 _REGIONS = """i AS (SELECT *, max(flank_end) OVER (PARTITION BY chrom ORDER BY flank_start, flank_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_span),

@@ -36,7 +36,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             df = df.where(sql.split(" WHERE ", 1)[1])
         return df.selectExpr(*_split(select))
     if name == "v_obs":
-        return view(spark, sf_dir, "v_probe").groupBy("sample", "chrom", "pos", "probe").agg(F.round(F.median("lrr"), 6).alias("lrr"), F.round(F.median("baf"), 6).alias("baf"))
+        # Dealt by sample and chromosome, rows meet once: medians, runs and ranks after it need no shuffle of their own.
+        return view(spark, sf_dir, "v_probe").repartition("sample", "chrom").groupBy("sample", "chrom", "pos", "probe").agg(F.round(F.median("lrr"), 6).alias("lrr"), F.round(F.median("baf"), 6).alias("baf"))
     if name == "v_model":
         df = view(spark, sf_dir, "v_probe").groupBy("probe", "chrom", "pos").agg(F.round(F.median("lrr"), 6).alias("lrr"), F.round(F.median("baf"), 6).alias("baf"))
         return df.selectExpr("*", "CAST(1 + probe % 3 AS DOUBLE) AS cn_in", "(probe * 37 % 60 + 20) / 100.0D AS frac_gc", "CAST(probe * 37 % 60 + 20 AS INT) AS perc_gc")
