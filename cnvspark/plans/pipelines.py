@@ -273,9 +273,9 @@ def compare_samples(decoded: DataFrame, svs: DataFrame, threshold: int = 2_000_0
     more = ["group"] if groups is not None else []
     wide = intervals.widen_by_rank(placed, probes.select("sample", "chrom", "pos", "probe", F.col("hs").alias("state"), *more), n=flank, region=("region_start", "region_end"))
     wide = written(wide, "paths")
-    best = compare.extreme_samples(compare.pair_scores(wide.select("sv", "sample", "probe", "state", *more), probes))
+    best = compare.extreme_samples(compare.pair_scores(wide.select("sv", "sample", "chrom", "pos", "probe", "state", *more), probes))
     inside = wide.join(placed.select("sv", "start", "end"), "sv").where(F.col("pos").between(F.col("start"), F.col("end")))
-    seen = compare.overlap_samples(inside.select("sv", "sample", "probe", *more), probes)
+    seen = compare.overlap_samples(inside.select("sv", "sample", "chrom", "pos", "probe", *more), probes)
     return placed.join(best, ["sv", "sample"], "left").join(seen, ["sv", "sample"], "left").drop("region_start", "region_end").orderBy("region_id", "chrom", "start", "end")
 
 

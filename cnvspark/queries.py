@@ -363,7 +363,7 @@ p AS (SELECT sv.sv, sv.sample, e.sample AS target, sum(ep[sv.state + 1] - ep[e.m
 def _pair_inputs(spark, d):
     lrr = F.col("lrr")
     probes = runs.derive_changes(view(spark, d, "v_state")).select("sample", "probe", "masked", (F.col("cn_out") - 1).alias("model_state"), F.array(-0.5 * (lrr + 0.5) * (lrr + 0.5), -0.5 * lrr * lrr, -0.5 * (lrr - 0.5) * (lrr - 0.5)).alias("log_ep"), ((F.col("cnc") != 0) | F.col("loh_probe")).alias("changed"))
-    svs = _run_rows(spark, d).select(F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("run").cast("string")).alias("sv"), "sample", "probe", (F.col("cn_out") - 1).alias("state"))
+    svs = _run_rows(spark, d).select(F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("run").cast("string")).alias("sv"), *SC, "pos", "probe", (F.col("cn_out") - 1).alias("state"))
     return svs, probes
 
 
