@@ -127,7 +127,7 @@ def _decode(rows: DataFrame, by: list[str], states: list[State], mode: str, chan
     ep = emissions.log_emissions(binned, states, tables, PENALTIES, mode, informative, fitting.BAD).drop("lrr_table", "zyg_table", "lrr_bins", "zyg_bin", "lrr_cns")
     if "masked" in rows.columns:  # a masked probe says nothing
         ep = ep.withColumn("log_ep", F.when(F.col("masked"), F.array_repeat(F.lit(0.0), len(states))).otherwise(F.col("log_ep")))
-    decoded = hmm.viterbi(ep if block is None else written(ep, "emissions"), by, ["pos", "probe"], "log_ep", hmm.transitions(len(states), change), block=block)
+    decoded = hmm.viterbi(ep, by, ["pos", "probe"], "log_ep", hmm.transitions(len(states), change), block=block)
     value = lambda values, kind: F.get(F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>"), F.col("hs"))
     return decoded.withColumns({"as_out": value([s.name for s in states], "string"), "cn_out": value([s.cn for s in states], "double"), "allelism_out": value([s.allelism for s in states], "int")})
 
