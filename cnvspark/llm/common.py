@@ -122,10 +122,15 @@ def working(owner: str) -> None:
             if other != owner:
                 forget()
         _HOLDS[:] = [owner]
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Gives the memory that this process no longer uses back to the machine."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:

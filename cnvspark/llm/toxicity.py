@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cnvspark.llm.common import remembers, single_threaded, working
+from cnvspark.llm.common import give_back, remembers, single_threaded, working
 from cnvspark.llm.labelled import training_rows
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
@@ -415,7 +415,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 1200, l
     """Trains on at most ``per_class`` labelled texts of each class of at most ``longest`` code points, never on held-out
     rows. Those two parameters bound what the driver holds. Without labels of both classes every score is 0.
     """
-    return train(training_rows(docs, labels, "toxic", per_class, longest), **options)
+    model = train(training_rows(docs, labels, "toxic", per_class, longest), **options)
+    give_back()  # what training took, before the driver plans later steps
+    return model
 
 
 @lru_cache(maxsize=1)
