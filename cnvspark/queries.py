@@ -251,8 +251,13 @@ def jn7(spark, d):
     return gcbias.candidate_lrr(model.select("probe", "lrr", "perc_gc"), gcbias.fit_gc(model), [0, 1, 2, 3, 4, 5]).select("probe", "cn", _r("lrr_cn", 5).alias("lrr_cn"))
 
 
-def _emission_tables(spark, d):
-    rows = view(spark, d, "v_state").where("not masked").select("sample", "probe", F.col("cn_out").alias("cn"), S.bin_even(F.col("lrr"), 30).alias("lrr_bin"), S.bin_even(F.col("zyg"), 150).alias("zyg_bin"))
+def _states(spark, d) -> DataFrame:
+    """``v_state`` for queries that read it several times: written once, so medians are not taken anew for each."""
+    return written(view(spark, d, "v_state"), "states")
+
+
+def _emission_tables(spark, d, states: DataFrame | None = None):
+    rows = (view(spark, d, "v_state") if states is None else states).where("not masked").select("sample", "probe", F.col("cn_out").alias("cn"), S.bin_even(F.col("lrr"), 30).alias("lrr_bin"), S.bin_even(F.col("zyg"), 150).alias("zyg_bin"))
     return rows
 
 
@@ -303,8 +308,8 @@ def _runs_sql(rest: str) -> str:
     return f"{with_views('v_state')}, {_RUNS} {rest}"
 
 
-def _run_rows(spark, d) -> DataFrame:
-    rows = runs.usable_index(runs.flag_anomalous(view(spark, d, "v_state")), SC)
+def _run_rows(spark, d, states: DataFrame | None = None) -> DataFrame:
+    rows = runs.usable_index(runs.flag_anomalous(view(spark, d, "v_state") if states is None else states), SC)
     return runs.anomalous_runs(runs.derive_changes(rows), SC)
 
 
@@ -361,9 +366,9 @@ p AS (SELECT sv.sv, sv.sample, e.sample AS target, sum(ep[sv.state + 1] - ep[e.m
 
 
 def _pair_inputs(spark, d):
-    lrr = F.col("lrr")
-    probes = runs.derive_changes(view(spark, d, "v_state")).select("sample", "probe", "masked", (F.col("cn_out") - 1).alias("model_state"), F.array(-0.5 * (lrr + 0.5) * (lrr + 0.5), -0.5 * lrr * lrr, -0.5 * (lrr - 0.5) * (lrr - 0.5)).alias("log_ep"), ((F.col("cnc") != 0) | F.col("loh_probe")).alias("changed"))
-    svs = _run_rows(spark, d).select(F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("run").cast("string")).alias("sv"), *SC, "pos", "probe", (F.col("cn_out") - 1).alias("state"))
+    lrr, states = F.col("lrr"), _states(spark, d)
+    probes = runs.derive_changes(states).select("sample", "probe", "masked", (F.col("cn_out") - 1).alias("model_state"), F.array(-0.5 * (lrr + 0.5) * (lrr + 0.5), -0.5 * lrr * lrr, -0.5 * (lrr - 0.5) * (lrr - 0.5)).alias("log_ep"), ((F.col("cnc") != 0) | F.col("loh_probe")).alias("changed"))
+    svs = _run_rows(spark, d, states).select(F.concat_ws(":", F.col("sample").cast("string"), "chrom", F.col("run").cast("string")).alias("sv"), *SC, "pos", "probe", (F.col("cn_out") - 1).alias("state"))
     return svs, probes
 
 
@@ -785,7 +790,7 @@ def mod8(spark, d):
 
 @_query("mod8_near_peak", ", k AS (SELECT cn_out, round(avg(zyg), 4) AS m, round(stddev_samp(zyg), 4) AS s FROM v_state WHERE NOT masked GROUP BY cn_out) SELECT v.sample, v.probe, v.cn_out FROM v_state v JOIN k ON k.cn_out = v.cn_out WHERE round(abs(zyg - m), 6) <= round(1.5 * s, 6)", "v_state")
 def mod8_near(spark, d):
-    rows = view(spark, d, "v_state")
+    rows = _states(spark, d)
     fits = rows.where("not masked").groupBy("cn_out").agg(_r(F.avg("zyg"), 4).alias("mean"), _r(F.stddev_samp("zyg"), 4).alias("sd"))
     return emissions.near_peak(rows, fits, "cn_out").select("sample", "probe", "cn_out")
 
@@ -827,9 +832,8 @@ def mod13(spark, d):
 _CN_IN, _ALLELISM_IN = "CAST(probe % 4 AS INT)", "CAST(least(probe % 4, 2) AS INT)"
 
 
-def _tables_of(spark, d, states: list[emissions.State]) -> emissions.Tables:
+def _tables_of(base: DataFrame, states: list[emissions.State]) -> emissions.Tables:
     """Observed emission tables of the given states, each with the zygosities of its copy number."""
-    base = _emission_tables(spark, d)
     lrr = stats.obs_histogram(base, ["cn"], "lrr_bin", -40, 40).select("cn", "bin", "p")
     zyg = stats.obs_histogram(base.withColumn("zyg_key", F.col("cn").cast("string")), ["zyg_key"], "zyg_bin", 75, 150).select("zyg_key", "bin", "p")
     return emissions.literal_tables(states, [str(int(s.cn)) for s in states], lrr, zyg)
@@ -845,9 +849,10 @@ def _long(rows: DataFrame) -> DataFrame:
  e AS (SELECT b.sample, b.probe, s.state, CASE WHEN b.cn_in = 0 OR s.al > b.al_in THEN 0.0 WHEN s.cn = b.cn_in THEN CASE WHEN s.al = b.al_in THEN 1.0 ELSE 0.9 END ELSE CASE abs(s.cn - b.cn_in) WHEN 1 THEN 0.98 WHEN 2 THEN 0.9 ELSE 0.5 END END * coalesce(l.p, 0) * coalesce(CASE WHEN b.zb >= 128 THEN z1.p ELSE z.p END, 0) AS p FROM b CROSS JOIN (VALUES (0, 1, 1), (1, 2, 1), (2, 2, 2), (3, 3, 2)) s(state, cn, al) LEFT JOIN l ON l.cn = s.cn AND l.lb = b.lb LEFT JOIN z ON z.cn = s.cn AND z.zb = b.zb LEFT JOIN z z1 ON z1.cn = 1 AND z1.zb = b.zb)
  SELECT sample, probe, CAST(state AS INT) AS state, CASE WHEN p > 0 THEN round(ln(p), 5) ELSE -1e100 END AS log_p FROM e""", "v_state")
 def mod14(spark, d):
-    rows = _emission_tables(spark, d).select("sample", "probe", "lrr_bin", "zyg_bin", F.expr(_CN_IN).alias("cn_in"), F.expr(_ALLELISM_IN).alias("allelism_in"), (F.col("zyg_bin") < 128).alias("inf_in"))
+    base = written(_emission_tables(spark, d), "bins")
+    rows = base.select("sample", "probe", "lrr_bin", "zyg_bin", F.expr(_CN_IN).alias("cn_in"), F.expr(_ALLELISM_IN).alias("allelism_in"), (F.col("zyg_bin") < 128).alias("inf_in"))
     states = [emissions.State(0, "CN1_1", 1, 1, False, False), emissions.State(1, "CN2_02", 2, 1, False, False), emissions.State(2, "CN2_11", 2, 2, False, True), emissions.State(3, "CN3_12", 3, 2, False, True)]
-    return _long(emissions.log_emissions(rows, states, _tables_of(spark, d, states), pipelines.PENALTIES))
+    return _long(emissions.log_emissions(rows, states, _tables_of(base, states), pipelines.PENALTIES))
 
 
 @_query("mod14_log_emissions_refine", f"""{_fit_sql('', 'v_obs', 'v_state')}, i AS (SELECT avg(CAST(inf_in AS INT)) AS f FROM v_state WHERE NOT masked), b AS (SELECT sample, probe, cn_out AS cn, {_CN_IN} AS cn_in, inf_in, CAST(round_even(lrr*30,0) AS INT) AS lb, CAST(round_even(zyg*150,0) AS INT) AS zb, lrr FROM v_state WHERE NOT masked), l AS (SELECT cn, lb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, lb), z AS (SELECT cn, zb, count(*) / sum(count(*)) OVER (PARTITION BY cn) AS p FROM b GROUP BY cn, zb),
@@ -855,13 +860,12 @@ def mod14(spark, d):
  e AS (SELECT x.sample, x.probe, x.state, CASE abs(x.out - x.cn_in) WHEN 0 THEN 1.0 WHEN 1 THEN 0.98 WHEN 2 THEN 0.9 ELSE 0.5 END * CASE WHEN x.out = 1 THEN 0.99 WHEN x.inf THEN i.f ELSE 1 - i.f END * coalesce(l.p, 0) * coalesce(CASE WHEN NOT x.inf_in OR NOT x.inf THEN z1.p ELSE z.p END, 0) AS p FROM x CROSS JOIN i LEFT JOIN l ON l.cn = x.out AND l.lb = x.lbc LEFT JOIN z ON z.cn = x.out AND z.zb = x.zb LEFT JOIN z z1 ON z1.cn = 1 AND z1.zb = x.zb)
  SELECT sample, probe, CAST(state AS INT) AS state, CASE WHEN p > 0 THEN round(ln(p), 5) ELSE -1e100 END AS log_p FROM e""")
 def mod14_refine(spark, d):
-    model = view(spark, d, "v_model")
-    state = view(spark, d, "v_state").where("not masked")
+    model, state = view(spark, d, "v_model"), _states(spark, d).where("not masked")
     share = stats.informative_fraction(state).first()["fraction"]
     rows = state.select("sample", "probe", "lrr", "inf_in", S.bin_even(F.col("zyg"), 150).alias("zyg_bin"), F.expr(_CN_IN).alias("cn_in"), F.expr(_ALLELISM_IN).alias("allelism_in"))
     rows = gcbias.candidate_bins(rows.join(model.select("probe", "perc_gc"), "probe"), gcbias.fit_gc(model), 3, 30)
     states = [emissions.State(0, "CN1_1", 1, 1, False, False), emissions.State(1, "CN2_02", 2, 2, False, False), emissions.State(2, "CN2_11", 2, 2, False, True), emissions.State(3, "CN3_12", 3, 2, False, True)]
-    return _long(emissions.log_emissions(rows, states, _tables_of(spark, d, states), pipelines.PENALTIES, "refine", share))
+    return _long(emissions.log_emissions(rows, states, _tables_of(_emission_tables(spark, d, state), states), pipelines.PENALTIES, "refine", share))
 
 
 def _series_ep(spark, d) -> DataFrame:
