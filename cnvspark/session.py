@@ -60,6 +60,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder, in whatever store its path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes what :func:`written` and :func:`shared_path` have put into the shared folder for this application; results that
     read it must be done with.

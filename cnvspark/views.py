@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cnvspark.session import importable
+from cnvspark.session import importable, size
+
+#: Bytes of Parquet whose probes one partition takes, some 300,000 rows of the given tables.
+PART = 4 << 20
 
 #: name -> (table, SQL). The SQL runs unchanged in Spark and DuckDB.
 BASE = {
@@ -37,7 +40,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return df.selectExpr(*_split(select))
     if name == "v_obs":
         # Dealt by sample and chromosome, rows meet once: medians, runs and ranks after it need no shuffle of their own.
-        return view(spark, sf_dir, "v_probe").repartition("sample", "chrom").groupBy("sample", "chrom", "pos", "probe").agg(F.round(F.median("lrr"), 6).alias("lrr"), F.round(F.median("baf"), 6).alias("baf"))
+        # Partitions grow in number with the table beyond what shuffles have, so that no task holds more of a larger one.
+        parts = -(-size(spark, f"{sf_dir}/lineitem.parquet") // PART)
+        more = [parts] if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+        return view(spark, sf_dir, "v_probe").repartition(*more, "sample", "chrom").groupBy("sample", "chrom", "pos", "probe").agg(F.round(F.median("lrr"), 6).alias("lrr"), F.round(F.median("baf"), 6).alias("baf"))
     if name == "v_model":
         df = view(spark, sf_dir, "v_probe").groupBy("probe", "chrom", "pos").agg(F.round(F.median("lrr"), 6).alias("lrr"), F.round(F.median("baf"), 6).alias("baf"))
         return df.selectExpr("*", "CAST(1 + probe % 3 AS DOUBLE) AS cn_in", "(probe * 37 % 60 + 20) / 100.0D AS frac_gc", "CAST(probe * 37 % 60 + 20 AS INT) AS perc_gc")
