@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from cnvspark.llm.common import give_back
 from cnvspark.llm.tokens import coder
 
 #: Chunks whose ids a worker remembers: fewer than for token files, as a task holds a block of pieces beside them.
-MEMO = 200_000
+MEMO = 60_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, cost double, ids binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("cost", pa.float64()), ("ids", pa.binary())])
 
@@ -83,7 +84,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
             rows += [(k, len(ids[k]) // 4 - int(rest[k]) + start, n, next_sequence + at, offset) for k, start, n, at, offset in placed]
             next_sequence += max((at for *_, at, _ in placed), default=-1) + 1
             which, starts, lengths, sequences, offsets = (list(x) for x in zip(*rows, strict=True))
-            return pa.record_batch([
+            pieces = pa.record_batch([
                 pa.array([docs[k] for k in which], pa.int64()),
                 pa.array(starts, pa.int64()),
                 pa.array(lengths, pa.int64()),
@@ -93,6 +94,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
                 pa.array([linear * n + quadratic * n * n for n in lengths], pa.float64()),
                 pa.array([ids[k][4 * s : 4 * (s + n)] for k, s, n in zip(which, starts, lengths, strict=True)], pa.binary()),
             ], schema=_ARROW)
+            ids.clear()  # not held beside the pieces while these are written
+            docs.clear()
+            return pieces
 
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -104,9 +108,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
                     size += len(x) // 4 + 1
                     if size >= block_tokens:
                         yield block()
-                        ids, docs, size = [], [], 0
+                        size = 0
+                        give_back()
         if ids:
             yield block()
+        give_back()
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(pack, SCHEMA)

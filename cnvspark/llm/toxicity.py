@@ -293,7 +293,8 @@ class Scorer:
 
     def _forget(self) -> None:
         self.ids: dict[str, int] = {}  # words by their rows; row 0 is what stands after the end of a text
-        self.gates = np.zeros((4096, 6 * self.model.hidden), np.float32)
+        # Zeros take no memory until they are written, so a table for all words that are remembered never has to be copied.
+        self.gates = np.zeros((self.memo + 131_072, 6 * self.model.hidden), np.float32)
 
     def _known(self, words: list[list[str]]) -> None:
         missing = [*set().union(*words).difference(self.ids)]
@@ -448,5 +449,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
                 part = batch.slice(k, 256)
                 scores = scorer.scores([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, score_col])
+        give_back()
 
     return rows.mapInArrow(score, StructType([*schema.fields, StructField(score_col, DoubleType())]))
