@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from cnvspark.llm.common import give_back
 from cnvspark.llm.tokens import coder
 
-#: Chunks whose ids a worker remembers: fewer than for token files, as a task holds a block of pieces beside them.
-MEMO = 60_000
+#: Runs whose ids a worker remembers: fewer than for token files, as a task holds a block of pieces beside them.
+MEMO = 120_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, cost double, ids binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("cost", pa.float64()), ("ids", pa.binary())])
 
