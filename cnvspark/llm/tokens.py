@@ -15,6 +15,8 @@ from cnvspark.llm.common import remembers, single_threaded, working
 
 #: The longest run, in bytes, whose ids are remembered.
 LONGEST = 64
+#: New runs that the library gets in one call, as it holds far more than their bytes.
+AT_ONCE = 2_000
 #: How many times what it may hold a memo misses before it begins anew.
 RENEWED = 16
 #: White space that may join with a space next to it into one pre-token.
@@ -93,14 +95,14 @@ class TokenCoder:
         out, plain, other = [b""] * len(runs), [], []
         for i, run in enumerate(runs):
             (plain if run.lstrip(b" ").isalpha() or _RUN.fullmatch(run) else other).append(i)
-        if plain:
-            data = np.frombuffer(b"\1\0\1".join([*(runs[i] for i in plain), b""]), np.uint8)
+        for part in itertools.batched(plain, AT_ONCE):
+            data = np.frombuffer(b"\1\0\1".join([*(runs[i] for i in part), b""]), np.uint8)
             shown = self.letters[data].tobytes().decode("utf-32-le")
             (encoded,) = self.cut.encode_batch_fast([shown], add_special_tokens=False)
             ids = np.array(encoded.ids, "<u4")
             ends = (np.flatnonzero(ids == self.between) * 4).tolist()
             ids, start = ids.tobytes(), 0
-            for i, end in zip(plain, ends, strict=True):
+            for i, end in zip(part, ends, strict=True):
                 out[i], start = ids[start:end], end + 4
         for i, ids in zip(other, self._ids([runs[i].decode() for i in other]), strict=True):
             out[i] = ids
